@@ -93,17 +93,20 @@ def logit(text: Column, weights: tuple[int, ...], bias: int) -> Column:
     """The model's score of a host with its path, in units of 1/SCALE."""
     table = F.array(*[F.lit(v).cast("long") for v in weights])
 
+    def adder(c: Column, n: int):
+        def add(s: Column, i: Column) -> Column:
+            h = F.get(c, i)
+            for j in range(1, n):
+                h = h * BASE + F.get(c, i + j)
+            return s + F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
+
+        return add
+
     def total(c: Column) -> Column:
         sums = F.lit(bias).cast("long")
         for n in GRAMS:
-            def gram(i: Column, n: int = n) -> Column:
-                h = F.get(c, i)
-                for j in range(1, n):
-                    h = h * BASE + F.get(c, i + j)
-                return F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-
             starts = F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
-            sums = sums + F.aggregate(starts, F.lit(0).cast("long"), lambda s, i, g=gram: s + g(i))
+            sums = sums + F.aggregate(starts, F.lit(0).cast("long"), adder(c, n))
         return sums
 
     codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda ch: F.ascii(ch).cast("long"))
