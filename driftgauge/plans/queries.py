@@ -354,3 +354,62 @@ def accuracy_decomposition(spark, sf):
     return p.join(F.broadcast(g), "language").groupBy("language").agg(r6(F.avg(w) * F.avg("gap") + F.avg(w * F.col("d"))).alias("total"))
 
 
+
+
+# fits: iterative, so without SQL; tested on panels of known truth ----------------------------------------------------
+@query()
+def rasch_gap(spark, sf):
+    """Fitted gap of each model and language."""
+    from .fit import fit, point
+
+    return point(fit(V.crossed(spark, sf), V.SOURCE)).gaps.select("model", "language", r6("gap").alias("gap"))
+
+
+@query()
+def boot_se(spark, sf):
+    """Bootstrap errors of drift over 20 resamples of the models."""
+    from .fit import bootstrap_errors, fit
+
+    return bootstrap_errors(fit(V.crossed(spark, sf), V.SOURCE, n_boot=20))[0].select("item", "language", r6("se").alias("se"))
+
+
+@query()
+def analysis_report(spark, sf):
+    """The flagship report on the crossed panel."""
+    from .report import analyse
+
+    g = V.gaps(spark, sf).select("model", "language", F.col("share").alias("mode_share"))
+    return analyse(V.crossed(spark, sf), V.SOURCE, g).rows
+
+
+@query()
+def analysis_summary(spark, sf):
+    from .report import analyse
+
+    return analyse(V.crossed(spark, sf), V.SOURCE).summary
+
+
+@query()
+def scoring_modes(spark, sf):
+    """Agreement of two fitted panels of the same cells."""
+    from .ablations import scoring_modes as report
+
+    return report(V.crossed(spark, sf), V.crossed(spark, sf, "second"), V.SOURCE)
+
+
+@query()
+def crossval_losses(spark, sf):
+    """Held-out log loss of both model classes on the incomplete panel of events."""
+    from .fit import crossval
+
+    cells = V.observed(spark, sf).groupBy("model", "item", "language").agg(F.max("correct").alias("correct"))
+    first = cells.agg(F.min("language")).first()[0]
+    return crossval(cells, first, steps=200)
+
+
+@query()
+def claims_ledger(spark, sf):
+    """The 24 claims about identification, each checked on simulated panels of known truth."""
+    from .claims import ledger
+
+    return ledger(spark)
