@@ -241,7 +241,7 @@ def fit_cells(responses: DataFrame, source, by: list[str] | None = None, **kw) -
             out.insert(i, c, key[i])
         return out
 
-    return responses.groupBy(*[F.col(c) for c in by] or [F.lit(0)]).applyInPandas(run, schema)
+    return responses.groupBy(*[F.col(c) for c in by] or [F.lit("all")]).applyInPandas(run, schema)
 
 
 def crossval(responses: DataFrame, source, seeds: tuple[int, ...] = (0, 1, 2), holdout: float = 0.10, steps: int = 4000) -> DataFrame:

@@ -313,9 +313,9 @@ def identifier_check(spark, sf):
     return out.withColumn("one_ok", F.col("one_key") >= 0.9 * F.col("n_rows")).withColumn("both_ok", F.col("both_keys") >= 0.9 * F.col("n_rows"))
 
 
-@query("SELECT l_partkey, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS quantity, l_returnflag FROM lineitem GROUP BY l_partkey, l_returnflag")
+@query("SELECT l_partkey, max_by(l_quantity, l_orderkey * 1000 + l_linenumber * 100 + l_quantity) AS quantity, l_returnflag FROM lineitem GROUP BY l_partkey, l_returnflag")
 def last_rows(spark, sf):
-    li = V.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", F.col("l_quantity").alias("quantity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn"))
+    li = V.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", F.col("l_quantity").alias("quantity"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("turn"))
     return panel.last_rows(li, "turn", "l_partkey", "l_returnflag").drop("turn")
 
 
