@@ -10,20 +10,27 @@ from ._common import checkpointed
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each linked node reaches. ``links`` may repeat and point either way; nodes are longs."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, before = checkpointed(edges), None
+    edges, before = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), None
+    edges = checkpointed(edges)  # what makes the links is worked out once
     while True:
         # large star: the greater neighbours of each node get its least neighbour
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the lesser neighbours of each node get the least of them, and so does the node
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        edges = checkpointed(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
+        edges = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
+        edges = checkpointed(edges)
+        # done once no node has two lesser neighbours or is one and has one
+        now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+        if not now[0] or now == before or _are_stars(edges):
             break
         before = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(nodes.select("component", "component").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the least of its component or has one edge, to it."""
+    ends = edges.select("u", F.lit(1).alias("low")).union(edges.select(F.col("v"), F.lit(1 << 40).cast("long"))).groupBy("u").agg(F.sum("low").alias("s"))
+    return ends.where(f"s > 1 AND s % {1 << 40} <> 0").isEmpty()

@@ -2,19 +2,20 @@
 
 Documents are sets of word shingles. Equal sets collapse to one representative, the least id. Then:
 
-1. Similar representatives are partitioned into groups: those that share a minimum of one of four hash orders are
-   compared with the least id among them, and each joins the group of the least id that it is truly linked to. A group
-   is a star around its leader; a representative without such a link is a group of its own.
+1. Representatives that share a minimum of one of four hash orders are compared with the least id among them. Pairs at
+   the similarity asked for are links; pairs at half of it or more join into groups of similar representatives, and
+   linked ones into provisional components. A representative without such a pair is a group of its own.
 2. The token-group matrix holds, for each group, the union of its members' rarest tokens. Only tokens that occur in
-   several components are in it. Tokens are ordered by a count sketch over all documents, then by hash; of a set of
-   n tokens that must share a = ceil(t n) with a partner, the first n - a + l(n) go into the matrix (l(n) = 1 + n/50).
-   Two linked sets share at least min(l) of those, so a query document is held against a group of another component only
-   if at least l of its tokens are in the group's union, and sizes allow it.
-3. A qualifying group is first held against by its leader. Only if that doesn't link, and the triangle inequality of
-   the Jaccard distance leaves room for a member that does, it is opened: the members in that distance band are compared.
+   several groups are in it. Tokens are ordered by a count sketch over all documents, then by hash; of a set of n tokens
+   that must share a = ceil(t n) with a partner, the first n - a + l(n) go into the matrix (l(n) = 1 + n/50). Two linked
+   sets share at least min(l) of those, so a query document is held against another group only if at least l of its
+   tokens are in the group's union, and sizes allow it.
+3. Qualifying groups are opened, and so is each group that isn't one component, against itself: queries and members
+   meet in blocks of bounded size, whose overlaps are one matrix product, and only links that join components come out.
 
-Every comparison is exact on whole sets; no bucket, partner or candidate is capped. Pairs inside a component are never
-formed, so groups of copies cost links in proportion to their size.
+Every comparison is exact on whole sets; no bucket, partner or candidate is capped. Groups that are one component cost
+links in proportion to their size. In a group that isn't, because its members are about as far apart as the similarity
+asked for, all pairs of blocks are multiplied, spread over tasks; rows stay in proportion to the group's size times its blocks.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; equal sets are one component even
 if their texts differ; a null id is never a representative, and takes the component of its set, if any; an empty
@@ -23,6 +24,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,9 @@ ORDERS = 4
 WIDTH, BLOCK = 1 << 20, 1 << 15
 #: Bits of the filters that spare shuffling what can't match; beyond their capacity they only pass more.
 FILTER_BITS = 24
+JUMPS = 2
+#: Sets in one block, on either side.
+ROWS = 256
 _SALTS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
 LINKED = "a long, b long, shared long, size_a long, size_b long"
 
@@ -68,8 +73,8 @@ def described(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     ["id", "n", "hi", "lo", "minima", "counts"],
                 )
         if counts.any():
-            blocks = counts.reshape(-1, BLOCK)
-            some = pa.array([np.minimum(b, 65535).astype(np.uint16).tobytes() for b in blocks], pa.binary())
+            blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
+            some = pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())
             n = len(blocks)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), some], ["id", "n", "hi", "lo", "minima", "counts"])
 
@@ -84,7 +89,7 @@ def levels(sketch: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+                total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([t.astype(np.uint32).tobytes() for t in total.values()], pa.binary())], ["block", "counts"])
 
     out = np.zeros(WIDTH, np.uint32)
@@ -152,10 +157,6 @@ def linking(num: int, den: int) -> Column:
     return F.col("shared") * den >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * num
 
 
-def distance() -> Column:
-    return 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-
-
 def need(n: Column, num: int, den: int) -> Column:
     """The least overlap that a set of n tokens has with a partner."""
     return F.ceil(n * num / den)
@@ -204,6 +205,67 @@ def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("bits", bits).mapInArrow(run, schema)
 
 
+def block_links(df: DataFrame, queries: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) links between queries (grp, id, comp, own) and members (grp, id, comp) of the same group, in blocks; a spanning set of those that join components.
+
+    ``own`` marks queries that are members of the group; they meet each other once.
+    """
+    queries, members = checkpointed(queries), checkpointed(members)
+    held = token_sets(df, k, queries.select("id").union(members.select("id")).distinct())
+    size = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("m_blocks"))
+    asked = queries.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("q_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    x = members.join(size, "grp").join(asked, "grp").withColumn("mb", block("m_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+    q = queries.join(size, "grp").join(asked, "grp").withColumn("qb", block("q_blocks")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
+    each = x.select("grp", "qb", "mb", "id", "comp", F.lit(1).alias("side")).union(q.select("grp", "qb", "mb", "id", "comp", F.lit(0).alias("side")))
+    # a group against itself: the lower half of the block pairs is the upper half again
+    each = each.join(queries.where("own").select("grp").distinct().withColumn("twice", F.lit(True)), "grp", "left").where("twice IS NULL OR qb <= mb").drop("twice")
+    rows = each.join(held, "id").select("grp", "qb", "mb", "side", "id", "comp", "tokens")
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        ids, comps = t.column("id").to_numpy(), t.column("comp").to_numpy()
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+        n = np.array([len(x) for x in raw])
+        at = [np.flatnonzero(side == s) for s in (0, 1)]
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(at[0]) or not len(at[1]):
+            return none
+        flat = [np.concatenate([raw[i] for i in w]) for w in at]
+        who = [np.repeat(np.arange(len(w)), n[w]) for w in at]
+        common = np.intersect1d(*flat)
+        shared = np.zeros((len(at[0]), len(at[1])), np.float32)
+        for c in range(0, len(common), 4096):
+            cols = common[c : c + 4096]
+            sides = []
+            for f, w, rows_of in zip(flat, who, at, strict=True):
+                place = np.minimum(np.searchsorted(cols, f), len(cols) - 1)
+                hit = cols[place] == f
+                m = np.zeros((len(rows_of), len(cols)), np.float32)
+                m[w[hit], place[hit]] = 1
+                sides.append(m)
+            shared += sides[0] @ sides[1].T
+        shared = shared.astype(np.int64)
+        union = n[at[0]][:, None] + n[at[1]][None, :] - shared
+        linked = (shared * den >= union * num) & (comps[at[0]][:, None] != comps[at[1]][None, :])
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (p := root.get(v, v)) != v:
+                root[v] = v = root.get(p, p)
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = find(int(comps[at[0][i]])), find(int(comps[at[1][j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((ids[at[0][i]], ids[at[1][j]]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())}) if out else none
+
+    return rows.groupBy("grp", "qb", "mb").applyInArrow(run, "a long, b long")
+
+
 def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, representative) of each row; sets link at Jaccard similarity num/den or more."""
     if not 0 < num <= den:
@@ -213,58 +275,50 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows, sketch = described(docs, k)
     digests = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.first("minima").alias("minima")).where("rep is not null")
     reps = checkpointed(digests)
-    fits = lambda a, b: (F.col(a) * num <= F.col(b) * den) & (F.col(b) * num <= F.col(a) * den)
 
-    # 1. groups
+    # 1. components and groups
     keys = reps.select("rep", "n", F.posexplode("minima").alias("slot", "key"))
     heads = keys.groupBy("slot", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("slot", "key", "head")
-    pairs = keys.join(heads, ["slot", "key"]).where(F.col("rep") != F.col("head.rep")).where(fits("n", "head.n")).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(verified(docs, pairs, k).where(linking(num, den)))
-    star = links.groupBy("b").agg(F.min(F.struct(F.col("a").alias("star"), distance().alias("far"))).alias("s")).select("b", "s.*")
-    nodes = components(links)
-    groups = (
-        reps.select("rep", "n")
-        .join(star, F.col("rep") == F.col("b"), "left")
-        .join(nodes, F.col("rep") == F.col("node"), "left")
-        .select("rep", "n", F.coalesce("star", "rep").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "rep").alias("comp"))
-    )
+    fits = (F.col("n") * num <= F.col("head.n") * 2 * den) & (F.col("head.n") * num <= F.col("n") * 2 * den)
+    pairs = keys.join(heads, ["slot", "key"]).where((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    alike = checkpointed(verified(docs, pairs, k).where(linking(num, 2 * den)))
+    links = alike.where(linking(num, den)).select("a", "b")
+    least = alike.groupBy("b").agg(F.min("a").alias("kin"), F.min(F.when(linking(num, den), F.col("a"))).alias("link"))
+    groups = checkpointed(reps.select("rep", "n").join(least, F.col("rep") == F.col("b"), "left").select("rep", "n", F.coalesce("link", "rep").alias("comp"), F.coalesce("kin", "rep").alias("grp")))
+    # a representative's least partner has a least partner itself, and so on: a few steps bring nearly all of a group to one leader.
+    # Equal labels always mean that there is a path; where labels stay apart, later steps find the links all the same.
+    for _ in range(JUMPS):
+        up = groups.select(F.col("rep").alias("at"), F.col("comp").alias("comp_up"), F.col("grp").alias("grp_up"))
+        groups = groups.join(up.select("at", "comp_up"), F.col("comp") == F.col("at"), "left").drop("at").join(up.select("at", "grp_up"), F.col("grp") == F.col("at"), "left")
+        groups = groups.select("rep", "n", F.coalesce("comp_up", "comp").alias("comp"), F.coalesce("grp_up", "grp").alias("grp"))
     groups = checkpointed(groups)
 
     # 2. the matrix
-    rare = rare_tokens(docs, k, num, den, levels(sketch)).join(groups, F.col("id") == F.col("rep")).select("rep", "n", "star", "comp", "tokens")
+    rare = rare_tokens(docs, k, num, den, levels(sketch)).join(groups, F.col("id") == F.col("rep")).select("rep", "n", "grp", "tokens")
     rare = checkpointed(rare)
-    each = lambda x: x.select("rep", "n", "star", "comp", F.explode("tokens").alias("token"))
-    several = each(rare).groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    each = lambda x: x.select("rep", "n", "grp", F.explode("tokens").alias("token"))
+    several = each(rare).groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
     several = checkpointed(several)
     probes = checkpointed(each(only(rare, several)).join(several, "token"))
-    matrix = probes.groupBy("token", "star", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most")).select("token", F.col("star").alias("g"), F.col("comp").alias("g_comp"), "least", "most")
+    matrix = probes.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "g")
     found = (
         probes.join(matrix, "token")
-        .where((F.col("comp") > F.col("g_comp")) & (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
-        .groupBy("rep", "n", "comp", "g", "g_comp")
+        .where((F.col("grp") > F.col("g")) & (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
+        .groupBy("rep", "n", "g")
         .agg(F.count(F.lit(1)).alias("c"))
         .where(F.col("c") >= extra(need(F.col("n"), num, den)))
     )
-    found = checkpointed(found)
-    if found.isEmpty():
-        return _labelled(rows, reps, nodes)
-
-    # 3. leaders, then members
-    held = checkpointed(verified(docs, found.select(F.col("g").alias("a"), F.col("rep").alias("b")), k))
-    links2 = held.where(linking(num, den))
-    nodes = components(links.select("a", "b").union(links2.select("a", "b")))
-    label = nodes.select(F.col("node").alias("x"), F.col("component").alias("to"))
-    near = held.where(~linking(num, den)).select(F.col("a").alias("star"), F.col("b").alias("q"), distance().alias("d"), F.col("size_b").alias("nq"))
-    slack = (den - num) / den + 1e-9
-    members = groups.where("rep <> star").select("star", F.col("rep").alias("x"), F.col("n").alias("nx"), "far")
-    opened = near.join(members, "star").where((F.abs(F.col("far") - F.col("d")) <= slack) & fits("nq", "nx"))
-    opened = opened.join(label, "x", "left").withColumn("cx", F.coalesce("to", "x")).drop("to")
-    opened = opened.join(label.withColumnRenamed("x", "q"), "q", "left").withColumn("cq", F.coalesce("to", "q")).where("cx <> cq")
-    opened = checkpointed(opened.select(F.col("x").alias("a"), F.col("q").alias("b")).distinct())
-    if not opened.isEmpty():
-        links3 = verified(docs, opened, k).where(linking(num, den))
-        nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links3.select("a", "b")))
-    return _labelled(rows, reps, nodes)
+
+    # 3. opened groups
+    mixed = groups.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("grp")
+    inside = groups.join(mixed, "grp").select("grp", F.col("rep").alias("id"), "comp", F.lit(True).alias("own"))
+    across = found.select(F.col("g").alias("to"), "rep").join(groups.select("rep", "comp"), "rep").select(F.col("to").alias("grp"), F.col("rep").alias("id"), "comp", F.lit(False).alias("own"))
+    for asked in (inside, across):
+        asked = checkpointed(asked)
+        if not asked.isEmpty():
+            members = groups.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("rep").alias("id"), "comp")
+            links = links.union(block_links(docs, asked, members, k, num, den))
+    return _labelled(rows, reps, components(links))
 
 
 def _labelled(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
