@@ -3,10 +3,11 @@
 The mix has a budget of words. Each source gets it in proportion to its weight, but no more than its maximum epochs
 allow; what is above a cap is shared anew by weight until no target is above. In closed form: sources fill in the order
 of cap / weight, and those that the common level doesn't reach are clamped. Within a source every document is taken
-floor(target / size) times whole, and the remaining words come from a seeded sample of whole documents: long ones
-(over 1/64 of the remaining words) by their seeded hash alone, the others in the order of their seeded hash until
-the words are there, to the document that comes nearest. Hashes fall into 65,536 bins a source; only the bins' sums
-and the documents of the one bin in which the count is reached are ever ordered, so no source meets in one task.
+floor(target / size) times whole, and the remaining words come from a seeded sample of whole documents, in the order of
+their seeded hash: first long ones (over 1/8 of the remaining words) up to their share of the words, then the others
+until the remaining words are there, each time to the document that comes nearest. Hashes fall into 65,536 bins a
+source; only the bins' sums and the documents of the bin in which the count is reached are ever ordered, so no source
+meets in one task. What is taken follows from two cuts per source in that order, so a row's repeats don't depend on others.
 
 Defined results: a null text has size 0; documents without words are taken 0 times; a null source is a source of its
 own, ordered last; sources of size 0 or weight 0 have target 0; if all caps together are below the budget, each source
@@ -23,7 +24,7 @@ from ._common import checkpointed
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 16
-LONG = 64
+LONG = 8
 
 
 def n_words(text: str | Column) -> Column:
@@ -51,38 +52,50 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, max_epochs: f
     return s.withColumn("target", F.when(first.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), first * F.col("w")))).select("source", "source_size", "target")
 
 
+def _cuts(keys: DataFrame, rest: DataFrame, name: str) -> DataFrame:
+    """(of, <name>): per source the bin in which ``rest`` words (of, rest) are reached in hash order, and the last key in it that is taken, if any."""
+    bins = keys.groupBy("source", "bin").agg(F.sum("words").alias("words")).join(rest, F.col("source").eqNullSafe(F.col("of")))
+    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a source
+    bins = bins.withColumn("ahead", F.coalesce(F.sum("words").over(run), F.lit(0))).where("ahead < rest")
+    edge = bins.groupBy("of").agg(F.max(F.struct("bin", "ahead", "rest")).alias("e")).select("of", F.col("e.bin").alias("edge"), "e.ahead", "e.rest")
+    inside = keys.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge")))
+    order = Window.partitionBy("source", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("ahead") + F.coalesce(F.sum("words").over(order), F.lit(0)) + F.col("words") / 2
+    taken = F.when(at < F.col("rest"), F.struct("h", "doc_id", "size"))
+    return inside.withColumn("taken", taken).groupBy(F.col("source").alias("of"), "edge").agg(F.max("taken").alias("last")).select("of", F.struct("edge", "last").alias(name))
+
+
+def _within(cut: str) -> Column:
+    key = F.struct("h", "doc_id", "size")
+    return F.coalesce((F.col("bin") < F.col(f"{cut}.edge")) | ((F.col("bin") == F.col(f"{cut}.edge")) & (key <= F.col(f"{cut}.last"))), F.lit(False))
+
+
 def mix(df: DataFrame, weights: list[float], budget: float = 1.0, max_epochs: float = 2.0, seed: int = 0, doc_id: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, repeats, taken, kept columns) of every row of ``df``; ``budget`` is a multiple of all words."""
     keep = keep or []
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    if not keep:  # ids and sizes are small and read four times; texts are read again instead
-        rows = checkpointed(rows)
-    hashed = F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"))
-    rows = rows.withColumn("h", hashed).withColumn("bin", F.shiftrightunsigned("h", 48).cast("int"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = checkpointed(targets(sizes, weights, budget, max_epochs))
-    ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    whole = F.least(F.floor(ratio + 1e-12), F.lit(int(max_epochs)))
-    goal = goal.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("need"))
+    small = checkpointed(rows.select("doc_id", "source", "size"))  # ids and sizes, read several times; texts pass once more only if they are kept
+
+    def hashed(x: DataFrame) -> DataFrame:
+        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "doc_id"), 1)
+        return x.withColumn("h", h).withColumn("bin", F.shiftright("h", 47).cast("int"))
+
+    goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
+    whole = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs)))
+    goal = checkpointed(goal.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("need")))
     # the table of sources has one row per source and is joined on by name; Spark broadcasts it where its size allows
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    rows = rows.withColumn("long", F.col("size") * LONG > F.col("need"))
-    chance = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(1 << 53)
-    share = F.coalesce(F.try_divide("need", "source_size"), F.lit(0.0))
-    rows = rows.withColumn("lucky", F.col("long") & (F.col("size") > 0) & (chance < share))
-    bins = rows.groupBy("source", "need", "bin").agg(F.sum(F.when(~F.col("long"), F.col("size")).otherwise(0)).alias("short"), F.sum(F.when(F.col("lucky"), F.col("size")).otherwise(0)).alias("lucky"))
-    # at most 65,536 rows a source
-    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("rest", F.col("need") - F.sum("lucky").over(Window.partitionBy("source"))).withColumn("ahead", F.coalesce(F.sum("short").over(run), F.lit(0)))
-    edge = bins.where((F.col("ahead") < F.col("rest")) & (F.col("short") > 0)).groupBy("source").agg(F.max(F.struct("bin", "ahead", "rest")).alias("edge")).select(F.col("source").alias("of"), "edge.*")
-    edge = checkpointed(edge.withColumnRenamed("bin", "edge_bin"))
-    rows = rows.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    inside = F.coalesce(~F.col("long") & (F.col("bin") == F.col("edge_bin")), F.lit(False))
-    # only the documents of the bin on the edge are ordered
-    order = Window.partitionBy("source", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    on_edge = rows.where(inside)
-    on_edge = on_edge.withColumn("at", F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("more", (F.col("at") + F.col("size") / 2 < F.col("rest")).cast("int")).drop("at")
-    off_edge = rows.where(~inside).withColumn("more", F.when(F.col("long"), F.col("lucky").cast("int")).otherwise(F.coalesce((F.col("bin") < F.col("edge_bin")).cast("int"), F.lit(0))))
-    every = off_edge.unionByName(on_edge)
-    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("long")
+    with_goal = lambda x: x.join(goal, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("long", F.col("size") * LONG > F.col("need"))
+    keys = with_goal(hashed(small.where("size > 0"))).groupBy("source", "bin", "h", "doc_id", "size", "need", "source_size", "long").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
+    keys = checkpointed(keys)
+    long, short = keys.where("long"), keys.where("NOT long")
+    share = long.groupBy(F.col("source").alias("of")).agg((F.sum("words") * F.first("need") / F.first("source_size")).alias("rest"))
+    first = checkpointed(_cuts(long, share, "first"))
+    got = long.join(first, F.col("source").eqNullSafe(F.col("of"))).where(_within("first")).groupBy("source").agg(F.sum("words").alias("got"))
+    rest = goal.join(got, F.col("of").eqNullSafe(F.col("source")), "left").select("of", (F.col("need") - F.coalesce("got", F.lit(0))).alias("rest"))
+    second = checkpointed(_cuts(short, rest, "second"))
+    every = with_goal(hashed(rows if keep else small))
+    for cut in (first, second):
+        every = every.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    more = F.when(F.col("long"), _within("first")).otherwise(_within("second")).cast("int")
+    repeats = F.when(F.col("size") > 0, F.coalesce(F.col("whole"), F.lit(0)) + more).otherwise(0).cast("long")
     return every.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])

@@ -20,8 +20,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import map_texts, ship, slices
+from ._common import beside, map_texts, ship, slices
 
 #: Kilobits a second by (version 1?, layer), index 1 to 14; sample rates of MPEG-1.
 KBITS = {
@@ -246,9 +247,10 @@ PROBED = "frames long, samples long, rate int, seconds double, variable boolean,
 def probe(df: DataFrame, media: str = "media") -> DataFrame:
     """All columns of ``df``, and what the stream in ``media`` holds; a stream that ``pack`` didn't make has a meaningless payload."""
     ship()
-    at = df.columns.index(media)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), PROBED])
     names = [x.split()[0] for x in PROBED.split(", ")]
+    keep, kept = beside(df, *names)
+    df = df.select(*[F.col(c) for c in keep])
+    at, schema = keep.index(media), kept + PROBED
     types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):

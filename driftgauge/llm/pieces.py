@@ -21,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import map_texts, ship
+from ._common import beside, map_texts, ship
 
 MARK = "▁"
 #: Kinds of piece in a model file.
@@ -290,8 +291,8 @@ def _list(ids: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(df: DataFrame, model: Model, text: str = "text", column: str = "ids") -> DataFrame:
-    """All columns of ``df``, then the ids of the text's pieces."""
-    keep = list(df.columns)
+    """All columns of ``df``, then the ids of the text's pieces, in place of a column of that name."""
+    keep, kept = beside(df, column)
     held = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary: its size doesn't grow with the data
 
     def work():
@@ -302,13 +303,15 @@ def encode(df: DataFrame, model: Model, text: str = "text", column: str = "ids")
 
         return step
 
-    return map_texts(df, keep, text, work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{column}` array<int>"]))
+    return map_texts(df, keep, text, work, f"{kept}`{column}` array<int>")
 
 
 def decode(df: DataFrame, model: Model, column: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns of ``df``, then the text that its ids stand for; null ids give an empty text."""
     ship()
-    at = df.columns.index(column)
+    names, kept = beside(df, decoded)
+    df = df.select(*[F.col(c) for c in names])
+    at = names.index(column)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -319,4 +322,4 @@ def decode(df: DataFrame, model: Model, column: str = "ids", decoded: str = "dec
                 texts = [m.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, decoded])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{decoded}` string"]))
+    return df.mapInArrow(run, f"{kept}`{decoded}` string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import map_texts
+from ._common import beside, map_texts
 
 ROUNDS = 8
 
@@ -248,7 +248,7 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", column: str = "pseudonymised") -> DataFrame:
     """All columns of ``df``, the text with pseudonyms (null for null), and how many of each kind it has."""
-    keep = list(df.columns)
+    keep, kept = beside(df, column, "found")
 
     def work():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,4 +260,4 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", column: str = "p
 
         return step
 
-    return map_texts(df, keep, text, work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{column}` string", f"found struct<{','.join(f'{k}:int' for k in KINDS)}>"]))
+    return map_texts(df, keep, text, work, f"{kept}`{column}` string, found struct<{','.join(f'{k}:int' for k in KINDS)}>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts, ship, slices, text_or_empty
+from ._common import beside, map_texts, ship, slices, text_or_empty
 
 OWN = 12
 #: own features, those of the line before and behind, whether there is one, and 1
@@ -241,8 +241,8 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``df`` and ``score``, which comes last."""
-    keep = list(df.columns)
+    """All columns of ``df`` and ``score``, which comes last and takes the place of one of that name."""
+    keep, kept = beside(df, "score")
 
     def work():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,4 +251,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return step
 
-    return map_texts(df, keep, text, work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "score double"]))
+    return map_texts(df, keep, text, work, kept + "score double")
