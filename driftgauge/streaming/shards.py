@@ -34,4 +34,5 @@ def follow(spark: SparkSession, source: str, checkpoint: str, sink: str, once: b
 def windowed_events(spark: SparkSession, source: str, schema: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Event counts and sums in tumbling windows behind a watermark, from a folder of Parquet files."""
     events = spark.readStream.schema(schema).parquet(source)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
