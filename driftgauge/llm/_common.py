@@ -41,13 +41,18 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows (it should be checkpointed: it is counted), else as it is, for Spark to join by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def beside(df: DataFrame, *made: str) -> tuple[list[str], str]:
     """Columns of ``df`` that stay, and their schema text; those named like a made one give way to it."""
     kept = [f for f in df.schema if f.name not in made]
     return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of ``batch`` of about ``most_bytes`` of text at most, so that a worker's memory stays bounded."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -60,7 +60,7 @@ def described(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.uint32)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 got = sets(part.column(1), k)
                 if any(len(s) for s in got):
                     held = np.concatenate(got)
@@ -122,7 +122,7 @@ def token_sets(df: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         keep = bitmap.value
         for batch in batches:
             few = batch.filter(pa.array(hits(keep, batch.column(2).to_numpy())))
-            for part in slices(few, 1, 4 << 20):
+            for part in slices(few, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1), k)], pa.binary())], ["id", "tokens"])
 
     return df.select("id", "text", bit.alias("bit")).where("id is not null").mapInArrow(run, "id long, tokens binary")
@@ -173,7 +173,7 @@ def rare_tokens(df: DataFrame, k: int, num: int, den: int, level: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = held.value
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 rows = []
                 for s in sets(part.column(1), k):
                     n = len(s)

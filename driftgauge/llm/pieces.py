@@ -29,7 +29,7 @@ MARK = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes):

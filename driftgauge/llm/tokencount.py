@@ -22,7 +22,7 @@ from ._common import map_texts
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counts of merged pre-tokens that a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @cache
