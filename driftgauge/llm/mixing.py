@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, small_side
 
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,17 +82,17 @@ def mix(df: DataFrame, weights: list[float], budget: float = 1.0, max_epochs: fl
 
     goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     whole = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs)))
-    goal = checkpointed(goal.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("need")))
-    # the table of sources has one row per source and is joined on by name; Spark broadcasts it where its size allows
+    goal = small_side(checkpointed(goal.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("need"))))
+    # tables of sources have one row per source and are joined on by name
     with_goal = lambda x: x.join(goal, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("long", F.col("size") * LONG > F.col("need"))
     keys = with_goal(hashed(small.where("size > 0"))).groupBy("source", "bin", "h", "doc_id", "size", "need", "source_size", "long").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
     keys = checkpointed(keys)
     long, short = keys.where("long"), keys.where("NOT long")
     share = long.groupBy(F.col("source").alias("of")).agg((F.sum("words") * F.first("need") / F.first("source_size")).alias("rest"))
-    first = checkpointed(_cuts(long, share, "first"))
+    first = small_side(checkpointed(_cuts(long, share, "first")))
     got = long.join(first, F.col("source").eqNullSafe(F.col("of"))).where(_within("first")).groupBy("source").agg(F.sum("words").alias("got"))
     rest = goal.join(got, F.col("of").eqNullSafe(F.col("source")), "left").select("of", (F.col("need") - F.coalesce("got", F.lit(0))).alias("rest"))
-    second = checkpointed(_cuts(short, rest, "second"))
+    second = small_side(checkpointed(_cuts(short, rest, "second")))
     every = with_goal(hashed(rows if keep else small))
     for cut in (first, second):
         every = every.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
