@@ -98,8 +98,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    marked = sketch.fingerprints(docs, column="own")
-    both = sketch.with_next(marked, ["doc_id", "text"], ["text", "own"])
+    both = sketch.with_next(docs, ["doc_id", "text"], ["text", "own"], prepared=lambda d: sketch.fingerprints(d, column="own"))
     n = F.length("text").cast("long")
     cut = F.floor(n / 4)
     edited = F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut.cast("int")))

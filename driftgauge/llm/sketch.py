@@ -12,6 +12,8 @@ hash, so that no text with words is without a fingerprint. Two empty sketches ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,12 @@ def fingerprints(df: DataFrame, text: str = "text", column: str = "sketch", k: i
     return df.withColumn(column, sketch(text_or_empty(text), k, one_in))
 
 
-def with_next(df: DataFrame, order: list[str], carried: list[str], rows_each: int = 1000) -> DataFrame:
+def with_next(df: DataFrame, order: list[str], carried: list[str], rows_each: int = 1000, prepared: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Each row of ``df`` and, as ``next_<name>``, the carried columns of the row behind it in ascending order; behind the last comes the first.
 
     The order's first column must be a number. Rows are cut into ranges of about ``rows_each`` (at most 65,536 ranges) at approximate
-    quantiles; each range is ordered by itself and ends with a copy of the first row of the next one.
+    quantiles; each range is ordered by itself and ends with a copy of the first row of the next one. ``prepared`` adds columns
+    to each row before the ranges are formed, and only then, not in the passes that find them.
     """
     first = order[0]
     n, least = df.agg(F.count(F.lit(1)), F.count(first)).first()
@@ -88,6 +91,6 @@ def with_next(df: DataFrame, order: list[str], carried: list[str], rows_each: in
     one = Window.orderBy("__range")
     before = ids.select(F.col("__range").alias("__of"), F.coalesce(F.lag("__range").over(one), F.max("__range").over(Window.partitionBy())).alias("__before"))
     ends = firsts.join(before, F.col("__range") == F.col("__of")).select("r.*", F.col("__before").alias("__range"), F.lit(1).alias("__end"))
-    every = cut.withColumn("__end", F.lit(0)).unionByName(ends)
+    every = prepared(cut.withColumn("__end", F.lit(0)).unionByName(ends))
     w = Window.partitionBy("__range").orderBy("__end", *order)
     return every.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("__end = 0").drop("__range", "__end")
