@@ -22,7 +22,7 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, p: str = "p", by:
     whole = Window.partitionBy(*by)
     ranked = counts.withColumn("k", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
     cut = ranked.groupBy(*by).agg(F.max(F.when(F.col(p) <= alpha * F.col("k") / F.col("n"), F.col(p))).alias("cutoff"))
-    joined = tests.join(F.broadcast(cut), by) if by else tests.crossJoin(F.broadcast(cut))
+    joined = tests.join(cut, by) if by else tests.crossJoin(F.broadcast(cut))  # one row
     return joined.withColumn("rejected", F.coalesce(F.col(p) <= F.col("cutoff"), F.lit(False))).drop("cutoff")
 
 

@@ -30,7 +30,7 @@ def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language",
     k = drift.groupBy(by).agg(needed(pi, F.count(F.lit(1))).alias("k"))
     events = drift.select(by, F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "e.*")
     sweep = Window.partitionBy(by).orderBy("pos", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = events.withColumn("open", F.sum("kind").over(sweep)).join(F.broadcast(k), by)
+    run = events.withColumn("open", F.sum("kind").over(sweep)).join(k, by)
     ends = run.where(((F.col("kind") == 1) & (F.col("open") == F.col("k"))) | ((F.col("kind") == -1) & (F.col("open") == F.col("k") - 1)))
     in_turn = Window.partitionBy(by).orderBy("pos", F.desc("kind"))
     return ends.withColumn("hi", F.lead("pos").over(in_turn)).where("kind = 1").select(by, F.col("pos").alias("lo"), "hi")
@@ -78,7 +78,7 @@ def gap_bounds(gaps: DataFrame, sets: DataFrame, inflate: float = 0.0, by: str =
     """(gaps' columns, bound_lo, bound_hi): a gap less the ends of its language's set, widened."""
     _check(1.0, 0.0, inflate)
     ends = sets.select(by, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return gaps.join(F.broadcast(ends), by).withColumn("bound_lo", F.col("gap") - F.col("__hi") - inflate).withColumn("bound_hi", F.col("gap") - F.col("__lo") + inflate).drop("__lo", "__hi")
+    return gaps.join(ends, by).withColumn("bound_lo", F.col("gap") - F.col("__hi") - inflate).withColumn("bound_hi", F.col("gap") - F.col("__lo") + inflate).drop("__lo", "__hi")
 
 
 def bound_summary(bounds: DataFrame, by: str = "language") -> DataFrame:
@@ -93,7 +93,7 @@ def median_anchor(drift: DataFrame, by: str = "language", source: str | None = N
 
 
 def anchored_gaps(gaps: DataFrame, anchors: DataFrame, by: str = "language") -> DataFrame:
-    return gaps.join(F.broadcast(anchors.select(by, "c")), by).withColumn("gap_anchored", F.col("gap") - F.col("c")).drop("c")
+    return gaps.join(anchors.select(by, "c"), by).withColumn("gap_anchored", F.col("gap") - F.col("c")).drop("c")
 
 
 def breakeven(gaps: DataFrame, drift: DataFrame, by: str = "language", weight: str | None = None) -> DataFrame:
