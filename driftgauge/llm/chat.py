@@ -91,6 +91,28 @@ def prefix_target_examples(df: DataFrame, template: Template = LLAMA, conv_id: s
     )
 
 
+def duckdb_sql(more: list[tuple[int, int, str, str]], template: Template = LLAMA, target_role: str = "assistant") -> str:
+    """``read_back`` of ``conversations`` and some more rows, in DuckDB SQL that never forms an example."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, '\\', '\\\\')"
+        for c in template.controls:
+            x = f"replace({x}, {quote(c)}, {quote(c[0] + chr(92) + c[1:])})"
+        return x
+
+    rows = "".join(f" UNION ALL SELECT {c}, {t}, {quote(r)}, {quote(x)}" for c, t, r, x in more)
+    around = len(template.begin) + len(template.middle) + len(template.end)
+    return f"""
+    WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations{rows}),
+    b AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, {around} + length({escaped("role")}) + length({escaped("text")}) AS size FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto, role = {quote(target_role)} AS trains FROM b)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+      coalesce(sum(CASE WHEN trains THEN length(text) END), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN trains THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+      sum(CASE WHEN trains OR i = n THEN upto END)::BIGINT AS formatted_chars FROM c GROUP BY conv_id
+    """
+
+
 def read_back(examples: DataFrame, template: Template = LLAMA) -> DataFrame:
     """Digests of each conversation as its examples hold it."""
     reply = template.unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_length")))

@@ -71,6 +71,15 @@ def test_chat_examples(spark):
     assert chat.read_back(chat.prefix_target_examples(rows.limit(0))).count() == 0
 
 
+def test_chat_against_duckdb(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    rows = db.execute(Q.oracle_sql()["op1_chat"]).fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in Q.op1_chat(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect())
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
