@@ -11,7 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -52,7 +52,7 @@ def beside(df: DataFrame, *made: str) -> tuple[list[str], str]:
     return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of ``batch`` of about ``most_bytes`` of text at most, so that a worker's memory stays bounded."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -81,7 +81,3 @@ def map_texts(df: DataFrame, keep: list[str], text: str, work: Callable, schema:
                 yield step(part)
 
     return df.select(*cols).mapInArrow(run, schema)
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

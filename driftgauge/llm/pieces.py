@@ -29,7 +29,7 @@ MARK = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def _fields(data: bytes):
@@ -121,6 +121,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.memory: dict[str, bytes] = {}
+        self.code_of = np.zeros(max(map(ord, self.code)) + 2, np.int64)
+        for ch, i in self.code.items():
+            self.code_of[ord(ch)] = i
         self.shown = [p if k in (NORMAL, USER, UNUSED) else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.least = float(min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0))
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids or [])}
@@ -149,8 +152,8 @@ class Model:
         start = np.concatenate(([0], np.cumsum(long)[:-1]))
         total = int(long.sum())
         text = "".join(words)
-        get = self.code.get
-        codes = np.fromiter((get(ch, 0) for ch in text), np.int64, total)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(points < len(self.code_of), self.code_of[np.minimum(points, len(self.code_of) - 1)], 0)
         left = np.repeat(start + long, long) - np.arange(total)
         # gain[k - 1, e]: the score of the piece of k characters that ends with character e
         gain = np.full((self.longest, total), -np.inf)
@@ -170,7 +173,6 @@ class Model:
             which[k, at[hit] + k] = v[hit]
         lone = which[0] < 0
         gain[0, lone] = self.least - PENALTY
-        best = np.full(total + 1, -np.inf)  # best[e]: of the path that ends before character e of its part; shifted below
         took = np.zeros(total, np.int32)
         best_end = np.full(total, -np.inf)
         for e in range(int(long[0])):
@@ -184,23 +186,36 @@ class Model:
                 top[better] = (c if np.ndim(c) else np.full(n, c))[better]
                 arg[better] = k
             best_end[here], took[here] = top, arg
-        del best
         if len(self.memory) + len(words) > REMEMBERED:
             self.memory.clear()
-        took_l, which_l = took.tolist(), which
-        for w, a, n in zip(words, start.tolist(), long.tolist(), strict=True):
-            e, ids = a + n - 1, []
-            while e >= a:
-                k = took_l[e]
-                i = int(which_l[k - 1, e])
-                if i >= 0:
-                    ids.append(i)
-                elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(text[e].encode())]
+        # from the ends back, all parts in step: first how many pieces, then which
+        path, e, alive, n = [], start + long - 1, np.arange(len(words)), np.zeros(len(words), np.int64)
+        while len(alive):
+            k = took[e[alive]]
+            path.append((alive, which[k - 1, e[alive]]))
+            n[alive] += 1
+            e[alive] -= k
+            alive = alive[e[alive] >= start[alive]]
+        last = np.cumsum(n)
+        at, flat, odd = last - 1, np.zeros(int(last[-1]), np.int32), np.zeros(len(words), bool)
+        for who, ids in path:
+            flat[at[who]] = ids
+            at[who] -= 1
+            odd[who] |= ids < 0
+        raw = flat.tobytes()
+        for w, b, c, o in zip(words, (4 * last).tolist(), (4 * n).tolist(), odd.tolist(), strict=True):
+            self.memory[w] = raw[b - c : b] if not o else b""
+        for w in np.flatnonzero(odd).tolist():
+            first, i = int(start[w]), int(start[w] + long[w] - 1)
+            ids = []
+            while i >= first:
+                k = int(took[i])
+                if (piece := int(which[k - 1, i])) >= 0:
+                    ids.append(piece)
                 else:
-                    ids.append(self.unknown)
-                e -= k
-            self.memory[w] = np.array(ids[::-1], np.int32).tobytes()
+                    ids += [self.byte_ids[b] for b in reversed(text[i].encode())] if self.byte_ids else [self.unknown]
+                i -= k
+            self.memory[words[w]] = np.array(ids[::-1], np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.parts(t) for t in texts]
@@ -210,7 +225,7 @@ class Model:
             known = {w: b for c in cut for w in c if (b := self.memory.get(w)) is not None} if len(self.memory) + len(new) > REMEMBERED else {}
             held, batch = 0, []
             for w in sorted(new, key=len):
-                if batch and held + len(w) > 100_000:
+                if batch and held + len(w) > 40_000:
                     self.learn(batch)
                     known |= {x: self.memory[x] for x in batch} if known else {}
                     held, batch = 0, []
