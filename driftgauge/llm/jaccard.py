@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, ship, slices, text_or_empty
+from ._common import checkpointed, ship, slices, small_side, text_or_empty
 from .components import components
 from .shingles import mix, sets
 
@@ -205,21 +205,23 @@ def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("bits", bits).mapInArrow(run, schema)
 
 
-def block_links(df: DataFrame, queries: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) links between queries (grp, id, comp, own) and members (grp, id, comp) of the same group, in blocks; a spanning set of those that join components.
+def block_links(df: DataFrame, queries: DataFrame, members: DataFrame, k: int, num: int, den: int, own: bool) -> DataFrame:
+    """(a, b) links between queries (grp, id, comp) and members (grp, id, comp) of the same group, in blocks; a spanning set of those that join components.
 
-    ``own`` marks queries that are members of the group; they meet each other once.
+    ``own``: the queries are the members of the groups; they meet each other once.
     """
     queries, members = checkpointed(queries), checkpointed(members)
     held = token_sets(df, k, queries.select("id").union(members.select("id")).distinct())
-    size = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("m_blocks"))
-    asked = queries.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("q_blocks"))
+    # groups of more than one block on either side are few; the others need no look-up
+    size = members.select("grp", F.lit(1).alias("m"), F.lit(0).alias("q")).union(queries.select("grp", F.lit(0), F.lit(1))).groupBy("grp").agg(*[F.ceil(F.sum(c) / ROWS).cast("int").alias(f"{c}_blocks") for c in ("m", "q")])
+    size = small_side(checkpointed(size.where("m_blocks > 1 OR q_blocks > 1")))
+    sized = lambda d: d.join(size, "grp", "left").fillna(1, ["m_blocks", "q_blocks"])
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    x = members.join(size, "grp").join(asked, "grp").withColumn("mb", block("m_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    q = queries.join(size, "grp").join(asked, "grp").withColumn("qb", block("q_blocks")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
+    x = sized(members).withColumn("mb", block("m_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+    q = sized(queries).withColumn("qb", block("q_blocks")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
     each = x.select("grp", "qb", "mb", "id", "comp", F.lit(1).alias("side")).union(q.select("grp", "qb", "mb", "id", "comp", F.lit(0).alias("side")))
-    # a group against itself: the lower half of the block pairs is the upper half again
-    each = each.join(queries.where("own").select("grp").distinct().withColumn("twice", F.lit(True)), "grp", "left").where("twice IS NULL OR qb <= mb").drop("twice")
+    if own:  # groups against themselves: the lower half of the block pairs is the upper half again
+        each = each.where("qb <= mb")
     rows = each.join(held, "id").select("grp", "qb", "mb", "side", "id", "comp", "tokens")
 
     def run(t: pa.Table) -> pa.Table:
@@ -311,13 +313,12 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # 3. opened groups
     mixed = groups.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("grp")
-    inside = groups.join(mixed, "grp").select("grp", F.col("rep").alias("id"), "comp", F.lit(True).alias("own"))
-    across = found.select(F.col("g").alias("to"), "rep").join(groups.select("rep", "comp"), "rep").select(F.col("to").alias("grp"), F.col("rep").alias("id"), "comp", F.lit(False).alias("own"))
-    for asked in (inside, across):
-        asked = checkpointed(asked)
+    inside = groups.join(small_side(checkpointed(mixed)), "grp").select("grp", F.col("rep").alias("id"), "comp")
+    across = found.select(F.col("g").alias("to"), "rep").join(groups.select("rep", "comp"), "rep").select(F.col("to").alias("grp"), F.col("rep").alias("id"), "comp")
+    for asked, own in ((checkpointed(inside), True), (checkpointed(across), False)):
         if not asked.isEmpty():
-            members = groups.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("rep").alias("id"), "comp")
-            links = links.union(block_links(docs, asked, members, k, num, den))
+            members = asked if own else groups.join(small_side(checkpointed(asked.select("grp").distinct())), "grp", "left_semi").select("grp", F.col("rep").alias("id"), "comp")
+            links = links.union(block_links(docs, asked, members, k, num, den, own))
     return _labelled(rows, reps, components(links))
 
 
