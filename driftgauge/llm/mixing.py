@@ -5,7 +5,7 @@ allow; what is above a cap is shared anew by weight until no target is above. In
 of cap / weight, and those that the common level doesn't reach are clamped. Within a source every document is taken
 floor(target / size) times whole, and the remaining words come from a seeded sample of whole documents, in the order of
 their seeded hash: first long ones (over 1/8 of the remaining words) up to their share of the words, then the others
-until the remaining words are there, each time to the document that comes nearest. Hashes fall into 4,096 bins a
+until the remaining words are there, each time to the document that comes nearest. Hashes fall into 1,024 bins a
 source; only the bins' sums and the documents of the bin in which the count is reached are ever ordered, so no source
 meets in one task. What is taken follows from two cuts per source in that order, so a row's repeats don't depend on others.
 
@@ -23,7 +23,7 @@ from ._common import checkpointed, small_side
 
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 12
+BINS = 1 << 10
 LONG = 8
 
 
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, max_epochs: f
 def _cuts(keys: DataFrame, rest: DataFrame, name: str) -> DataFrame:
     """(of, <name>): per source the bin in which ``rest`` words (of, rest) are reached in hash order, and the last key in it that is taken, if any."""
     bins = keys.groupBy("source", "bin").agg(F.sum("words").alias("words")).join(rest, F.col("source").eqNullSafe(F.col("of")))
-    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows a source
+    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 rows a source
     bins = bins.withColumn("ahead", F.coalesce(F.sum("words").over(run), F.lit(0))).where("ahead < rest")
     edge = bins.groupBy("of").agg(F.max(F.struct("bin", "ahead", "rest")).alias("e")).select("of", F.col("e.bin").alias("edge"), "e.ahead", "e.rest")
     inside = keys.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge")))
@@ -78,7 +78,7 @@ def mix(df: DataFrame, weights: list[float], budget: float = 1.0, max_epochs: fl
 
     def hashed(x: DataFrame) -> DataFrame:
         h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "doc_id"), 1)
-        return x.withColumn("h", h).withColumn("bin", F.shiftright("h", 51).cast("int"))
+        return x.withColumn("h", h).withColumn("bin", F.shiftright("h", 53).cast("int"))
 
     goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     whole = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs)))
