@@ -7,6 +7,11 @@ canonical value (digits without separators, day number) is permuted within its k
 network with cycle walking, check digits are computed anew, and the result is written back in the format found. So
 equal values, however written, stay linked across documents, and whoever holds the key can invert the permutation.
 
+A card or IBAN may stand in a run of digits or groups that goes on behind it, as in ``4111 1111 1111 1111 12/25``: what is valid in a customary
+grouping (IBAN: of its country's length) is taken first, then the whole run, then its shorter beginnings up to a border between groups.
+A value that is taken although something else is tried before it is permuted so that the rest still fails; that can't be linked
+to the same value elsewhere if its first pseudonym won't do. All others are.
+
 Defined results: null and empty texts stay as they are; numbers that fail validation stay; texts are read whole.
 Letters of e-mail addresses beyond a-z, A-Z and 0-9 stay where they are. The order of kinds at the same place is fixed.
 """
@@ -74,9 +79,13 @@ def card(key: bytes, s: str, back: bool = False) -> str | None:
     d = _digits(s)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    n = len(d) - 1
-    new = f"{permute(key, 'card', 10**n, int(d[:-1]), back):0{n}d}"
-    return _poured(s, new + luhn_digit(new))
+    n, begins = len(d) - 1, lambda x: len(x) > 16 and luhn_digit(x[:15]) == x[15]
+    new = d
+    while True:  # numbers over 16 digits stay with those that begin with a valid one of 16, or with the others, so that they read alike in groups
+        new = f"{permute(key, 'card', 10**n, int(new[:-1]), back):0{n}d}"
+        new += luhn_digit(new)
+        if begins(new) == begins(d):
+            return _poured(s, new)
 
 
 def phone(key: bytes, s: str, back: bool = False) -> str | None:
@@ -142,6 +151,36 @@ def iban(key: bytes, s: str, back: bool = False) -> str | None:
     return "".join(c if c == " " else next(it) for c in s)
 
 
+#: Groups in which cards are customarily written, besides one group of 13 to 19 digits.
+GROUPED = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = dict(
+    re.findall(
+        r"([A-Z]{2})(\d\d)",
+        "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BI27BR29BY28CH21CR22CY28CZ24DE22DJ27DK18DO28EE20EG29ES24FI18FK18FO18FR27GB22GE22GI23GL18GR27GT28HN28HR21HU28IE22IL23IQ23IS26IT27JO30KW30KZ20"
+        "LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MN20MR27MT31MU30NI28NL18NO15OM23PK24PL28PS29PT25QA29RO24RS22RU33SA24SC31SD18SE24SI19SK24SM27SO23ST25SV28TL23TN24TR26UA29VA22VG24XK20YE30",
+    )
+)
+
+
+def _card_places(s: str) -> list[tuple[int, int]]:
+    """Where a card may be in a run of digits, in the order in which they are tried."""
+    g = [m.span() for m in re.finditer(r"[0-9]+", s)]
+    size = [b - a for a, b in g]
+    natural = [(g[i][0], g[i + n - 1][1]) for i in range(len(g)) for n in (1, 3, 4) if i + n <= len(g) and size[i : i + n] in GROUPED or n == 1 and 13 <= size[i] <= 19]
+    return [*natural, *((0, g[i][1]) for i in range(len(g) - 1, -1, -1) if sum(size[: i + 1]) >= 13)]
+
+
+def _iban_places(s: str) -> list[tuple[int, int]]:
+    """The same for the beginnings of what looks like an IBAN."""
+    ends = [m.start() for m in re.finditer(r" |\Z", s)][::-1]
+    own = [e for e in ends if str(e - s.count(" ", 0, e)) == IBAN_LENGTHS.get(s[:2])]
+    return [(0, e) for e in own + ends]
+
+
+_PLACES = {"card": _card_places, "iban": _iban_places}
+
+
 def _alphabet(c: str) -> str | None:
     return next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), None)
 
@@ -186,6 +225,21 @@ _WORK = {"card": card, "phone": phone, "ssn": ssn, "ip": address, "date": date,
 KINDS = [*SHAPES, "email", "secret"]
 
 
+def _replaced(key: bytes, kind: str, s: str, back: bool) -> tuple[int, int, str] | None:
+    """(start, end, new) of what is valid in ``s``, the match of a kind's shape, or None."""
+    work = _WORK[kind]
+    if kind not in _PLACES:
+        return None if (new := work(key, s, back)) is None else (0, len(s), new)
+    places = _PLACES[kind](s)
+    for i, (a, b) in enumerate(places):
+        if (new := work(key, s[a:b], back)) is not None:
+            # the new text must be read in the same place; walking on within those that are keeps the permutation invertible
+            while any(work(key, (s[:a] + new + s[b:])[c:d]) is not None for c, d in places[:i] if (c, d) != (a, b)):
+                new = work(key, new, back)
+            return a, b, new
+    return None
+
+
 @dataclass(frozen=True)
 class Span:
     start: int
@@ -216,22 +270,20 @@ def spans(text: str, key: bytes, back: bool = False) -> list[Span]:
     taken = sorted((s.start, s.end) for s in found)
     at = 0
     while m := _SHAPES.search(text, at):
-        kind, new = m.lastgroup, _WORK[m.lastgroup](key, m[0], back)
-        if new is None and kind != "card":  # another kind may begin there
+        kind = m.lastgroup
+        done = _replaced(key, kind, m[0], back)
+        if done is None and kind != "card":  # another kind may begin there
             for k in [k for k in SHAPES if k != kind]:
-                if (o := re.compile(SHAPES[k]).match(text, m.start())) and (new := _WORK[k](key, o[0], back)) is not None:
-                    m, kind = o, k
+                if (o := re.compile(SHAPES[k]).match(text, m.start())) and (done := _replaced(key, k, o[0], back)) is not None:
+                    kind = k
                     break
-        if new is None and kind == "card":  # a shorter number with blanks around may be valid alone
-            if (o := re.compile(r"\d{13,19}(?!\d)").match(text, m.start())) and (new := card(key, o[0], back)) is not None:
-                m = o
-        if new is None:
+        if done is None:
             tail = re.compile(r"\d*").match(text, m.start())
             at = max(m.start() + 1, tail.end())
             continue
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            found.append(Span(m.start(), m.end(), kind, new))
-        at = m.end()
+        start, at = m.start() + done[0], m.start() + done[1]
+        if not any(a < at and start < b for a, b in taken):
+            found.append(Span(start, at, kind, done[2]))
     return sorted(found, key=lambda s: s.start)
 
 

@@ -380,6 +380,39 @@ def test_linked_and_left_alone():
         assert pii.pseudonymised(clean, b"k") == (clean, [])
 
 
+def _valid_card(rng, n):
+    d = "".join(rng.choice("0123456789") for _ in range(n - 1))
+    return d + pii.luhn_digit(d)
+
+
+def test_private_values_before_more_groups():
+    rng = random.Random(5)
+    groups = lambda d, *g: [d[sum(g[:i]) : sum(g[: i + 1])] for i in range(len(g))]
+    cards = [(_valid_card(rng, sum(g)), g) for g in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (16,)) for _ in range(60)]
+    cases = [(x.join(groups(d, *g)), d, f"{before}{{}}{behind}") for d, g in cards for x in " -" for before, behind in (("", " 12/25"), ("", " 123"), ("", " 50 euros"), ("", "-12"), ("page 3 ", ""), ("7 ", " 9"))]
+    ibans = ["BE68 5390 0754 7034", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19"]
+    cases += [(v, v.replace(" ", ""), "to {}" + behind) for v in ibans for behind in (" AT bank", " EUR", " EURO today", " 2024", " IN 2024", "")]
+    for value, bare, around in cases:
+        text = around.format(value)
+        new, found = pii.pseudonymised(text, b"k")
+        assert [text[s.start : s.end] for s in found] == [value], text
+        assert found[0].new.translate({32: None, 45: None}) == pii.spans(bare, b"k")[0].new and pii.pseudonymised(new, b"k", back=True)[0] == text
+
+
+def test_private_runs_are_inverted():
+    rng = random.Random(6)
+    long = [_valid_card(rng, 19) for _ in range(300)]
+    grouped = [" ".join(d[i : i + 4] for i in range(0, 19, 4)) for d in long]
+    odd_groups = [" ".join(_valid_card(rng, n)) for n in (13, 14, 15, 16, 19) for _ in range(40)] + [f"{d[:6]} {d[6:16]} {d[16:]}" for d in long]
+    for text in [*long, *grouped, *odd_groups]:
+        new, found = pii.pseudonymised(text, b"k")
+        assert len(found) == 1 and pii.pseudonymised(new, b"k", back=True)[0] == text
+    for d, g in zip(long, grouped, strict=True):
+        s = pii.spans(g, b"k")[0]
+        if s.end == len(g):
+            assert s.new.replace(" ", "") == pii.spans(d, b"k")[0].new
+
+
 def test_feistel_is_a_permutation():
     assert sorted(pii.permute(b"k", "t", 97, x) for x in range(97)) == list(range(97))
     assert all(pii.permute(b"k", "t", 10**9, pii.permute(b"k", "t", 10**9, x), True) == x for x in range(50))
