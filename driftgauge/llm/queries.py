@@ -15,6 +15,8 @@ KEY = b"driftgauge demonstration key"
 SEED = 17
 SAID = "</s>[INST] ok [/INST]"
 WEIGHTS = [5.0, 2.0, 1.0]
+#: One in so many shingle hashes is kept by ``op10_sketch``: short texts need dense sketches.
+ONE_IN = 2
 RULES: list[urls.Rule] = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -98,12 +100,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    both = sketch.with_next(docs, ["doc_id", "text"], ["text", "own"], prepared=lambda d: sketch.fingerprints(d, column="own"))
+    both = sketch.with_next(docs, ["doc_id", "text"], ["text", "own"], prepared=lambda d: sketch.fingerprints(d, column="own", one_in=ONE_IN))
     n = F.length("text").cast("long")
     cut = F.floor(n / 4)
     edited = F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut.cast("int")))
     done = both.select("doc_id", n.alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    done = sketch.fingerprints(done, text="edited", column="changed")
+    done = sketch.fingerprints(done, text="edited", column="changed", one_in=ONE_IN)
     return done.select(
         "doc_id",
         "n_chars",

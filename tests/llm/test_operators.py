@@ -436,6 +436,25 @@ def test_sketch_query_against_brute_force(spark, sf):
     assert np.mean([r.near_edited for r in got.values()]) > 0.6
 
 
+def test_sketch_query_is_near_exact_likeness(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got, errors = {r.doc_id: r for r in Q.op10_sketch(spark, sf).collect()}, defaultdict(list)
+
+    def shingles_of(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.translate(UPPER)) if x]
+        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
+        a, b, c = map(shingles_of, (t, t[: len(t) - len(t) // 4] + u[: len(t) // 4], u))
+        if len(a) >= 8 and b and c:
+            at = next(x for x in (250, 120, 60, 30, 8) if len(a) >= x)
+            errors["edited", at].append(abs(got[i].near_edited - len(a & b) / min(len(a), len(b))))
+            errors["next", at].append(abs(got[i].near_next - len(a & c) / min(len(a), len(c))))
+    most = {8: 0.15, 30: 0.08, 60: 0.08, 120: 0.05, 250: 0.03}
+    assert len(errors) == 10 and all(np.mean(e) < most[at] for (_, at), e in errors.items()), {k: np.mean(e) for k, e in errors.items()}
+
+
 def test_sketch_keeps_below_a_fraction(spark):
     rng = random.Random(1)
     w = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
