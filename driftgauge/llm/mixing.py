@@ -46,9 +46,9 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, max_epochs: f
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = F.try_divide(F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("w").over(onward))
-    s = s.withColumn("level", level).withColumn("clamped", F.coalesce(F.col("cap") <= F.col("level") * F.col("w"), F.lit(True)))
-    # the sources behind the first that isn't clamped share its level
-    first = F.min(F.when(~F.col("clamped"), F.struct(F.try_divide("cap", "w").alias("x"), F.col("level").alias("level")))).over(Window.partitionBy())["level"]
+    s = s.withColumn("level", level).withColumn("nth", F.row_number().over(fill)).withColumn("clamped", F.coalesce(F.col("cap") <= F.col("level") * F.col("w"), F.lit(True)))
+    # the sources behind the first that isn't clamped, in the order of filling also among ties, share its level
+    first = F.min(F.when(~F.col("clamped"), F.struct("nth", "level"))).over(Window.partitionBy())["level"]
     return s.withColumn("target", F.when(first.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), first * F.col("w")))).select("source", "source_size", "target")
 
 

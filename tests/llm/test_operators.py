@@ -319,6 +319,16 @@ def test_mixing(spark):
     assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for (i, n, *_), t in zip(a, [r.text for r in df.orderBy("doc_id").collect()], strict=True))
 
 
+@pytest.mark.parametrize(
+    ("sizes", "weights", "budget"),
+    [([100, 100], [1.0], 1.5), ([500, 200], [5.0, 2.0], 1.5), ([100] * 6, [5.0, 2.0, 1.0], 1.5), ([100] * 9, [5.0, 2.0, 1.0], 1.5), ([300, 300, 0, 40], [5.0, 2.0, 0.0, 5.0], 1.0), ([100] * 3, [1.0], 2.0), ([70, 100, 100, 900], [1.0], 1.7)],
+)
+def test_mixing_targets_of_ties(spark, sizes, weights, budget):
+    size = {f"s{i}": n for i, n in enumerate(sizes)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long"), weights, budget, 2.0).collect()}
+    assert got == pytest.approx(_fill(size, {x: weights[i % len(weights)] for i, x in enumerate(size)}, budget, 2.0))
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.mix(odd, [5, 2, 1], 1.5, 2.0, keep=["text"]).collect()
     assert len(rows) == len(ODD) and all(r.taken == r.repeats * r.size and r.taken <= 2 * r.size for r in rows) and {r.size for r in rows if r.doc_id in (0, 1, 2)} == {0}
