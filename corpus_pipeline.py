@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import jaccard, mixing, pieces, pii, quality
+from driftgauge.llm._common import checkpointed
 from driftgauge.llm.queries import KEY, SEED, WEIGHTS, table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,10 +27,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the least id; shingles of five words, Jaccard similarity of 0.8."""
-    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(COLUMNS)
+    """One document of each component stays, the one with the least id; shingles of five words, Jaccard similarity of 0.8.
+
+    Defined results: rows that share an id, or have none, are documents of their own; ties go to the least digest of the text, then of the
+    other columns, and null ids come last, so of equal rows one stays. Texts without words all stay. Only where ids
+    repeat or are null, the documents are checkpointed once, with a number for each row.
+    """
+    docs, pick = docs.select(COLUMNS), {"k": 5, "num": 80, "den": 100}
+    if docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().where("id IS NULL OR count > 1").isEmpty():
+        gone = jaccard.jaccard_components(docs, **pick).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    docs = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "n_chars", "row")
+    found = jaccard.jaccard_components(docs, **pick, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    found = found.join(docs.select("row", order.alias("order")), "row")
+    first = found.groupBy("component_id").agg(F.min("order")["row"].alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    gone = found.join(first, "component_id").where("row <> stays").select(F.col("row").alias("gone"))
+    return docs.join(gone, F.col("row") == F.col("gone"), "left_anti").select(COLUMNS)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

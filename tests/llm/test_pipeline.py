@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,16 @@ def test_near_duplicates_stage(spark, docs):
     assert kept == {c for _, c in _linked([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).values()}
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    one, other, third, fourth = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    ids = [(1, one), (1, one), (1, other), (None, one), (None, third), (None, third), (2, one + " more"), (3, fourth), (3, one), (3, ""), (3, None), (5, other)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in ids]
+    want = Counter([(1, one), (1, other), (None, third), (3, fourth), (3, ""), (3, None)])
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert Counter((r.doc_id, r.text) for r in P.near_duplicates_stage(spark, df, SF).collect()) == want
+
+
 def test_private_stage(spark, docs):
     was, now = ({r.doc_id: r for r in d.collect()} for d in (docs, P.private_stage(spark, docs, SF)))
     assert set(was) == set(now) and all(len(r.text) == r.n_chars for r in now.values())
