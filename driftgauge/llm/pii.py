@@ -4,26 +4,39 @@ A candidate is replaced only once it is validated: payment cards and IBANs by th
 numbers by their ranges, dates by the calendar (1900 to 2099), IP addresses by their octets, phone numbers by their
 grouping; the local parts of e-mail addresses and hexadecimal secrets behind a naming word follow the same way. Its
 canonical value (digits without separators, day number) is permuted within its kind and length by a keyed Feistel
-network with cycle walking, check digits are computed anew, and the result is written back in the format found. So
-equal values, however written, stay linked across documents, and whoever holds the key can invert the permutation.
+network with cycle walking, check digits are computed anew, and the result is written back in the format found.
+Local parts and secrets, which have any length, go through a Feistel network over their characters: one half is added to
+by a keyed stream of the other's, each character modulo its own alphabet, so time and memory grow with the length.
+
+What is linked: equal cards, IBANs, social security numbers, IP addresses and secrets, however grouped or spaced; equal
+dates in all forms; equal local parts, letter case apart from case; phone numbers by their national digits (behind ``+``, the
+country code of ITU E.164 stays in clear), so ``+1 (017) 555-7713`` and ``(017) 555-7713`` differ in the code only.
+What isn't found: phone numbers without separators and code (``5551234567``), secrets that aren't hexadecimal.
+Whoever holds the key can invert each permutation; a secret in mixed case comes back in one case.
 
 A card or IBAN may stand in a run of digits or groups that goes on behind it, as in ``4111 1111 1111 1111 12/25``: what is valid in a customary
 grouping (IBAN: of its country's length) is taken first, then the whole run, then its shorter beginnings up to a border between groups.
 A value that is taken although something else is tried before it is permuted so that the rest still fails; that can't be linked
 to the same value elsewhere if its first pseudonym won't do. All others are.
 
-Defined results: null and empty texts stay as they are; numbers that fail validation stay; texts are read whole.
-Letters of e-mail addresses beyond a-z, A-Z and 0-9 stay where they are. The order of kinds at the same place is fixed.
+Defined results: null and empty texts stay as they are; numbers that fail validation stay; texts are read whole, and
+candidates of any length in time that grows with it. Decimal digits of other scripts are read as 0 to 9 and written back in
+their script. A letter of a local part is replaced within the letters of its general category in its block of 64 code points (a-z, A-Z,
+0-9, and alike in other scripts); one without another such letter stays. The order of kinds at the same place is fixed.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,18 +46,25 @@ from ._common import beside, map_texts
 ROUNDS = 8
 
 
+def _stream(key: bytes, *parts: object, n: int) -> bytes:
+    """``n`` bytes that the key and the parts decide."""
+    h = hashlib.shake_256(len(key).to_bytes(4, "big") + key)
+    for p in parts:
+        raw = p if isinstance(p, bytes) else str(p).encode()
+        h.update(len(raw).to_bytes(8, "big") + raw)
+    return h.digest(n)
+
+
 @lru_cache(100_000)
 def permute(key: bytes, kind: str, size: int, x: int, back: bool = False) -> int:
     """The keyed permutation of 0 .. size - 1 that ``kind`` names; ``back`` inverts it."""
     if size < 2:
         return x
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
 
-    def mix(r: int, v: int, n: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{kind}:{size}:{r}:{v}".encode(), key=key[:64], digest_size=16).digest(), "big") % n
+    def mix(r: int, v: int, n: int) -> int:  # 16 bytes more than n has, so that remainders are even
+        return int.from_bytes(_stream(key, kind, size, r, v, n=n.bit_length() // 8 + 17), "big") % n
 
     while True:
         left, right = divmod(x, b)
@@ -59,10 +79,28 @@ def permute(key: bytes, kind: str, size: int, x: int, back: bool = False) -> int
             return x
 
 
+def permute_places(key: bytes, kind: str, x: np.ndarray, size: np.ndarray, back: bool = False) -> np.ndarray:
+    """The keyed permutation of vectors whose place i holds 0 .. size[i] - 1: a Feistel network over both halves of the places."""
+    if len(x) == 1:
+        return np.array([permute(key, kind, int(size[0]), int(x[0]), back)], np.int64)
+    half = len(x) // 2
+    sides, sizes = [x[:half].astype(np.int64), x[half:].astype(np.int64)], [size[:half], size[half:]]
+    shape = size.astype("<u2").tobytes()
+    for r in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+        to, by = r % 2, 1 - r % 2
+        add = np.frombuffer(_stream(key, kind, r, shape, sides[by].astype("<u2").tobytes(), n=2 * len(sides[to])), "<u2").astype(np.int64)
+        sides[to] = (sides[to] - add if back else sides[to] + add) % sizes[to]
+    return np.concatenate(sides)
+
+
+_TWICE = bytes(sum(divmod(2 * (i - 48), 10)) if 48 <= i < 58 else 0 for i in range(256))
+
+
 def luhn_digit(digits: str) -> str:
     """The check digit that belongs behind ``digits``."""
-    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
-    return str(-total % 10)
+    raw = digits.encode()
+    plain = raw[-2::-2]
+    return str(-(sum(raw[::-2].translate(_TWICE)) + sum(plain) - 48 * len(plain)) % 10)
 
 
 def _digits(s: str) -> str:
@@ -88,9 +126,15 @@ def card(key: bytes, s: str, back: bool = False) -> str | None:
             return _poured(s, new)
 
 
+#: The country codes of two digits (ITU E.164); 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(key: bytes, s: str, back: bool = False) -> str | None:
-    country = re.match(r"\+\d{1,3}", s)
-    head = country[0] if country else ""
+    head = ""
+    if s[0] == "+":
+        own = re.match(r"[0-9]+", s[1:])[0]
+        head = s[: 1 + min(len(own), 1 if own[0] in "17" else 2 if own[:2] in TWO_DIGIT_CODES else 3)]
     d = _digits(s[len(head) :])
     if not 7 <= len(d) <= 12:
         return None
@@ -137,9 +181,12 @@ def date(key: bytes, s: str, back: bool = False) -> str | None:
     return sep.join(out[i] for i in range(3))
 
 
+_AS_NUMBERS = {c: str(int(chr(c), 36)) for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def iban(key: bytes, s: str, back: bool = False) -> str | None:
     t = s.replace(" ", "")
-    value = lambda x: int("".join(str(int(c, 36)) for c in x))
+    value = lambda x: int(x.translate(_AS_NUMBERS))
     if not 15 <= len(t) <= 34 or value(t[4:] + t[:4]) % 97 != 1:
         return None
     d = _digits(t[4:])
@@ -153,13 +200,13 @@ def iban(key: bytes, s: str, back: bool = False) -> str | None:
 
 #: Groups in which cards are customarily written, besides one group of 13 to 19 digits.
 GROUPED = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
-#: Lengths of IBANs by country.
+#: Lengths of IBANs by country.
 IBAN_LENGTHS = dict(
-    re.findall(
-        r"([A-Z]{2})(\d\d)",
-        "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BI27BR29BY28CH21CR22CY28CZ24DE22DJ27DK18DO28EE20EG29ES24FI18FK18FO18FR27GB22GE22GI23GL18GR27GT28HN28HR21HU28IE22IL23IQ23IS26IT27JO30KW30KZ20"
-        "LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MN20MR27MT31MU30NI28NL18NO15OM23PK24PL28PS29PT25QA29RO24RS22RU33SA24SC31SD18SE24SI19SK24SM27SO23ST25SV28TL23TN24TR26UA29VA22VG24XK20YE30",
-    )
+    x.split(":")
+    for x in """AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18
+    FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24
+    ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28
+    TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30""".split()
 )
 
 
@@ -181,31 +228,39 @@ def _iban_places(s: str) -> list[tuple[int, int]]:
 _PLACES = {"card": _card_places, "iban": _iban_places}
 
 
-def _alphabet(c: str) -> str | None:
-    return next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), None)
+@lru_cache(4096)
+def _alphabet(block: int) -> dict[str, tuple[int, str]]:
+    """Of a block of 64 code points: each letter's and digit's place among those of its general category, and these."""
+    kinds: dict[str, str] = {}
+    for c in map(chr, range(block * 64, block * 64 + 64)):
+        if c.isalnum():
+            kinds[unicodedata.category(c)] = kinds.get(unicodedata.category(c), "") + c
+    return {c: (i, all_) for all_ in kinds.values() for i, c in enumerate(all_)}
 
 
 def letters(key: bytes, s: str, kind: str, back: bool = False) -> str:
-    """Letters and digits of ``s`` permuted as one number of mixed radix; its other characters stay."""
-    places = [_alphabet(c) for c in s]
-    size, x = 1, 0
-    for c, a in zip(s, places, strict=True):
-        if a:
-            size, x = size * len(a), x * len(a) + a.index(c)
-    x = permute(key, kind, size, x, back)
-    out = list(s)
-    for i in range(len(s) - 1, -1, -1):
-        if a := places[i]:
-            x, r = divmod(x, len(a))
-            out[i] = a[r]
-    return "".join(out)
+    """Letters and digits of ``s`` permuted within their alphabets; its other characters stay."""
+    own, at = np.unique(np.frombuffer(s.encode("utf-32-le"), "<u4"), return_inverse=True)
+    held = [_alphabet(int(c) // 64).get(chr(c), (0, chr(c))) for c in own]
+    size = np.array([len(h[1]) for h in held])[at]
+    moves = size > 1
+    if not moves.any():
+        return s
+    table = np.zeros((len(own), 64), "<u4")
+    for row, (_, alphabet) in zip(table, held, strict=True):
+        row[: len(alphabet)] = [ord(c) for c in alphabet]
+    place = np.array([h[0] for h in held])[at]
+    place[moves] = permute_places(key, kind, place[moves], size[moves], back)
+    return table[at, place].tobytes().decode("utf-32-le")
 
 
 def secret(key: bytes, s: str, back: bool = False) -> str | None:
     """Hexadecimal digits, in the case found."""
-    upper = any(c in "ABCDEF" for c in s)
-    new = f"{permute(key, 'secret', 16 ** len(s), int(s, 16), back):0{len(s)}x}"
-    return new.upper() if upper else new
+    upper = any(c in s for c in "ABCDEF")
+    raw = np.frombuffer(s.lower().encode(), np.uint8).astype(np.int64)
+    new = permute_places(key, "secret", np.where(raw < 58, raw - 48, raw - 87), np.full(len(s), 16), back)
+    out = np.where(new < 10, new + 48, new + 87).astype(np.uint8).tobytes().decode()
+    return out.upper() if upper else out
 
 
 #: What may be personal, in the order in which they are tried at one place.
@@ -217,8 +272,9 @@ SHAPES = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
 }
-_SHAPES = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()))
-_MAY = re.compile(r"[0-9@]")
+_SHAPES = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()), re.ASCII)
+_EACH = {k: re.compile(v, re.ASCII) for k, v in SHAPES.items()}
+_DIGIT, _RUN, _OTHER_DIGIT = re.compile("[0-9]"), re.compile("[0-9]*"), re.compile(r"[^\D0-9]")
 _SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|key|bearer)\W{1,4}([0-9a-f]{16,})(?![0-9a-z])")
 _DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
 _WORK = {"card": card, "phone": phone, "ssn": ssn, "ip": address, "date": date, "iban": iban}
@@ -248,16 +304,25 @@ class Span:
     new: str
 
 
+def _plain_digits(text: str) -> str:
+    """``text`` with decimal digits of any script as 0 to 9; each stays one character."""
+    return text if text.isascii() or not _OTHER_DIGIT.search(text) else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
+def _in_script(new: str, was: str) -> str:
+    """``new`` in the digits in which ``was`` is written, if they are of one script."""
+    zeros = {ord(c) - unicodedata.decimal(c) for c in was if c.isdecimal()}
+    return new if len(zeros) != 1 or zeros == {48} else new.translate({48 + i: min(zeros) + i for i in range(10)})
+
+
 def spans(text: str, key: bytes, back: bool = False) -> list[Span]:
     """What is replaced by what, in order and without overlap; ``back`` inverts."""
-    if not _MAY.search(text):
-        return []
     found: list[Span] = []
     at = text.find("@")
     while at >= 0:
         if m := _DOMAIN.match(text, at):
             a = at
-            while a > 0 and at - a < 64 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+            while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
                 a -= 1
             while a < at and not text[a].isalnum():
                 a += 1
@@ -266,27 +331,36 @@ def spans(text: str, key: bytes, back: bool = False) -> list[Span]:
             at = text.find("@", m.end())
         else:
             at = text.find("@", at + 1)
-    found += [Span(m.start(1), m.end(1), "secret", secret(key, m[1], back)) for m in _SECRET.finditer(text)]
+    mails = [(s.start, s.end) for s in found]
+    found += [Span(m.start(1), m.end(1), "secret", secret(key, m[1], back)) for m in _SECRET.finditer(text) if not _over(mails, *m.span(1))]
+    plain = _plain_digits(text)
+    if not _DIGIT.search(plain):  # every shape has a digit
+        return sorted(found, key=lambda s: s.start)
     taken = sorted((s.start, s.end) for s in found)
     at = 0
-    while m := _SHAPES.search(text, at):
+    while m := _SHAPES.search(plain, at):
         kind = m.lastgroup
         done = _replaced(key, kind, m[0], back)
         if done is None and kind != "card":  # another kind may begin there
             for k in [k for k in SHAPES if k != kind]:
-                if (o := re.compile(SHAPES[k]).match(text, m.start())) and (done := _replaced(key, k, o[0], back)) is not None:
+                if (o := _EACH[k].match(plain, m.start())) and (done := _replaced(key, k, o[0], back)) is not None:
                     kind = k
                     break
         if done is None:
-            tail = re.compile(r"\d*").match(text, m.start())
-            at = max(m.start() + 1, tail.end())
+            at = max(m.start() + 1, _RUN.match(plain, m.start()).end())
             continue
         start, at = m.start() + done[0], m.start() + done[1]
-        if not any(a < at and start < b for a, b in taken):
-            found.append(Span(start, at, kind, done[2]))
+        if not _over(taken, start, at):
+            found.append(Span(start, at, kind, done[2] if plain is text else _in_script(done[2], text[start:at])))
     return sorted(found, key=lambda s: s.start)
 
 
+def _over(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the sorted disjoint stretches meets the one from ``start`` to ``end``."""
+    i = bisect_left(taken, (end, 0))
+    return i > 0 and taken[i - 1][1] > start
+
+
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[Span]]:
     found = spans(text, key, back)
     if not found:
