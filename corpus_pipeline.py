@@ -1,26 +1,33 @@
 """A training corpus in five stages: quality, near duplicates, personal data, mixing, pieces.
 
 Every stage is ``f(spark, docs, sf_dir)`` over all that the one before kept; ``run`` writes each stage's rows as Parquet
-into the shared folder of ``spark.checkpoint.dir`` and rereads them as the next one's docs.
+into the shared folder of ``spark.checkpoint.dir`` and rereads them as the next one's docs; the rows of a stage that the next
+one has written are removed, those of the last one stay.
+
+Defined results of every stage: only the columns of ``documents`` are read, others are dropped, whatever their names; an empty
+table gives an empty one; null and empty texts pass the middle stages unchanged and have no pieces, texts of any length are
+taken whole, and repeated rows count each for itself (but for near duplicates, where one of them stays).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import jaccard, mixing, pieces, pii, quality
-from driftgauge.llm._common import checkpointed
+from driftgauge.llm._common import checkpointed, shared_folder
 from driftgauge.llm.queries import KEY, SEED, WEIGHTS, table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that score 0.5 or more; labels of the held-out third are never read."""
+    """Keeps the documents that score 0.5 or more; labels of the held-out third are never read.
+
+    A text without lines scores the share of good labels, so all of these stay or go alike; without labels of both kinds so do all texts.
+    """
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs.select(COLUMNS), model).where("score >= 0.5").select(COLUMNS)
@@ -47,19 +54,19 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses become pseudonyms."""
+    """Personal numbers, dates and addresses become pseudonyms; null texts stay null, and ``n_chars`` counts the new text (null for null)."""
     done = pii.pseudonymise(docs.select(COLUMNS), KEY)
     return done.withColumn("text", F.col("pseudonymised")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by weight, 150 % of all words, two epochs at most; a document comes out as often as the mix takes it."""
+    """Sources by weight, 150 % of all words, two epochs at most; a document comes out as often as the mix takes it, one without words never."""
     mixed = mixing.mix(docs, WEIGHTS, budget=1.5, max_epochs=2.0, seed=SEED, keep=["text", "lang", "source", "n_chars"])
     return mixed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text."""
+    """The pieces of each text, as ``ids``; none for a null or empty text."""
     return pieces.encode(docs.select(COLUMNS), pieces.load(tokenizer("piece_bpe_32k.model")))
 
 
@@ -76,10 +83,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftgauge-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark.sparkContext)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _remove(spark, f"{folder}/{i - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +25,47 @@ def ship() -> None:
             cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder that the cluster names.
+def shared_folder(sc: SparkContext) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder, and a cluster an error: its machines share none."""
+    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="driftgauge-")
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder is used.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftgauge-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(sc))
     return df.checkpoint(eager=True)
 
 
+#: Keys that hold more than one row in so many are hot: never more than so many keys.
+HOT_KEYS = 10_000
+LEAST_HOT = 1_000
+
+
+def matched(rows: DataFrame, table: DataFrame, on: list[str], total: int, count: str = "c") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per key and how many rows have it (``count``); ``total``: the sum of these.
+
+    A table of at most 10,000 rows is broadcast. Of a greater one, rows of hot keys stay where they are and get their key's row by
+    broadcast: keys with more than max(1,000, total / 10,000) rows are at most 10,000. All other keys meet by shuffling, at most that
+    many rows to a key. ``table`` should be checkpointed: it is read more than once.
+    """
+    if total <= LEAST_HOT:
+        return rows.join(table, on)
+    if table.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(F.broadcast(table), on)
+    most = max(LEAST_HOT, total // HOT_KEYS)
+    hot = table.where(F.col(count) > most)
+    if hot.isEmpty():
+        return rows.join(table, on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(table.where(F.col(count) <= most), on)
+    return rest.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -9,7 +9,10 @@ Documents are sets of word shingles. Equal sets collapse to one representative,
    several groups are in it. Tokens are ordered by a count sketch over all documents, then by hash; of a set of n tokens
    that must share a = ceil(t n) with a partner, the first n - a + l(n) go into the matrix (l(n) = 1 + n/50). Two linked
    sets share at least min(l) of those, so a query document is held against another group only if at least l of its
-   tokens are in the group's union, and sizes allow it.
+   tokens are in the group's union, and sizes allow it. The sketch is a first guess, whatever the data's size: the tokens that were
+   chosen are then counted exactly, and those with more than 1,000 documents move to the end of the order (a bitmap of their hashes says
+   which; any order that depends on the token alone is exact) and are chosen anew, in up to three rounds. What is
+   still frequent then, in texts of nothing but frequent tokens, is joined in salted parts of 1,000 documents.
 3. Qualifying groups are opened, and so is each group that isn't one component, against itself: queries and members
    meet in blocks of bounded size, whose overlaps are one matrix product, and only links that join components come out.
 
@@ -17,6 +20,9 @@ Every comparison is exact on whole sets; no bucket, partner or candidate is capp
 links in proportion to their size. In a group that isn't, because its members are about as far apart as the similarity
 asked for, all pairs of blocks are multiplied, spread over tasks; rows stay in proportion to the group's size times its blocks.
 
+No key meets in one task: minima, digests of equal sets, tokens and centres of stars that hold many rows are joined
+by ``matched`` or in parts, and are aggregated before shuffling.
+
 Defined results: a null or empty text has an empty set and is linked with nothing; equal sets are one component even
 if their texts differ; a null id is never a representative, and takes the component of its set, if any; an empty
 table gives an empty result; other columns are ignored.
@@ -33,15 +39,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, ship, slices, small_side, text_or_empty
+from ._common import HOT_KEYS, checkpointed, matched, ship, slices, text_or_empty
 from .components import components
 from .shingles import mix, sets
 
 ORDERS = 4
 #: Counters of the frequency sketch, and of them in one row.
 WIDTH, BLOCK = 1 << 20, 1 << 15
-#: Bits of the filters that spare shuffling what can't match; beyond their capacity they only pass more.
-FILTER_BITS = 24
+#: Bits of the filters that spare shuffling what can't match: 16 a value, within these powers of two (2 to 32 MB). Beyond 33 million values they pass more, up to all.
+FILTER_BITS = (24, 28)
+#: Documents of one token in the matrix, beyond which it counts as frequent, and rounds of choosing.
+MOST_HITS, ROUNDS = 1_000, 3
 JUMPS = 2
 #: Sets in one block, on either side.
 ROWS = 256
@@ -90,33 +98,34 @@ def levels(sketch: DataFrame) -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([t.astype(np.uint32).tobytes() for t in total.values()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "counts"])
 
-    out = np.zeros(WIDTH, np.uint32)
+    out = np.zeros(WIDTH, np.int64)
     for r in sketch.repartition(WIDTH // BLOCK, "block").mapInArrow(run, "block long, counts binary").collect():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint32)
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
     usual = max(4.0, float(np.median(out)))
     return np.maximum(0, np.floor(np.log2(np.maximum(out, 1) / usual))).astype(np.uint8)
 
 
-def passes(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of hashed values that holds every value of a column: 2 MB, whatever the data's size."""
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+def passes(ids: DataFrame, hashed: Column) -> np.ndarray:
+    """A bitmap that holds the 64-bit hash of every row; its length is a power of two, in 32-bit words."""
+    power = min(max(FILTER_BITS[0], (16 * ids.count()).bit_length()), FILTER_BITS[1])
+    bit = F.pmod(hashed, F.lit(1 << power))
     words = ids.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out = np.zeros(1 << (power - 5), np.uint32)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
-def hits(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def hits(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes the bitmap holds."""
+    bit = hashed & (32 * len(bitmap) - 1)
     return (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
 
 
 def token_sets(df: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(id, tokens) of the rows whose id is in ``wanted`` (id), and of a few more."""
-    spark = df.sparkSession
-    bitmap = spark.sparkContext.broadcast(passes(wanted, "id"))
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("long")
+    """(id, tokens) of the rows whose id is in ``wanted`` (id; checkpointed), and of a few more."""
+    bitmap = df.sparkSession.sparkContext.broadcast(passes(wanted, F.xxhash64("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = bitmap.value
@@ -125,15 +134,20 @@ def token_sets(df: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             for part in slices(few, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1), k)], pa.binary())], ["id", "tokens"])
 
-    return df.select("id", "text", bit.alias("bit")).where("id is not null").mapInArrow(run, "id long, tokens binary")
+    return df.select("id", "text", F.xxhash64("id").alias("hashed")).where("id is not null").mapInArrow(run, "id long, tokens binary")
 
 
 def verified(df: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The (a, b) pairs with their exact set sizes and overlap."""
     pairs = checkpointed(pairs)
-    held = token_sets(df, k, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
-    one = pairs.join(held.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    two = one.join(held.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").select("a", "b", "tokens_a", "tokens_b")
+    # a head may have any number of partners: they are dealt into parts, and its set goes once to each
+    partners = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / MOST_HITS).cast("int").alias("parts")))
+    ends = checkpointed(partners.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    held = token_sets(df, k, ends)
+    part = matched(pairs, partners, ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    heads = partners.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(held.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    one = part.join(held.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    two = one.join(heads, ["a", "part"]).select("a", "b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,18 +180,21 @@ def extra(n):
     return 1 + n // 50 if isinstance(n, int) else (1 + F.floor(n / 50))
 
 
-def rare_tokens(df: DataFrame, k: int, num: int, den: int, level: np.ndarray) -> DataFrame:
-    """(id, n, tokens): the tokens of each set that go into the matrix, rarest first."""
-    held = df.sparkSession.sparkContext.broadcast(level)
+def rare_tokens(df: DataFrame, k: int, num: int, den: int, level: np.ndarray, frequent: list[np.ndarray]) -> DataFrame:
+    """(id, kept, tokens): the tokens of each set that go into the matrix, rarest first; those in the bitmaps ``frequent`` (over the tokens' own bits) come last."""
+    held = df.sparkSession.sparkContext.broadcast((level, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = held.value
+        level, frequent = held.value
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 rows = []
                 for s in sets(part.column(1), k):
                     n = len(s)
-                    order = np.argsort(rank[(s >> np.uint64(44)).astype(np.int64)], kind="stable")
+                    rank = level[(s >> np.uint64(44)).astype(np.int64)].astype(np.int16)
+                    for bitmap in frequent:
+                        rank += hits(bitmap, _signed(s)) * np.int16(100)
+                    order = np.argsort(rank, kind="stable")
                     rows.append(_signed(s[order[: n + (-n * num) // den + extra(n)]]) if n else np.zeros(0, np.int64))
                 sizes = pa.array([len(s) for s in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(rows, pa.list_(pa.int64()))], ["id", "kept", "tokens"])
@@ -187,22 +204,20 @@ def rare_tokens(df: DataFrame, k: int, num: int, den: int, level: np.ndarray) ->
 
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` with those of their tokens that ``wanted`` (token) has, and a few more."""
-    bitmap = rows.sparkSession.sparkContext.broadcast(passes(wanted, "token"))
-    bits = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(1 << FILTER_BITS)).cast("long"))
+    bitmap = rows.sparkSession.sparkContext.broadcast(passes(wanted, F.col("token")))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = bitmap.value
         for batch in batches:
-            tokens, bit = batch.column("tokens"), batch.column(len(names))
-            ok = hits(keep, bit.flatten().to_numpy())
+            tokens = batch.column("tokens")
+            ok = hits(keep, tokens.flatten().to_numpy())
             size = pc.list_value_length(tokens).to_numpy()
             left = np.add.reduceat(np.concatenate((ok, [False])).astype(np.int64), np.concatenate(([0], np.cumsum(size)))[:-1]) * (size > 0) if len(size) else size
             new = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), tokens.flatten().filter(pa.array(ok)))
             yield pa.RecordBatch.from_arrays([new if c == "tokens" else batch.column(c) for c in names], names).filter(pa.array(left > 0))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("bits", bits).mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def block_links(df: DataFrame, queries: DataFrame, members: DataFrame, k: int, num: int, den: int, own: bool) -> DataFrame:
@@ -211,11 +226,13 @@ def block_links(df: DataFrame, queries: DataFrame, members: DataFrame, k: int, n
     ``own``: the queries are the members of the groups; they meet each other once.
     """
     queries, members = checkpointed(queries), checkpointed(members)
-    held = token_sets(df, k, queries.select("id").union(members.select("id")).distinct())
+    held = token_sets(df, k, checkpointed(queries.select("id").union(members.select("id")).distinct()))
     # groups of more than one block on either side are few; the others need no look-up
-    size = members.select("grp", F.lit(1).alias("m"), F.lit(0).alias("q")).union(queries.select("grp", F.lit(0), F.lit(1))).groupBy("grp").agg(*[F.ceil(F.sum(c) / ROWS).cast("int").alias(f"{c}_blocks") for c in ("m", "q")])
-    size = small_side(checkpointed(size.where("m_blocks > 1 OR q_blocks > 1")))
-    sized = lambda d: d.join(size, "grp", "left").fillna(1, ["m_blocks", "q_blocks"])
+    size = members.select("grp", F.lit(1).alias("m"), F.lit(0).alias("q")).union(queries.select("grp", F.lit(0), F.lit(1))).groupBy("grp").agg(*[F.greatest(F.ceil(F.sum(c) / ROWS), F.lit(1)).cast("int").alias(f"{c}_blocks") for c in ("m", "q")], F.count(F.lit(1)).alias("c"))
+    size = checkpointed(size)
+    large = size.where("m_blocks > 1 OR q_blocks > 1")
+    few, total = large.limit(HOT_KEYS + 1).count() <= HOT_KEYS, members.count() + queries.count()
+    sized = lambda d: (d.join(F.broadcast(large), "grp", "left").fillna(1, ["m_blocks", "q_blocks"]) if few else matched(d, size, ["grp"], total)).drop("c")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     x = sized(members).withColumn("mb", block("m_blocks")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     q = sized(queries).withColumn("qb", block("q_blocks")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
@@ -275,56 +292,63 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     ship()
     docs = df.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"))
     rows, sketch = described(docs, k)
-    digests = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.first("minima").alias("minima")).where("rep is not null")
-    reps = checkpointed(digests)
+    digests = checkpointed(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("c")))
+    reps = digests.where("rep is not null")
+    n_reps = reps.count()
 
     # 1. components and groups
     keys = reps.select("rep", "n", F.posexplode("minima").alias("slot", "key"))
-    heads = keys.groupBy("slot", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("slot", "key", "head")
+    heads = keys.groupBy("slot", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
     fits = (F.col("n") * num <= F.col("head.n") * 2 * den) & (F.col("head.n") * num <= F.col("n") * 2 * den)
-    pairs = keys.join(heads, ["slot", "key"]).where((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = matched(keys, checkpointed(heads), ["slot", "key"], ORDERS * n_reps).where((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
     alike = checkpointed(verified(docs, pairs, k).where(linking(num, 2 * den)))
     links = alike.where(linking(num, den)).select("a", "b")
-    least = alike.groupBy("b").agg(F.min("a").alias("kin"), F.min(F.when(linking(num, den), F.col("a"))).alias("link"))
-    groups = checkpointed(reps.select("rep", "n").join(least, F.col("rep") == F.col("b"), "left").select("rep", "n", F.coalesce("link", "rep").alias("comp"), F.coalesce("kin", "rep").alias("grp")))
+    least = checkpointed(alike.groupBy(F.col("b").alias("rep")).agg(F.min(F.when(linking(num, den), F.col("a"))).alias("link"), F.min("a").alias("kin")).select("rep", F.coalesce("link", "rep").alias("comp"), F.col("kin").alias("grp")))
     # a representative's least partner has a least partner itself, and so on: a few steps bring nearly all of a group to one leader.
     # Equal labels always mean that there is a path; where labels stay apart, later steps find the links all the same.
-    for _ in range(JUMPS):
-        up = groups.select(F.col("rep").alias("at"), F.col("comp").alias("comp_up"), F.col("grp").alias("grp_up"))
-        groups = groups.join(up.select("at", "comp_up"), F.col("comp") == F.col("at"), "left").drop("at").join(up.select("at", "grp_up"), F.col("grp") == F.col("at"), "left")
-        groups = groups.select("rep", "n", F.coalesce("comp_up", "comp").alias("comp"), F.coalesce("grp_up", "grp").alias("grp"))
-    groups = checkpointed(groups)
+    n_least = least.count()
+    for at in ("comp", "grp") * JUMPS if n_least else ():
+        up = least.groupBy(at).agg(F.count(F.lit(1)).alias("c")).join(least.select(F.col("rep").alias(at), F.col(at).alias("up")), at, "left")
+        least = checkpointed(matched(least, checkpointed(up), [at], n_least).withColumn(at, F.coalesce("up", at)).select("rep", "comp", "grp"))
+    groups = checkpointed(reps.select("rep", "n").join(least, "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", "rep").alias("grp")))
+    whole = checkpointed(groups.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")))
 
     # 2. the matrix
-    rare = rare_tokens(docs, k, num, den, levels(sketch)).join(groups, F.col("id") == F.col("rep")).select("rep", "n", "grp", "tokens")
-    rare = checkpointed(rare)
     each = lambda x: x.select("rep", "n", "grp", F.explode("tokens").alias("token"))
-    several = each(rare).groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    several = checkpointed(several)
-    probes = checkpointed(each(only(rare, several)).join(several, "token"))
-    matrix = probes.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "g")
+    level, frequent = levels(sketch), []
+    for last in [False] * (ROUNDS - 1) + [True]:
+        rare = checkpointed(rare_tokens(docs, k, num, den, level, frequent).join(groups, F.col("id") == F.col("rep")).select("rep", "n", "grp", "tokens"))
+        several = checkpointed(each(rare).groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("token", "c"))
+        often = several.where(F.col("c") > MOST_HITS)
+        if last or often.isEmpty():
+            break
+        frequent.append(passes(often, F.col("token")))
+    hot = F.ceil(F.col("c") / MOST_HITS).cast("int")
+    probes = checkpointed(matched(each(only(rare, several)), several, ["token"], several.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]).withColumn("parts", hot).drop("c"))
+    matrix = probes.groupBy("token", "grp", "parts").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "g")
+    matrix = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = (
-        probes.join(matrix, "token")
+        probes.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .join(matrix, ["token", "part"])
         .where((F.col("grp") > F.col("g")) & (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
         .groupBy("rep", "n", "g")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= extra(need(F.col("n"), num, den)))
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .where(F.col("hits") >= extra(need(F.col("n"), num, den)))
     )
 
     # 3. opened groups
-    mixed = groups.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("grp")
-    inside = groups.join(small_side(checkpointed(mixed)), "grp").select("grp", F.col("rep").alias("id"), "comp")
-    across = found.select(F.col("g").alias("to"), "rep").join(groups.select("rep", "comp"), "rep").select(F.col("to").alias("grp"), F.col("rep").alias("id"), "comp")
-    for asked, own in ((checkpointed(inside), True), (checkpointed(across), False)):
+    members_of = lambda grps: matched(groups, checkpointed(grps), ["grp"], n_reps).select("grp", F.col("rep").alias("id"), "comp")
+    across = checkpointed(found.select(F.col("g").alias("to"), "rep").join(groups.select("rep", "comp"), "rep").select(F.col("to").alias("grp"), F.col("rep").alias("id"), "comp"))
+    inside = checkpointed(members_of(whole.where("low < high").select("grp", "c")))
+    for asked, own in ((inside, True), (across, False)):
         if not asked.isEmpty():
-            members = asked if own else groups.join(small_side(checkpointed(asked.select("grp").distinct())), "grp", "left_semi").select("grp", F.col("rep").alias("id"), "comp")
+            members = asked if own else members_of(whole.join(asked.select("grp").distinct(), "grp").select("grp", "c"))
             links = links.union(block_links(docs, asked, members, k, num, den, own))
-    return _labelled(rows, reps, components(links))
+    return _labelled(rows, digests, components(links))
 
 
-def _labelled(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
-    named = reps.select("hi", "lo", F.col("n").alias("size"), "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("hi", "lo", "size", "rep", F.coalesce("component", "rep").alias("comp"))
-    return (
-        rows.join(named, (rows.hi == named.hi) & (rows.lo == named.lo) & (rows.n == F.col("size")), "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("representative"))
-    )
+def _labelled(rows: DataFrame, sets_: DataFrame, nodes: DataFrame) -> DataFrame:
+    named = checkpointed(sets_.select("hi", "lo", "n", "c", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("hi", "lo", "n", "c", "rep", F.coalesce("component", "rep").alias("comp")))
+    some = rows.where("n > 0")
+    found = matched(some, named, ["hi", "lo", "n"], some.count()).select("id", "n", "comp", "rep")
+    return found.union(rows.where("n = 0").select("id", "n", "id", "id")).toDF("doc_id", "n_shingles", "component_id", "representative")

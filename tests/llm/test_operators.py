@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.llm import chat, components, jaccard, mixing, mpeg, pieces, pii, quality, shingles, sketch, tokencount, urls
+from driftgauge.llm import _common, chat, components, jaccard, mixing, mpeg, pieces, pii, quality, shingles, sketch, tokencount, urls
 from driftgauge.llm import queries as Q
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -146,19 +146,51 @@ def _edited(rng, words, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
-def test_jaccard_against_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "scale"), [(3, 90, False), (5, 80, False), (5, 80, True)])
+def test_jaccard_against_brute_force(spark, monkeypatch, k, num, scale):
+    if scale:  # as on data beyond every bound: filters pass all, keys, tokens and heads are hot, tables aren't broadcast whole
+        for module in (_common, jaccard):
+            monkeypatch.setattr(module, "HOT_KEYS", 20)
+        monkeypatch.setattr(_common, "LEAST_HOT", 5)
+        monkeypatch.setattr(jaccard, "FILTER_BITS", (5, 5))
+        monkeypatch.setattr(jaccard, "MOST_HITS", 20)
+        monkeypatch.setattr(jaccard, "ROWS", 64)
     rng = random.Random(k)
     base = [f"w{rng.randrange(400)}" for _ in range(150)]
     rows = [(i, _edited(rng, base, rng.randrange(6))) for i in range(400)]  # a large group about as far apart as the threshold
     rows += [(1000 + i, " ".join(f"v{rng.randrange(50_000)}" for _ in range(rng.randrange(1, 80))) + " this common line stands in all of these texts") for i in range(150)]
     rows += [(2000 + i, " ".join(base[: 100 + i])) for i in range(50)]  # a chain of growing texts
     rows += [(3000 + i, t) for i, t in enumerate([None, "", "one", "One", "one two", "one two three", " one  two\x0bthree"])]
+    rows += [(4000 + i, "the same text in each of these documents") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, num, 100).collect()}
     assert got == _linked(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_matched(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(_common, "LEAST_HOT", 5)
+        monkeypatch.setattr(_common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(min(i, 30) % 13 if i < 60 else 99, i) for i in range(200)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("m")).where("k <> 4")
+    assert sorted(map(tuple, _common.matched(rows, table, ["k"], 200).collect())) == sorted(map(tuple, rows.join(table, "k").collect()))
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.shared_folder(Context())
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = jaccard.jaccard_components(odd.union(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), 3, 90, 100).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in got}
@@ -174,10 +206,15 @@ def test_shingles_are_sets_of_words():
     assert [len(s) for s in got] == [len(_set(t, 3)) for t in texts] and set(got[5]) < set(got[3])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_components(spark, monkeypatch, hot):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges += [(5000, 5001 + i) for i in range(200)] + [(5001 + i, 6000 + i) for i in range(40)]  # a star
+    if hot:
+        monkeypatch.setattr(_common, "LEAST_HOT", 5)
+        monkeypatch.setattr(_common, "HOT_KEYS", 3)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([*edges, (None, 1), (1, None)], "a long, b long")).collect()}
     root = {}
     find = lambda x: x if root.get(x, x) == x else find(root[x])
     for a, b in edges:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as P
 import pytest
@@ -56,8 +57,37 @@ def test_private_stage(spark, docs):
     assert len(clean) > 500 and all(now[i].text == was[i].text for i in clean) and any(now[i].text != was[i].text for i in was)
 
 
+ODD = [
+    (1, None, "en", "a", None), (2, "", "en", None, 0), (3, " \n", None, "a", 2), (4, "word " * 20_000, "en", "a", 100_000), (5, "x" * 60_000, "en", "b", 60_000), (6, "a plain line of text\nand one more line here", "en", "b", 44),
+    (6, "a plain line of text\nand one more line here", "en", "b", 44), (6, "another text under the same id, with other words", "en", "b", 48), (None, "no id stands here, but words do", "de", None, 31), (7, "Card 4111 1111 1111 1111 and mail jane@example.com", None, None, 50),
+]
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_stages_on_odd_rows(spark, n):
+    clash = "score string, ids string, bin string, row string, component_id string, id string, size string, repeats string"
+    df = spark.createDataFrame([(*r, *"xxxxxxxx") for r in ODD], f"doc_id long, text string, lang string, source string, n_chars long, {clash}").repartition(n)
+    rows = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    every = Counter((r[0], r[1]) for r in ODD)
+    outs = {name: f(spark, df, SF) for name, f in P.STAGES}
+    assert all(d.columns == P.COLUMNS for name, d in outs.items() if name != "SentencePiece")
+    kept = rows(outs["quality classifier"])
+    assert kept <= every and len({kept[x] == every[x] for x in every if not (x[1] or "").strip()}) == 1  # texts without lines go together
+    assert rows(outs["n-gram Jaccard join"]) == every - Counter([(6, ODD[5][1])])
+    now = {r.doc_id: r for r in outs["PII"].collect()}
+    assert sum(rows(outs["PII"]).values()) == len(ODD) and now[1].text is None and now[1].n_chars is None and now[2].text == "" and now[4].text == ODD[3][1]
+    assert now[7].text != ODD[-1][1] and len(now[7].text) == now[7].n_chars == 50 and now[7].text.startswith("Card ") and now[7].text.endswith("@example.com")
+    mixed = rows(outs["mixing"])
+    assert set(mixed) <= {(i, t) for i, t in every if (t or "").strip()} and all(c <= 2 * every[x] for x, c in mixed.items())
+    coded = outs["SentencePiece"].collect()
+    assert Counter((r.doc_id, r.text) for r in coded) == every and all((len(r.ids) > 0) == bool(r.text) for r in coded)
+
+
 def test_run(spark):
     out = P.run(spark, SF)
+    left = {f.split("/pipeline-")[1].split("/")[1] for f in out.inputFiles()}
+    folder = Path(out.inputFiles()[0].removeprefix("file:")).parent.parent
+    assert left == {"4"} and sorted(x.name for x in folder.iterdir() if x.is_dir()) == ["4"]
     assert out.columns == [*P.COLUMNS, "ids"] and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     words = out.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     kept = P.near_duplicates_stage(spark, P.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF)
