@@ -1,8 +1,8 @@
 """Token counts with a whole-token shortcut.
 
-Offline, ``prove`` runs the merges of a byte-level BPE vocabulary over each of its own strings and keeps those that
-end as one token. A text is cut into pre-tokens as the tokenizer's pattern does; a pre-token in the proven set counts
-one without any merging, and only the rest is merged, each distinct one once while a bounded memory of counts lasts.
+Offline, ``proven`` runs the merges of a byte-level BPE vocabulary over each of its own strings and keeps those that
+end as one token: once a file, on the driver, from which the list (no longer than the vocabulary) goes to the workers. A text is cut into pre-tokens as the tokenizer's pattern does; a pre-token in the proven set counts
+one without any merging, and only the rest is merged, each distinct one once while a bounded memory of counts lasts (of short pre-tokens).
 
 Supported: ``tokenizers`` JSON files with a BPE model and the byte-level pre-tokenizer with its own pattern, no
 normalizer and no dropout. Strings of added tokens inside a text are one token each, as the library takes them by
@@ -22,7 +22,7 @@ from ._common import map_texts
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counts of merged pre-tokens that a task remembers at once.
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 
 
 @cache
@@ -34,9 +34,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class Counter:
-    """Counts tokens of pre-tokens; built from a vocabulary file."""
+    """Counts tokens of pre-tokens; built from a vocabulary file and its proven strings, which are worked out where they aren't given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: list[str] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -48,25 +48,21 @@ class Counter:
         self.find = regex.compile(PATTERN).findall
         self.letters = {b: c for b, c in byte_letters().items()}
         self.table = {i: c for i, c in self.letters.items()}
-        back = {c: b for b, c in self.letters.items()}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in white space or need word ends aren't supported")
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.whole: dict[str, int] = {}
-        for piece in prove(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]):
-            try:
-                self.whole[bytes(back[c] for c in piece).decode()] = 1
-            except UnicodeDecodeError:
-                continue  # part of a character: never a pre-token
+        self.whole = dict.fromkeys(whole if whole is not None else proven(path), 1)
         self.rest: dict[str, int] = {}
 
     def merged(self, word: str) -> int:
         n = self.rest.get(word)
         if n is None:
-            if len(self.rest) >= REMEMBERED:
-                self.rest.clear()
-            n = self.rest[word] = len(self.merge.tokenize("".join([self.letters[b] for b in word.encode()])))
+            n = len(self.merge.tokenize("".join([self.letters[b] for b in word.encode()])))
+            if len(word) <= REMEMBERED_CHARS:
+                if len(self.rest) >= REMEMBERED:
+                    self.rest.clear()
+                self.rest[word] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -90,6 +86,19 @@ def prove(vocab: dict[str, int], merges: list[tuple[str, str]]) -> list[str]:
     return [v for v in vocab if len(_bpe(v, rank)) == 1]
 
 
+@cache
+def proven(path: str) -> list[str]:
+    """The texts that are one token by themselves, by the merges of a vocabulary file; parts of characters are never pre-tokens and left out."""
+    model = json.load(open(path, encoding="utf-8"))["model"]
+    back, out = {c: b for b, c in byte_letters().items()}, []
+    for piece in prove(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]):
+        try:
+            out.append(bytes(back[c] for c in piece).decode())
+        except (UnicodeDecodeError, KeyError):  # KeyError: an added token that isn't written in byte letters
+            continue
+    return out
+
+
 def _bpe(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
     parts = list(word)
     while len(parts) > 1:
@@ -103,19 +112,22 @@ def _bpe(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
 _held: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole: list[str]) -> Counter:
     """One per worker process and file."""
     if path not in _held:
         _held.clear()
-        _held[path] = Counter(path)
+        _held[path] = Counter(path, whole)
     return _held[path]
 
 
 def count_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row of ``df``; ``path`` must be readable on every worker."""
 
+    Counter(path, [])  # an unsupported file fails here
+    held = df.sparkSession.sparkContext.broadcast(proven(path))
+
     def work():
-        c = counter(path)
+        c = counter(path, held.value)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = part.column(1).to_pylist()
