@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,10 @@ MARK = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
-REMEMBERED = 120_000
+#: Parts of texts that a task remembers at once, and their characters together.
+REMEMBERED, REMEMBERED_CHARS = 120_000, 2_000_000
+#: Rows and ids decoded at once.
+DECODED_ROWS, DECODED_IDS = 512, 1 << 18
 
 
 def _fields(data: bytes):
@@ -121,6 +125,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.memory: dict[str, bytes] = {}
+        self.held = 0
         self.code_of = np.zeros(max(map(ord, self.code)) + 2, np.int64)
         for ch, i in self.code.items():
             self.code_of[ord(ch)] = i
@@ -144,6 +149,9 @@ class Model:
         marked = text.replace(" ", MARK)
         return self.cut(MARK + marked if self.prefix else marked)
 
+    def full(self, words) -> bool:
+        return len(self.memory) + len(words) > REMEMBERED or self.held + sum(map(len, words)) > REMEMBERED_CHARS
+
     def learn(self, words: list[str]) -> None:
         """Puts the best paths of distinct parts into the memory."""
         long = np.array([len(w) for w in words])
@@ -186,8 +194,10 @@ class Model:
                 top[better] = (c if np.ndim(c) else np.full(n, c))[better]
                 arg[better] = k
             best_end[here], took[here] = top, arg
-        if len(self.memory) + len(words) > REMEMBERED:
+        if self.full(words):
             self.memory.clear()
+            self.held = 0
+        self.held += total
         # from the ends back, all parts in step: first how many pieces, then which
         path, e, alive, n = [], start + long - 1, np.arange(len(words)), np.zeros(len(words), np.int64)
         while len(alive):
@@ -222,7 +232,7 @@ class Model:
         new = {w for c in cut for w in c if w not in self.memory}
         got: dict[str, bytes] = self.memory
         if new:
-            known = {w: b for c in cut for w in c if (b := self.memory.get(w)) is not None} if len(self.memory) + len(new) > REMEMBERED else {}
+            known = {w: b for c in cut for w in c if (b := self.memory.get(w)) is not None} if self.full(new) else {}
             held, batch = 0, []
             for w in sorted(new, key=len):
                 if batch and held + len(w) > 40_000:
@@ -332,8 +342,11 @@ def decode(df: DataFrame, model: Model, column: str = "ids", decoded: str = "dec
     def run(batches):
         m = held.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            size = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            block = np.maximum(np.cumsum(size) // DECODED_IDS, np.arange(len(size)) // DECODED_ROWS) if len(size) else size
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(np.maximum.accumulate(block))) + 1, [len(size)])) if len(size) else [0]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(int(a), int(b - a))
                 texts = [m.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, decoded])
 
