@@ -352,3 +352,18 @@ def _labelled(rows: DataFrame, sets_: DataFrame, nodes: DataFrame) -> DataFrame:
     some = rows.where("n > 0")
     found = matched(some, named, ["hi", "lo", "n"], some.count()).select("id", "n", "comp", "rep")
     return found.union(rows.where("n = 0").select("id", "n", "id", "id")).toDF("doc_id", "n_shingles", "component_id", "representative")
+
+
+def duckdb_sql(k: int, num: int, den: int) -> str:
+    """``jaccard_components`` of ``documents`` in DuckDB SQL: all pairs of different sets that share a shingle. Quadratic in common shingles, so for small tables."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {shingle})) END) AS s FROM w),
+    r AS (SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep FROM s),
+    e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM r WHERE doc_id = rep),
+    p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) * {den} >= (a.n + b.n - count(*)) * {num}),
+    l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    c(node, least) AS (SELECT rep, rep FROM r WHERE doc_id = rep UNION SELECT l.b, c.least FROM c JOIN l ON l.a = c.node AND c.least < l.b)
+    SELECT r.doc_id, len(s)::BIGINT AS n_shingles, m.component_id, r.rep AS representative FROM r JOIN (SELECT node, min(least) AS component_id FROM c GROUP BY 1) m ON m.node = r.rep
+    """

@@ -5,9 +5,9 @@ allow; what is above a cap is shared anew by weight until no target is above. In
 of cap / weight, and those that the common level doesn't reach are clamped. Within a source every document is taken
 floor(target / size) times whole, and the remaining words come from a seeded sample of whole documents, in the order of
 their seeded hash: first long ones (over 1/8 of the remaining words) up to their share of the words, then the others
-until the remaining words are there, each time to the document that comes nearest. Hashes fall into 1,024 bins a
-source; only the bins' sums and the documents of the bin in which the count is reached are ever ordered, so no source
-meets in one task. What is taken follows from two cuts per source in that order, so a row's repeats don't depend on others.
+until the remaining words are there, each time to the document that comes nearest. Hashes fall into equal bins, 1,024 or
+one to every 1,000 rows (1,048,576 at most); only the bins' sums and the documents of the bin in which the count is reached are
+ever ordered, so no source meets in one task. What is taken follows from two cuts per source in that order, so a row's repeats don't depend on others.
 
 Defined results: a null text has size 0; documents without words are taken 0 times; a null source is a source of its
 own, ordered last; sources of size 0 or weight 0 have target 0; if all caps together are below the budget, each source
@@ -23,8 +23,15 @@ from ._common import checkpointed, small_side
 
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 10
+#: Powers of two: the least and the most bins of hashes; between them one bin to every ``IN_BIN`` rows.
+BINS, IN_BIN = (10, 20), 1_000
 LONG = 8
+#: Hashes are whole numbers below this power of two: the first 15 digits of an MD5 digest.
+HASH_BITS = 60
+
+
+def bin_power(rows: int) -> int:
+    return min(max(BINS[0], (rows // IN_BIN).bit_length()), BINS[1])
 
 
 def n_words(text: str | Column) -> Column:
@@ -55,7 +62,7 @@ def targets(sizes: DataFrame, weights: list[float], budget: float, max_epochs: f
 def _cuts(keys: DataFrame, rest: DataFrame, name: str) -> DataFrame:
     """(of, <name>): per source the bin in which ``rest`` words (of, rest) are reached in hash order, and the last key in it that is taken, if any."""
     bins = keys.groupBy("source", "bin").agg(F.sum("words").alias("words")).join(rest, F.col("source").eqNullSafe(F.col("of")))
-    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 rows a source
+    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row to a bin
     bins = bins.withColumn("ahead", F.coalesce(F.sum("words").over(run), F.lit(0))).where("ahead < rest")
     edge = bins.groupBy("of").agg(F.max(F.struct("bin", "ahead", "rest")).alias("e")).select("of", F.col("e.bin").alias("edge"), "e.ahead", "e.rest")
     inside = keys.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge")))
@@ -76,9 +83,12 @@ def mix(df: DataFrame, weights: list[float], budget: float = 1.0, max_epochs: fl
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     small = checkpointed(rows.select("doc_id", "source", "size"))  # ids and sizes, read several times; texts pass once more only if they are kept
 
+    power = bin_power(small.count())
+
     def hashed(x: DataFrame) -> DataFrame:
-        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "doc_id"), 1)
-        return x.withColumn("h", h).withColumn("bin", F.shiftright("h", 53).cast("int"))
+        named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        h = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+        return x.withColumn("h", h).withColumn("bin", F.shiftright("h", HASH_BITS - power).cast("int"))
 
     goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     whole = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + 1e-12), F.lit(int(max_epochs)))
@@ -99,3 +109,30 @@ def mix(df: DataFrame, weights: list[float], budget: float = 1.0, max_epochs: fl
     more = F.when(F.col("long"), _within("first")).otherwise(_within("second")).cast("int")
     repeats = F.when(F.col("size") > 0, F.coalesce(F.col("whole"), F.lit(0)) + more).otherwise(0).cast("long")
     return every.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+
+
+def duckdb_sql(weights: list[float], budget: float, max_epochs: float, seed: int) -> str:
+    """``mix`` of ``documents`` in DuckDB SQL: the same fill and samples, by running sums over whole sources."""
+    w = ", ".join(str(float(x)) for x in weights)
+    running = lambda part: f"sum(words) OVER (PARTITION BY source, long ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - words / 2.0::DOUBLE AS {part}"
+    return f"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+    p AS (SELECT *, [{w}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1]::DOUBLE AS w, sum(source_size) OVER ()::BIGINT * {float(budget)}::DOUBLE AS total FROM s),
+    c AS (SELECT *, CASE WHEN w > 0 THEN source_size * {float(max_epochs)}::DOUBLE ELSE 0 END AS cap FROM p),
+    o AS (SELECT *, row_number() OVER (ORDER BY cap / nullif(w, 0) NULLS FIRST, source NULLS LAST) AS nth FROM c),
+    l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(w) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM o),
+    t AS (SELECT source, source_size, CASE WHEN (SELECT min(nth) FROM l WHERE cap > level * w) IS NULL THEN cap ELSE least(cap, w * (SELECT level FROM l WHERE nth = (SELECT min(nth) FROM l WHERE cap > level * w))) END AS target FROM l),
+    g AS (SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0) + 1e-12::DOUBLE), {int(max_epochs)})::BIGINT AS whole FROM t),
+    n AS (SELECT *, target - whole * source_size AS need FROM g),
+    k AS (SELECT d.source, ('0x' || substr(md5('{seed}:' || coalesce('s' || d.source, '') || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, d.doc_id, d.size, count(*) * d.size AS words, d.size * {LONG} > any_value(need) AS long
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source WHERE d.size > 0 GROUP BY 1, 2, 3, 4),
+    m AS (SELECT *, {running("mid")} FROM k),
+    a AS (SELECT n.source, any_value(need) * sum(words) / any_value(source_size) AS share FROM m JOIN n ON m.source IS NOT DISTINCT FROM n.source WHERE long GROUP BY 1),
+    x AS (SELECT m.*, mid < share AS first FROM m LEFT JOIN a ON m.source IS NOT DISTINCT FROM a.source AND long),
+    b AS (SELECT n.source, any_value(need) - coalesce(sum(CASE WHEN first THEN words END), 0) AS rest FROM n LEFT JOIN x ON x.source IS NOT DISTINCT FROM n.source GROUP BY 1),
+    y AS (SELECT x.source, doc_id, size, CASE WHEN long THEN first ELSE mid < rest END AS more FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source),
+    z AS (SELECT d.doc_id, d.size, n.source_size, n.target, CASE WHEN d.size > 0 THEN n.whole + more::BIGINT ELSE 0 END AS repeats
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN y ON y.source IS NOT DISTINCT FROM d.source AND y.doc_id IS NOT DISTINCT FROM d.doc_id AND y.size = d.size)
+    SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken, repeats::BIGINT AS repeats FROM z
+    """

@@ -128,6 +128,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.duckdb_sql([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)]), "op8_urls": urls.duckdb_sql(RULES)}
+    return {
+        "op1_chat": chat.duckdb_sql([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)]),
+        "op3_jaccard": jaccard.duckdb_sql(3, 90, 100),
+        "op7_mixing": mixing.duckdb_sql(WEIGHTS, 1.5, 2.0, SEED),
+        "op8_urls": urls.duckdb_sql(RULES),
+    }
 
 
