@@ -474,12 +474,21 @@ def test_private_odd(odd, empty):
 def test_sketch_query_against_brute_force(spark, sf):
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     got = {r.doc_id: r for r in Q.op10_sketch(spark, sf).collect()}
-    split = lambda s: {s[i : i + 16] for i in range(0, len(s), 16)}
+    split = lambda s: {s} if s[:1] == "~" else {s[i : i + 16] for i in range(0, len(s), 16)}
+
+    def near(a, b):
+        apart = [any(x[0] == "~" for x in s) for s in (a, b)]
+        if any(apart) or not a or not b:
+            return float(a == b)
+        return len(a & b) / min(len(a), len(b))
+
     for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1], strict=True):
         edited = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         a, b, c = split(got[i].fingerprint), split(got[i].edited_fingerprint), split(got[j].fingerprint)
-        assert got[i].near_edited == pytest.approx(len(a & b) / min(len(a), len(b))) and got[i].near_next == pytest.approx(len(a & c) / min(len(a), len(c)))
+        assert got[i].near_edited == pytest.approx(near(a, b)) and got[i].near_next == pytest.approx(near(a, c))
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert bool(a) == bool(words) and len(a) <= max(1, len(words) - 2)
     assert np.mean([r.near_edited for r in got.values()]) > 0.6
 
 
@@ -507,15 +516,32 @@ def test_sketch_keeps_below_a_fraction(spark):
     w = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
     df = spark.createDataFrame([(0, " ".join(w)), (1, " ".join(w[:1500])), (2, " ".join(w[1500:])), (3, "A  b"), (4, "a b"), (5, None), (6, " ")], "i int, text string")
     s = {r.i: r.sketch for r in sketch.fingerprints(df).collect()}
-    assert 0.8 < len(s[0]) / (5998 / 16) < 1.2 and set(s[1]) <= set(s[0]) and len(s[3]) == 1 and s[3] == s[4] and s[5] == s[6] == []
+    assert 0.8 < len(s[0].kept) / (5998 / 16) < 1.2 and set(s[1].kept) <= set(s[0].kept) and s[3] == s[4] and len(s[3].kept) + (s[3].least is not None) == 1
+    assert s[5] == s[6] and s[5].kept == [] and s[5].least is None
     both = sketch.fingerprints(df).where("i IN (0, 1)").groupBy().pivot("i", [0, 1]).agg(F.first("sketch"))
-    r = both.select(sketch.containment(F.col("1"), F.col("0")), sketch.likeness(F.col("1"), F.col("0")), sketch.merged(F.col("0"), F.col("1"))).first()
-    assert r[0] == r[1] == 1.0 and r[2] == s[0]
-    assert spark.range(1).select(sketch.likeness(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")), sketch.likeness(F.array(F.lit(1).cast("long")), F.array().cast("array<bigint>"))).first()[:] == (1.0, 0.0)
+    r = both.select(sketch.containment(F.col("1"), F.col("0")), sketch.likeness(F.col("1"), F.col("0")), sketch.merged(F.col("0"), F.col("1")).kept).first()
+    assert r[0] == r[1] == 1.0 and r[2] == s[0].kept
+
+
+def test_merged_sketch_is_that_of_all_shingles(spark):
+    rng = random.Random(3)
+    shingle = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(3))
+    texts = [None, "", shingle(), shingle(), shingle(), " ".join(shingle() for _ in range(5)), " ".join(shingle() for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    s = sketch.fingerprints(df)
+    pairs = s.alias("a").join(s.alias("b"), F.col("a.i") <= F.col("b.i"))
+    out = pairs.select(F.col("a.text").alias("x"), F.col("b.text").alias("y"), F.col("a.sketch").alias("s"), F.col("b.sketch").alias("t")).withColumn("m", sketch.merged(F.col("s"), F.col("t"))).withColumn("c", sketch.containment(F.col("s"), F.col("m"))).withColumn("l", sketch.likeness(F.col("s"), F.col("t"))).collect()
+    assert len(out) == 28
+    for r in out:
+        every = sorted({*r.s.kept, *r.t.kept})
+        rest = [x for x in (r.s.least, r.t.least) if x is not None]
+        assert r.m.kept == every and r.m.least == (min(rest) if rest and not every else None)
+        assert r.x != r.y or r.l == 1.0
+        assert r.s.kept == [] or r.c == 1.0
 
 
 def test_next_rows(spark, empty, odd):
-    for ids in ([5, 1, 9, 9, 3], list(range(50)), [10**15, 1, 2, 3], [7], [None, 1, 2]):
+    for ids in ([5, 1, 9, 9, 3], list(range(50)), [10**15, 1, 2, 3], [7], [None, 1, 2], [None, None], [4] * 9 + [-3, 5], [-(1 << 62), 1 << 62, 0, 1]):
         df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string")
         want = sorted(((i is not None, i or 0), f"t{n}") for n, i in enumerate(ids))
         got = {r.text: r.next_text for r in sketch.with_next(df, ["doc_id", "text"], ["text"], rows_each=2).collect()}
