@@ -1,14 +1,19 @@
 """Document quality by a linear-chain conditional random field over the lines of a document.
 
 Each line has shape features of its own and those of the lines before and behind it. The two-state chain
-(good, bad) is fitted by maximum likelihood with each line carrying the label of its document, on at most
-``max_train`` labelled documents (those with the least hash of their id: a bound on what the driver holds).
-Forward-backward gives the marginal of each line; the mean of the marginals, weighted by line length, goes
+(good, bad) is fitted by maximum likelihood. Only documents are labelled, so the labels of lines are found in rounds: at first each line
+has its document's; after a logistic fit on lines by themselves, without neighbours, those that look like the other kind take its label,
+the surest first, up to ``MINORITY`` of a document's length. The chain is fitted to the lines' labels, so switches are learnt where lines
+differ. Forward-backward gives the marginal of each line; the mean of the marginals, weighted by line length, goes
 through a one-variable logistic link, fitted on the same documents, to the score.
 
+Bounds of the sample that training sees (scoring has none): ``max_train`` labelled documents, those with the least hash of
+their id, and of these in that order as many as have ``max_lines`` lines together; documents that alone have more are left out.
+
 Defined results: a null text is empty; a document without any character that isn't white space scores the share of
 good labels; null or conflicting labels (mean exactly 1/2) are left out of training; several labels of one document
-count as their majority; without usable labels of both kinds every score is the share of good labels, or 0.5.
+count as their majority; of rows that repeat a labelled id the one whose text has the least digest is taken; without usable
+labels of both kinds every score is the share of good labels, or 0.5.
 Texts are read whole, whatever their length; neither id, language nor source is a feature.
 """
 
@@ -19,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import beside, map_texts, ship, slices, text_or_empty
+from ._common import beside, checkpointed, map_texts, ship, slices, text_or_empty
 
 OWN = 12
 #: own features, those of the line before and behind, whether there is one, and 1
@@ -111,42 +116,49 @@ def marginals(unary: list[float], switch: np.ndarray) -> list[float]:
     return out
 
 
-def raw_score(text: str, model: Model) -> float | None:
-    lines = lines_of(text)
-    if not lines:
-        return None
-    own, size = own_features(lines)
-    first = np.zeros(len(lines), bool)
-    first[0] = True
-    p = marginals((with_neighbours(own, first) @ model.weights).tolist(), model.switch)
-    return float(np.dot(p, size) / size.sum())
-
-
 def linked(mean: float | None, model: Model) -> float:
     if mean is None or model.link == (0.0, 0.0):
         return model.prior
     return float(1 / (1 + np.exp(-(model.link[0] + model.link[1] * mean))))
 
 
-def score_batch(texts: list[str], model: Model) -> list[float]:
-    """The scores of many documents; lines of all are featurised together."""
-    lines, owner = [], []
-    for i, t in enumerate(texts):
+def line_marginals(texts: list[str], model: Model) -> list[tuple[list[float], np.ndarray]]:
+    """P(good) of each line of each text and the lines' lengths in bytes; lines of all texts are featurised together."""
+    lines, count = [], []
+    for t in texts:
         own = lines_of(t)
         lines += own
-        owner += [i] * len(own)
+        count.append(len(own))
     if not lines:
-        return [model.prior] * len(texts)
+        return [([], np.zeros(0, np.int64))] * len(texts)
     own, size = own_features(lines)
-    at = np.array(owner)
-    first = np.concatenate(([True], at[1:] != at[:-1]))
+    ends = np.cumsum(count)
+    first = np.zeros(len(lines), bool)
+    first[(ends - count)[np.array(count) > 0]] = True
     own[:-1, 10] *= ~first[1:]
     unary = with_neighbours(own, first) @ model.weights
-    starts = np.flatnonzero(first)
-    out: list[float] = [model.prior] * len(texts)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lines)], strict=True):
-        p = marginals(unary[a:b].tolist(), model.switch)
-        out[owner[a]] = linked(float(np.dot(p, size[a:b]) / size[a:b].sum()), model)
+    return [(marginals(unary[e - n : e].tolist(), model.switch), size[e - n : e]) for e, n in zip(ends.tolist(), count, strict=True)]
+
+
+def score_of(p: list[float], size: np.ndarray, model: Model) -> float:
+    return linked(float(np.dot(p, size) / size.sum()) if p else None, model)
+
+
+def score_batch(texts: list[str], model: Model) -> list[float]:
+    return [score_of(p, size, model) for p, size in line_marginals(texts, model)]
+
+
+#: Rounds in which lines are labelled anew, the odds from which a line counts as of the other kind, and the share of a document's length that may.
+RELABELLED, SURE, MINORITY = 2, np.log(4.0), 0.45
+
+
+def relabelled(y: int, odds: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Labels of one document's lines, given its label and each line's log odds of being good."""
+    against = odds if y == 0 else -odds
+    order = np.argsort(-against, kind="stable")
+    fits = (against[order] > SURE) & (np.cumsum(size[order]) <= MINORITY * size.sum())
+    out = np.full(len(size), y)
+    out[order[np.logical_and.accumulate(fits)]] = 1 - y
     return out
 
 
@@ -162,14 +174,36 @@ def fit(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rou
     first = np.concatenate([[True] + [False] * (n - 1) for n in long])
     x = with_neighbours(np.concatenate([docs[i] for i in keep]), first)
     start = np.concatenate(([0], np.cumsum(long)[:-1]))
-    yl = np.repeat(y, long)
-    active = [int((long > k).sum()) for k in range(long[0])]
     # a document counts as much as sqrt of its number of lines, and both labels alike
     weight = 1 / np.sqrt(long)
     weight *= np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum()))
-    weight /= weight.sum()
-    wl = np.repeat(weight, long)
+    wl = np.repeat(weight / weight.sum(), long)
+    yl = np.repeat(y, long)
+    alone = np.concatenate((x[:, :OWN], x[:, -1:]), 1)
+    for _ in range(RELABELLED):
+        odds = alone @ _alone(alone, yl, wl, rounds, ridge)
+        yl = np.concatenate([relabelled(int(v), odds[a : a + n], sizes[i]) for v, a, n, i in zip(y, start, long, keep, strict=True)])
+    w, s = _chain(x, yl, wl, first, start, long, rounds, ridge)
+    mean = np.array([np.dot(marginals((x[a : a + n] @ w).tolist(), s), z := sizes[i]) / z.sum() for a, n, i in zip(start, long, keep, strict=True)])
+    return Model(w, s, _link(mean, y), prior)
+
+
+def _alone(x: np.ndarray, yl: np.ndarray, wl: np.ndarray, rounds: int, ridge: float) -> np.ndarray:
+    """The weights of a logistic regression of the lines' labels, by damped Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds // 10):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (wl * (p - yl)) + ridge * 1e-2 * w
+        h = (x * (wl * p * (1 - p))[:, None]).T @ x + ridge * 1e-2 * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(h, g), -4, 4)
+    return w
+
+
+def _chain(x: np.ndarray, yl: np.ndarray, wl: np.ndarray, first: np.ndarray, start: np.ndarray, long: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, switch) for lines x labelled yl and weighed wl; documents in descending order of their number of lines ``long``."""
     w, s = np.zeros(WIDTH), np.zeros((2, 2))
+    active = [int((long > k).sum()) for k in range(long[0])]
+    inner = np.flatnonzero(~first)
     moments = [np.zeros(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), np.zeros((2, 2))]
     for step in range(1, rounds + 1):
         u = np.clip(x @ w, -30, 30)
@@ -189,20 +223,17 @@ def fit(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rou
         odds = ahead * back
         p = odds / (1 + odds)
         gw = x.T @ (wl * (p - yl)) + ridge * 1e-2 * w
-        inner = np.flatnonzero(~first)
         q, r = e[inner] * back[inner], ahead[inner - 1]
         joint = np.stack([np.full_like(q, t[0, 0]), q * t[0, 1], r * t[1, 0], r * q * t[1, 1]], 1)
         joint /= joint.sum(1, keepdims=True)
         seen = np.zeros_like(joint)
-        seen[np.arange(len(inner)), 3 * yl[inner]] = 1
+        seen[np.arange(len(inner)), 2 * yl[inner - 1] + yl[inner]] = 1
         gs = (wl[inner, None] * (joint - seen)).sum(0).reshape(2, 2) + ridge * s
         for g, v, m, z in ((gw, w, 0, 1), (gs, s, 2, 3)):
             moments[m] = 0.9 * moments[m] + 0.1 * g
             moments[z] = 0.99 * moments[z] + 0.01 * g * g
             v -= 0.08 * (moments[m] / (1 - 0.9**step)) / (np.sqrt(moments[z] / (1 - 0.99**step)) + 1e-9)
-    chain = Model(w, s, prior=prior)
-    mean = np.array([np.dot(m := marginals((x[a : a + n] @ w).tolist(), s), z := sizes[i]) / z.sum() if m else 0 for a, n, i in zip(start, long, keep, strict=True)])
-    return Model(chain.weights, chain.switch, _link(mean, y), prior)
+    return w, s
 
 
 def _link(mean: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -216,39 +247,55 @@ def _link(mean: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 4000) -> Model:
-    """Fits on at most ``max_train`` documents; only their line features reach the driver."""
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 4000, max_lines: int = 400_000) -> Model:
+    """Fits on at most ``max_train`` documents of ``max_lines`` lines together; only their line features (56 bytes a line) reach the driver."""
     ship()
     each = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.avg(F.col(label).cast("double")).alias("__y"))
     some = each.where("__y <> 0.5").select("__id", (F.col("__y") > 0.5).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    found = df.join(F.broadcast(some), F.col(doc_id) == F.col("__id")).select("__id", "__y", text_or_empty(text).alias("__text"))
+    found = df.join(F.broadcast(some), F.col(doc_id) == F.col("__id")).select("__id", "__y", text_or_empty(text).alias("__text"), F.sha2(text_or_empty(text), 256).alias("__sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 rows = []
                 for t in part.column(2).to_pylist():
-                    if lines := lines_of(t):
+                    lines = lines_of(t)
+                    if 0 < len(lines) <= max_lines:
                         own, size = own_features(lines)
                         rows.append((own.astype(np.float32).tobytes(), size.tobytes()))
                     else:
                         rows.append((b"", b""))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "y", "own", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "y", "sha", "own", "size"])
 
-    rows = sorted({r.id: r for r in found.mapInArrow(run, "id long, y int, own binary, size binary").collect()}.values(), key=lambda r: r.id)
+    featured = found.mapInArrow(run, "id long, y int, sha string, own binary, size binary")
+    one = checkpointed(featured.groupBy("id").agg(F.min(F.struct("sha", "y", "own", "size")).alias("r")).select("id", "r.*", F.xxhash64("id").alias("h")))
+    # sums over at most max_train pairs of an id and a number decide which rows are collected
+    upto = one.select("id", F.sum(F.length("size") / 8).over(Window.orderBy("h", "id")).alias("upto"))
+    rows = sorted(one.join(F.broadcast(upto.where(F.col("upto") <= max_lines).select("id")), "id").select("id", "y", "own", "size").collect(), key=lambda r: r.id)
     docs = [np.frombuffer(r.own, np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
     return fit(docs, [np.frombuffer(r.size, np.int64) for r in rows], np.array([r.y for r in rows], int))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``df`` and ``score``, which comes last and takes the place of one of that name."""
-    keep, kept = beside(df, "score")
+def score(df: DataFrame, model: Model, text: str = "text", lines: str | None = None) -> DataFrame:
+    """All columns of ``df`` and ``score``, which comes last and takes the place of one of that name.
+
+    ``lines``: the name of one more column, array<struct<good: float, n_bytes: int>>: the marginal and the length of each line that isn't blank,
+    in order; a line is labelled good if its marginal is 1/2 or more.
+    """
+    made = ["score", *([lines] if lines else [])]
+    keep, kept = beside(df, *made)
+    kind = pa.struct([("good", pa.float32()), ("n_bytes", pa.int32())])
 
     def work():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            scores = score_batch(part.column(part.num_columns - 1).to_pylist(), model)
-            return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
+            found = line_marginals(part.column(part.num_columns - 1).to_pylist(), model)
+            cols = [pa.array([score_of(p, size, model) for p, size in found], pa.float64())]
+            if lines:
+                at = np.concatenate(([0], np.cumsum([len(p) for p, _ in found]))).astype(np.int32)
+                flat = [pa.array(np.concatenate([np.asarray(f[i], t) for f in found]), k) for i, t, k in ((0, np.float32, pa.float32()), (1, np.int32, pa.int32()))]
+                cols.append(pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(flat, fields=list(kind))))
+            return pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], [*keep, *made])
 
         return step
 
-    return map_texts(df, keep, text, work, kept + "score double")
+    return map_texts(df, keep, text, work, kept + "score double" + (f", `{lines}` array<struct<good:float,n_bytes:int>>" if lines else ""))

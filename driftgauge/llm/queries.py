@@ -41,8 +41,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    scored = quality.score(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = quality.score(docs, model, lines="lines")
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: x.good >= 0.5)).cast("long").alias("n_good_lines"),
+    )
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,69 @@ def test_quality_odd(spark, odd, empty):
     assert np.allclose(list(one), [many[0], many[2]])
 
 
+def _chained(unary, switch):
+    """Marginals of good by sums over logs of both messages."""
+    n, logs = len(unary), np.logaddexp
+    f, b = np.zeros((n, 2)), np.zeros((n, 2))
+    for i in range(n):
+        own = np.array([0.0, np.clip(unary[i], -30, 30)])
+        f[i] = own + (logs(f[i - 1, 0] + switch[0], f[i - 1, 1] + switch[1]) if i else 0)
+    for i in range(n - 2, -1, -1):
+        nxt = b[i + 1] + np.array([0.0, np.clip(unary[i + 1], -30, 30)])
+        b[i] = [logs(*(switch[s] + nxt)) for s in (0, 1)]
+    t = f + b
+    return np.exp(t[:, 1] - logs(t[:, 0], t[:, 1]))
+
+
+def test_quality_query_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model, got = quality.train(docs, labels), {r.doc_id: r for r in Q.op2_quality(spark, sf).collect()}
+    assert model.link != (0.0, 0.0) and len(got) == docs.count()
+    for r in docs.collect():
+        lines = [x for x in (r.text or "").split("\n") if x.strip()]
+        want, p = model.prior, np.zeros(0)
+        if lines:
+            own, size = quality.own_features(lines)
+            x = np.zeros((len(lines), quality.WIDTH))
+            for i in range(len(lines)):
+                x[i] = [*own[i], *(own[i - 1] if i else 0 * own[0]), *(own[i + 1] if i + 1 < len(lines) else 0 * own[0]), i > 0, i + 1 < len(lines), 1]
+            p = _chained(x @ model.weights, model.switch)
+            want = 1 / (1 + np.exp(-model.link[0] - model.link[1] * (p * size).sum() / sum(len(t.encode()) for t in lines)))
+        g = got[r.doc_id]
+        assert g.score == pytest.approx(want, abs=1e-9) and g.predicted == (g.score >= 0.5) and g.n_lines == len(lines)
+        assert g.n_good_lines in {int((p >= 0.5 + e).sum()) for e in (-1e-6, 0, 1e-6)}
+
+
+def test_quality_learns_where_lines_differ(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice("the river runs past old houses and then a quiet mill stands near many green trees".split()) for _ in range(rng.randrange(9, 16))) + "."
+    bad = lambda: "$$$ " + " ".join(rng.choice(["BUY", "NOW!!!", "###", "WIN", "$$$", "!!!"]) for _ in range(rng.randrange(3, 7)))
+    rows = []
+    for i in range(300):
+        kinds = [i % 2] * 9
+        if i % 3 == 0:
+            kinds[3 : 6 if i % 2 else 4] = [1 - i % 2] * (3 if i % 2 else 1)  # some lines of the other kind, the lesser part of the length
+        rows.append((i, "\n".join(good() if k else bad() for k in kinds), kinds))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    out = quality.score(df, model, lines="l").where("doc_id >= 200").collect()
+    right = [(x.good >= 0.5) == bool(k) for r in out for x, k in zip(r.l, rows[r.doc_id][2], strict=True)]
+    assert np.mean(right) > 0.95 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in out)
+    lines = {r.doc_id: [x.n_bytes for x in r.l] for r in out}
+    assert all(lines[i] == [len(t) for t in text.split("\n")] for i, text, _ in rows[200:])
+
+
+def test_quality_sample_is_bounded_and_repeatable(spark):
+    rows = [(i % 40, f"line {i} of text\n" * (1 + i % 5) + ("!!! $$$ ###\n" if i % 2 else "and words")) for i in range(120)] + [(100, "x\n" * 5000)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)] + [(100, 1)], "doc_id long, quality int")
+    a, b = quality.train(df, labels), quality.train(df.orderBy(F.desc("text")).repartition(5), labels)
+    assert np.allclose(a.weights, b.weights) and a.link == pytest.approx(b.link)
+    few = quality.train(df, labels, max_lines=60)
+    assert not np.allclose(a.weights, few.weights) and quality.train(df, labels, max_lines=0).link == (0.0, 0.0)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 def _set(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
