@@ -456,6 +456,26 @@ def test_urls(spark):
         urls.train(tuple(("x", 1) for _ in range(urls.MOST_ROWS + 1)))
 
 
+def test_urls_model_on_words_and_places_not_in_its_table(spark):
+    hosts = {re.match(r"[^:]*://([^/?#]*)", r.url)[1].lower() for sf in ("0.01", "0.1") for r in spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").where("url LIKE '%://%'").collect()}
+    table = urls.labelled()
+    assert not {re.match("[^/]*", t)[0] for t, _ in table} & hosts and len(table) < urls.MOST_ROWS and not set(urls.BLOCKED) & set(urls.ALLOWED)
+
+    def blocked(train, held):
+        w, b = urls.train(tuple(train))
+        z = [b + sum(w[g] for g in urls._grams([ord(c) for c in f"^{t}$"])) >= 0 for t, _ in held]
+        return [np.mean([v for v, (_, y) in zip(z, held, strict=True) if y == k]) for k in (1, 0)]
+
+    words = [list(dict.fromkeys(x)) for x in (urls.BLOCKED, urls.ALLOWED)]
+    unseen = [blocked(urls.labelled(*[[w for i, w in enumerate(x) if i % 5 != f] for x in words]), urls.labelled(*[x[f::5] for x in words])) for f in range(5)]
+    caught, wrong = np.mean(unseen, 0)
+    assert caught > 0.25 and wrong < 0.04
+    n = len(urls.PLACES)
+    places = [blocked([r for i, r in enumerate(table) if i % n != j], table[j::n]) for j in range(n)]
+    caught, wrong = np.mean(places, 0)
+    assert caught > 0.85 and wrong < 0.01
+
+
 def test_urls_against_duckdb(spark, sf):
     import duckdb
 
