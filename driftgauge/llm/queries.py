@@ -74,6 +74,7 @@ def op5_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.format_string("frames=%d samples=%d rate=%d table=%s/%d/%s crc=%d/%d resyncs=%d junk=%d tags=%s last=%d", "frames", "samples", "rate", "vbr_table", "table_frames", "table_ok", "crc_ok", "crc_bad", "resyncs", "junk_bytes", F.array_join("tags", "+"), F.element_at("frame_offsets", -1)).alias("feature"),
         "seconds",
+        F.sha2(F.array_join("frame_offsets", ","), 256).alias("frame_offsets_sha256"),
     )
 
 
