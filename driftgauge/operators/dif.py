@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p, wald_z
+from .ordered import running
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, p: str = "p", by: list[str] | None = None) -> DataFrame:
     """``tests`` with ``rejected``, over all rows or each group ``by``.
 
-    A p-value's rank is the number of values up to it, so only distinct values are ordered: counts are summed first, and
-    the ordered rows are as many as the distinct p-values of a group. Rejection by the cutoff's value is safe under ties.
+    A p-value's rank is the number of values up to it. Equal values are counted first, and ranks are running sums over buckets of
+    values, so no task orders the whole grid. Rejection by the cutoff's value is safe under ties.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be in (0, 1)")
     by = by or []
     counts = tests.groupBy(*by, p).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("k", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
+    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    ranked = running(counts, by, p, {"k": "c"})
+    ranked = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # one row
     cut = ranked.groupBy(*by).agg(F.max(F.when(F.col(p) <= alpha * F.col("k") / F.col("n"), F.col(p))).alias("cutoff"))
     joined = tests.join(cut, by) if by else tests.crossJoin(F.broadcast(cut))  # one row
     return joined.withColumn("rejected", F.coalesce(F.col(p) <= F.col("cutoff"), F.lit(False))).drop("cutoff")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals
 from ..functions.stats import logistic, needed
+from .ordered import medians, running
 
 MERGE = 1e-9
 
@@ -17,27 +18,36 @@ MERGE = 1e-9
 def _check(pi: float, tau: float, inflate: float = 0.0) -> None:
     if not 0 < pi <= 1:
         raise ValueError("pi must be in (0, 1]")
-    if tau < 0 or inflate < 0:
-        raise ValueError("tau and inflate must not be negative")
+    if not (0 <= tau < float("inf") and 0 <= inflate < float("inf")):
+        raise ValueError("tau and inflate must be finite and not negative")
+
+
+def checked(drift: DataFrame, delta: str = "delta") -> DataFrame:
+    """``drift``, whose rows fail when they are read if a value is null, NaN or infinite."""
+    fine = F.coalesce(F.abs(F.col(delta)) < float("inf"), F.lit(False))
+    return drift.where(F.assert_true(fine, F.lit("drift must be finite")).isNull())
 
 
 def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language", delta: str = "delta") -> DataFrame:
     """(by, lo, hi): the maximal stretches of u where at least ceil(pi n) of the intervals delta -+ tau overlap, by an event sweep.
 
-    Opening ends sort before closing ones at the same place, so closed intervals that touch overlap. One sort per language.
+    Opening ends sort before closing ones at the same place, so closed intervals that touch overlap. Equal ends are counted first;
+    how many intervals are open is a running sum over buckets of places, so a language isn't ordered in one task.
     """
     _check(pi, tau)
     k = drift.groupBy(by).agg(needed(pi, F.count(F.lit(1))).alias("k"))
-    events = drift.select(by, F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "e.*")
-    sweep = Window.partitionBy(by).orderBy("pos", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = events.withColumn("open", F.sum("kind").over(sweep)).join(k, by)
-    ends = run.where(((F.col("kind") == 1) & (F.col("open") == F.col("k"))) | ((F.col("kind") == -1) & (F.col("open") == F.col("k") - 1)))
-    in_turn = Window.partitionBy(by).orderBy("pos", F.desc("kind"))
-    return ends.withColumn("hi", F.lead("pos").over(in_turn)).where("kind = 1").select(by, F.col("pos").alias("lo"), "hi")
+    events = checked(drift, delta).select(by, F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "e.*")
+    events = events.groupBy(by, "pos", "kind").agg(F.sum("kind").alias("c")).withColumn("turn", -F.col("kind"))
+    run = running(events, [by], "pos", {"open": "c"}, ["turn"]).join(k, by)
+    before = F.col("open") - F.col("c")
+    ends = run.where(((before < F.col("k")) & (F.col("open") >= F.col("k"))) | ((before >= F.col("k")) & (F.col("open") < F.col("k"))))
+    # the n-th place where enough intervals are open and the n-th where they no longer are make a part
+    numbered = running(ends.withColumn("fresh", (F.col("kind") == 1).cast("int")), [by], "pos", {"nth": "fresh"}, ["turn"])
+    return numbered.groupBy(by, "nth").agg(F.max(F.when(F.col("kind") == 1, F.col("pos"))).alias("lo"), F.max(F.when(F.col("kind") == -1, F.col("pos"))).alias("hi")).drop("nth")
 
 
 def merged_parts(parts: DataFrame, by: str = "language", slack: float = MERGE) -> DataFrame:
-    """Parts whose distance is ``slack`` at most become one: islands by a running maximum."""
+    """Parts whose distance is ``slack`` at most become one: islands by a running maximum. The parts of one set are few: they become one row."""
     before = Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = F.coalesce((F.col("lo") > F.max("hi").over(before) + slack).cast("int"), F.lit(1))
@@ -88,8 +98,19 @@ def bound_summary(bounds: DataFrame, by: str = "language") -> DataFrame:
 
 def median_anchor(drift: DataFrame, by: str = "language", source: str | None = None, delta: str = "delta") -> DataFrame:
     """(by, c): the shift that gives each language's drift a median of 0; exact, 0 for the source."""
-    c = -F.median(delta)
-    return drift.groupBy(by).agg((c if source is None else F.when(F.col(by) == F.lit(source), 0.0).otherwise(c)).alias("c"))
+    c = -F.col("__m")
+    return medians(checked(drift, delta), [by], delta, "__m").select(by, (c if source is None else F.when(F.col(by) == F.lit(source), 0.0).otherwise(c)).alias("c"))
+
+
+def certified_anchor(drift: DataFrame, certified: DataFrame, by: str = "language", delta: str = "delta") -> DataFrame:
+    """(by, c): the shift that gives the certified items (by, item) of each language a mean drift of 0."""
+    return drift.join(certified.select(by, "item").distinct(), [by, "item"], "left_semi").groupBy(by).agg((-F.avg(delta)).alias("c"))
+
+
+def stabbing_counts(points: DataFrame, drift: DataFrame, tau: float, by: str = "language", delta: str = "delta") -> DataFrame:
+    """(by, c, n): how many items of its language each shift (by, c) leaves within tau. Compares all pairs of a language: for a few points, and to check sets."""
+    _check(1.0, tau)
+    return points.join(drift.select(by, F.col(delta).alias("__d")), by, "left").groupBy(by, "c").agg(F.sum(F.coalesce((F.abs(F.col("__d") + F.col("c")) <= tau).cast("long"), F.lit(0))).alias("n"))
 
 
 def anchored_gaps(gaps: DataFrame, anchors: DataFrame, by: str = "language") -> DataFrame:
@@ -122,5 +143,30 @@ def drift_se(predicted: DataFrame) -> DataFrame:
 
 
 def centred(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """``value`` less its mean over each group: difference in differences, sum-zero drift."""
-    return values.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+    """``value`` less its mean over each group: difference in differences, sum-zero drift. Means are aggregated and joined back, so a hot group isn't gathered."""
+    means = values.groupBy(*by).agg(F.avg(value).alias("__mean"))
+    return values.join(means, list(by)).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
+
+
+def normalised(ability: DataFrame, difficulty: DataFrame, drift: DataFrame, source: str | int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ability, difficulty, drift) under one normalisation that keeps every logit: drift (item, language, delta) is 0 at the source and has mean 0
+    in each language, and source abilities have mean 0.
+
+    Drift at the source moves into difficulty, each language's mean drift into its abilities, and the mean source ability into difficulty.
+    """
+    is_source = F.col("language") == F.lit(source)
+    base = drift.where(is_source).select("item", F.col("delta").alias("__base"))
+    d = drift.join(base, "item", "left").withColumn("delta", F.col("delta") - F.coalesce("__base", F.lit(0.0))).drop("__base")
+    b = difficulty.join(base, "item", "left").withColumn("b", F.col("b") + F.coalesce("__base", F.lit(0.0))).drop("__base")
+    means = d.groupBy("language").agg(F.avg("delta").alias("__mean"))
+    d = d.join(means, "language").withColumn("delta", F.when(is_source, 0.0).otherwise(F.col("delta") - F.col("__mean"))).drop("__mean")
+    a = ability.join(means, "language", "left").withColumn("theta", F.col("theta") - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
+    centre = F.broadcast(a.where(is_source).agg(F.avg("theta").alias("__centre")))  # one row
+    return a.crossJoin(centre).withColumn("theta", F.col("theta") - F.col("__centre")).drop("__centre"), b.crossJoin(centre).withColumn("b", F.col("b") - F.col("__centre")).drop("__centre"), d
+
+
+def rescaled(ability: DataFrame, difficulty: DataFrame, drift: DataFrame, source: str | int, floor: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A two-parameter fit with source abilities of unit sample sd: abilities, difficulty and drift divided by it, ``a`` multiplied, so that logits stay."""
+    sd = F.broadcast(ability.where(F.col("language") == F.lit(source)).agg(F.greatest(F.stddev_samp("theta"), F.lit(floor)).alias("__sd")))  # one row
+    by = lambda t, *cols: t.crossJoin(sd).withColumns({c: F.col(c) * F.col("__sd") if c == "a" else F.col(c) / F.col("__sd") for c in cols}).drop("__sd")
+    return by(ability, "theta"), by(difficulty, "b"), by(drift, "delta", "a")

@@ -66,12 +66,32 @@ def last_rows(items: DataFrame, order: str, item: str = "item_id", lang: str = "
 
 
 def missing_cells(seen: DataFrame, *axes: str) -> DataFrame:
-    """Combinations of the axes' values that don't occur: the axes are small dimensions, their product is the design."""
-    design = None
-    for a in axes:
-        values = seen.select(a).distinct()
-        design = values if design is None else design.crossJoin(values)
-    return design.join(seen.select(*axes).distinct(), list(axes), "left_anti")
+    """Combinations of the axes' values that don't occur. Only combinations of the first axes (small dimensions) that lack a value of the
+    last one are expanded, so a complete design costs two aggregations."""
+    cells = seen.select(*axes).distinct()
+    *first, last = axes
+    values = seen.select(last).distinct()
+    if not first:
+        return values.limit(0)
+    design = seen.select(first[0]).distinct()
+    for a in first[1:]:
+        design = design.crossJoin(seen.select(a).distinct())
+    held = cells.groupBy(*first).agg(F.count(F.lit(1)).alias("__held"))
+    short = design.join(held, first, "left").crossJoin(F.broadcast(values.agg(F.count(F.lit(1)).alias("__all")))).where(F.coalesce("__held", F.lit(0)) < F.col("__all")).select(*first)
+    return short.crossJoin(values).join(cells, list(axes), "left_anti")
+
+
+def require_source(cells: DataFrame, source: str | int, language: str = "language") -> None:
+    """Raises unless the source language occurs: without it nothing says where drift is 0."""
+    if cells.where(F.col(language) == F.lit(source)).isEmpty():
+        raise ValueError(f"the source language {source!r} isn't there")
+
+
+def require_complete(cells: DataFrame, *axes: str) -> None:
+    """Raises if a combination of the axes' values is missing."""
+    gone = missing_cells(cells, *axes)
+    if some := gone.limit(5).collect():
+        raise ValueError("the panel isn't crossed: without " + "; ".join(", ".join(f"{a} {r[a]}" for a in axes) for r in some))
 
 
 def set_differences(shards: DataFrame, reference: DataFrame, item: str = "item_id", by: tuple[str, ...] = ("model", "language")) -> DataFrame:
@@ -79,7 +99,7 @@ def set_differences(shards: DataFrame, reference: DataFrame, item: str = "item_i
     ref = reference.select(item).distinct()
     have = shards.select(*by, item).distinct().join(ref.withColumn("__ref", F.lit(1)), item, "left")
     sums = have.groupBy(*by).agg(F.sum(F.when(F.col("__ref").isNull(), 1).otherwise(0)).alias("extra"), F.sum(F.coalesce("__ref", F.lit(0))).alias("__hit"))
-    return sums.join(F.broadcast(ref.agg(F.count(F.lit(1)).alias("__n")))).select(*by, "extra", (F.col("__n") - F.col("__hit")).alias("missing"))
+    return sums.crossJoin(F.broadcast(ref.agg(F.count(F.lit(1)).alias("__n")))).select(*by, "extra", (F.col("__n") - F.col("__hit")).alias("missing"))
 
 
 def duplicates(cells: DataFrame, *key: str) -> DataFrame:

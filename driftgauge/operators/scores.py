@@ -20,9 +20,9 @@ def accuracy(responses: DataFrame, *by: str, correct: str = "correct") -> DataFr
 
 
 def source_gap(values: DataFrame, value: str, source: str, model: str = "model", language: str = "language", gap: str = "gap") -> DataFrame:
-    """value at the source language less value, per model."""
-    at_source = F.max(F.when(F.col(language) == F.lit(source), F.col(value))).over(Window.partitionBy(model))
-    return values.withColumn(gap, at_source - F.col(value))
+    """value at the source language less value, per model; null for a model without the source."""
+    at = values.where(F.col(language) == F.lit(source)).groupBy(model).agg(F.max(value).alias("__at"))
+    return values.join(at, model, "left").withColumn(gap, F.col("__at") - F.col(value)).drop("__at")
 
 
 def unparseable_rate(responses: DataFrame, *by: str, predicted: str = "predicted") -> DataFrame:
@@ -91,6 +91,27 @@ def option_rows(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "language", "option", "stem", F.concat("stem", F.lit(" "), "text").alias("prompt"))
 
 
+def letter_groups(encode: Callable[[str], list[int]], n_options: int, letters: str = "ABCDEFGHIJ") -> list[list[int]]:
+    """The token ids that may stand for each letter, for ``group_best``: of the letter alone its first token, behind a blank, a line break
+    or the mark U+2581 its last. ``encode`` gives a text's ids without special tokens; a form that it can't encode is left out."""
+    if not 0 < n_options <= len(letters):
+        raise ValueError(f"between 1 and {len(letters)} options")
+    groups = []
+    for letter in letters[:n_options]:
+        found = set()
+        for before in ("", " ", "\n", "\u2581"):
+            try:
+                ids = list(encode(before + letter))
+            except Exception:  # noqa: BLE001, S112 - any tokenizer may refuse a form
+                continue
+            if ids:
+                found.add(ids[-1 if before else 0])
+        if not found:
+            raise ValueError(f"the tokenizer has no token for {letter}")
+        groups.append(sorted(found))
+    return groups
+
+
 class Scorer(Protocol):
     """Made once per partition; gets a pandas frame of items with prompts and returns their score columns."""
 
@@ -113,6 +134,6 @@ def scored(items: DataFrame, make: Callable[[], Scorer], schema: str, mode: str
 
 
 def length_ratio(docs: DataFrame, base: str, lang: str = "lang", length: str = "n_chars") -> DataFrame:
-    """(lang, mean_length, ratio): mean length by language against a base language."""
+    """(lang, mean_length, ratio): mean length by language against a base language; ``length`` is any column of lengths, characters or tokens."""
     means = docs.groupBy(lang).agg(F.avg(length).alias("mean_length"))
     return means.withColumn("ratio", F.try_divide("mean_length", F.max(F.when(F.col(lang) == base, F.col("mean_length"))).over(Window.partitionBy())))

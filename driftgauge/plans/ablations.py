@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.drift import breakeven, drift_se, predictor
+from ..operators.ordered import medians
+from ..operators.panel import common_panel
 from ..operators.scores import degenerate
 
 
@@ -51,7 +54,6 @@ def kendall(values: DataFrame, x: str, y: str, unit: str, by: list[str]) -> Data
 
 def scoring_modes(first: DataFrame, second: DataFrame, source: str, **kw) -> DataFrame:
     """``agreement`` of two response tables on their common models and languages, after fitting both."""
-    from ..operators.panel import common_panel
     from .fit import fit
 
     a, b = common_panel(first, second, "model", "language", least={"model": 4, "language": 3})
@@ -60,6 +62,46 @@ def scoring_modes(first: DataFrame, second: DataFrame, source: str, **kw) -> Dat
     return agreement(rest(fa.drift), rest(fb.drift), rest(fa.gaps), rest(fb.gaps))
 
 
+def breakeven_of_modes(modes: dict[str, DataFrame], source, n_boot: int = 20, tau: float = 0.30, seed: int = 0) -> DataFrame:
+    """One row per scoring mode, on the models and languages that both modes have: the report's break-even with bootstrap errors.
+
+    (mode, n_models, n_languages, median_ratio over finite ratios, n_below_1sd, drift_sd, mean_gap, median_delta_se, tau_effective).
+    """
+    from .fit import bootstrap_errors, fit, point
+
+    (name_a, a), (name_b, b) = modes.items()
+    a, b = common_panel(a, b, "model", "language", least={"model": 1, "language": 1})
+    out = None
+    for name, cells in ((name_a, a), (name_b, b)):
+        boot = fit(cells, source, n_boot, seed)
+        rest = lambda d: d.where(F.col("language") != F.lit(source))
+        one, se = point(boot), bootstrap_errors(boot)[0].withColumn("se", F.greatest("se", F.lit(1e-6)))
+        d, g = rest(one.drift.join(se, ["item", "language"])), rest(one.gaps)
+        ratio = F.when(F.col("ratio") < float("inf"), F.col("ratio"))
+        per = breakeven(g, d).agg(F.count(F.lit(1)).alias("n_languages"), F.median(ratio).alias("median_ratio"), F.count(F.when(F.col("ratio") < 1, 1)).alias("n_below_1sd"), F.avg("drift_sd").alias("drift_sd"))
+        row = g.agg(F.count_distinct("model").alias("n_models"), F.avg("gap").alias("mean_gap")).crossJoin(per).crossJoin(medians(d, [], "se", "median_delta_se"))
+        row = row.select(F.lit(name).alias("mode"), "n_models", "n_languages", "median_ratio", "n_below_1sd", "drift_sd", "mean_gap", "median_delta_se", (tau + 2 * F.col("median_delta_se")).alias("tau_effective"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def translation_arms(arms: dict[str, DataFrame], source) -> DataFrame:
+    """``dispersion`` of two translations of a benchmark on their common models and languages (items differ), each fitted by itself, with analytic errors of drift."""
+    from .fit import fit, point
+
+    (name_a, a), (name_b, b) = arms.items()
+    a, b = common_panel(a, b, "model", "language", least={"model": 4, "language": 3})
+    drifts = gaps = None
+    for name, cells in ((name_a, a), (name_b, b)):
+        one = point(fit(cells, source))
+        seen = one.drift.select("item", "language").join(one.ability.select("model", "language"), "language")
+        se = drift_se(predictor(seen, one.ability, one.difficulty, one.drift))
+        rest = lambda d: d.where(F.col("language") != F.lit(source)).withColumn("arm", F.lit(name))  # noqa: B023, E731
+        d, g = rest(one.drift.join(se, ["item", "language"])), rest(one.gaps)
+        drifts, gaps = (d, g) if drifts is None else (drifts.union(d), gaps.union(g))
+    return dispersion(drifts, gaps)
+
+
 def benchmark_wins(losses: DataFrame) -> DataFrame:
     """Cross-validation records: losses (benchmark, seed, irt_model, loss) to means per class, gain and winner."""
     of = lambda m: F.avg(F.when(F.col("irt_model") == m, F.col("loss")))

@@ -1,8 +1,9 @@
 """Item-response fits: Rasch from group margins, and Rasch or two-parameter fits by gradient steps.
 
 A crossed Rasch panel decouples by language, and each language's fit needs only its margins: the score of each model
-and of each item. ``margins`` gathers those in one aggregation whatever the number of bootstrap replicates, then solves
-each (replicate, language) in a worker, on distinct scores only. ``adam`` takes the cells themselves, one worker per
+and of each item. ``fit`` gathers those in one aggregation whatever the number of bootstrap replicates, and solves
+each (replicate, language) in a worker from the models' scores and how many items have each score: no more rows than models, whatever the
+number of items. Items get their solution by their score. ``adam`` takes the cells themselves, one worker per
 replicate or seed; it serves two-parameter fits, incomplete panels and parity, within one worker's memory.
 
 Fitted values follow one normalisation: drift is 0 at the source and has mean 0 in each language; the source abilities
@@ -11,13 +12,17 @@ have mean 0. Abilities are known up to a shift per language, which the drift ope
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import panel
+from ..session import cut
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -39,26 +44,29 @@ def resamples(models: list, n_boot: int, seed: int = 0) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["model", "rep", "weight"])
 
 
-def solve_margins(score: np.ndarray, times: np.ndarray, item_score: np.ndarray, ridge_theta: float = 2e-4, ridge_beta: float = 2e-3, most: int = 500, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """(theta, beta) of one language: ``score`` of each model over all items, counted ``times``; ``item_score`` over the weighted models. beta has mean 0.
+def solve_margins(score: np.ndarray, times: np.ndarray, item_score: np.ndarray, item_times: np.ndarray | None = None, ridge_theta: float = 2e-4, ridge_beta: float = 2e-3, most: int = 500, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(theta, beta) of one language: ``score`` of each model over all items, counted ``times``; ``item_score`` over the weighted models, counted ``item_times``. beta has mean 0.
 
-    Only distinct scores are solved. A small ridge keeps models and items that are always right or wrong finite.
+    Only distinct scores are solved. A small ridge towards the mean keeps models and items that are always right or wrong finite; at the end the
+    penalised score equations hold.
     """
-    n_items, total = len(item_score), float(times.sum())
+    item_times = np.ones(len(item_score)) if item_times is None else item_times
+    n_items, total = float(item_times.sum()), float(times.sum())
     r, r_at = np.unique(score, return_inverse=True)
     s, s_at = np.unique(item_score, return_inverse=True)
-    w, c = np.bincount(r_at, times, minlength=len(r)), np.bincount(s_at, minlength=len(s)).astype(float)
+    w, c = np.bincount(r_at, times, minlength=len(r)), np.bincount(s_at, item_times, minlength=len(s))
     clip = lambda p: np.log(np.clip(p, 0.02, 0.98) / (1 - np.clip(p, 0.02, 0.98)))
     theta, beta = clip(r / n_items), -clip(s / max(total, 1.0))
     used = w > 0
+    theta[~used] = 0.0
     for _ in range(most):
         p = 1 / (1 + np.exp(-(theta[:, None] - beta[None, :])))
         v = p * (1 - p)
-        step_t = (r - p @ c - ridge_theta * n_items * theta) / (v @ c + ridge_theta * n_items)
+        step_t = (r - p @ c - ridge_theta * n_items * (theta - theta @ w / max(total, 1.0))) / (v @ c + ridge_theta * n_items)
         theta = theta + np.clip(step_t, -1, 1)
         p = 1 / (1 + np.exp(-(theta[:, None] - beta[None, :])))
         v = p * (1 - p)
-        step_b = (w @ p - s - ridge_beta * total * beta) / (w @ v + ridge_beta * total)
+        step_b = (w @ p - s - ridge_beta * total * (beta - beta @ c / n_items)) / (w @ v + ridge_beta * total)
         beta = beta + np.clip(step_b, -1, 1)
         mean = float(beta @ c) / n_items
         beta, theta = beta - mean, theta - mean
@@ -67,50 +75,102 @@ def solve_margins(score: np.ndarray, times: np.ndarray, item_score: np.ndarray,
     return theta[r_at], beta[s_at]
 
 
-def fit(responses: DataFrame, source, n_boot: int = 0, seed: int = 0) -> Fit:
-    """Margins fit of crossed ``responses`` (model, item, language, correct); replicates 1 .. n_boot resample models. Models are a small dimension."""
+def fit(responses: DataFrame, source, n_boot: int = 0, seed: int = 0, by: list[str] | None = None) -> Fit:
+    """Margins fit of crossed ``responses`` (model, item, language, correct); replicates 1 .. n_boot resample models. Models are a small dimension.
+
+    The source must be there and the panel crossed (``require_complete``): both are checked. With ``by`` each group of these columns is
+    a panel of its own, which the tables then name too; groups aren't resampled.
+    """
+    by = by or []
+    if by and n_boot:
+        raise ValueError("panels by group aren't resampled")
     spark = responses.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in responses.schema}
-    models = [r[0] for r in responses.select("model").distinct().orderBy("model").collect()]
-    drawn = resamples(models, n_boot, seed)
-    wide = drawn.pivot(index="model", columns="rep", values="weight").reset_index()
-    wide.columns = ["model", *[f"w{i}" for i in range(n_boot + 1)]]
-    weights = spark.createDataFrame(wide).withColumn("model", F.col("model").cast(kind["model"]))
-    reps = range(n_boot + 1)
-    y = responses.select("model", "item", "language", F.col("correct").cast("long").alias("y"))
-    # all replicates in one pass over the cells, with map-side sums
-    items = y.join(F.broadcast(weights), "model").groupBy("item", "language").agg(*[F.sum(F.col("y") * F.col(f"w{i}")).alias(f"s{i}") for i in reps])
-    items = items.select("item", "language", F.posexplode(F.array(*[F.col(f"s{i}") for i in reps])).alias("rep", "score"))
-    people = responses.select("model", "language", F.col("correct").cast("long").alias("y")).groupBy("model", "language").agg(F.sum("y").alias("score"))
-    people = people.join(F.broadcast(spark.createDataFrame(drawn).withColumn("model", F.col("model").cast(kind["model"]))), "model")
-
-    out = f"rep int, language {kind['language']}, model {kind['model']}, item {kind['item']}, weight long, value double"
-
-    def solve(key: tuple, models_: pd.DataFrame, items_: pd.DataFrame) -> pd.DataFrame:
-        theta, beta = solve_margins(models_["score"].to_numpy(float), models_["weight"].to_numpy(float), items_["score"].to_numpy(float))
-        a = pd.DataFrame({"model": models_["model"], "item": None, "weight": models_["weight"], "value": theta})
-        b = pd.DataFrame({"model": None, "item": items_["item"], "weight": 1, "value": beta})
+    y = responses.select(*by, "model", "item", "language", F.col("correct").cast("long").alias("y"))
+    plain = cut(y.groupBy(*by, "model", "language").agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n")))
+    if not by:
+        panel.require_source(plain, source)
+    _crossed(plain, by)
+    if n_boot:
+        models = [r[0] for r in plain.select("model").distinct().orderBy("model").collect()]
+        drawn = resamples(models, n_boot, seed)
+        wide = drawn.pivot(index="model", columns="rep", values="weight").reset_index()
+        wide.columns = ["model", *[f"w{i}" for i in range(n_boot + 1)]]
+        each = lambda frame: _few(spark.createDataFrame(frame).withColumn("model", F.col("model").cast(kind["model"])))
+        # all replicates in one pass over the cells, with map-side sums
+        items = y.join(each(wide), "model").groupBy("item", "language").agg(*[F.sum(F.col("y") * F.col(f"w{i}")).alias(f"s{i}") for i in range(n_boot + 1)])
+        items = items.select("item", "language", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(n_boot + 1)])).alias("rep", "score"))
+        people = plain.join(each(drawn), "model").withColumn("rep", F.col("rep").cast("int"))
+    else:
+        items = y.groupBy(*by, "item", "language").agg(F.sum("y").alias("score")).withColumn("rep", F.lit(0))
+        people = plain.withColumn("rep", F.lit(0)).withColumn("weight", F.lit(1).cast("long"))
+    key = [*by, "rep", "language"]
+    items = cut(items.select(*key, "item", "score"))
+    people = people.select(*key, "model", "score", "weight")
+    counts = items.groupBy(*key, "score").agg(F.count(F.lit(1)).alias("times"))
+    typed = ", ".join([*(f"`{c}` {kind[c]}" for c in by), "rep int", f"language {kind['language']}"])
+
+    def solve(at: tuple, models_: pd.DataFrame, items_: pd.DataFrame) -> pd.DataFrame:
+        theta, beta = solve_margins(models_["score"].to_numpy(float), models_["weight"].to_numpy(float), items_["score"].to_numpy(float), items_["times"].to_numpy(float))
+        a = pd.DataFrame({"model": models_["model"], "score": None, "weight": models_["weight"], "value": theta})
+        b = pd.DataFrame({"model": None, "score": items_["score"], "weight": 1, "value": beta})
         # typed nulls, so that either kind of row converts
-        frame = pd.concat([a.astype({"item": "object"}), b.astype({"model": "object"})], ignore_index=True)
-        frame["rep"], frame["language"] = key
-        return frame[["rep", "language", "model", "item", "weight", "value"]]
-
-    solved = people.toDF("model", "lang", "score", "r", "weight").withColumn("r", F.col("r").cast("int")).groupBy("r", "lang").cogroup(items.groupBy("rep", "language")).applyInPandas(solve, out).persist()
-    theta = solved.where("model IS NOT NULL").select("rep", "language", "model", "weight", F.col("value").alias("theta"))
-    beta = solved.where("item IS NOT NULL").select("rep", "language", "item", F.col("value").alias("beta"))
+        frame = pd.concat([a.astype({"score": "object"}), b.astype({"model": "object"})], ignore_index=True)
+        for i, c in enumerate(key):
+            frame[c] = at[i]
+        return frame[[*key, "model", "score", "weight", "value"]]
+
+    people = people.toDF(*[f"of_{c}" for c in key], "model", "score", "weight")  # names of its own, as both sides come from the same cells
+    solved = cut(people.groupBy(*[f"of_{c}" for c in key]).cogroup(counts.groupBy(*key)).applyInPandas(solve, f"{typed}, model {kind['model']}, score long, weight long, value double"))
+    theta = solved.where("model IS NOT NULL").select(*key, "model", "weight", F.col("value").alias("theta"))
+    beta = items.join(solved.where("model IS NULL").select(*key, "score", F.col("value").alias("beta")), [*key, "score"]).select(*key, "item", "beta")
+    own = [*by, "rep"]
     at = theta.where(F.col("language") == F.lit(source))
-    centre = at.groupBy("rep").agg((F.sum(F.col("theta") * F.col("weight")) / F.sum("weight")).alias("centre"))
-    gaps = theta.join(at.select("rep", "model", F.col("theta").alias("top")), ["rep", "model"]).select("rep", "model", "language", "weight", (F.col("top") - F.col("theta")).alias("gap"))
-    base = beta.where(F.col("language") == F.lit(source)).select("rep", "item", F.col("beta").alias("b"))
-    drift = beta.join(base, ["rep", "item"]).select("rep", "item", "language", (F.col("beta") - F.col("b")).alias("delta"))
+    centre = at.groupBy(*own).agg((F.sum(F.col("theta") * F.col("weight")) / F.sum("weight")).alias("centre"))
+    gaps = theta.join(at.select(*own, "model", F.col("theta").alias("top")), [*own, "model"]).select(*own, "model", "language", "weight", (F.col("top") - F.col("theta")).alias("gap"))
+    base = beta.where(F.col("language") == F.lit(source)).select(*own, "item", F.col("beta").alias("b"))
+    drift = beta.join(base, [*own, "item"]).select(*own, "item", "language", (F.col("beta") - F.col("b")).alias("delta"))
     return Fit(
-        theta.join(F.broadcast(centre), "rep").select("rep", "model", "language", (F.col("theta") - F.col("centre")).alias("theta")),
-        base.join(F.broadcast(centre), "rep").select("rep", "item", (F.col("b") - F.col("centre")).alias("b")),
+        theta.join(centre, own).select(*own, "model", "language", (F.col("theta") - F.col("centre")).alias("theta")),
+        base.join(centre, own).select(*own, "item", (F.col("b") - F.col("centre")).alias("b")),
         drift,
         gaps,
     )
 
 
+def _few(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table made on the driver, broadcast if it is small."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def _crossed(margins: DataFrame, by: list[str]) -> None:
+    """Raises unless in each panel every model has as many cells in every language: ``margins`` is (by, model, language, n)."""
+    own = margins.groupBy(*by).agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.count_distinct("model") * F.count_distinct("language") - F.count(F.lit(1))).alias("gone"))
+    if own.where("least <> most OR gone > 0").limit(1).count():
+        raise ValueError("the panel isn't crossed: some model or language lacks cells")
+
+
+def bootstrap(responses: DataFrame, source, fit_fn: Callable[..., DataFrame] | None = None, n_boot: int = 20, seed: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+    """((item, language, se), (language, gap_se)) over ``n_boot`` resamples of the models, each fitted by ``fit_fn``.
+
+    ``fit_fn(cells, source, by=["rep"], **kw)`` gets (rep, model, item, language, correct), a model that was drawn twice as two models, and returns
+    (rep, kind, model, item, language, value) as ``fit_cells`` does, which is the default (``model="2pl"`` for two parameters). For Rasch fits
+    of crossed panels ``fit`` is much cheaper.
+    """
+    spark = responses.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in responses.schema}["model"]
+    models = [r[0] for r in responses.select("model").distinct().orderBy("model").collect()]
+    drawn = resamples(models, n_boot, seed)
+    drawn = drawn[(drawn.rep > 0) & (drawn.weight > 0)].reset_index(drop=True)
+    table = spark.createDataFrame(drawn).select(F.col("model").cast(kind).alias("model"), F.col("rep").cast("int").alias("rep"), F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("copy"))
+    cells = responses.join(_few(table), "model").select("rep", F.concat_ws("#", F.col("model").cast("string"), "copy").alias("model"), "item", "language", "correct")
+    found = cut((fit_fn or fit_cells)(cells, source, by=["rep"], **kw))
+    drift_se = found.where("kind = 'delta'").groupBy("item", "language").agg(F.stddev_samp("value").alias("se"))
+    theta = found.where("kind = 'theta'").groupBy("rep", "language").agg(F.avg("value").alias("m"))
+    top = theta.where(F.col("language") == F.lit(source)).select("rep", F.col("m").alias("top"))
+    return drift_se, theta.join(top, "rep").groupBy("language").agg(F.stddev_samp(F.col("top") - F.col("m")).alias("gap_se"))
+
+
 def point(f: Fit, rep: int = 0) -> Fit:
     """One replicate's parameters, without the replicate column."""
     one = lambda d: d.where(F.col("rep") == rep).drop("rep", "weight")
@@ -244,15 +304,22 @@ def fit_cells(responses: DataFrame, source, by: list[str] | None = None, **kw) -
     return responses.groupBy(*[F.col(c) for c in by] or [F.lit("all")]).applyInPandas(run, schema)
 
 
+def kept(holdout: float) -> Column:
+    """Whether a cell (seed, model, item, language) is fitted and not held out: a number of its MD5 digest is at least ``holdout``."""
+    if not 0 <= holdout < 1:
+        raise ValueError("holdout must be in [0, 1)")
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "seed", "model", "item", "language")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return u >= holdout
+
+
 def crossval(responses: DataFrame, source, seeds: tuple[int, ...] = (0, 1, 2), holdout: float = 0.10, steps: int = 4000) -> DataFrame:
     """(seed, irt_model, loss): held-out log loss of both model classes; each (seed, class) runs in its own worker.
 
-    A cell is held out by its hash with the seed, so that the mask needs no shared generator.
+    A cell is held out by its hash with the seed (``kept``), so that the mask needs no shared generator.
     """
     spark = responses.sparkSession
     runs = spark.createDataFrame([(s, m) for s in seeds for m in ("rasch", "2pl")], "seed int, irt_model string")
-    u = F.pmod(F.xxhash64("seed", "model", "item", "language"), F.lit(1 << 20)) / float(1 << 20)
-    cells = responses.crossJoin(F.broadcast(runs)).withColumn("keep", u >= holdout)
+    cells = responses.crossJoin(F.broadcast(runs)).withColumn("keep", kept(holdout))  # six runs
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         axes = [sorted(f[c].unique()) for c in ("model", "item", "language")]

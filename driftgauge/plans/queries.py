@@ -12,6 +12,8 @@ from ..functions import numerals
 from ..functions.stats import erfc_sql, log_loss, logistic
 from ..operators import dif, drift, panel, scores
 from ..sources import views as V
+from . import oracles as O
+from .claims import CLAIMS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def r6(c: str | F.Column) -> F.Column:
     return F.round(c, 6)
 
@@ -197,8 +203,7 @@ _ETA = f"(SELECT a.model, d.item, a.language, a.theta - b.b - d.delta AS eta FRO
 @query(f"SELECT item, language, round(1 / sqrt(greatest(sum(p * (1 - p)), 1e-12)), 6) AS se FROM (SELECT item, language, 1 / (1 + exp(-eta)) AS p FROM {_ETA}) GROUP BY 1, 2")
 def fisher_se(spark, sf):
     ability, b = V.parameters(spark, sf)
-    # the design is ability x drift; abilities are models x languages, a small dimension
-    cells = V.drift(spark, sf).join(F.broadcast(ability), "language").join(b, "item").withColumn("eta", F.col("theta") - F.col("b") - F.col("delta"))
+    cells = V.drift(spark, sf).join(ability, "language").join(b, "item").withColumn("eta", F.col("theta") - F.col("b") - F.col("delta"))
     return drift.drift_se(cells).select("item", "language", r6("se").alias("se"))
 
 
@@ -226,12 +231,7 @@ def dif_counts(spark, sf):
     return t.select("language", "n_tested", long("n_rejected").alias("n_rejected"), r6("frac_rejected").alias("frac_rejected"))
 
 
-# the other formulation: between the ranks j and j + k - 1 of sorted drift
-_PARTS = f"""(WITH d AS (SELECT language, delta, row_number() OVER (PARTITION BY language ORDER BY delta) AS j, ceil({PI} * count(*) OVER (PARTITION BY language) - 1e-9)::BIGINT AS k FROM {V.DRIFT} WHERE language <> 0),
-  s AS (SELECT a.language, b.delta - {TAU} AS lo, a.delta + {TAU} AS hi FROM d a JOIN d b ON a.language = b.language AND b.j = a.j + a.k - 1 WHERE b.delta - a.delta <= 2 * {TAU}),
-  m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY language ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-9 THEN 0 ELSE 1 END AS fresh FROM s),
-  i AS (SELECT *, sum(fresh) OVER (PARTITION BY language ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
-  SELECT language, -max(hi) AS lo, -min(lo) AS hi FROM i GROUP BY language, island)"""
+_PARTS = O.parts(V.DRIFT, str(PI), str(TAU), V.SOURCE)
 
 
 @query(f"SELECT language, count(*) AS n_parts, round(min(lo), 6) + 0.0 AS lo, round(max(hi), 6) + 0.0 AS hi, round(sum(hi - lo), 6) AS measure FROM {_PARTS} GROUP BY 1")
@@ -347,54 +347,132 @@ def accuracy_grouping_sets(spark, sf):
 def accuracy_decomposition(spark, sf):
     ability, b = V.parameters(spark, sf)
     d = V.drift(spark, sf)
-    cells = d.join(F.broadcast(ability), "language").join(b, "item").withColumn("p", logistic(F.col("theta") - F.col("b") - F.col("delta")))
+    cells = d.join(ability, "language").join(b, "item").withColumn("p", logistic(F.col("theta") - F.col("b") - F.col("delta")))
     p = cells.groupBy("item", "language").agg(F.avg("p").alias("p"), F.first("delta").alias("d"))
     g = V.gaps(spark, sf).groupBy("language").agg(F.avg("gap").alias("gap"))
     w = F.col("p") * (1 - F.col("p"))
-    return p.join(F.broadcast(g), "language").groupBy("language").agg(r6(F.avg(w) * F.avg("gap") + F.avg(w * F.col("d"))).alias("total"))
+    return p.join(g, "language").groupBy("language").agg(r6(F.avg(w) * F.avg("gap") + F.avg(w * F.col("d"))).alias("total"))
 
 
+# fits: the SQL solves the same score equations by its own recursion --------------------------------------------------
+MODELS = list(range(25))  # fixed value: the keys of nation
+_SHARES = f"(SELECT model, language, share FROM {V.GAPS})"
 
 
-# fits: iterative, so without SQL; tested on panels of known truth ----------------------------------------------------
-@query()
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) + F.lit(0.0) for n in names})
+
+
+@query(f"WITH RECURSIVE {O.fit_ctes(V.crossed_sql())} SELECT model, language, round(gap, 6) + 0.0 AS gap FROM gaps")
 def rasch_gap(spark, sf):
     """Fitted gap of each model and language."""
     from .fit import fit, point
 
-    return point(fit(V.crossed(spark, sf), V.SOURCE)).gaps.select("model", "language", r6("gap").alias("gap"))
+    return rounded(point(fit(V.crossed(spark, sf), V.SOURCE)).gaps.select("model", "language", "gap"), "gap")
 
 
-@query()
+@query(f"WITH RECURSIVE {O.fit_ctes(V.crossed_sql())} SELECT item, language, round(delta, 6) + 0.0 AS delta, round(b, 6) + 0.0 AS b FROM drift JOIN difficulty USING (rep, item)")
+def rasch_drift(spark, sf):
+    """Fitted drift and difficulty of each item, centred by language, source abilities with mean 0."""
+    from .fit import fit, point
+
+    one = point(fit(V.crossed(spark, sf), V.SOURCE))
+    return rounded(one.drift.join(one.difficulty, "item").select("item", "language", "delta", "b"), "delta", "b")
+
+
+@query(f"SELECT model, language, sum(correct)::BIGINT AS score, 0.0::DOUBLE AS residual FROM {V.crossed_sql()} GROUP BY 1, 2")
+def score_equations(spark, sf):
+    """What is left of each model's penalised score equation at the fit, to five digits: 0."""
+    from .fit import fit, point
+
+    y = V.crossed(spark, sf)
+    one = point(fit(y, V.SOURCE))
+    cells = y.join(one.ability, ["model", "language"]).join(one.difficulty, "item").join(one.drift, ["item", "language"])
+    left = cells.groupBy("model", "language").agg(F.sum("correct").alias("score"), F.sum(F.col("correct") - logistic(F.col("theta") - F.col("b") - F.col("delta"))).alias("left"), F.count(F.lit(1)).alias("n"), F.first("theta").alias("theta"))
+    left = drift.centred(left.withColumn("off", F.col("theta")), "off", "language")
+    return left.select("model", "language", "score", (F.round(F.col("left") - 2e-4 * F.col("n") * F.col("off"), 5) + F.lit(0.0)).alias("residual"))
+
+
+@query(f"WITH RECURSIVE {O.fit_ctes(V.crossed_sql(), 20, MODELS)}, {O.boot_ctes()} SELECT item, language, round(se, 6) + 0.0 AS se FROM se")
 def boot_se(spark, sf):
     """Bootstrap errors of drift over 20 resamples of the models."""
     from .fit import bootstrap_errors, fit
 
-    return bootstrap_errors(fit(V.crossed(spark, sf), V.SOURCE, n_boot=20))[0].select("item", "language", r6("se").alias("se"))
+    return rounded(bootstrap_errors(fit(V.crossed(spark, sf), V.SOURCE, n_boot=20))[0].select("item", "language", "se"), "se")
 
 
-@query()
-def analysis_report(spark, sf):
-    """The flagship report on the crossed panel."""
+def _report(spark, sf):
     from .report import analyse
 
-    g = V.gaps(spark, sf).select("model", "language", F.col("share").alias("mode_share"))
-    return analyse(V.crossed(spark, sf), V.SOURCE, g).rows
+    return analyse(V.crossed(spark, sf), V.SOURCE, V.gaps(spark, sf).select("model", "language", F.col("share").alias("mode_share")))
 
 
-@query()
+@query(f"WITH RECURSIVE {O.report_ctes(V.crossed_sql(), _SHARES, MODELS)} SELECT {', '.join(O.WHOLE)}, {O.rounded(O.ROUNDED)} FROM rows")
+def analysis_report(spark, sf):
+    """The flagship report on the crossed panel."""
+    return rounded(_report(spark, sf).rows, *O.ROUNDED).select(*O.WHOLE, *O.ROUNDED)
+
+
+@query(f"WITH RECURSIVE {O.report_ctes(V.crossed_sql(), _SHARES, MODELS)} {O.summary()}")
 def analysis_summary(spark, sf):
-    from .report import analyse
+    return rounded(_report(spark, sf).summary, *O.SUMMARY_ROUNDED)
 
-    return analyse(V.crossed(spark, sf), V.SOURCE).summary
 
+_SECOND_CELLS = V.crossed_sql("second")
 
-@query()
+
+@query(f"""WITH RECURSIVE {O.fit_ctes(V.crossed_sql(), x="a_")}, {O.fit_ctes(_SECOND_CELLS, x="b_")}, c AS (SELECT a.language, corr(a.delta, b.delta) AS r FROM a_drift a JOIN b_drift b USING (item, language) WHERE a.language <> 0 GROUP BY 1),
+  g AS (SELECT language, avg(a.gap) AS a, avg(b.gap) AS b FROM a_gaps a JOIN b_gaps b USING (model, language) WHERE language <> 0 GROUP BY 1)
+  SELECT round((SELECT avg(r) FROM c), 6) AS drift_corr_mean, round((SELECT min(r) FROM c), 6) AS drift_corr_min, (SELECT count(*) FROM g) AS n_languages, round(corr(a, b), 6) AS gap_corr, round(avg(abs(a - b)), 6) AS gap_mean_abs_diff, round(avg(a), 6) AS gap_a_mean, round(avg(b), 6) AS gap_b_mean FROM g""")
 def scoring_modes(spark, sf):
     """Agreement of two fitted panels of the same cells."""
     from .ablations import scoring_modes as report
 
-    return report(V.crossed(spark, sf), V.crossed(spark, sf, "second"), V.SOURCE)
+    return rounded(report(V.crossed(spark, sf), V.crossed(spark, sf, "second"), V.SOURCE), "drift_corr_mean", "drift_corr_min", "gap_corr", "gap_mean_abs_diff", "gap_a_mean", "gap_b_mean")
+
+
+# of the second panel models 20 and more, and language 4, are left out, so that the modes share a part
+_FEWER = f"(SELECT * FROM {V.crossed_sql()} WHERE model < 20 AND language < 4)"
+_FEWER_SECOND = f"(SELECT * FROM {_SECOND_CELLS} WHERE model < 20 AND language < 4)"
+
+
+def _mode_sql(name: str, x: str) -> str:
+    return f"""SELECT '{name}' AS mode, (SELECT count(DISTINCT model) FROM {x}g) AS n_models, count(*) AS n_languages, round(median(CASE WHEN sd > 0 THEN abs(gap) / sd END), 6) AS median_ratio, count(CASE WHEN sd > 0 AND abs(gap) / sd < 1 THEN 1 END) AS n_below_1sd, round(avg(sd), 6) AS drift_sd, round((SELECT avg(gap) FROM {x}g WHERE language <> 0), 6) AS mean_gap,
+      round((SELECT median(se) FROM {x}d WHERE language <> 0), 6) AS median_delta_se, round(0.3 + 2 * (SELECT median(se) FROM {x}d WHERE language <> 0), 6) AS tau_effective
+      FROM (SELECT language, avg(gap) AS gap FROM {x}g GROUP BY 1) JOIN (SELECT language, sqrt(greatest(var_pop(delta) - avg(se * se), 0)) AS sd FROM {x}d GROUP BY 1) USING (language) WHERE language <> 0"""
+
+
+@query(f"WITH RECURSIVE {O.fit_ctes(_FEWER, 10, MODELS[:20], 'a_')}, {O.boot_ctes('a_')}, {O.fit_ctes(_FEWER_SECOND, 10, MODELS[:20], 'b_')}, {O.boot_ctes('b_')} {_mode_sql('letter', 'a_')} UNION ALL {_mode_sql('loglik', 'b_')}")
+def breakeven_of_modes(spark, sf):
+    """Break-even under two scoring modes, on the models and languages that both have."""
+    from .ablations import breakeven_of_modes as report
+
+    second = V.crossed(spark, sf, "second").where("model < 20 AND language < 4")
+    return rounded(report({"letter": V.crossed(spark, sf), "loglik": second}, V.SOURCE, n_boot=10), "median_ratio", "drift_sd", "mean_gap", "median_delta_se", "tau_effective")
+
+
+def _arm_ctes(name: str, x: str, cells: str) -> str:
+    return f"""{O.fit_ctes(cells, x=x)}, {x}n AS (SELECT item, d.language, 1 / sqrt(greatest(sum(p * (1 - p)), 1e-12)) AS se, any_value(delta) AS delta FROM (SELECT d.item, d.language, delta, 1 / (1 + exp(b + delta - theta)) AS p FROM {x}drift d JOIN {x}ability USING (language) JOIN {x}difficulty f ON f.item = d.item) d GROUP BY 1, 2),
+      {x}row AS (SELECT '{name}' AS arm, max(n) AS n_items, round(avg(sd), 6) AS drift_sd_mean, round(avg(gap), 6) AS gap_mean, round(median(CASE WHEN sd > 0 THEN abs(gap) / sd ELSE 'inf'::DOUBLE END), 6) AS breakeven_in_sd_median FROM (SELECT language, count(*) AS n, sqrt(greatest(var_pop(delta) - avg(se * se), 0)) AS sd FROM {x}n GROUP BY 1) JOIN (SELECT language, avg(gap) AS gap FROM {x}gaps GROUP BY 1) USING (language) WHERE language <> 0)"""
+
+
+@query(f"WITH RECURSIVE {_arm_ctes('machine', 'a_', f'(SELECT * FROM {_FEWER} WHERE item % 2 = 0)')}, {_arm_ctes('human', 'b_', f'(SELECT * FROM {_FEWER_SECOND} WHERE item % 2 = 1)')} SELECT * FROM a_row UNION ALL SELECT * FROM b_row")
+def translation_arms(spark, sf):
+    """Two translations with items of their own, fitted on common models and languages, with analytic errors."""
+    from .ablations import translation_arms as report
+
+    human = V.crossed(spark, sf, "second").where("model < 20 AND language < 4 AND item % 2 = 1")
+    return rounded(report({"machine": V.crossed(spark, sf).where("item % 2 = 0"), "human": human}, V.SOURCE), "drift_sd_mean", "gap_mean", "breakeven_in_sd_median")
+
+
+@query(f"SELECT seed, count(CASE WHEN u < 0.1 THEN 1 END) AS held_out, count(CASE WHEN u >= 0.1 THEN 1 END) AS kept FROM (SELECT seed, ('0x' || substr(md5(seed || ':' || model || ':' || item || ':' || language), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {V.crossed_sql()}, (SELECT unnest([0, 1, 2]) AS seed)) GROUP BY 1")
+def holdout_mask(spark, sf):
+    """How many cells each seed's mask holds out."""
+    from .fit import kept
+
+    seeds = spark.range(3).select(F.col("id").cast("int").alias("seed"))
+    cells = V.crossed(spark, sf).crossJoin(F.broadcast(seeds)).withColumn("k", kept(0.1))  # three rows
+    return cells.groupBy("seed").agg(F.count(F.when(~F.col("k"), 1)).alias("held_out"), F.count(F.when(F.col("k"), 1)).alias("kept"))
 
 
 @query()
@@ -407,9 +485,280 @@ def crossval_losses(spark, sf):
     return crossval(cells, first)
 
 
-@query()
+_LOSSES = f"(SELECT 'b' || model AS benchmark, language AS seed, 'rasch' AS irt_model, abs(gap) AS loss FROM {V.GAPS} UNION ALL SELECT 'b' || model, language, '2pl', abs(gap - 0.1) FROM {V.GAPS})"
+
+
+@query(f"SELECT *, winner = '2pl' AS won, sum((winner = '2pl')::INT) OVER ()::BIGINT AS wins_2pl FROM (SELECT benchmark, round(r, 6) AS loss_rasch, round(t, 6) AS loss_2pl, round(r - t, 6) + 0.0 AS gain, CASE WHEN r - t > 0 THEN '2pl' ELSE 'rasch' END AS winner FROM (SELECT benchmark, avg(CASE WHEN irt_model = 'rasch' THEN loss END) AS r, avg(CASE WHEN irt_model = '2pl' THEN loss END) AS t FROM {_LOSSES} GROUP BY 1))")
+def benchmark_wins(spark, sf):
+    """Cross-validation records by benchmark, with the winning model class."""
+    from .ablations import benchmark_wins as report
+
+    g = V.gaps(spark, sf).select(F.concat(F.lit("b"), "model").alias("benchmark"), F.col("language").alias("seed"), "gap")
+    losses = g.select("benchmark", "seed", F.lit("rasch").alias("irt_model"), F.abs("gap").alias("loss")).union(g.select("benchmark", "seed", F.lit("2pl"), F.abs(F.col("gap") - 0.1)))
+    return rounded(report(losses), "loss_rasch", "loss_2pl", "gain").withColumn("won", F.col("winner") == "2pl").withColumn("wins_2pl", long("wins_2pl"))
+
+
+# sets, anchors, normalisation ----------------------------------------------------------------------------------------
+@query(f"SELECT language, count(*) AS n_points, sum(n)::BIGINT AS total, max(n) AS most FROM (SELECT language, c, count(CASE WHEN abs(delta + c) <= 0.3 + 1e-9 THEN 1 END) AS n FROM {V.DRIFT}, (SELECT unnest(range(-8, 9)) / 8.0::DOUBLE AS c) GROUP BY 1, 2) GROUP BY 1")
+def stabbing_counts(spark, sf):
+    """How many drifts each of 17 shifts brings within the tolerance."""
+    d = V.drift(spark, sf)
+    points = d.select("language").distinct().crossJoin(F.broadcast(spark.range(-8, 9).select((F.col("id") / 8).alias("c"))))  # 17 rows
+    return drift.stabbing_counts(points, d, TAU + 1e-9).groupBy("language").agg(F.count(F.lit(1)).alias("n_points"), F.sum("n").alias("total"), F.max("n").alias("most"))
+
+
+@query(f"SELECT language, round(-avg(delta), 6) + 0.0 AS c FROM {V.DRIFT} WHERE item % 3 = 0 GROUP BY 1")
+def certified_anchor(spark, sf):
+    d = V.drift(spark, sf)
+    return rounded(drift.certified_anchor(d, d.where("item % 3 = 0").select("language", "item")), "c")
+
+
+@query(" UNION ALL ".join(f"SELECT 'pi = {p}' AS series, language, {t}::DOUBLE AS tau, round(max(hi) - min(lo), 6) AS width FROM {O.parts(V.DRIFT, str(p), str(t), V.SOURCE)} GROUP BY language" for p in (0.3, 0.6) for t in (0.2, 0.4)))
+def set_widths(spark, sf):
+    """The series of the figure of identified widths."""
+    from .claims import set_widths as series
+
+    return rounded(series(V.drift(spark, sf).where(F.col("language") != V.SOURCE), (0.3, 0.6), (0.2, 0.4)), "width")
+
+
+@query(f"""WITH s AS (SELECT language, list({{'lo': lo, 'hi': hi}} ORDER BY lo) AS p FROM {_PARTS} GROUP BY 1), e AS (SELECT *, p[1].lo AS lo, p[len(p)].hi AS hi, list_sum(list_transform(p, lambda x: x.hi - x.lo)) AS m, len(list_filter(p, lambda x: x.lo <= 0 AND x.hi >= 0)) > 0 AS zero FROM s)
+  SELECT language, zero AS contains_zero, round(lo, 6) + 0.0 AS hull_lo, round(hi, 6) + 0.0 AS hull_hi, round(hi - lo, 6) AS width, round(m, 6) AS measure, round(lo + 0.25, 6) + 0.0 AS shifted_lo, round(hi + 0.25, 6) + 0.0 AS shifted_hi, round(-hi, 6) + 0.0 AS negated_lo, round(-lo, 6) + 0.0 AS negated_hi,
+  round(CASE WHEN -lo < lo THEN greatest(m, 0) + m WHEN -hi > hi THEN 2 * m ELSE NULL END, 6) AS apart FROM e""")
+def interval_algebra(spark, sf):
+    """Hull, width, measure, shift and mirror image of identified sets; the union of a set with its mirror image has twice its measure where they are apart."""
+    from ..functions import intervals as S
+
+    p = F.col("parts")
+    s = drift.identified_sets(V.drift(spark, sf), PI, TAU, source=V.SOURCE).where((F.col("language") != V.SOURCE) & ~F.col("refuted"))
+    both = S.measure(S.union(p, S.negate(p)))
+    apart = (S.hull(p)["lo"] > -S.hull(p)["lo"]) | (S.hull(p)["hi"] < -S.hull(p)["hi"])
+    return rounded(
+        s.select("language", S.contains(p, 0.0).alias("contains_zero"), S.hull(p)["lo"].alias("hull_lo"), S.hull(p)["hi"].alias("hull_hi"), S.width(p).alias("width"), S.measure(p).alias("measure"), S.hull(S.shift(p, 0.25))["lo"].alias("shifted_lo"), S.hull(S.shift(p, 0.25))["hi"].alias("shifted_hi"),
+                 S.hull(S.negate(p))["lo"].alias("negated_lo"), S.hull(S.negate(p))["hi"].alias("negated_hi"), F.when(apart, both).alias("apart")),
+        "hull_lo", "hull_hi", "width", "measure", "shifted_lo", "shifted_hi", "negated_lo", "negated_hi", "apart",
+    )
+
+
+# drift that isn't normalised: the source's isn't 0, nor are the means
+_LOOSE = f"(SELECT item, language, delta + item % 7 / 10.0::DOUBLE + language AS delta FROM {V.DRIFT})"
+
+
+@query(f"""WITH l AS {_LOOSE}, s AS (SELECT item, delta AS base FROM l WHERE language = 0), d AS (SELECT item, language, delta - base AS delta FROM l JOIN s USING (item)), m AS (SELECT language, avg(delta) AS mean FROM d GROUP BY 1), a AS (SELECT model, language, theta - mean AS theta FROM {V.ABILITY} JOIN m USING (language)), c AS (SELECT avg(theta) AS centre, stddev_samp(theta) AS sd FROM a WHERE language = 0)
+  SELECT language, round(avg(delta - mean), 6) + 0.0 AS mean_drift, round(stddev_pop(delta), 6) AS drift_sd, round(stddev_pop(delta) / any_value(sd), 6) AS scaled_drift_sd, round(any_value(ab) - any_value(centre), 6) + 0.0 AS mean_ability, round((any_value(ab) - any_value(centre)) / any_value(sd), 6) + 0.0 AS scaled_ability, round(any_value(db) - any_value(centre), 6) + 0.0 AS mean_difficulty, round(any_value(sd) * 1.25, 6) AS scaled_a
+  FROM d JOIN m USING (language) JOIN (SELECT language, avg(theta) AS ab FROM a GROUP BY 1) USING (language), c, (SELECT avg(b + base) AS db FROM {V.DIFFICULTY} JOIN s USING (item)) GROUP BY language""")
+def normalisation(spark, sf):
+    """Drift, abilities and difficulties brought to the fits' normalisation, and to unit spread of source abilities."""
+    ability, b = V.parameters(spark, sf)
+    loose = V.drift(spark, sf).select("item", "language", (F.col("delta") + F.col("item") % 7 / 10.0 + F.col("language")).alias("delta"))
+    a, f, d = drift.normalised(ability, b, loose, V.SOURCE)
+    ra, _, rd = drift.rescaled(a, f, d.withColumn("a", F.lit(1.25)), V.SOURCE)
+    per = lambda t, c, n, g: t.groupBy("language").agg(g(c).alias(n))
+    out = per(d, "delta", "mean_drift", F.avg).join(per(d, "delta", "drift_sd", F.stddev_pop), "language").join(per(rd, "delta", "scaled_drift_sd", F.stddev_pop), "language").join(per(a, "theta", "mean_ability", F.avg), "language")
+    out = out.join(per(ra, "theta", "scaled_ability", F.avg), "language").join(per(rd, "a", "scaled_a", F.max), "language").crossJoin(F.broadcast(f.agg(F.avg("b").alias("mean_difficulty"))))  # one row
+    return rounded(out, "mean_drift", "drift_sd", "scaled_drift_sd", "mean_ability", "scaled_ability", "mean_difficulty", "scaled_a")
+
+
+@query(f"SELECT a.model, a.language, count(*) AS n FROM (SELECT DISTINCT model, language FROM {V.OBSERVED} WHERE model <> 3) a JOIN (SELECT DISTINCT model, language FROM {V.OBSERVED} WHERE model > 1 AND language <> 'click') b USING (model, language) GROUP BY 1, 2")
+def common_panel(spark, sf):
+    """The models and languages that two panels share."""
+    o = V.observed(spark, sf).select("model", "language").distinct()
+    a, b = panel.common_panel(o.where("model <> 3"), o.where("model > 1 AND language <> 'click'"), "model", "language", least={"model": 4, "language": 3})
+    return a.join(b, ["model", "language"]).groupBy("model", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+# items, prompts, numerals --------------------------------------------------------------------------------------------
+_ITEM_SPEC = {"benchmarks": {"parts": {"hf_id": "org/parts", "languages": ["A", "N", "R"], "source_language": "N", "item_id_field": ["l_orderkey", "l_linenumber"], "answer_base": 0, "fields": {"question": "l_shipmode_like", "options": ["o1", "o2", "o3"], "answer": "right", "strata": ["l_linestatus", "gone"]}}}}
+_ITEM_ROWS = "(SELECT l_orderkey, l_linenumber, l_returnflag AS lang, l_linestatus, 'Which is ' || l_partkey || '? ' AS q, 'a' || l_quantity::BIGINT % 9 AS o1, 'b' || l_suppkey AS o2, CASE WHEN l_linenumber % 2 = 0 THEN 'c' ELSE NULL END AS o3, l_linenumber % 4 AS answer FROM lineitem)"
+
+
+def _item_rows(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    third = F.when(F.col("l_linenumber") % 2 == 0, "c")
+    return li.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("lang"), "l_linestatus", F.lit(None).cast("string").alias("gone"), F.concat(F.lit("Which is "), "l_partkey", F.lit("? ")).alias("l_shipmode_like"),
+                     F.concat(F.lit("a"), F.col("l_quantity").cast("long") % 9).alias("o1"), F.concat(F.lit("b"), "l_suppkey").alias("o2"), third.alias("o3"), (F.col("l_linenumber") % 4).cast("string").alias("right"))
+
+
+def _built(spark, sf):
+    from ..sources.benchmarks import build_items
+    from ..sources.specs import load_specs
+
+    return build_items(_item_rows(spark, sf), load_specs(_ITEM_SPEC)["parts"])
+
+
+@query(f"""SELECT l_orderkey || '␟' || l_linenumber AS item_id, lang AS language, 2 + (o3 IS NOT NULL)::INT AS n_options, CASE WHEN answer < 2 + (o3 IS NOT NULL)::INT THEN answer END::INT AS answer_index, l_linestatus || '/' AS strata, answer >= 2 + (o3 IS NOT NULL)::INT AS malformed,
+  md5(trim(q) || chr(10) || 'A. ' || o1 || chr(10) || 'B. ' || o2 || coalesce(chr(10) || 'C. ' || o3, '') || chr(10) || 'Answer with a single letter from A to ' || CASE WHEN o3 IS NULL THEN 'B' ELSE 'C' END || '.' || chr(10) || 'Answer:') AS prompt_md5 FROM {_ITEM_ROWS}""")
+def items_built(spark, sf):
+    """Raw rows to items: ids of two columns, options without their empty end, answers, strata, prompts; an answer out of range marks an item as malformed."""
+    strata = F.concat(F.col("strata")["l_linestatus"], F.lit("/"), F.col("strata")["gone"])
+    return _built(spark, sf).select("item_id", "language", F.size("options").alias("n_options"), "answer_index", strata.alias("strata"), "malformed", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"""SELECT item_id, language, option, md5(stem) AS stem_md5, md5(stem || ' ' || text) AS prompt_md5 FROM (SELECT *, unnest(range(len(o))) AS option, unnest(o) AS text FROM (SELECT l_orderkey || '␟' || l_linenumber AS item_id, lang AS language, CASE WHEN o3 IS NULL THEN [o1, o2] ELSE [o1, o2, o3] END AS o,
+  trim(q) || chr(10) || 'A. ' || o1 || chr(10) || 'B. ' || o2 || coalesce(chr(10) || 'C. ' || o3, '') || chr(10) || 'Answer with a single letter from A to ' || CASE WHEN o3 IS NULL THEN 'B' ELSE 'C' END || '.' || chr(10) || 'Answer:' AS stem FROM {_ITEM_ROWS}))""")
+def option_rows(spark, sf):
+    """One row per item and option for scoring continuations."""
+    rows = scores.option_rows(_built(spark, sf))
+    return rows.select("item_id", "language", "option", F.md5("stem").alias("stem_md5"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("SELECT conv_id, turn, md5(CASE WHEN contains(text, chr(10)) THEN regexp_replace(text, '\n[^\n]*$', '') ELSE text END) AS cut_md5 FROM conversations WHERE text IS NOT NULL")
+def last_line_removed(spark, sf):
+    c = V.table(spark, sf, "conversations").where("text IS NOT NULL")
+    return c.select("conv_id", "turn", F.md5(I.without_last_line(F.col("text"))).alias("cut_md5"))
+
+
+@query(f"SELECT o_orderkey, trim(o_orderpriority) || {_quoted(I.THINK)} AS prompt FROM orders")
+def generative_prompts(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", I.generative_prompt(F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).alias("prompt"))
+
+
+@query("SELECT o_orderkey, o_custkey::DOUBLE AS number, o_custkey::VARCHAR AS plain FROM orders")
+def numerals_of_scripts(spark, sf):
+    """Numbers written in the digits of six scripts, by key."""
+    o = V.table(spark, sf, "orders")
+    zeros = [0x660, 0x6F0, 0x966, 0x9E6, 0xE50, 0xFF10]  # Arabic-Indic, extended Arabic-Indic, Devanagari, Bengali, Thai, full width
+    digits = F.col("o_custkey").cast("string")
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % 6 == i, F.translate(digits, "0123456789", "".join(chr(z + d) for d in range(10)))) for i, z in enumerate(zeros)])
+    return o.select("o_orderkey", numerals.final_number(F.concat(F.lit("= "), text)).alias("number"), numerals.ascii_digits(text).alias("plain"))
+
+
+@query("SELECT vec_id, predicted, answer_index, (predicted = answer_index)::TINYINT AS correct FROM (SELECT vec_id, (vec_id % 5 - 1)::SMALLINT AS predicted, label % 4 AS answer_index FROM embeddings WHERE vec_id % 10 <> 9)")
+def marked_answers(spark, sf):
+    """Predictions joined to gold answers and marked; items without a gold answer drop out."""
+    e = V.table(spark, sf, "embeddings")
+    gold = e.where("vec_id % 10 <> 9").select("vec_id", (F.col("label") % 4).alias("answer_index"))
+    return scores.marked(e.select("vec_id", (F.col("vec_id") % 5 - 1).cast("smallint").alias("predicted")), gold, "vec_id").select("vec_id", "predicted", "answer_index", "correct")
+
+
+# specifications, shards, records -------------------------------------------------------------------------------------
+_SPECS = {
+    "defaults": {"split": "test", "source_language": "en", "max_items": 2000, "seed": 7},
+    "benchmarks": {"exam": {"hf_id": "o/exam", "languages": ["en", "fr"], "max_items": 3}, "sums": {"hf_id": "o/sums", "task": "generative", "languages": ["en"], "split": "eval", "source_language": "de", "seed": 9}, "planned": {}},
+    "models": {"big": {"hf_id": "m/b", "tier": 2, "params_b": 9.2}, "small": {"hf_id": "m/s", "tier": 2, "params_b": 1.2}, "first": {"hf_id": "m/f", "tier": 1, "params_b": 7}, "other": {"tier": 3}},
+}
+
+
+@query("SELECT * FROM (VALUES ('exam', 'o/exam', 'test', 'multiple_choice', 'en,fr', 'en', 3, 7::BIGINT, true, true), ('sums', 'o/sums', 'eval', 'generative', 'en', 'de', 2000, 9::BIGINT, true, false), ('planned', NULL, 'test', 'multiple_choice', '', 'en', 2000, 7::BIGINT, false, true)) t(name, hf_id, split, task, languages, source_language, max_items, seed, usable, by_letter)")
+def specifications(spark, sf):
+    """Benchmark specifications over their defaults; which can be used, and with which scoring mode."""
+    from ..sources import specs as S
+
+    frame = S.specs_frame(spark, S.load_specs(_SPECS))
+    letter = S.matching_mode(frame, "letter").select("name", F.lit(True).alias("by_letter"))
+    return frame.join(letter, "name", "left").withColumn("by_letter", F.coalesce("by_letter", F.lit(False))).withColumn("languages", F.array_join("languages", ","))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'first', 1, 7.0::DOUBLE), (1, 'small', 2, 1.2), (2, 'big', 2, 9.2)) t(place, name, tier, params_b)")
+def model_grid(spark, sf):
+    """The models of tiers 1 and 2, by tier, then smallest first."""
+    from ..sources.specs import load_models
+
+    return spark.createDataFrame([(i, m.name, m.tier, float(m.params_b)) for i, m in enumerate(load_models(_SPECS))], "place long, name string, tier int, params_b double")
+
+
+def _shards(spark, sf):
+    y = V.crossed(spark, sf).select(F.when(F.col("item") % 2 == 0, "exam").otherwise("sums").alias("benchmark"), F.col("model").cast("string").alias("model"), F.concat(F.lit("l"), "language").alias("language"), F.col("item").cast("string").alias("item_id"), F.col("correct").cast("tinyint").alias("correct"), (F.col("item") % 4).cast("smallint").alias("predicted"))
+    return y.withColumn("mode", F.when(F.col("benchmark") == "sums", "generative").otherwise("letter"))
+
+
+@query(f"SELECT benchmark, mode, model, language, n_items, round(acc, 6) AS accuracy FROM (SELECT CASE WHEN item % 2 = 0 THEN 'exam' ELSE 'sums' END AS benchmark, CASE WHEN item % 2 = 0 THEN 'letter' ELSE 'generative' END AS mode, model::VARCHAR AS model, 'l' || language AS language, count(*) AS n_items, avg(correct) AS acc FROM {V.crossed_sql()} WHERE model IN (3, 4, 5) AND language < 3 GROUP BY ALL) WHERE benchmark = 'exam'")
+def shard_round_trip(spark, sf):
+    """Shards written by benchmark, mode, model and language, and one benchmark, mode and some models read back by name."""
+    from ..session import scratch
+    from ..sources import shards as S
+
+    path = scratch(spark, "shards")
+    S.write(_shards(spark, sf).where("model IN ('3', '4', '5', '6')"), path)
+    rows = S.read(spark, path, "exam", "letter", models=["3", "4", "5"], languages=["l0", "l1", "l2"])
+    acc = rows.groupBy("benchmark", "mode", "model", "language").agg(F.count(F.lit(1)).alias("n_items"), F.avg("correct").alias("accuracy"))
+    return rounded(acc, "accuracy")
+
+
+@query("SELECT * FROM (VALUES ('exam', true, 'letter', true, 'en', false, 125::BIGINT, 25::BIGINT, 5::BIGINT), ('sums', true, 'generative', true, 'de', false, 125, 25, 5), ('planned', false, NULL, NULL, 'en', false, 0, 0, 0)) t(name, usable, mode, matches, source_language, has_source, n_shards, n_models, n_languages)")
+def specs_with_shards(spark, sf):
+    """Every specification with what there is of its shards."""
+    from ..sources import shards as S
+    from ..sources.specs import load_specs, specs_frame
+
+    return S.with_specs(_shards(spark, sf).select(*S.KEY).distinct(), specs_frame(spark, load_specs(_SPECS)))
+
+
+_FROM_SHARDS = f"(SELECT model, item, language, correct FROM {V.crossed_sql()} WHERE item % 2 = 0)"
+_SHARD_SHARES = f"(SELECT DISTINCT model, language, (SELECT max(c) / sum(c) FROM (SELECT count(*) AS c FROM part WHERE p_partkey % 2 = 0 GROUP BY p_partkey % 4)) AS share FROM {V.GAPS})"
+
+
+@query(f"WITH RECURSIVE {O.report_ctes(_FROM_SHARDS, _SHARD_SHARES, MODELS, n_boot=5)} SELECT 'exam' AS benchmark, 125 AS n_shards, 125 AS n_expected, 'l' || language AS language, {', '.join(c for c in O.WHOLE if c != 'language')}, {O.rounded(O.ROUNDED)} FROM rows")
+def shards_to_report(spark, sf):
+    """From shards to the report: item sets compared, shards matched by item id, completeness and source checked, shares from predictions."""
+    from ..sources.specs import BenchmarkSpec
+    from .report import analyse_shards
+
+    rows = _shards(spark, sf).where("benchmark = 'exam'").withColumn("model", F.lpad("model", 2, "0"))  # names in the order of keys, as resamples follow it
+    found, report = analyse_shards(rows, BenchmarkSpec("exam", source_language="l0"), n_boot=5)
+    return rounded(report.rows, *O.ROUNDED).crossJoin(F.broadcast(found.status.select("n_shards", "n_expected"))).select(F.lit("exam").alias("benchmark"), "n_shards", long("n_expected").alias("n_expected"), *O.WHOLE, *O.ROUNDED)
+
+
+@query("""SELECT 'lines' AS benchmark, 'A,N,R' AS present, 'X' AS missing_languages, 'answer' AS missing_columns, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT max(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag)) AS most_rows, (SELECT min(d >= 0.9 * c) FROM (SELECT count(*) AS c, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY l_returnflag)) AS ids_ok""")
+def source_probe(spark, sf):
+    """What a source lacks of its specification."""
+    from ..sources.benchmarks import probe
+    from ..sources.specs import BenchmarkSpec
+
+    spec = BenchmarkSpec("lines", languages=("A", "N", "R", "X"), item_id_field="l_orderkey", fields={"question": "l_linestatus", "answer": "answer"})
+    found = probe(V.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "lang"), spec)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("present", "missing_languages", "missing_columns")})
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, r_name AS language FROM part, region WHERE (p_partkey * 7 + r_regionkey * 13) % 211 <> 0), s AS (SELECT k FROM i GROUP BY 1 HAVING count(*) = 5), c AS (SELECT k::VARCHAR AS id FROM s ORDER BY sha256('11:' || k::VARCHAR) LIMIT 40)
+  SELECT 'parts' AS benchmark, 11::BIGINT AS seed, 40 AS max_items, 'ASIA' AS source_language, (SELECT count(*) FROM c) AS n_items, (SELECT string_agg(id, ',' ORDER BY id) FROM c) AS item_ids, (SELECT string_agg(language || ':' || n || ':' || u, ',' ORDER BY language) FROM (SELECT language, count(*) AS n, count(CASE WHEN s.k IS NULL THEN 1 END) AS u FROM i LEFT JOIN s USING (k) GROUP BY 1)) AS coverage""")
+def manifest(spark, sf):
+    """The record of a selection: items that all languages share under a cap, with each language's coverage."""
+    from ..sources.benchmarks import record_of
+    from ..sources.specs import BenchmarkSpec
+
+    p, r = V.table(spark, sf, "part"), V.table(spark, sf, "region")
+    items = p.crossJoin(F.broadcast(r)).where((F.col("p_partkey") * 7 + F.col("r_regionkey") * 13) % 211 != 0).select(F.col("p_partkey").cast("string").alias("item_id"), F.col("r_name").alias("language"))
+    selected, covered = panel.select_items(items, 40, 11, lang="language")
+    m = record_of(BenchmarkSpec("parts", max_items=40, seed=11, source_language="ASIA"), selected, covered)
+    flat = F.transform(F.array_sort(F.map_entries("coverage")), lambda e: F.concat_ws(":", e["key"], e["value"]["n_total"], e["value"]["n_unshared"]))
+    return m.select("benchmark", "seed", "max_items", "source_language", "n_items", F.array_join("item_ids", ",").alias("item_ids"), F.array_join(flat, ",").alias("coverage"))
+
+
+@query(rf"""SELECT string_agg(language || ' & ' || printf('%.3f', g) || ' & ' || printf('%.3f', g * 2) || ' & [' || printf('%.2f', lo) || ', ' || printf('%.2f', hi) || ']' || CASE WHEN lo <= 0 AND hi >= 0 THEN '$^\dagger$' ELSE '' END || ' & ' || printf('%.2f', g / 4) || ' \\', chr(10) ORDER BY language::VARCHAR) AS latex FROM (SELECT language, avg(gap) + 0.0001 AS g, min(gap) + 0.0001 AS lo, max(gap) + 0.0001 AS hi FROM {V.GAPS} GROUP BY 1)""")
+def latex_table(spark, sf):
+    from .report import latex_table as table
+
+    g = V.gaps(spark, sf).groupBy("language").agg((F.avg("gap") + 0.0001).alias("raw_acc_gap"), (F.min("gap") + 0.0001).alias("bound_lo"), (F.max("gap") + 0.0001).alias("bound_hi"))
+    return table(g.withColumns({"irt_gap_naive": F.col("raw_acc_gap") * 2, "breakeven_in_sd": F.col("raw_acc_gap") / 4, "contains_zero": (F.col("bound_lo") <= 0) & (F.col("bound_hi") >= 0)}))
+
+
+@query(f"SELECT '| claim | statement | predicted | measured | passed |' || chr(10) || '|-|-|-|-|-|' || chr(10) || string_agg('| G' || language || ' | gap | < 1 | ' || printf('%.4g', g) || ' | ' || CASE WHEN g < 1 THEN 'yes' ELSE 'no' END || ' |', chr(10) ORDER BY language) AS markdown FROM (SELECT language, max(gap) + 0.00012 AS g FROM {V.GAPS} WHERE language > 0 GROUP BY 1)")
+def markdown_table(spark, sf):
+    """Largest gaps as a ledger in Markdown."""
+    from .claims import markdown
+
+    g = V.gaps(spark, sf).where("language > 0").groupBy("language").agg((F.max("gap") + 0.00012).alias("measured"))
+    return markdown(g.select(F.concat(F.lit("G"), "language").alias("claim"), F.lit("gap").alias("statement"), F.lit("< 1").alias("predicted"), "measured", (F.col("measured") < 1).alias("passed")))
+
+
+@query(f"SELECT model, language, '{{\"model\":' || model || ',\"language\":' || language || ',\"gap\":' || gap || '}}' AS json, gap AS parsed FROM {V.GAPS}")
+def json_records(spark, sf):
+    """Records as JSON text, and read back."""
+    g = V.gaps(spark, sf).select("model", "language", F.to_json(F.struct("model", "language", "gap")).alias("json"))
+    return g.withColumn("parsed", F.from_json("json", "gap double", {"allowNonNumericNumbers": "true"})["gap"])
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {_quoted(s)}, '{b}', true)" for k, (s, b) in CLAIMS.items()) + ") t(claim, statement, predicted, passed)")
 def claims_ledger(spark, sf):
-    """The 24 claims about identification, each checked on simulated panels of known truth."""
+    """The 24 claims about identification, each checked on simulated panels of known truth with the engine's operators; the SQL says that all hold."""
     from .claims import ledger
 
-    return ledger(spark)
+    return ledger(spark).drop("measured")
+
+
+@query()
+def figure_series(spark, sf):
+    """What the ledger's four figures plot."""
+    from .claims import figures
+
+    return figures(spark)

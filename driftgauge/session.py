@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "driftgauge", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """UTC and adaptive execution; on a cluster give neither master nor partitions, so that its own settings hold."""
-    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         b = b.master(master)
     if shuffle_partitions:
@@ -15,3 +18,25 @@ def session(app: str = "driftgauge", master: str | None = None, shuffle_partitio
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def _folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a local session uses a temporary folder; a cluster, whose machines share none, gets an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftgauge-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and cut from its lineage by a reliable checkpoint in the shared folder."""
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import items as I
 from ..operators import panel
+from ..operators.ordered import running
+from ..session import cut
 from .specs import BenchmarkSpec
 
 
 def scan(spark: SparkSession, path: str, spec: BenchmarkSpec, languages: list[str] | None = None) -> DataFrame:
-    """Parquet (or JSON lines) partitioned by ``lang``: the filter prunes partitions, and only mapped columns are read."""
+    """Parquet (or JSON lines) partitioned by ``lang``, and by ``split`` and ``revision`` where the table has them: the filters prune partitions, and only
+    mapped columns are read. A table without these columns is taken to be of the specification's split and revision."""
     reader = spark.read.json if path.endswith((".json", ".jsonl")) else spark.read.parquet
-    return reader(path).where(F.col("lang").isin(list(languages or spec.languages)))
+    df = reader(path)
+    df = df.where(F.col("lang").isin(list(languages or spec.languages)))
+    for c, v in (("split", spec.split), ("revision", spec.revision)):
+        if v is not None and c in df.columns:
+            df = df.where(F.col(c) == v)
+    return df
 
 
 def build_items(rows: DataFrame, spec: BenchmarkSpec, order: str | None = None) -> DataFrame:
     """(item_id, language, prompt, options, answer_index, strata, malformed) of rows with ``lang``; ``order`` gives the row index where ids need one."""
     f = spec.fields
-    position = F.row_number().over(Window.partitionBy("lang").orderBy(order)) - 1 if order else None
+    position = None
+    if order:  # a row's place in its language, counted without gathering the language
+        rows = running(rows.withColumn("__one", F.lit(1)), ["lang"], order, {"__place": "__one"})
+        position = F.col("__place") - 1
     ids = I.item_id(spec.item_id_field, position)
     strata = f.get("strata") or []
     strata_map = F.create_map(*[x for s in strata for x in (F.lit(s), F.coalesce(F.col(s).cast("string"), F.lit("")))]) if strata else F.create_map().cast("map<string,string>")
@@ -38,7 +49,7 @@ def build_items(rows: DataFrame, spec: BenchmarkSpec, order: str | None = None)
 
 def load(rows: DataFrame, spec: BenchmarkSpec, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, manifest): malformed items dropped everywhere, the shared ones selected under the cap, and the gates applied."""
-    built = build_items(rows, spec, order)
+    built = cut(build_items(rows, spec, order))  # read by the gates, the selection and the result
     if spec.task != "generative":
         built = panel.drop_malformed(built, lang="language")
     if order:
@@ -46,10 +57,14 @@ def load(rows: DataFrame, spec: BenchmarkSpec, order: str | None = None) -> tupl
     selected, covered = panel.select_items(built, spec.max_items, spec.seed, lang="language")
     panel.check_parallel(covered, lang="language")
     chosen = built.join(selected, "item_id", "left_semi").drop("malformed")
+    return chosen, record_of(spec, selected, covered)
+
+
+def record_of(spec: BenchmarkSpec, selected: DataFrame, covered: DataFrame) -> DataFrame:
+    """The manifest, one row: the specification's seed, cap and source language, the selected ids (thousands) and each language's coverage."""
     record = covered.agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("n_total", "n_unshared")))).alias("coverage"))
-    ids = selected.agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))  # a benchmark's ids: thousands
-    manifest = record.crossJoin(ids).select(F.lit(spec.name).alias("benchmark"), F.lit(spec.seed).alias("seed"), F.lit(spec.max_items).cast("int").alias("max_items"), F.lit(spec.source_language).alias("source_language"), "n_items", "item_ids", "coverage")
-    return chosen, manifest
+    ids = selected.agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    return record.crossJoin(ids).select(F.lit(spec.name).alias("benchmark"), F.lit(spec.seed).cast("long").alias("seed"), F.lit(spec.max_items).cast("int").alias("max_items"), F.lit(spec.source_language).alias("source_language"), "n_items", "item_ids", "coverage")
 
 
 def probe(rows: DataFrame, spec: BenchmarkSpec) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 KEY = ["benchmark", "mode", "model", "language"]
+ARCHIVE = "benchmark string, mode string, model string, language string, item_id string, correct byte, predicted short, meta string"
 MODES = ("letter", "loglik", "generative")
 
 
@@ -17,17 +19,34 @@ def write(responses: DataFrame, path: str, mode: str = "append") -> None:
     responses.repartition(*KEY).write.mode(mode).partitionBy(*KEY).parquet(path)
 
 
-def read(spark: SparkSession, path: str, benchmark: str | None = None, mode: str | None = None) -> DataFrame:
-    """The filters prune partitions: no file of another benchmark or mode is opened."""
-    df = spark.read.parquet(path)
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its keys as text, also where a model's name looks like a number."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType() if f.name in KEY else f.dataType) for f in found])).parquet(path)
+
+
+def read(spark: SparkSession, path: str, benchmark: str | None = None, mode: str | None = None, models: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """The filters prune partitions: no file of another benchmark, mode, model or language is opened."""
+    df = _shards(spark, path)
     for c, v in (("benchmark", benchmark), ("mode", mode)):
         df = df if v is None else df.where(F.col(c) == v)
+    for c, v in (("model", models), ("language", languages)):
+        df = df if v is None else df.where(F.col(c).isin(list(v)))
     return df
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The shards that exist."""
-    return spark.read.parquet(path).select(*KEY).distinct()
+    return _shards(spark, path).select(*KEY).distinct()
+
+
+def with_specs(shards: DataFrame, specs: DataFrame) -> DataFrame:
+    """(name, usable, matches, source_language, has_source, n_shards, n_models, n_languages) of every specification (``specs_frame``), joined to its shards
+    (``catalogue``) by name; without shards the counts are 0. Specifications are few and go by broadcast if Spark's own size check says so."""
+    per = shards.groupBy("benchmark", "mode").agg(F.count(F.lit(1)).alias("n_shards"), F.count_distinct("model").alias("n_models"), F.count_distinct("language").alias("n_languages"), F.collect_set("language").alias("seen"))
+    both = specs.join(per, specs["name"] == per["benchmark"], "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_shards", "n_models", "n_languages")]
+    return both.select("name", "usable", "mode", ((F.col("task") == "generative") == (F.col("mode") == "generative")).alias("matches"), "source_language", F.coalesce(F.array_contains("seen", F.col("source_language")), F.lit(False)).alias("has_source"), *counts)
 
 
 def parse_name(stem: str) -> tuple[str, str, str] | None:
@@ -39,8 +58,20 @@ def parse_name(stem: str) -> tuple[str, str, str] | None:
 
 
 def read_archives(spark: SparkSession, path: str, benchmark: str, mode: str = "letter") -> DataFrame:
-    """Rows of ``.npz`` archives (item_ids, correct, predicted, meta) of one mode; names pick the files before they are opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz" if mode == "letter" else f"*__{mode}.npz").load(f"{path}/{benchmark}")
+    """Rows of ``.npz`` archives (item_ids, correct, predicted, meta) of one mode. Names are filtered before contents: only files of the mode are opened."""
+    folder = f"{path}/{benchmark}"
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.npz$", "")
+    is_other = F.lit(False)
+    for m in MODES[1:]:
+        is_other |= F.endswith(stem, F.lit(f"__{m}"))
+    core = stem if mode == "letter" else F.regexp_replace(stem, f"__{mode}$", "")
+    ours = (~is_other if mode == "letter" else F.endswith(stem, F.lit(f"__{mode}"))) & core.rlike("__.")
+    # a scan without the content column lists files only; the names that pass are what the second scan opens
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).where(ours).select("path")
+    names = [r.path for r in listed.collect()]  # shards of one benchmark: models times languages
+    if not names:
+        return spark.createDataFrame([], ARCHIVE)
+    files = spark.read.format("binaryFile").load(names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -49,12 +80,11 @@ def read_archives(spark: SparkSession, path: str, benchmark: str, mode: str = "l
 
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                if (found := parse_name(name.rsplit("/", 1)[-1][:-4])) is None or found[2] != mode:
-                    continue
+                model, language, _ = parse_name(name.rsplit("/", 1)[-1][:-4])
                 z = np.load(io.BytesIO(data), allow_pickle=False)
-                yield pd.DataFrame({"benchmark": benchmark, "mode": mode, "model": found[0], "language": found[1], "item_id": z["item_ids"].astype(str), "correct": z["correct"].astype("int8"), "predicted": z["predicted"].astype("int16"), "meta": str(z["meta"])})
+                yield pd.DataFrame({"benchmark": benchmark, "mode": mode, "model": model, "language": language, "item_id": z["item_ids"].astype(str), "correct": z["correct"].astype("int8"), "predicted": z["predicted"].astype("int16"), "meta": str(z["meta"])})
 
-    return files.mapInPandas(run, "benchmark string, mode string, model string, language string, item_id string, correct byte, predicted short, meta string")
+    return files.mapInPandas(run, ARCHIVE)
 
 
 META = "hf_id string, revision string, n_items long, accuracy double, unparseable double, mode_share double, seconds double"

@@ -19,13 +19,15 @@ def metrics(responses: DataFrame) -> DataFrame:
 
 
 def follow(spark: SparkSession, source: str, checkpoint: str, sink: str, once: bool = True) -> StreamingQuery:
-    """Reads new shard files as they come; each batch appends the metrics of the shards that it holds. A shard is one file, so its metrics are final."""
+    """Reads new shard files as they come; each batch writes the metrics of the shards that it holds to a partition of its own, which a retried batch overwrites. A shard is one file, so its metrics are final."""
     stream = spark.readStream.schema(SCHEMA).parquet(source)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.persist()
-        metrics(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
-        batch.unpersist()
+        try:
+            metrics(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            batch.unpersist()
 
     out = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

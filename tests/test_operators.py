@@ -5,7 +5,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgauge.operators import dif, drift, panel, scores
-from driftgauge.plans.claims import stabbing_set
+from driftgauge.operators.ordered import bucket, medians, running
+
+
+def stabbing_set(d, pi, tau):
+    """The shifts c for which at least ceil(pi n) of d + c are within tau, by ranks: between sorted d[j] and d[j + k - 1]."""
+    d, k, out = np.sort(d), int(np.ceil(pi * len(d) - 1e-9)), []
+    for j in range(len(d) - k + 1):
+        lo, hi = d[j + k - 1] - tau, d[j] + tau
+        if lo <= hi:
+            if out and lo <= out[-1][1] + 1e-9:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+    return [(-b, -a) for a, b in reversed(out)]
 
 
 def ids(spark, **langs):
@@ -128,3 +141,82 @@ def test_benjamini_hochberg(spark):
     got = dif.benjamini_hochberg(spark.createDataFrame([(float(x),) for x in p], "p double")).collect()
     assert sum(r.rejected for r in got) == (p <= cut).sum() and all(r.rejected == (r.p <= cut) for r in got)
     assert dif.benjamini_hochberg(spark.createDataFrame([], "p double")).count() == 0
+
+
+def test_ranks_and_medians(spark):
+    rng = np.random.default_rng(4)
+    xs = {"a": np.round(rng.normal(0, 1, 301), 1), "b": np.array([0.0, -0.0, 5e-324, -1e300, 1e300, 7.0]), "c": 10.0 ** rng.uniform(-20, 20, 200) * rng.choice([-1, 1], 200), "d": np.array([3.0])}
+    rows = [(g, float(x), 1) for g, v in xs.items() for x in v] + [("e", None, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, one int")
+    got = {r.g: r["median"] for r in medians(df, ["g"], "x").collect()}
+    assert got == {g: np.median(v) for g, v in xs.items()}
+    assert medians(df.where("g = 'a'"), [], "x").first()[0] == np.median(xs["a"])
+    counted = df.where("x IS NOT NULL").groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
+    for r in running(counted, ["g"], "x", {"upto": "c", "twice": "c"}).collect():
+        assert r.upto == r.twice == (xs[r.g] <= r.x).sum()
+    key = df.where("g <> 'e'").select("x", bucket(F.col("x")).alias("k")).orderBy("x").collect()
+    assert all(a.k <= b.k for a, b in zip(key, key[1:], strict=False))
+    last = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e308,), (None,), (float("-inf"),)], "x double").select("x", bucket(F.col("x")).alias("k")).collect()
+    assert last[4].k < -last[2].k < last[2].k < last[1].k < last[0].k == last[3].k
+
+
+def test_no_window_over_a_whole_language(spark):
+    d = spark.createDataFrame([(i, i % 3, float(i % 50), 0.1) for i in range(3000)], "item int, language int, delta double, se double")
+    for df in (dif.wald_tests(d, 0), drift.median_anchor(d, source=0), drift.stabbed_parts(d, 0.5, 0.3), drift.centred(d, "delta", "language"), scores.source_gap(d.withColumn("model", F.col("item")), "delta", 0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # windows are over the sums of buckets, or over the rows of one bucket
+        assert all("__bucket" in line for line in plan.split("\n") if "Window [" in line), plan
+
+
+def test_normal_tail_is_accurate(spark):
+    import math
+
+    from driftgauge.functions import stats
+
+    z = [0.0, 1e-8, 0.1, 0.5, 1.0, 1.96, 2.5, 2.83, 3.0, 5.0, 8.0, 12.0, 25.0, -4.0]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", stats.two_sided_p(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-11)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "z double").select(stats.two_sided_p(F.col("z")).alias("p")).collect()
+    assert [r.p for r in odd] == [1.0, 1.0, 0.0] and stats.minimax_floor(0.3) == 0.3
+    with pytest.raises(ValueError):
+        stats.minimax_floor(-1)
+
+
+def test_arguments_are_checked(spark):
+    d = spark.createDataFrame([(1, 0.0), (1, float("nan"))], "language int, delta double")
+    for bad in ((0.0, 0.3), (1.5, 0.3), (0.5, -0.1), (0.5, float("inf")), (0.5, float("nan"))):
+        with pytest.raises(ValueError):
+            drift.stabbed_parts(d, *bad)
+    with pytest.raises(ValueError):
+        drift.gap_bounds(d, d, -1.0)
+    for bad in (float("nan"), float("inf"), None):
+        rows = spark.createDataFrame([(1, 0.0), (1, bad)], "language int, delta double")
+        with pytest.raises(Exception, match="finite"):
+            drift.median_anchor(rows).collect()
+        with pytest.raises(Exception, match="finite"):
+            drift.stabbed_parts(rows, 0.5, 0.3).collect()
+
+
+def test_gates(spark):
+    cells = spark.createDataFrame([(m, lang, i) for m in "ab" for lang in ("en", "fr") for i in range(3) if (m, lang, i) != ("b", "fr", 2)], "model string, language string, item int")
+    panel.require_source(cells, "en")
+    with pytest.raises(ValueError, match="de"):
+        panel.require_source(cells, "de")
+    with pytest.raises(ValueError, match="model b, language fr, item 2"):
+        panel.require_complete(cells, "model", "language", "item")
+    panel.require_complete(cells.where("item < 2"), "model", "language", "item")
+    lone = cells.where("NOT (model = 'b' AND language = 'fr')")
+    assert sorted(r.item for r in panel.missing_cells(lone, "model", "language", "item").collect()) == [0, 1, 2]
+
+
+def test_letter_groups():
+    ids = {"A": [65], " A": [1, 65], "\nA": [2, 66], "B": [70, 71], " B": [72]}
+
+    def encode(text):
+        return ids[text]  # other forms can't be encoded
+
+    assert scores.letter_groups(encode, 2) == [[65, 66], [70, 72]]
+    with pytest.raises(ValueError, match="no token for C"):
+        scores.letter_groups(encode, 3)
+    with pytest.raises(ValueError):
+        scores.letter_groups(encode, 0)
