@@ -23,9 +23,9 @@ def _check(pi: float, tau: float, inflate: float = 0.0) -> None:
 
 
 def checked(drift: DataFrame, delta: str = "delta") -> DataFrame:
-    """``drift``, whose rows fail when they are read if a value is null, NaN or infinite."""
+    """``drift``, whose values fail when they are read if one is null, NaN or infinite; a part of the value, so that no other filter runs before."""
     fine = F.coalesce(F.abs(F.col(delta)) < float("inf"), F.lit(False))
-    return drift.where(F.assert_true(fine, F.lit("drift must be finite")).isNull())
+    return drift.withColumn(delta, F.when(fine, F.col(delta)).otherwise(F.raise_error(F.lit("drift must be finite"))))
 
 
 def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language", delta: str = "delta") -> DataFrame:
