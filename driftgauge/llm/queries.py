@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, mpeg, pieces, pii, quality, sketch, tokencount, urls
+from . import chat, jaccard, mixing, mpeg, neighbours, pieces, pii, quality, runs, sketch, tokencount, urls
 from ._common import text_or_empty
 
 #: Production keys come from a secret store; this one only makes the queries' results repeatable.
@@ -125,6 +125,27 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.looped().alias("text"))
+    done = runs.periodic_runs(docs).withColumn("best", runs.steepest())
+    best = F.col("best")
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(runs.listed(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -132,7 +153,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_quality, op3_jaccard, op4_tokens, op5_mpeg, op6_pieces, op7_mixing, op8_urls, op9_pii, op10_sketch, pipeline)}
+    return {f.__name__: f for f in (op1_chat, op2_quality, op3_jaccard, op4_tokens, op5_mpeg, op6_pieces, op7_mixing, op8_urls, op9_pii, op10_sketch, op11_hnsw, op12_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -141,6 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard": jaccard.duckdb_sql(3, 90, 100),
         "op7_mixing": mixing.duckdb_sql(WEIGHTS, 1.5, 2.0, SEED),
         "op8_urls": urls.duckdb_sql(RULES),
+        "op12_runs": runs.duckdb_sql(),
     }
 
 
