@@ -5,18 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import cut
+
 KEY = ["benchmark", "mode", "model", "language"]
 ARCHIVE = "benchmark string, mode string, model string, language string, item_id string, correct byte, predicted short, meta string"
 MODES = ("letter", "loglik", "generative")
 
 
-def write(responses: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder per shard; what exists is done, so resuming is an anti-join on ``catalogue``."""
-    responses.repartition(*KEY).write.mode(mode).partitionBy(*KEY).parquet(path)
+def write(responses: DataFrame, path: str) -> tuple[int, int]:
+    """Writes shards, one folder each, and then a marker per shard with its rows; returns how many shards and rows.
+
+    Shards that are there already are replaced, others stay: a run that is repeated, or broke off and is run again, leaves each shard once.
+    A shard without its marker isn't ``done``. Large shards are split over several files.
+    """
+    target = lambda df, at: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(at)
+    rows = cut(responses)  # what is written and what is marked are the same rows
+    held = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+    target(rows.hint("rebalance", *KEY), path)
+    target(held.coalesce(1), marks(path))
+    return held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+
+
+def marks(path: str) -> str:
+    """Where the markers of the shards under ``path`` are."""
+    return f"{path.rstrip('/')}.done"
+
+
+def done(spark: SparkSession, path: str) -> DataFrame:
+    """(shard key, n_rows) of the shards that are whole: resuming leaves them out (``panel.outstanding``). None before anything was written."""
+    schema = ", ".join(["n_rows long", *(f"{k} string" for k in KEY)])
+    try:
+        return spark.read.schema(schema).parquet(marks(path))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
