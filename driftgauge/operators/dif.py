@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p, wald_z
+from ..session import cut
 from .ordered import running
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, p: str = "p", by: list[str] | None = None) -> DataFrame:
     """``tests`` with ``rejected``, over all rows or each group ``by``.
 
-    A p-value's rank is the number of values up to it. Equal values are counted first, and ranks are running sums over buckets of
-    values, so no task orders the whole grid. Rejection by the cutoff's value is safe under ties.
+    A p-value's rank is the number of values up to it. Equal values are counted first, and ranks are running sums over ranges of
+    values, so no task orders the whole grid. Rejection by the cutoff's value is safe under ties. ``tests`` is read three times: cut it if p is costly.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be in (0, 1)")
@@ -31,7 +32,7 @@ def wald_tests(drift: DataFrame, source: str | int, alpha: float = 0.05, languag
     """Drift (delta, se) with z, p and rejected; the source is never tested (z 0, p 1)."""
     is_source = F.col(language) == F.lit(source)
     z = wald_z(F.col("delta"), F.col("se"))
-    tested = benjamini_hochberg(drift.where(~is_source).withColumn("z", z).withColumn("p", two_sided_p(F.col("z"))), alpha)
+    tested = benjamini_hochberg(cut(drift.where(~is_source).withColumn("z", z).withColumn("p", two_sided_p(F.col("z")))), alpha)
     return tested.unionByName(drift.where(is_source).withColumn("z", F.lit(0.0)).withColumn("p", F.lit(1.0)).withColumn("rejected", F.lit(False)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals
 from ..functions.stats import logistic, needed
+from ..session import cut
 from .ordered import medians, running
 
 MERGE = 1e-9
@@ -32,17 +33,17 @@ def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language",
     """(by, lo, hi): the maximal stretches of u where at least ceil(pi n) of the intervals delta -+ tau overlap, by an event sweep.
 
     Opening ends sort before closing ones at the same place, so closed intervals that touch overlap. Equal ends are counted first;
-    how many intervals are open is a running sum over buckets of places, so a language isn't ordered in one task.
+    how many intervals are open is a running sum over ranges of places, so a language isn't ordered in one task. The ends of stretches are few.
     """
     _check(pi, tau)
     k = drift.groupBy(by).agg(needed(pi, F.count(F.lit(1))).alias("k"))
     events = checked(drift, delta).select(by, F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "e.*")
-    events = events.groupBy(by, "pos", "kind").agg(F.sum("kind").alias("c")).withColumn("turn", -F.col("kind"))
+    events = cut(events.groupBy(by, "pos", "kind").agg(F.sum("kind").alias("c")).withColumn("turn", -F.col("kind")))
     run = running(events, [by], "pos", {"open": "c"}, ["turn"]).join(k, by)
     before = F.col("open") - F.col("c")
     ends = run.where(((before < F.col("k")) & (F.col("open") >= F.col("k"))) | ((before >= F.col("k")) & (F.col("open") < F.col("k"))))
     # the n-th place where enough intervals are open and the n-th where they no longer are make a part
-    numbered = running(ends.withColumn("fresh", (F.col("kind") == 1).cast("int")), [by], "pos", {"nth": "fresh"}, ["turn"])
+    numbered = ends.withColumn("nth", F.row_number().over(Window.partitionBy(by, "kind").orderBy("pos")))
     return numbered.groupBy(by, "nth").agg(F.max(F.when(F.col("kind") == 1, F.col("pos"))).alias("lo"), F.max(F.when(F.col("kind") == -1, F.col("pos"))).alias("hi")).drop("nth")
 
 

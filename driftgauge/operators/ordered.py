@@ -1,40 +1,32 @@
 """Ranks, running sums and medians without a window over a whole group.
 
-Values fall into buckets by an order-preserving key of their binary magnitude (1,024 buckets between two powers of two), whatever their
-scale. Sums by bucket are few and are added up in order; the rows of one bucket are ordered by themselves. So neither a group nor
-the whole table meets in one task, and equal values are aggregated before they are shuffled.
+Rows are dealt to ranges of their order, whose ends Spark draws from a sample of the data, so values of any type and however close
+spread evenly. Sums by range are few and are added up in order; the rows of one range are ordered by themselves. So neither a group nor
+the whole table meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 1024
-
-
-def bucket(x: Column) -> Column:
-    """A whole number that never falls as ``x`` rises; null and NaN come last."""
-    size = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(1.0)).otherwise(F.abs(x))
-    power = F.floor(F.log2(size))
-    place = (power + 1100) * STEPS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * STEPS) + 1
-    finite = F.when(x == 0, F.lit(0)).when(F.abs(x) == float("inf"), F.lit(1 << 40)).otherwise(place)
-    return F.when(x.isNull() | F.isnan(x), F.lit(1 << 41)).otherwise(F.when(x < 0, -finite).otherwise(finite)).cast("long")
+from ..session import cut
 
 
 def running(rows: DataFrame, by: list[str], at: str, amounts: dict[str, str], ties: list[str] | None = None) -> DataFrame:
-    """``rows`` and, under each name, the sum of a column over the rows of the group up to this one, in the order of ``at`` and then ``ties``.
+    """``rows`` and, under each name, the sum of a column over the rows of the group up to this one, in the order of ``at`` (nulls first) and then ``ties``.
 
-    Rows that are equal in both are taken in any order: aggregate them before.
+    Rows that are equal in both are taken in any order: aggregate them before. ``rows`` is read twice, once for the sample.
     """
-    placed = rows.withColumn("__bucket", bucket(F.col(at).cast("double")))
-    sums = placed.groupBy(*by, "__bucket").agg(*[F.sum(c).alias(f"__{n}") for n, c in amounts.items()])
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    sums = sums.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bucket").alias("__of"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in amounts])
-    here = F.col("__bucket") == F.col("__of")
+    order = [at, *(ties or [])]
+    placed = cut(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))  # kept, so that ranges stay as they are
+    sums = placed.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in amounts.items()])
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = sums.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__of"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in amounts])
+    here = F.col("__range") == F.col("__of")
     for c in by:
         here &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-    inside = Window.partitionBy(*by, "__bucket").orderBy(at, *(ties or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = placed.join(sums, here).withColumns({n: F.col(f"__{n}") + F.sum(c).over(inside) for n, c in amounts.items()})
     return out.select(*rows.columns, *amounts)
 

@@ -13,6 +13,8 @@ from ..functions import items as I
 from ..functions import numerals
 
 DEGENERATE, UNPARSEABLE = 0.90, 0.15
+#: How vocabularies show a blank, a line break and a word's beginning.
+MARKS = "\u0120\u010a\u2581"
 
 
 def accuracy(responses: DataFrame, *by: str, correct: str = "correct") -> DataFrame:
@@ -91,25 +93,20 @@ def option_rows(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "language", "option", "stem", F.concat("stem", F.lit(" "), "text").alias("prompt"))
 
 
-def letter_groups(encode: Callable[[str], list[int]], n_options: int, letters: str = "ABCDEFGHIJ") -> list[list[int]]:
-    """The token ids that may stand for each letter, for ``group_best``: of the letter alone its first token, behind a blank, a line break
-    or the mark U+2581 its last. ``encode`` gives a text's ids without special tokens; a form that it can't encode is left out."""
-    if not 0 < n_options <= len(letters):
-        raise ValueError(f"between 1 and {len(letters)} options")
-    groups = []
-    for letter in letters[:n_options]:
-        found = set()
-        for before in ("", " ", "\n", "\u2581"):
-            try:
-                ids = list(encode(before + letter))
-            except Exception:  # noqa: BLE001, S112 - any tokenizer may refuse a form
-                continue
-            if ids:
-                found.add(ids[-1 if before else 0])
-        if not found:
-            raise ValueError(f"the tokenizer has no token for {letter}")
-        groups.append(sorted(found))
-    return groups
+def letter_tokens(vocabulary: DataFrame, n_options: int) -> DataFrame:
+    """(option, letter, ids) of a ``vocabulary`` (id, token as it is shown): the tokens that are the option's letter once blanks and word marks before it are taken off.
+
+    Raises if an option has none. ``ids`` are in order; as lists by option they are the places for ``group_best``.
+    """
+    if not 0 < n_options <= len(I.LETTERS):
+        raise ValueError(f"between 1 and {len(I.LETTERS)} options")
+    bare = F.regexp_replace("token", f"^[\\s{MARKS}]+", "")
+    letters = vocabulary.sparkSession.createDataFrame(list(enumerate(I.LETTERS[:n_options])), "option int, letter string")
+    held = vocabulary.select("id", bare.alias("letter")).where(F.length("letter") == 1).groupBy("letter").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a vocabulary is a dimension
+    found = letters.join(held, "letter", "left").select("option", "letter", F.coalesce("ids", F.array().cast(held.schema["ids"].dataType)).alias("ids"))
+    if gone := [r.letter for r in found.where(F.size("ids") == 0).select("letter").collect()]:
+        raise ValueError(f"the vocabulary has no token for {', '.join(sorted(gone))}")
+    return found
 
 
 class Scorer(Protocol):

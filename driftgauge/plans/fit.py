@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import log_loss
 from ..operators import panel
 from ..session import cut
 
@@ -78,7 +80,7 @@ def solve_margins(score: np.ndarray, times: np.ndarray, item_score: np.ndarray,
 def fit(responses: DataFrame, source, n_boot: int = 0, seed: int = 0, by: list[str] | None = None) -> Fit:
     """Margins fit of crossed ``responses`` (model, item, language, correct); replicates 1 .. n_boot resample models. Models are a small dimension.
 
-    The source must be there and the panel crossed (``require_complete``): both are checked. With ``by`` each group of these columns is
+    The source must be there and the panel crossed, each cell once: both are checked. With ``by`` each group of these columns is
     a panel of its own, which the tables then name too; groups aren't resampled.
     """
     by = by or []
@@ -90,7 +92,9 @@ def fit(responses: DataFrame, source, n_boot: int = 0, seed: int = 0, by: list[s
     plain = cut(y.groupBy(*by, "model", "language").agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n")))
     if not by:
         panel.require_source(plain, source)
-    _crossed(plain, by)
+    if not plain.where("model IS NULL OR language IS NULL").isEmpty():
+        raise ValueError("the panel isn't crossed: some cells have no model or language")
+    cells = [F.count(F.lit(1)).alias("cells"), F.size(F.collect_set("model")).alias("models")]  # of a language's item: no more than there are models
     if n_boot:
         models = [r[0] for r in plain.select("model").distinct().orderBy("model").collect()]
         drawn = resamples(models, n_boot, seed)
@@ -98,11 +102,13 @@ def fit(responses: DataFrame, source, n_boot: int = 0, seed: int = 0, by: list[s
         wide.columns = ["model", *[f"w{i}" for i in range(n_boot + 1)]]
         each = lambda frame: _few(spark.createDataFrame(frame).withColumn("model", F.col("model").cast(kind["model"])))
         # all replicates in one pass over the cells, with map-side sums
-        items = y.join(each(wide), "model").groupBy("item", "language").agg(*[F.sum(F.col("y") * F.col(f"w{i}")).alias(f"s{i}") for i in range(n_boot + 1)])
+        items = cut(y.join(each(wide), "model").groupBy("item", "language").agg(*[F.sum(F.col("y") * F.col(f"w{i}")).alias(f"s{i}") for i in range(n_boot + 1)], *cells))
+        _crossed(plain, items, by)
         items = items.select("item", "language", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(n_boot + 1)])).alias("rep", "score"))
         people = plain.join(each(drawn), "model").withColumn("rep", F.col("rep").cast("int"))
     else:
-        items = y.groupBy(*by, "item", "language").agg(F.sum("y").alias("score")).withColumn("rep", F.lit(0))
+        items = cut(y.groupBy(*by, "item", "language").agg(F.sum("y").alias("score"), *cells).withColumn("rep", F.lit(0)))
+        _crossed(plain, items, by)
         people = plain.withColumn("rep", F.lit(0)).withColumn("weight", F.lit(1).cast("long"))
     key = [*by, "rep", "language"]
     items = cut(items.select(*key, "item", "score"))
@@ -143,11 +149,18 @@ def _few(table: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def _crossed(margins: DataFrame, by: list[str]) -> None:
-    """Raises unless in each panel every model has as many cells in every language: ``margins`` is (by, model, language, n)."""
-    own = margins.groupBy(*by).agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.count_distinct("model") * F.count_distinct("language") - F.count(F.lit(1))).alias("gone"))
-    if own.where("least <> most OR gone > 0").limit(1).count():
-        raise ValueError("the panel isn't crossed: some model or language lacks cells")
+def _crossed(margins: DataFrame, items: DataFrame, by: list[str]) -> None:
+    """Raises unless in each panel every model has every item once in every language.
+
+    ``margins`` is (by, model, language, n), ``items`` (by, item, language, cells, models): how many cells and how many models each item has in a language.
+    """
+    axes = margins.groupBy(*by).agg(F.count_distinct("model").alias("of_models"), F.count_distinct("language").alias("of_languages"))
+    held = items.groupBy(*by).agg(F.min("models").alias("least"), F.min("cells").alias("fewest"), F.max("cells").alias("most"), F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("of_items"))
+    both = axes.join(held, by) if by else axes.crossJoin(held)  # one row each
+    bad = both.where("least <> of_models OR fewest <> of_models OR most <> of_models OR n <> of_items * of_languages").limit(1).collect()
+    if bad:
+        r = bad[0]
+        raise ValueError(f"the panel isn't crossed: {r.of_models} models, {r.of_items} items and {r.of_languages} languages, but {r.n} items by language with {r.fewest} to {r.most} cells of {r.least} or more models")
 
 
 def bootstrap(responses: DataFrame, source, fit_fn: Callable[..., DataFrame] | None = None, n_boot: int = 20, seed: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
@@ -312,23 +325,34 @@ def kept(holdout: float) -> Column:
     return u >= holdout
 
 
-def crossval(responses: DataFrame, source, seeds: tuple[int, ...] = (0, 1, 2), holdout: float = 0.10, steps: int = 4000) -> DataFrame:
-    """(seed, irt_model, loss): held-out log loss of both model classes; each (seed, class) runs in its own worker.
+def crossval(responses: DataFrame, source, seeds: tuple[int, ...] = (0, 1, 2), holdout: float = 0.10, steps: int = 4000, models: tuple[str, ...] = ("rasch", "2pl")) -> DataFrame:
+    """(seed, irt_model, loss): held-out log loss of both model classes.
 
-    A cell is held out by its hash with the seed (``kept``), so that the mask needs no shared generator.
+    A cell is held out by its hash with the seed (``kept``), so that the mask needs no shared generator. Rasch fits of all seeds are made together, to the
+    optimum (``joint.fit_joint``); an item of which nothing is fitted has difficulty and drift 0. Each seed's two-parameter fit takes ``steps`` gradient steps at most in a worker of its own.
     """
+    from .joint import fit_joint
+
     spark = responses.sparkSession
-    runs = spark.createDataFrame([(s, m) for s in seeds for m in ("rasch", "2pl")], "seed int, irt_model string")
-    cells = responses.crossJoin(F.broadcast(runs)).withColumn("keep", kept(holdout))  # six runs
+    runs = spark.createDataFrame([(s,) for s in seeds], "seed int")
+    cells = responses.crossJoin(F.broadcast(runs)).withColumn("keep", kept(holdout))  # one row per seed
+    parts = []
+    if "rasch" in models:
+        f = fit_joint(cells.where("keep"), source, by="seed")
+        held = cells.where("NOT keep").withColumnRenamed("seed", "rep").join(f.ability, ["rep", "model", "language"]).join(f.difficulty, ["rep", "item"], "left").join(f.drift, ["rep", "item", "language"], "left")
+        eta = F.col("theta") - F.coalesce("b", F.lit(0.0)) - F.coalesce("delta", F.lit(0.0))
+        parts.append(held.groupBy("rep").agg(F.avg(log_loss(eta, F.col("correct"))).alias("loss")).select(F.col("rep").alias("seed"), F.lit("rasch").alias("irt_model"), "loss"))
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         axes = [sorted(f[c].unique()) for c in ("model", "item", "language")]
         at = tuple(f[c].map({v: i for i, v in enumerate(ax)}).to_numpy() for c, ax in zip(("model", "item", "language"), axes, strict=True))
         y, keep, held = (np.zeros([len(a) for a in axes], t) for t in (float, bool, bool))
         y[at], keep[at], held[at] = f["correct"], f["keep"], ~f["keep"]
-        e = adam(y, keep, model=key[1], source=axes[2].index(source), steps=steps).eta()[held]
+        e = adam(y, keep, model="2pl", source=axes[2].index(source), steps=steps).eta()[held]
         if not np.isfinite(e).all():
             raise ValueError("the fit has logits that aren't finite")
-        return pd.DataFrame({"seed": [key[0]], "irt_model": [key[1]], "loss": [float(np.mean(np.logaddexp(0, e) - y[held] * e))]})
+        return pd.DataFrame({"seed": [key[0]], "irt_model": ["2pl"], "loss": [float(np.mean(np.logaddexp(0, e) - y[held] * e))]})
 
-    return cells.groupBy("seed", "irt_model").applyInPandas(run, "seed int, irt_model string, loss double")
+    if "2pl" in models:
+        parts.append(cells.groupBy("seed").applyInPandas(run, "seed int, irt_model string, loss double"))
+    return reduce(DataFrame.unionByName, parts)

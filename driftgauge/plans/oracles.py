@@ -104,3 +104,40 @@ def summary(pi: float = 0.5, tau: float = 0.3, alpha: float = 0.05, n_boot: int
       avg(interval_width) AS mean_interval_width, sum(n_degenerate) / sum(n_degenerate + n_nondegenerate) AS frac_shards_degenerate, median(breakeven_in_sd) AS median_breakeven_in_sd, count(CASE WHEN breakeven_in_sd < 1 THEN 1 END) AS n_gaps_breakeven_below_1sd, count(CASE WHEN breakeven_robust_in_sd < 1 THEN 1 END) AS n_gaps_breakeven_robust_below_1sd,
       median(breakeven_robust_in_sd) AS median_breakeven_robust_in_sd FROM rows"""
     return f"SELECT * EXCLUDE ({', '.join(SUMMARY_ROUNDED)}), {rounded(SUMMARY_ROUNDED)} FROM ({inner})"
+
+
+def joint_ctes(cells: str, source: str, rounds: int, over: float = 1.7) -> str:
+    """CTEs c (seed, m, i, l, y) from ``cells``, which has these columns, and z (seed, kind, a, l, v), its Rasch fits: ability of model a (kind 0), difficulty of item a (1), drift (2).
+
+    Over-relaxed Newton steps, for all abilities, then all difficulties, then all drift, and again. Penalised as by gradient: ridges on abilities and drift; drift is 0 at the
+    source, and steps are shifted so that it has mean 0 in each language, and so are source abilities. Begins behind ``WITH RECURSIVE``.
+    """
+    shift = "sum(g / h - v) OVER (PARTITION BY seed, kind, l) / sum(1 / h) OVER (PARTITION BY seed, kind, l)"
+    none = "NULL" if source.isdigit() else "''"  # the language of a difficulty, which isn't read
+    return f"""c AS (SELECT seed, m, i, l, y FROM {cells}),
+    dim AS (SELECT seed, count(*)::DOUBLE AS n, count(DISTINCT i) AS ni, (SELECT count(DISTINCT m) FROM c) AS nm, (SELECT count(DISTINCT l) FROM c) AS nl FROM c GROUP BY 1),
+    p(k, seed, kind, a, l, v) AS (
+      SELECT 0, seed, kind, a, l, 0.0::DOUBLE FROM (SELECT seed, 0 AS kind, m AS a, l FROM dim, (SELECT DISTINCT m FROM c), (SELECT DISTINCT l FROM c)
+        UNION ALL SELECT DISTINCT seed, 1, i, {none} FROM c UNION ALL SELECT seed, 2, i, l FROM (SELECT DISTINCT seed, i FROM c), (SELECT DISTINCT l FROM c) WHERE l <> {source})
+      UNION ALL
+      SELECT k + 1, seed, kind, a, l, CASE WHEN kind = 1 THEN greatest(-10, least(10, v + coalesce(step, 0))) ELSE v + coalesce(step, 0) END FROM (
+        SELECT p.*, CASE WHEN kind = k % 3 THEN {over} * greatest(-1, least(1, -(g - CASE WHEN kind = 2 OR (kind = 0 AND l = {source}) THEN {shift} ELSE 0 END) / h)) END AS step FROM (
+          SELECT p.*, coalesce(s.g, 0) + 2 * r * v AS g, coalesce(s.h, 0) + 2 * r + 1e-9 AS h FROM (SELECT p.*, CASE kind WHEN 0 THEN 1e-4 * n / (nm * nl) WHEN 2 THEN 1e-3 * n / (ni * nl) ELSE 0 END AS r FROM p JOIN dim USING (seed)) p
+          LEFT JOIN (SELECT seed, e.kind, CASE WHEN e.kind = 0 THEN m ELSE i END AS a, CASE WHEN e.kind = 1 THEN {none} ELSE l END AS l, sum(CASE WHEN e.kind = 0 THEN q - y ELSE y - q END) AS g, sum(q * (1 - q)) AS h FROM (
+              SELECT c.*, t.k % 3 AS kind, 1 / (1 + exp(coalesce(d.v, 0) + b.v - t.v)) AS q FROM c JOIN p t ON t.seed = c.seed AND t.kind = 0 AND t.a = c.m AND t.l = c.l JOIN p b ON b.seed = c.seed AND b.kind = 1 AND b.a = c.i LEFT JOIN p d ON d.seed = c.seed AND d.kind = 2 AND d.a = c.i AND d.l = c.l) e GROUP BY ALL) s
+          ON s.seed = p.seed AND s.kind = p.kind AND s.a = p.a AND s.l IS NOT DISTINCT FROM p.l) p) WHERE k < {3 * rounds}),
+    z AS (SELECT * FROM p WHERE k = {3 * rounds})"""
+
+
+def held_out_sql(cells: str, source: str, seeds: tuple[int, ...] = (0, 1, 2), holdout: float = 0.1, rounds: int = 120) -> str:
+    """(seed, irt_model, loss) of Rasch fits of the cells that each seed keeps."""
+    return f"""WITH RECURSIVE u AS (SELECT seed, model AS m, item AS i, language AS l, correct AS y, ('0x' || substr(md5(seed || ':' || model || ':' || item || ':' || language), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= {holdout} AS keep FROM {cells}, (SELECT unnest({list(seeds)}) AS seed)),
+    {joint_ctes('u WHERE keep', source, rounds)}
+    SELECT seed, 'rasch' AS irt_model, round(avg(greatest(e, 0) + ln(1 + exp(-abs(e))) - y * e), 6) AS loss FROM (
+      SELECT u.*, t.v - coalesce(b.v, 0) - coalesce(d.v, 0) AS e FROM u JOIN z t ON t.seed = u.seed AND t.kind = 0 AND t.a = u.m AND t.l = u.l LEFT JOIN z b ON b.seed = u.seed AND b.kind = 1 AND b.a = u.i LEFT JOIN z d ON d.seed = u.seed AND d.kind = 2 AND d.a = u.i AND d.l = u.l WHERE NOT keep) GROUP BY 1"""
+
+
+def joint_gap_sql(cells: str, source: str, rounds: int = 60) -> str:
+    """(model, language, gap) of the Rasch fit of all cells with the gradient fit's penalty."""
+    return f"""WITH RECURSIVE {joint_ctes(f'(SELECT 0 AS seed, model AS m, item AS i, language AS l, correct AS y FROM {cells})', source, rounds)}
+    SELECT t.a AS model, t.l AS language, round(s.v - t.v, 6) + 0.0 AS gap FROM z t JOIN z s ON s.kind = 0 AND s.a = t.a AND s.l = {source} WHERE t.kind = 0"""

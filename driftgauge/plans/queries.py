@@ -154,10 +154,21 @@ def tolerance_match(spark, sf):
 
 
 # option scores -----------------------------------------------------------------------------------------------------
-@query("""SELECT vec_id, (list_position(s, list_max(s)) - 1)::SMALLINT AS predicted FROM (SELECT vec_id, [greatest(embedding[1], embedding[2]), greatest(embedding[3], embedding[4]), greatest(embedding[5], embedding[6]), greatest(embedding[7], embedding[8])] AS s FROM embeddings)""")
+@query("""SELECT vec_id, (list_position(s, list_max(s)) - 1)::SMALLINT AS predicted FROM (SELECT vec_id, list_transform([0, 1, 2, 3], lambda k: list_max(embedding[k * 16 + 1:k * 16 + 16])) AS s FROM embeddings)""")
 def letter_argmax(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    return e.select("vec_id", scores.first_best(scores.group_best(F.col("embedding"), [[0, 1], [2, 3], [4, 5], [6, 7]])).alias("predicted"))
+    return e.select("vec_id", scores.first_best(scores.group_best(F.col("embedding"), [list(range(k, k + 16)) for k in range(0, 64, 16)])).alias("predicted"))
+
+
+@query("""WITH v AS (SELECT doc_id, substr(trim(text), 1, 1) AS c FROM documents), g AS (SELECT strpos('ABCDE', c) - 1 AS option, c AS letter, list(doc_id ORDER BY doc_id) AS ids FROM v WHERE c BETWEEN 'A' AND 'E' AND length(c) = 1 AND ascii(c) < 128 GROUP BY c)
+  SELECT option::INT AS option, letter, len(ids)::BIGINT AS n_tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM g""")
+def letter_tokens(spark, sf):
+    """The tokens that stand for each letter: every document's first letter, behind no, a blank, a line break's or a word's mark, taken as a vocabulary."""
+    docs = V.table(spark, sf, "documents")
+    mark = F.get(F.array(*[F.lit(m) for m in ("", " ", "\u010a", "\u2581")]), (F.col("doc_id") % 4).cast("int"))
+    vocabulary = docs.select(F.col("doc_id").alias("id"), F.concat(mark, F.substring(F.trim("text"), 1, 1)).alias("token"))
+    found = scores.letter_tokens(vocabulary, 5)
+    return found.select("option", "letter", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
 
 
 @query("""SELECT vec_id, (list_position(s, list_max(s)) - 1)::SMALLINT AS predicted, round(list_max(s), 6) AS best FROM (SELECT vec_id, list_transform([0, 1, 2, 3], lambda k: list_sum(list_transform(embedding[k * 16 + 5:k * 16 + 16], lambda x: x::DOUBLE)) / 12) AS s FROM embeddings)""")
@@ -371,6 +382,14 @@ def rasch_gap(spark, sf):
     return rounded(point(fit(V.crossed(spark, sf), V.SOURCE)).gaps.select("model", "language", "gap"), "gap")
 
 
+@query(O.joint_gap_sql(V.crossed_sql(), "0"))
+def joint_gap(spark, sf):
+    """Fitted gap of each model and language under the gradient fit's penalty, all languages in one system."""
+    from .joint import fit_joint
+
+    return rounded(fit_joint(V.crossed(spark, sf), V.SOURCE).gaps.select("model", "language", "gap"), "gap")
+
+
 @query(f"WITH RECURSIVE {O.fit_ctes(V.crossed_sql())} SELECT item, language, round(delta, 6) + 0.0 AS delta, round(b, 6) + 0.0 AS b FROM drift JOIN difficulty USING (rep, item)")
 def rasch_drift(spark, sf):
     """Fitted drift and difficulty of each item, centred by language, source abilities with mean 0."""
@@ -442,13 +461,13 @@ def _mode_sql(name: str, x: str) -> str:
       FROM (SELECT language, avg(gap) AS gap FROM {x}g GROUP BY 1) JOIN (SELECT language, sqrt(greatest(var_pop(delta) - avg(se * se), 0)) AS sd FROM {x}d GROUP BY 1) USING (language) WHERE language <> 0"""
 
 
-@query(f"WITH RECURSIVE {O.fit_ctes(_FEWER, 10, MODELS[:20], 'a_')}, {O.boot_ctes('a_')}, {O.fit_ctes(_FEWER_SECOND, 10, MODELS[:20], 'b_')}, {O.boot_ctes('b_')} {_mode_sql('letter', 'a_')} UNION ALL {_mode_sql('loglik', 'b_')}")
+@query(f"WITH RECURSIVE {O.fit_ctes(_FEWER, 20, MODELS[:20], 'a_')}, {O.boot_ctes('a_')}, {O.fit_ctes(_FEWER_SECOND, 20, MODELS[:20], 'b_')}, {O.boot_ctes('b_')} {_mode_sql('letter', 'a_')} UNION ALL {_mode_sql('loglik', 'b_')}")
 def breakeven_of_modes(spark, sf):
     """Break-even under two scoring modes, on the models and languages that both have."""
     from .ablations import breakeven_of_modes as report
 
     second = V.crossed(spark, sf, "second").where("model < 20 AND language < 4")
-    return rounded(report({"letter": V.crossed(spark, sf), "loglik": second}, V.SOURCE, n_boot=10), "median_ratio", "drift_sd", "mean_gap", "median_delta_se", "tau_effective")
+    return rounded(report({"letter": V.crossed(spark, sf), "loglik": second}, V.SOURCE, n_boot=20), "median_ratio", "drift_sd", "mean_gap", "median_delta_se", "tau_effective")
 
 
 def _arm_ctes(name: str, x: str, cells: str) -> str:
@@ -475,6 +494,18 @@ def holdout_mask(spark, sf):
     return cells.groupBy("seed").agg(F.count(F.when(~F.col("k"), 1)).alias("held_out"), F.count(F.when(F.col("k"), 1)).alias("kept"))
 
 
+_OBSERVED_ONCE = f"(SELECT model, item, language, max(correct) AS correct FROM {V.OBSERVED} GROUP BY ALL)"
+
+
+@query(O.held_out_sql(_OBSERVED_ONCE, "'click'"))
+def crossval_rasch(spark, sf):
+    """Held-out log loss of Rasch fits of the incomplete panel of events, all seeds fitted together."""
+    from .fit import crossval
+
+    cells = V.observed(spark, sf).groupBy("model", "item", "language").agg(F.max("correct").alias("correct"))
+    return rounded(crossval(cells, "click", models=("rasch",)), "loss")
+
+
 @query()
 def crossval_losses(spark, sf):
     """Held-out log loss of both model classes on the incomplete panel of events; fits run until they converge, up to ``crossval``'s 4,000 steps."""
@@ -687,14 +718,14 @@ _FROM_SHARDS = f"(SELECT model, item, language, correct FROM {V.crossed_sql()} W
 _SHARD_SHARES = f"(SELECT DISTINCT model, language, (SELECT max(c) / sum(c) FROM (SELECT count(*) AS c FROM part WHERE p_partkey % 2 = 0 GROUP BY p_partkey % 4)) AS share FROM {V.GAPS})"
 
 
-@query(f"WITH RECURSIVE {O.report_ctes(_FROM_SHARDS, _SHARD_SHARES, MODELS, n_boot=5)} SELECT 'exam' AS benchmark, 125 AS n_shards, 125 AS n_expected, 'l' || language AS language, {', '.join(c for c in O.WHOLE if c != 'language')}, {O.rounded(O.ROUNDED)} FROM rows")
+@query(f"WITH RECURSIVE {O.report_ctes(_FROM_SHARDS, _SHARD_SHARES, MODELS, n_boot=20)} SELECT 'exam' AS benchmark, 125 AS n_shards, 125 AS n_expected, 'l' || language AS language, {', '.join(c for c in O.WHOLE if c != 'language')}, {O.rounded(O.ROUNDED)} FROM rows")
 def shards_to_report(spark, sf):
     """From shards to the report: item sets compared, shards matched by item id, completeness and source checked, shares from predictions."""
     from ..sources.specs import BenchmarkSpec
     from .report import analyse_shards
 
     rows = _shards(spark, sf).where("benchmark = 'exam'").withColumn("model", F.lpad("model", 2, "0"))  # names in the order of keys, as resamples follow it
-    found, report = analyse_shards(rows, BenchmarkSpec("exam", source_language="l0"), n_boot=5)
+    found, report = analyse_shards(rows, BenchmarkSpec("exam", source_language="l0"), n_boot=20)
     return rounded(report.rows, *O.ROUNDED).crossJoin(F.broadcast(found.status.select("n_shards", "n_expected"))).select(F.lit("exam").alias("benchmark"), "n_shards", long("n_expected").alias("n_expected"), *O.WHOLE, *O.ROUNDED)
 
 

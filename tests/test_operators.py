@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgauge.operators import dif, drift, panel, scores
-from driftgauge.operators.ordered import bucket, medians, running
+from driftgauge.operators.ordered import medians, running
 
 
 def stabbing_set(d, pi, tau):
@@ -154,18 +154,37 @@ def test_ranks_and_medians(spark):
     counted = df.where("x IS NOT NULL").groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
     for r in running(counted, ["g"], "x", {"upto": "c", "twice": "c"}).collect():
         assert r.upto == r.twice == (xs[r.g] <= r.x).sum()
-    key = df.where("g <> 'e'").select("x", bucket(F.col("x")).alias("k")).orderBy("x").collect()
-    assert all(a.k <= b.k for a, b in zip(key, key[1:], strict=False))
-    last = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e308,), (None,), (float("-inf"),)], "x double").select("x", bucket(F.col("x")).alias("k")).collect()
-    assert last[4].k < -last[2].k < last[2].k < last[1].k < last[0].k == last[3].k
+
+
+def test_ranks_of_close_values_and_of_text_are_spread(spark):
+    n, conf = 100_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        base = spark.range(n).select("id", F.lit(1).alias("one"))
+        close = base.withColumn("x", 5 + F.col("id") / (1000.0 * n))
+        seconds = base.withColumn("x", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 86_400))
+        text = base.withColumn("x", F.format_string("item %07d", "id"))
+        for rows in (close, text, seconds):
+            done = running(rows, [], "x", {"upto": "one"}, ["id"])
+            plan = done._jdf.queryExecution().executedPlan().toString()
+            assert "__range" in plan
+            got = done.groupBy().agg(F.min("upto"), F.max("upto"), F.count_distinct("upto")).first()
+            assert tuple(got) == (1, n, n)
+        parts = close.repartitionByRange("x").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < n / 2
+        order = running(text, [], "x", {"upto": "one"}).select("id", "upto").where("id + 1 <> upto")
+        assert order.isEmpty()
+    finally:
+        spark.conf.set(conf, before)
 
 
 def test_no_window_over_a_whole_language(spark):
     d = spark.createDataFrame([(i, i % 3, float(i % 50), 0.1) for i in range(3000)], "item int, language int, delta double, se double")
     for df in (dif.wald_tests(d, 0), drift.median_anchor(d, source=0), drift.stabbed_parts(d, 0.5, 0.3), drift.centred(d, "delta", "language"), scores.source_gap(d.withColumn("model", F.col("item")), "delta", 0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        # windows are over the sums of buckets, or over the rows of one bucket
-        assert all("__bucket" in line for line in plan.split("\n") if "Window [" in line), plan
+        # windows are over the sums of ranges, over the rows of one range, or over the few ends of stretches
+        assert all("__range" in line or "kind" in line for line in plan.split("\n") if "Window [" in line), plan
 
 
 def test_normal_tail_is_accurate(spark):
@@ -209,14 +228,11 @@ def test_gates(spark):
     assert sorted(r.item for r in panel.missing_cells(lone, "model", "language", "item").collect()) == [0, 1, 2]
 
 
-def test_letter_groups():
-    ids = {"A": [65], " A": [1, 65], "\nA": [2, 66], "B": [70, 71], " B": [72]}
-
-    def encode(text):
-        return ids[text]  # other forms can't be encoded
-
-    assert scores.letter_groups(encode, 2) == [[65, 66], [70, 72]]
-    with pytest.raises(ValueError, match="no token for C"):
-        scores.letter_groups(encode, 3)
+def test_letter_tokens(spark):
+    shown = [(1, "A"), (2, "\u2581A"), (3, " A"), (4, "\u010aA"), (5, "\u0120B"), (6, "AB"), (7, "a"), (8, "\u2581\u2581B"), (9, None), (10, "\nC ")]
+    vocabulary = spark.createDataFrame(shown, "id int, token string")
+    assert [(r.option, r.letter, r.ids) for r in scores.letter_tokens(vocabulary, 2).orderBy("option").collect()] == [(0, "A", [1, 2, 3, 4]), (1, "B", [5, 8])]
+    with pytest.raises(ValueError, match="no token for C, D"):
+        scores.letter_tokens(vocabulary, 4)
     with pytest.raises(ValueError):
-        scores.letter_groups(encode, 0)
+        scores.letter_tokens(vocabulary, 0)
