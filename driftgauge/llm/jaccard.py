@@ -24,8 +24,8 @@ No key meets in one task: minima, digests of equal sets, tokens and centres of s
 by ``matched`` or in parts, and are aggregated before shuffling.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; equal sets are one component even
-if their texts differ; a null id is never a representative, and takes the component of its set, if any; an empty
-table gives an empty result; other columns are ignored.
+if their texts differ; a null id is never a representative, and takes the component of its set, if any; ids must cast to long (a text that isn't a
+number is an error); texts of any length are compared whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ ever ordered, so no source meets in one task. What is taken follows from two cut
 
 Defined results: a null text has size 0; documents without words are taken 0 times; a null source is a source of its
 own, ordered last; sources of size 0 or weight 0 have target 0; if all caps together are below the budget, each source
-gets its cap; repeated rows count as documents of their own; reruns and other partitionings agree.
+gets its cap; repeated rows count as documents of their own; reruns and other partitionings agree. Only a text's words are counted, whatever its
+length; an empty table gives an empty one. Up to 10,000 sources their targets are broadcast; beyond, rows meet them by shuffling on the source.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ tables, verifies the checksum of each protected Layer III frame, and returns the
 and the byte offset of every frame. ``unpack`` reads the ancillary payload back.
 
 Defined results: a null text is empty, and an empty one one block of padding; a null or empty stream has no frames; junk and cut
-frames are counted, not fatal; equal payloads give equal streams.
+frames are counted, not fatal; equal payloads give equal streams. Texts are stored whole; repeated rows count each for itself; an empty
+table gives an empty one; other columns stay, but for those named like a new one, which give way to it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ A character without a piece costs the least score less 10 and becomes its bytes'
 else the unknown piece. Of equal paths the one whose last piece is longest wins, as the public library has it.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; texts are encoded whole. Decoding is
-exact but for U+2581 in a text, which reads as a blank (as the public library has it), and for unknown pieces.
+exact but for U+2581 in a text, which reads as a blank (as the public library has it), and for unknown pieces. Repeated rows
+count each for itself; an empty table gives an empty one; other columns stay, but for those named like a new one, which give way to it.
 """
 
 from __future__ import annotations

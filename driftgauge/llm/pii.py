@@ -11,7 +11,8 @@ by a keyed stream of the other's, each character modulo its own alphabet, so tim
 What is linked: equal cards, IBANs, social security numbers, IP addresses and secrets, however grouped or spaced; equal
 dates in all forms; equal local parts, letter case apart from case; phone numbers by their national digits (behind ``+``, the
 country code of ITU E.164 stays in clear), so ``+1 (017) 555-7713`` and ``(017) 555-7713`` differ in the code only.
-What isn't found: phone numbers without separators and code (``5551234567``), secrets that aren't hexadecimal.
+What isn't found and stays in clear: phone numbers without separators and code (``5551234567``) or with dots (``555.123.4567``), secrets that
+aren't hexadecimal or begin with ``0x``, IP addresses of version 6, e-mail addresses whose domain isn't ASCII.
 Whoever holds the key can invert each permutation; a secret in mixed case comes back in one case.
 
 A card or IBAN may stand in a run of digits or groups that goes on behind it, as in ``4111 1111 1111 1111 12/25``: what is valid in a customary
@@ -21,7 +22,8 @@ to the same value elsewhere if its first pseudonym won't do. All others are.
 
 Defined results: null and empty texts stay as they are; numbers that fail validation stay; texts are read whole, and
 candidates of any length in time that grows with it. Decimal digits of other scripts are read as 0 to 9 and written back in
-their script. A letter of a local part is replaced within the letters of its general category in its block of 64 code points (a-z, A-Z,
+their script. Repeated rows are treated each for itself and alike; an empty table gives an empty one; other columns stay, but for those
+named like a new one, which give way to it. A letter of a local part is replaced within the letters of its general category in its block of 64 code points (a-z, A-Z,
 0-9, and alike in other scripts); one without another such letter stays. The order of kinds at the same place is fixed.
 """
 

@@ -11,7 +11,8 @@ shingles of both texts, whatever their lengths. Such a text is only ever likened
 a text that has the same least hash apart, else not (0).
 
 Defined results: words are cut at white space (blank and code points 9 to 13) and A-Z lower-cased; a text of fewer words than a shingle is one
-shingle; a text without words has neither part. Two such have likeness 1, one of them and another text 0.
+shingle; a text without words has neither part. Two such have likeness 1, one of them and another text 0. A null text is empty; texts are
+sketched whole; ids may be null or repeat (``with_next`` then orders them by the rest); an empty table gives an empty one. For ``with_next`` the names ``__range``, ``__end`` and ``next_`` before a carried column's must be free.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ one without any merging, and only the rest is merged, each distinct one once whi
 
 Supported: ``tokenizers`` JSON files with a BPE model and the byte-level pre-tokenizer with its own pattern, no
 normalizer and no dropout. Strings of added tokens inside a text are one token each, as the library takes them by
-default. Defined results: a null or empty text has no tokens; texts are counted whole.
+default. Defined results: a null or empty text has no tokens; texts are counted whole, whatever their length; repeated rows count each
+for itself; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
