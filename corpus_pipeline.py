@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import jaccard, mixing, pieces, pii, quality
-from driftgauge.llm._common import checkpointed, shared_folder
+from driftgauge.llm._common import checkpointed, matched, shared_folder
 from driftgauge.llm.queries import KEY, SEED, WEIGHTS, table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,8 +48,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "n_chars", "row")
     found = jaccard.jaccard_components(docs, **pick, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
     found = found.join(docs.select("row", order.alias("order")), "row")
-    first = found.groupBy("component_id").agg(F.min("order")["row"].alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    gone = found.join(first, "component_id").where("row <> stays").select(F.col("row").alias("gone"))
+    first = checkpointed(found.groupBy("component_id").agg(F.min("order")["row"].alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    total = first.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    gone = matched(found, first, ["component_id"], total).where("row <> stays").select(F.col("row").alias("gone"))
     return docs.join(gone, F.col("row") == F.col("gone"), "left_anti").select(COLUMNS)
 
 
