@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,24 +112,65 @@ def letter_tokens(vocabulary: DataFrame, n_options: int) -> DataFrame:
 
 
 class Scorer(Protocol):
-    """Made once per partition; gets a pandas frame of items with prompts and returns their score columns."""
+    """Made once per worker and call of ``scored``; gets a pandas frame of items with prompts and returns their score columns."""
 
     def __call__(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
 
-def scored(items: DataFrame, make: Callable[[], Scorer], schema: str, mode: str = "letter") -> DataFrame:
-    """Items through an injected scorer, a partition at a time. Items with fewer than two options are refused unless generative."""
+#: The scorer of this worker process, by the call that it belongs to: one at a time, as engines are large.
+_engine: dict[str, Scorer] = {}
+
+
+def _engine_of(call: str, make: Callable[[], Scorer]) -> Scorer:
+    if call not in _engine:
+        _engine.clear()
+        _engine[call] = make()
+    return _engine[call]
+
+
+def batches(frame: pd.DataFrame, lengths: pd.Series, most_chars: int, most_rows: int) -> Iterator[pd.DataFrame]:
+    """Consecutive parts of ``frame`` of at most ``most_rows`` rows whose longest prompt times their number is at most ``most_chars``: what padding makes of a batch. A longer prompt is a batch alone."""
+    start, longest = 0, 0
+    for i, n in enumerate(lengths):
+        longest = max(longest, int(n))
+        if i > start and (longest * (i + 1 - start) > most_chars or i - start >= most_rows):
+            yield frame.iloc[start:i]
+            start, longest = i, int(n)
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
+def scored(items: DataFrame, make: Callable[[], Scorer], schema: str, mode: str = "letter", prompt: str = "prompt", most_chars: int = 1 << 18, most_rows: int = 256, profile: ResourceProfile | None = None) -> DataFrame:
+    """Items through an injected scorer. Items with fewer than two options are refused unless generative.
+
+    A worker process makes its scorer once and keeps it from task to task. Prompts are ordered by length within a partition, so that those of a batch (``batches``) are about
+    equally long; a null prompt is empty. ``profile`` asks for the stage's own resources (accelerators, memory), where the cluster schedules by them.
+    """
     if mode not in ("letter", "loglik", "generative"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode != "generative":
         items = items.withColumn("options", F.when(F.size("options") >= 2, F.col("options")).otherwise(F.raise_error(F.lit("an item has fewer than two options")).cast("array<string>")))
+    call = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make()
-        for f in frames:
-            yield scorer(f)
+        scorer = _engine_of(call, make)
+        for frame in frames:
+            for part in batches(frame, frame[prompt].fillna("").str.len(), most_chars, most_rows):
+                yield scorer(part)
+
+    return items.sortWithinPartitions(F.desc(F.length(F.coalesce(prompt, F.lit(""))))).mapInPandas(run, schema, profile=profile)
+
+
+def token_counts(df: DataFrame, make: Callable[[], Callable[[str], int]], text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """``df`` with how many tokens ``text`` has by an injected tokenizer, which each task makes once; a null text has none."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        n = make()
+        for t in texts:
+            yield t.map(lambda x: 0 if x is None else n(x)).astype("int64")
 
-    return items.mapInPandas(run, schema)
+    return df.withColumn(name, count(F.col(text)))
 
 
 def length_ratio(docs: DataFrame, base: str, lang: str = "lang", length: str = "n_chars") -> DataFrame:

@@ -303,6 +303,48 @@ def slope_rmse_coverage(spark, sf):
     return V.gaps(spark, sf).groupBy("language").agg(r6(F.regr_slope("gap", F.col("model").cast("double"))).alias("slope"), r6(F.sqrt(F.avg(F.col("gap") * F.col("gap")))).alias("rmse"), r6(F.avg(F.col("gap").between(-0.4, 0.4).cast("double"))).alias("covered"), r6(F.abs(F.avg("gap"))).alias("floor"))
 
 
+#: A tokenizer for tests: parts of words of at most four characters.
+_PIECE = r"[^\x20\x09-\x0D]{1,4}"
+
+
+def _pieces():
+    import re
+
+    piece = re.compile(_PIECE)
+    return lambda text: len(piece.findall(text))
+
+
+@query(rf"""WITH t AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '{_PIECE}')) AS n FROM documents)
+  SELECT lang, round(avg(n), 6) AS mean_tokens, round(avg(n) / (SELECT avg(n) FROM t WHERE lang = 'en'), 6) AS ratio FROM t GROUP BY 1""")
+def token_fertility(spark, sf):
+    """Mean tokens by language against the base language, by an injected tokenizer."""
+    d = scores.token_counts(V.table(spark, sf, "documents").select("lang", "text"), _pieces).drop("text")
+    return rounded(scores.length_ratio(d, "en", length="n_tokens").select("lang", F.col("mean_length").alias("mean_tokens"), "ratio"), "mean_tokens", "ratio")
+
+
+class _ByLength:
+    """A scorer for tests: the option is told by the prompt's length."""
+
+    def __call__(self, rows):
+        return rows.assign(predicted=(rows["prompt"].fillna("").str.len() % 4 - 1).astype("int16"))[["benchmark", "mode", "model", "language", "item_id", "predicted", "answer_index"]]
+
+
+@query("""SELECT 'docs' AS benchmark, 'letter' AS mode, source AS model, lang AS language, count(*) AS n_items, round(avg((length(coalesce(text, '')) % 4 - 1 = doc_id % 3)::INT), 6) AS accuracy, round(avg((length(coalesce(text, '')) % 4 = 0)::INT), 6) AS unparseable FROM documents GROUP BY ALL""")
+def scored_shards(spark, sf):
+    """A scoring run over all shards, and a second one that finds them done."""
+    from ..session import scratch
+    from ..sources import shards as S
+    from .scoring import score_shards
+
+    d, path = V.table(spark, sf, "documents"), scratch(spark, "scored")
+    items = d.select(F.lit("docs").alias("benchmark"), F.col("source").alias("model"), F.col("lang").alias("language"), F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("prompt"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("options"), (F.col("doc_id") % 3).cast("int").alias("answer_index"))
+    for _ in range(2):
+        score_shards(items, path, _ByLength)
+    rows = S.read(spark, path, "docs", "letter")
+    by = S.KEY
+    return rounded(scores.accuracy(rows, *by).join(scores.unparseable_rate(rows, *by), by), "accuracy", "unparseable")
+
+
 @query("SELECT lang, round(avg(length(text)), 6) AS mean_length, round(avg(length(text)) / (SELECT avg(length(text)) FROM documents WHERE lang = 'en'), 6) AS ratio FROM documents GROUP BY 1")
 def fertility(spark, sf):
     d = V.table(spark, sf, "documents").select("lang", F.length("text").alias("n_chars"))
