@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Shares beyond which a benchmark is refused.
 MAX_UNSHARED, MAX_MALFORMED = 0.01, 0.02
 
@@ -22,6 +24,29 @@ def coverage(ids: DataFrame, shared: DataFrame, item: str = "item_id", lang: str
     return marked.groupBy(lang).agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct(F.when(F.col("__in").isNull(), F.col(item))).alias("n_unshared"))
 
 
+def language_sets(ids: DataFrame, item: str = "item_id", lang: str = "lang") -> DataFrame:
+    """(item, languages): each item's languages, with its rows in each, from one pass over ``ids``; what sets of items share or lack follows from it. Rows without item or language don't count."""
+    cells = ids.where(F.col(item).isNotNull() & F.col(lang).isNotNull()).groupBy(item, lang).agg(F.count(F.lit(1)).alias("n"))
+    return cut(cells.groupBy(item).agg(F.collect_list(F.struct(F.col(lang).alias("lang"), "n")).alias("languages")))  # languages are a small dimension
+
+
+def _all_of(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``full``: whether the item has every language that occurs."""
+    langs = sets.select(F.explode("languages.lang").alias("lang")).agg(F.count_distinct("lang").alias("__n"))
+    return sets.crossJoin(F.broadcast(langs)).withColumn("full", F.size("languages") == F.col("__n")).drop("__n")  # one row
+
+
+def shared_of(sets: DataFrame) -> DataFrame:
+    """The items of ``language_sets`` that every language has."""
+    return _all_of(sets).where("full").drop("languages", "full")
+
+
+def coverage_of(sets: DataFrame, lang: str = "lang") -> DataFrame:
+    """(lang, n_total, n_unshared) of ``language_sets``, as ``coverage`` has it."""
+    cells = _all_of(sets).select("full", F.explode("languages").alias("l"))
+    return cells.groupBy(F.col("l.lang").alias(lang)).agg(F.sum("l.n").alias("n_total"), F.count_if(~F.col("full")).alias("n_unshared"))
+
+
 def check_parallel(covered: DataFrame, most: float = MAX_UNSHARED, lang: str = "lang") -> None:
     """Refuses a benchmark whose language versions aren't the same test."""
     bad = covered.where(F.col("n_unshared") > F.col("n_total") * most).orderBy(lang).limit(20).collect()
@@ -38,10 +63,11 @@ def capped(shared: DataFrame, cap: int | None, seed: int, item: str = "item_id")
 
 def select_items(ids: DataFrame, cap: int | None, seed: int, item: str = "item_id", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(selected ids, coverage); raises if no item is shared by all languages."""
-    shared = shared_ids(ids, item, lang)
+    sets = language_sets(ids, item, lang)
+    shared = shared_of(sets)
     if shared.isEmpty():
         raise ValueError("the languages share no item")
-    return capped(shared, cap, seed, item), coverage(ids, shared, item, lang)
+    return capped(shared, cap, seed, item), coverage_of(sets, lang)
 
 
 def malformed_ids(items: DataFrame, bad: str = "malformed", item: str = "item_id") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.drift import breakeven, drift_se, predictor
-from ..operators.ordered import medians
+from ..operators.ordered import medians, running
 from ..operators.panel import common_panel
 from ..operators.scores import degenerate
+from ..session import cut
 
 
 def agreement(drift_a: DataFrame, drift_b: DataFrame, gaps_a: DataFrame, gaps_b: DataFrame) -> DataFrame:
@@ -44,12 +45,27 @@ def position_bias(shares: DataFrame, worst: int = 3) -> DataFrame:
     return first.crossJoin(spread).crossJoin(top).withColumn("worst_languages", F.transform("w", lambda x: x["language"])).drop("w")
 
 
-def kendall(values: DataFrame, x: str, y: str, unit: str, by: list[str]) -> DataFrame:
-    """(by, tau): Kendall's tau-b over the pairs of units (models: a small dimension), corrected for ties."""
-    a = values.select(*by, F.col(unit).alias("u"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = values.select(*by, F.col(unit).alias("v"), F.col(x).alias("bx"), F.col(y).alias("by_"))
-    pairs = a.join(b, by).where("u < v").withColumn("s", F.signum(F.col("ax") - F.col("bx"))).withColumn("t", F.signum(F.col("ay") - F.col("by_").cast("double")))
-    return pairs.groupBy(*by).agg(F.try_divide(F.sum(F.col("s") * F.col("t")), F.sqrt(F.sum(F.abs("s")) * F.sum(F.abs("t")))).alias("tau"))
+def kendall(values: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, tau): Kendall's tau-b of each group's rows, corrected for ties; null where x or y doesn't vary. Rows that lack x or y don't count.
+
+    Pairs are counted, not formed: two ranks of y differ first in one binary digit, so each row stands once per digit in the group of the digits before it, and
+    meets there the rows of smaller x as a running sum. Rows grow as n log n, and no task holds a group.
+    """
+    cells = cut(values.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c")))
+    places = running(cells.select(*by, "y").distinct().withColumn("one", F.lit(1)), by, "y", {"place": "one"})
+    digits = int(places.agg(F.max("place")).first()[0] or 1).bit_length()
+    rows = cells.join(places.select(*by, "y", "place"), [*by, "y"]).withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
+    rows = rows.withColumns({"before": F.expr("shiftright(place, digit + 1)"), "own": F.expr("shiftright(place, digit) & 1")})
+    met = rows.groupBy(*by, "digit", "before", "x").agg(F.sum(F.when(F.col("own") == 1, F.col("c")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("own") == 0, F.col("c")).otherwise(0)).alias("zeros"))
+    run = running(met, [*by, "digit", "before"], "x", {"upto_ones": "ones", "upto_zeros": "zeros"})
+    agree = F.col("ones") * (F.col("upto_zeros") - F.col("zeros")) - F.col("zeros") * (F.col("upto_ones") - F.col("ones"))
+    score = run.groupBy(*by).agg(F.sum(agree).alias("score"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    apart = score
+    for side in ("x", "y"):
+        ties = cells.groupBy(*by, side).agg(F.sum("c").alias("n")).groupBy(*by).agg(F.sum(pairs("n")).alias("tied"), F.sum("n").alias("n"))
+        apart = apart.join(ties.select(*by, (pairs("n") - F.col("tied")).alias(f"apart_{side}")), by)
+    return apart.select(*by, F.try_divide("score", F.sqrt(F.col("apart_x") * F.col("apart_y"))).alias("tau"))
 
 
 def scoring_modes(first: DataFrame, second: DataFrame, source: str, **kw) -> DataFrame:

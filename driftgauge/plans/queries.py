@@ -92,7 +92,7 @@ def shared_items(spark, sf):
 @query(f"SELECT lang, count(*) AS n_total, count(DISTINCT CASE WHEN s.item_id IS NULL THEN i.item_id END) AS n_unshared, count(DISTINCT CASE WHEN s.item_id IS NULL THEN i.item_id END) > 0.01 * count(*) AS refused FROM {V.IDS} i LEFT JOIN ({_SHARED}) s USING (item_id) GROUP BY 1")
 def coverage(spark, sf):
     ids = V.ids_by_language(spark, sf)
-    c = panel.coverage(ids, panel.shared_ids(ids))
+    c = panel.coverage_of(panel.language_sets(ids))
     return c.withColumn("refused", F.col("n_unshared") > panel.MAX_UNSHARED * F.col("n_total"))
 
 
@@ -295,7 +295,7 @@ def kendall_tau(spark, sf):
     from .ablations import kendall
 
     g = V.gaps(spark, sf).where(F.col("language") != V.SOURCE).withColumn("other", (F.col("model") * 17 + F.col("language") * 5) % 23)
-    return kendall(g, "gap", "other", "model", ["language"]).select("language", r6("tau").alias("tau"))
+    return kendall(g, "gap", "other", ["language"]).select("language", r6("tau").alias("tau"))
 
 
 @query(f"SELECT language, round(regr_slope(gap, model), 6) AS slope, round(sqrt(avg(gap * gap)), 6) AS rmse, round(avg(CASE WHEN gap BETWEEN -0.4 AND 0.4 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS covered, round(abs(avg(gap)), 6) AS floor FROM {V.GAPS} GROUP BY 1")

@@ -179,6 +179,30 @@ def test_ranks_of_close_values_and_of_text_are_spread(spark):
         spark.conf.set(conf, before)
 
 
+def test_kendall_counts_pairs_without_forming_them(spark):
+    from driftgauge.plans.ablations import kendall
+
+    rng = np.random.default_rng(8)
+    groups = {"ties": (rng.integers(0, 9, 400), rng.integers(0, 5, 400)), "wide": (rng.normal(size=300), rng.normal(size=300)), "same": (np.arange(50), np.arange(50)), "turned": (np.arange(50), -np.arange(50)), "flat": (np.ones(9), np.arange(9)), "one": (np.ones(1), np.ones(1))}
+    rows = [(g, float(a), float(b)) for g, (x, y) in groups.items() for a, b in zip(x, y, strict=True)] + [("ties", None, 1.0), ("ties", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: r.tau for r in kendall(df, "x", "y", ["g"]).collect()}
+    for g, (x, y) in groups.items():
+        s, t = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+        down = np.sqrt(np.abs(s).sum() * np.abs(t).sum())
+        assert got[g] is None if down == 0 else got[g] == pytest.approx((s * t).sum() / down), g
+    assert kendall(df.where("g = 'ties'"), "x", "y", ["g"]).count() == 1 and kendall(df.limit(0), "x", "y", ["g"]).count() == 0
+
+
+def test_language_sets(spark):
+    rows = [("en", "a"), ("en", "a"), ("en", "b"), ("fr", "a"), ("fr", "c"), (None, "a"), ("en", None)]
+    df = spark.createDataFrame(rows, "lang string, item_id string")
+    sets = panel.language_sets(df)
+    assert [r.item_id for r in panel.shared_of(sets).collect()] == ["a"]
+    assert {(r.lang, r.n_total, r.n_unshared) for r in panel.coverage_of(sets).collect()} == {("en", 3, 1), ("fr", 2, 1)}
+    assert panel.coverage_of(panel.language_sets(df.limit(0))).count() == 0
+
+
 def test_no_window_over_a_whole_language(spark):
     d = spark.createDataFrame([(i, i % 3, float(i % 50), 0.1) for i in range(3000)], "item int, language int, delta double, se double")
     for df in (dif.wald_tests(d, 0), drift.median_anchor(d, source=0), drift.stabbed_parts(d, 0.5, 0.3), drift.centred(d, "delta", "language"), scores.source_gap(d.withColumn("model", F.col("item")), "delta", 0)):
