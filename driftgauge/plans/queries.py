@@ -160,15 +160,14 @@ def letter_argmax(spark, sf):
     return e.select("vec_id", scores.first_best(scores.group_best(F.col("embedding"), [list(range(k, k + 16)) for k in range(0, 64, 16)])).alias("predicted"))
 
 
-@query("""WITH v AS (SELECT doc_id, substr(trim(text), 1, 1) AS c FROM documents), g AS (SELECT strpos('ABCDE', c) - 1 AS option, c AS letter, list(doc_id ORDER BY doc_id) AS ids FROM v WHERE c BETWEEN 'A' AND 'E' AND length(c) = 1 AND ascii(c) < 128 GROUP BY c)
-  SELECT option::INT AS option, letter, len(ids)::BIGINT AS n_tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM g""")
+@query("""WITH v AS (SELECT doc_id % 4 AS mark, substr(trim(text), 1, 1) AS c, min(doc_id) AS id FROM documents GROUP BY 1, 2), g AS (SELECT strpos('ABCDE', c) - 1 AS option, c AS letter, list(id ORDER BY id) AS ids FROM v WHERE c BETWEEN 'A' AND 'E' AND length(c) = 1 AND ascii(c) < 128 GROUP BY c)
+  SELECT option::INT AS option, letter, array_to_string(ids, ',') AS ids FROM g""")
 def letter_tokens(spark, sf):
-    """The tokens that stand for each letter: every document's first letter, behind no, a blank, a line break's or a word's mark, taken as a vocabulary."""
+    """The tokens that stand for each letter, of a vocabulary of the documents' first letters behind no mark, a blank, or the marks of a line break or a word; a token's id is its least document."""
     docs = V.table(spark, sf, "documents")
     mark = F.get(F.array(*[F.lit(m) for m in ("", " ", "\u010a", "\u2581")]), (F.col("doc_id") % 4).cast("int"))
-    vocabulary = docs.select(F.col("doc_id").alias("id"), F.concat(mark, F.substring(F.trim("text"), 1, 1)).alias("token"))
-    found = scores.letter_tokens(vocabulary, 5)
-    return found.select("option", "letter", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    vocabulary = docs.groupBy(F.concat(mark, F.substring(F.trim("text"), 1, 1)).alias("token")).agg(F.min("doc_id").alias("id"))
+    return scores.letter_tokens(vocabulary, 5).select("option", "letter", F.array_join("ids", ",").alias("ids"))
 
 
 @query("""SELECT vec_id, (list_position(s, list_max(s)) - 1)::SMALLINT AS predicted, round(list_max(s), 6) AS best FROM (SELECT vec_id, list_transform([0, 1, 2, 3], lambda k: list_sum(list_transform(embedding[k * 16 + 5:k * 16 + 16], lambda x: x::DOUBLE)) / 12) AS s FROM embeddings)""")
