@@ -85,21 +85,28 @@ def parse_name(stem: str) -> tuple[str, str, str] | None:
     return (model, language, mode) if language else None
 
 
-def read_archives(spark: SparkSession, path: str, benchmark: str, mode: str = "letter") -> DataFrame:
-    """Rows of ``.npz`` archives (item_ids, correct, predicted, meta) of one mode. Names are filtered before contents: only files of the mode are opened."""
-    folder = f"{path}/{benchmark}"
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.npz$", "")
+def archive_files(spark: SparkSession, path: str, benchmark: str, mode: str = "letter", models: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """(model, language, length, content) of the ``.npz`` archives of one benchmark and mode, and of some models and languages.
+
+    All filters are on the names of files, which Spark knows when it plans the scan: no other archive is opened, and a scan that takes no ``content`` opens none.
+    Archives are whole files, so a task holds some of them and never a part of one.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(f"{path}/{benchmark}")
+    name = F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B"))  # names are shown as in a URL, where a plus stands for itself
+    stem = F.regexp_replace(name, r"\.npz$", "")
     is_other = F.lit(False)
     for m in MODES[1:]:
         is_other |= F.endswith(stem, F.lit(f"__{m}"))
-    core = stem if mode == "letter" else F.regexp_replace(stem, f"__{mode}$", "")
-    ours = (~is_other if mode == "letter" else F.endswith(stem, F.lit(f"__{mode}"))) & core.rlike("__.")
-    # a scan without the content column lists files only; the names that pass are what the second scan opens
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).where(ours).select("path")
-    names = [r.path for r in listed.collect()]  # shards of one benchmark: models times languages
-    if not names:
-        return spark.createDataFrame([], ARCHIVE)
-    files = spark.read.format("binaryFile").load(names)
+    core = stem if mode == "letter" else F.left(stem, F.length(stem) - len(mode) - 2)
+    files = files.where((~is_other if mode == "letter" else F.endswith(stem, F.lit(f"__{mode}"))) & core.rlike("(?s)__."))
+    model, language = F.substring_index(core, "__", 1), F.regexp_extract(core, "(?s)^.*?__(.+)$", 1)
+    for c, v in ((model, models), (language, languages)):
+        files = files if v is None else files.where(c.isin(list(v)))
+    return files.select(model.alias("model"), language.alias("language"), "length", "content")
+
+
+def read_archives(spark: SparkSession, path: str, benchmark: str, mode: str = "letter", models: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """Rows of the archives (item_ids, correct, predicted, meta) that ``archive_files`` finds."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -107,20 +114,38 @@ def read_archives(spark: SparkSession, path: str, benchmark: str, mode: str = "l
         import numpy as np
 
         for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                model, language, _ = parse_name(name.rsplit("/", 1)[-1][:-4])
+            for model, language, data in zip(frame["model"], frame["language"], frame["content"], strict=True):
                 z = np.load(io.BytesIO(data), allow_pickle=False)
                 yield pd.DataFrame({"benchmark": benchmark, "mode": mode, "model": model, "language": language, "item_id": z["item_ids"].astype(str), "correct": z["correct"].astype("int8"), "predicted": z["predicted"].astype("int16"), "meta": str(z["meta"])})
 
-    return files.mapInPandas(run, ARCHIVE)
+    return archive_files(spark, path, benchmark, mode, models, languages).select("model", "language", "content").mapInPandas(run, ARCHIVE)
 
 
 META = "hf_id string, revision string, n_items long, accuracy double, unparseable double, mode_share double, seconds double"
 
 
+#: Numbers that JSON hasn't, where Python writes them bare: outside texts, so behind them come whole texts only.
+_BARE = r'(?:-?Infinity|NaN)(?=[^"\\]*+(?:"(?:[^"\\]|\\.)*+"[^"\\]*+)*+$)'
+
+
+def record(meta: str = "meta") -> F.Column:
+    """The JSON record as a VARIANT, with whatever fields it has; bare NaN and infinities become texts that ``field`` reads as numbers. Null where it isn't JSON."""
+    return F.try_parse_json(F.regexp_replace(meta, _BARE, '"$0"'))
+
+
+def field(record: str | F.Column, path: str, type: str) -> F.Column:
+    """A field of a VARIANT by its path (``$.a.b[0]``); null where it is missing or of no such type."""
+    return F.try_variant_get(record, path, type)
+
+
+def fields(records: DataFrame, record: str = "record", *by: str) -> DataFrame:
+    """(by, fields): all fields that the records have, with the types that hold them all."""
+    return records.groupBy(*by).agg(F.schema_of_variant_agg(record).alias("fields"))
+
+
 def with_meta(rows: DataFrame) -> DataFrame:
-    """The archive's JSON record as columns; NaN stays NaN."""
-    return rows.withColumn("meta", F.from_json("meta", META, {"allowNonNumericNumbers": "true"}))
+    """The archive's JSON record as columns; NaN stays NaN. Fields beyond ``META`` stay in ``record``."""
+    return rows.withColumn("record", record()).withColumn("meta", F.from_json("meta", META, {"allowNonNumericNumbers": "true"}))
 
 
 def write_records(df: DataFrame, path: str) -> None:

@@ -260,3 +260,16 @@ def test_letter_tokens(spark):
         scores.letter_tokens(vocabulary, 4)
     with pytest.raises(ValueError):
         scores.letter_tokens(vocabulary, 0)
+
+
+def test_stabbing_counts_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    data = [(lang, float(x)) for lang in ("fr", "de") for x in np.round(rng.normal(0, 1, 300), 1)]
+    bad = [("fr", None), ("fr", float("nan")), ("fr", float("inf")), ("de", float("-inf"))]
+    shifts = [("fr", float(c)) for c in np.arange(-16, 17) / 8] + [("de", 0.0), ("de", 0.0), ("sw", 0.0), ("fr", None)]
+    points = spark.createDataFrame(shifts, "language string, c double")
+    got = {(r.language, r.c): r.n for r in drift.stabbing_counts(points, spark.createDataFrame(data + bad, "language string, delta double"), 0.25).collect()}
+    for lang, c in set(shifts):
+        want = 0 if c is None else sum(-0.25 - c <= d <= 0.25 - c for x, d in data if x == lang)
+        assert got[lang, c] == want * shifts.count((lang, c))
+    assert len(got) == len(set(shifts)) and max(got.values()) > 20

@@ -89,6 +89,59 @@ def test_archives(spark, tmp_path):
     assert shards.parse_name("only") is None and shards.parse_name("a__b__c") == ("a", "b__c", "letter")
 
 
+def opened(df):
+    """How many files the scan of a plan that ran took."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+
+
+def test_archives_are_chosen_by_name(spark, tmp_path):
+    folder = tmp_path / "exam"
+    folder.mkdir()
+    array = lambda name: np.savez_compressed(folder / name, item_ids=np.array(["x"]), correct=np.array([1], np.uint8), predicted=np.array([2], np.int16), meta=np.array("{}"))
+    for model in ("m", "m%41 b+c", "n"):
+        for end in ("en", "fr", "x__y", "en__loglik"):
+            array(f"{model}__{end}.npz")
+    for name in ("n__de.npz", "__loglik.npz", "n__.npz"):  # not archives: opening one fails, and the last two have no language
+        (folder / name).write_bytes(b"broken")
+    some = shards.read_archives(spark, str(tmp_path), "exam", models=["m%41 b+c", "n"], languages=["fr", "x__y"])
+    assert {(r.model, r.language) for r in some.collect()} == {(m, lang) for m in ("m%41 b+c", "n") for lang in ("fr", "x__y")} and opened(some) == 4
+    assert shards.read_archives(spark, str(tmp_path), "exam", "loglik").count() == 3 and shards.read_archives(spark, str(tmp_path), "exam", "generative").count() == 0
+    assert shards.archive_files(spark, str(tmp_path), "exam").count() == 10
+    with pytest.raises(Exception, match="n__de|pickle|broken|Cannot"):
+        shards.read_archives(spark, str(tmp_path), "exam").collect()
+
+
+def test_records_keep_unknown_fields(spark):
+    texts = ['{"n_items": 2, "mode_share": NaN, "engine": {"name": "a NaN, \\"NaN", "tries": [1, 2]}}', '{"n_items": 3, "mode_share": 0.5, "low": -Infinity, "note": "NaN"}', "no JSON", None]
+    r = shards.with_meta(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, meta string"))
+    got = {x.i: x for x in r.select("i", "meta", *(shards.field("record", p, t).alias(n) for p, t, n in (("$.mode_share", "double", "share"), ("$.engine.name", "string", "name"), ("$.engine.tries[1]", "int", "tries"), ("$.low", "double", "low"), ("$.note", "string", "note")))).collect()}
+    assert np.isnan(got[0].share) and np.isnan(got[0].meta.mode_share) and (got[0].name, got[0].tries, got[0].low) == ('a NaN, "NaN', 2, None)
+    assert (got[1].share, got[1].low, got[1].note) == (0.5, float("-inf"), "NaN") and got[2].share is None and got[3].share is None
+    names = shards.fields(r).first().fields
+    assert all(x in names for x in ("engine", "tries", "low", "n_items"))
+
+
+def test_whole_benchmarks_are_told_once(spark, tmp_path):
+    path, out = str(tmp_path / "s"), str(tmp_path / "out")
+    rows = responses(spark).where("mode = 'letter'").union(responses(spark).where("mode = 'letter'").withColumn("benchmark", F.lit("other")))
+    wanted = rows.select(*shards.KEY).distinct()
+    told = lambda: {(r.benchmark, r.n_shards, r.n_rows) for r in spark.read.parquet(out).collect()}
+
+    def step(part, grid=wanted):
+        shards.write(part, path)
+        stream.follow_complete(spark, path, grid, str(tmp_path / "check"), out).awaitTermination()
+        return sorted(r.benchmark for r in spark.read.schema("benchmark string").parquet(out).collect())
+
+    before = spark.conf.get(stream.STATE)
+    assert step(rows.where("NOT (model = 'b' AND language = 'fr')")) == []
+    assert step(rows.where("benchmark = 'exam' AND model = 'a'")) == []  # written again
+    assert step(rows.where("benchmark = 'exam' AND model = 'b'")) == ["exam"] and told() == {("exam", 4, 32)}  # the late shard, behind a restart
+    assert step(rows.where("benchmark = 'exam'").union(rows.where("benchmark = 'exam'").withColumn("model", F.lit("unwanted")))) == ["exam"]
+    more = wanted.union(wanted.where("benchmark = 'exam' AND model = 'a'").withColumn("model", F.lit("c")))
+    assert step(rows.where("benchmark = 'exam' AND model = 'a'").withColumn("model", F.lit("c")), more) == ["exam", "exam"] and ("exam", 6, 48) in told()
+    assert spark.conf.get(stream.STATE) == before
+
+
 def test_stream_follows_shards(spark, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     for model in ("a", "b"):
