@@ -746,6 +746,38 @@ def shard_round_trip(spark, sf):
     return rounded(acc, "accuracy")
 
 
+@query(f"SELECT 'exam' AS benchmark, count(*) AS n_rows, count(DISTINCT (model, language)) AS n_shards FROM {V.crossed_sql()} WHERE item % 2 = 0")
+def whole_benchmarks(spark, sf):
+    """Benchmarks told as whole by a stream of the markers of shards: two runs of it, of which the first finds one benchmark short and the second completes it; the other stays short."""
+    from ..session import cut, scratch
+    from ..sources import shards as S
+    from ..streaming.shards import follow_complete
+
+    folder, rows = scratch(spark, "whole"), cut(_shards(spark, sf))
+    late = (F.col("model") == "3") & (F.col("language") == "l2")
+    for part in (rows.where(~late), rows.where(late & (F.col("benchmark") == "exam"))):
+        S.write(part, f"{folder}/shards")
+        follow_complete(spark, f"{folder}/shards", rows.select(*S.KEY), f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return spark.read.schema("benchmark string, n_shards long, n_rows long").parquet(f"{folder}/out")
+
+
+@query("""WITH r AS (SELECT source, lang, count(*) AS n, avg(length(coalesce(text, ''))) AS mean, max(length(coalesce(text, ''))) AS longest, count(text) AS held FROM documents GROUP BY 1, 2)
+  SELECT source, lang, n AS n_items, CASE WHEN held % 2 = 1 THEN round(mean, 6) END AS mode_share, held % 2 = 0 AS no_share, longest::BIGINT AS longest, 'engine,longest,mode_share,n_items' AS fields FROM r""")
+def shard_records(spark, sf):
+    """Records of shards as JSON text, some with a bare NaN and all with a field that the schema doesn't know, read back by path, with the names of the fields that they have."""
+    from ..sources import shards as S
+
+    d = V.table(spark, sf, "documents").withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))))
+    g = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_items"), F.avg("n_chars").alias("mean"), F.max("n_chars").cast("long").alias("longest"), F.count("text").alias("held"))
+    share = F.when(F.col("held") % 2 == 1, F.col("mean")).otherwise(float("nan")).alias("mode_share")
+    texts = g.select("source", "lang", F.replace(F.to_json(F.struct("n_items", share, F.struct("longest").alias("engine"))), F.lit('"NaN"'), F.lit("NaN")).alias("meta"))
+    r = S.with_meta(texts)
+    known = S.fields(r, "record", "source", "lang").withColumnsRenamed({"source": "__source", "lang": "__lang"})
+    both = r.join(known, F.col("source").eqNullSafe(F.col("__source")) & F.col("lang").eqNullSafe(F.col("__lang")))
+    got = S.field("record", "$.mode_share", "double")
+    return both.select("source", "lang", S.field("record", "$.n_items", "long").alias("n_items"), r6(F.nanvl(got, F.lit(None).cast("double"))).alias("mode_share"), F.isnan(got).alias("no_share"), S.field("record", "$.engine.longest", "long").alias("longest"), F.array_join(F.regexp_extract_all("fields", F.lit(r"(\w+):")), ",").alias("fields"))
+
+
 @query("SELECT * FROM (VALUES ('exam', true, 'letter', true, 'en', false, 125::BIGINT, 25::BIGINT, 5::BIGINT), ('sums', true, 'generative', true, 'de', false, 125, 25, 5), ('planned', false, NULL, NULL, 'en', false, 0, 0, 0)) t(name, usable, mode, matches, source_language, has_source, n_shards, n_models, n_languages)")
 def specs_with_shards(spark, sf):
     """Every specification with what there is of its shards."""
