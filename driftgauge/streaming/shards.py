@@ -41,18 +41,20 @@ class Crossed(StatefulProcessor):
     """The shards of one benchmark that are there; a row once all that are wanted are, and again only if more are wanted by then."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.shards = handle.getMapState("shards", "mode string, model string, language string", "n_rows long")
+        self.shards = handle.getMapState("shards", "mode string, model string, language string", "n_rows long, digest long")
         self.told = handle.getValueState("told", "n_shards long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        wanted = 0
+        wanted = digest = n_rows = n_held = 0
         for r in rows:
-            self.shards.updateValue((r.mode, r.model, r.language), (r.n_rows,))
-            wanted = r.n_wanted
-        held = [n for (n,) in self.shards.values()]
-        if len(held) == wanted and (not self.told.exists() or self.told.get()[0] < wanted):
+            self.shards.updateValue((r.mode, r.model, r.language), (r.n_rows, r.digest))
+            wanted, digest = r.n_wanted, r.wanted_digest
+        for n, d in self.shards.values():
+            n_rows, n_held, digest = n_rows + n, n_held + 1, digest ^ d
+        # as many as are wanted, and the same ones: then the digests cancel out
+        if n_held == wanted and digest == 0 and (not self.told.exists() or self.told.get()[0] < wanted):
             self.told.update((wanted,))
-            yield Row(benchmark=key[0], n_shards=wanted, n_rows=sum(held))
+            yield Row(benchmark=key[0], n_shards=wanted, n_rows=n_rows)
 
     def close(self) -> None:
         pass
@@ -65,10 +67,11 @@ def follow_complete(spark: SparkSession, path: str, wanted: DataFrame, checkpoin
     """Writes (benchmark, n_shards, n_rows) to ``sink`` when the last of a benchmark's ``wanted`` shards (their key) is whole under ``path``.
 
     Follows the markers of the shard sink, one row a shard, so that state is as large as the grid and not as the responses. A shard that isn't wanted, or is written
-    again, tells nothing new. State and what was told outlive a restart; a grid that has grown by then is told again once it is whole.
+    again, tells nothing new. State and what was told outlive a restart; a grid that has grown by then is told again once it is whole. A grid that has lost shards which
+    are there already is never told: give it a checkpoint of its own.
     """
-    grid = wanted.select(*KEY).distinct()
-    grid = grid.join(grid.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n_wanted")), "benchmark")
+    grid = wanted.select(*KEY).distinct().withColumn("digest", F.xxhash64(*KEY))
+    grid = grid.join(grid.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n_wanted"), F.bit_xor("digest").alias("wanted_digest")), "benchmark")
     schema = ", ".join(["n_rows long", *(f"{k} string" for k in KEY)])
     # a marker that is replaced while it is read comes again under its new name
     marked = spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(marks(path)).join(grid, KEY)

@@ -139,6 +139,10 @@ def test_whole_benchmarks_are_told_once(spark, tmp_path):
     assert step(rows.where("benchmark = 'exam'").union(rows.where("benchmark = 'exam'").withColumn("model", F.lit("unwanted")))) == ["exam"]
     more = wanted.union(wanted.where("benchmark = 'exam' AND model = 'a'").withColumn("model", F.lit("c")))
     assert step(rows.where("benchmark = 'exam' AND model = 'a'").withColumn("model", F.lit("c")), more) == ["exam", "exam"] and ("exam", 6, 48) in told()
+    other = wanted.where("benchmark = 'other'")
+    swapped = other.where("NOT (model = 'a' AND language = 'en')").union(other.where("model = 'b' AND language = 'fr'").withColumn("language", F.lit("de")))
+    # as many shards are there as are wanted, but not the same ones
+    assert step(rows.where("benchmark = 'other' AND model = 'b' AND language = 'fr'"), swapped) == ["exam", "exam"]
     assert spark.conf.get(stream.STATE) == before
 
 
