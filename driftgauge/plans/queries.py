@@ -710,22 +710,29 @@ _SPECS = {
 }
 
 
-@query("SELECT * FROM (VALUES ('exam', 'o/exam', 'test', 'multiple_choice', 'en,fr', 'en', 3, 7::BIGINT, true, true), ('sums', 'o/sums', 'eval', 'generative', 'en', 'de', 2000, 9::BIGINT, true, false), ('planned', NULL, 'test', 'multiple_choice', '', 'en', 2000, 7::BIGINT, false, true)) t(name, hf_id, split, task, languages, source_language, max_items, seed, usable, by_letter)")
+@query("""WITH s AS (SELECT source AS name, list_sort(list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL)) AS languages, count(*) AS n, CASE WHEN count(*) % 2 = 0 THEN 'generative' END AS task, CASE WHEN count(DISTINCT lang) > 1 THEN min(lang) END AS source_language FROM documents WHERE source IS NOT NULL GROUP BY 1)
+  SELECT name, 'o/' || name AS hf_id, 'test' AS split, coalesce(task, 'multiple_choice') AS task, coalesce(array_to_string(languages, ','), '') AS languages, coalesce(source_language, 'en') AS source_language, least(n, 2000)::INT AS max_items, 7::BIGINT AS seed,
+  coalesce(len(languages), 0) > 0 AS usable, task IS NULL AS by_letter FROM s""")
 def specifications(spark, sf):
-    """Benchmark specifications over their defaults; which can be used, and with which scoring mode."""
+    """A benchmark specification for each source of documents, laid over defaults; which can be used, and with which scoring mode."""
     from ..sources import specs as S
 
-    frame = S.specs_frame(spark, S.load_specs(_SPECS))
+    n, langs = F.count(F.lit(1)), F.collect_set("lang")
+    own = V.table(spark, sf, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("name")).agg(
+        F.concat(F.lit("o/"), F.first("source")).alias("hf_id"), langs.alias("languages"), F.least(n, F.lit(2000)).cast("int").alias("max_items"),
+        F.when(n % 2 == 0, "generative").alias("task"), F.when(F.size(langs) > 1, F.min("lang")).alias("source_language"), n.alias("n_documents"),
+    )
+    frame = S.specs_over(own, {"split": "test", "source_language": "en", "max_items": 2000, "seed": 7})
     letter = S.matching_mode(frame, "letter").select("name", F.lit(True).alias("by_letter"))
     return frame.join(letter, "name", "left").withColumn("by_letter", F.coalesce("by_letter", F.lit(False))).withColumn("languages", F.array_join("languages", ","))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'first', 1, 7.0::DOUBLE), (1, 'small', 2, 1.2), (2, 'big', 2, 9.2)) t(place, name, tier, params_b)")
+@query("SELECT row_number() OVER (ORDER BY coalesce(tier, 1), params_b, name) - 1 AS place, name, coalesce(tier, 1)::INT AS tier, params_b FROM (SELECT n_name AS name, nullif(n_regionkey, 0) AS tier, (n_nationkey * 7 % 11) / 2.0::DOUBLE AS params_b FROM nation) WHERE coalesce(tier, 1) IN (1, 2)")
 def model_grid(spark, sf):
-    """The models of tiers 1 and 2, by tier, then smallest first."""
-    from ..sources.specs import load_models
+    """The models (nations) of tiers 1 and 2, by tier, then smallest first; without a tier they are of the first."""
+    from ..sources.specs import grid_over
 
-    return spark.createDataFrame([(i, m.name, m.tier, float(m.params_b)) for i, m in enumerate(load_models(_SPECS))], "place long, name string, tier int, params_b double")
+    return grid_over(V.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.nullif("n_regionkey", F.lit(0)).alias("tier"), (F.col("n_nationkey") * 7 % 11 / 2.0).alias("params_b")))
 
 
 def _shards(spark, sf):

@@ -33,6 +33,28 @@ def test_specs(spark):
     assert {r.name for r in specs.matching_mode(specs.specs_frame(spark, s), "letter").collect()} == {"exam", "story", "planned"}
 
 
+def test_specs_kept_as_rows(spark):
+    given = {"defaults": {"split": "dev", "max_items": 9, "languages": ["xx"]}, "benchmarks": {"a": {"hf_id": "o/a", "languages": ["en", "fr"]}, "b": {"hf_id": "", "task": "generative", "seed": 4}, "c": {"source_language": "de", "split": "test"}}}
+    held = spark.createDataFrame([(n, o.get("hf_id"), o.get("languages") and [*o["languages"][::-1], "en"], o.get("task"), o.get("seed"), o.get("source_language"), o.get("split"), 1) for n, o in given["benchmarks"].items()], "name string, hf_id string, languages array<string>, task string, seed int, source_language string, split string, usable int")
+    got = specs.specs_over(held, given["defaults"])
+    want = specs.specs_frame(spark, specs.load_specs(given))
+    assert got.schema.names == want.schema.names and sorted(got.collect()) == sorted(want.collect())
+    assert specs.specs_over(held.select("name")).where("usable OR hf_id IS NOT NULL OR split <> 'test' OR size(languages) > 0").isEmpty()
+    assert specs.specs_over(held.limit(0)).count() == 0 and specs.specs_over(held.union(held)).count() == 6
+    with pytest.raises(ValueError, match="no such fields"):
+        specs.specs_over(held, {"splits": "x"})
+    with pytest.raises(Exception, match="has no name"):
+        specs.specs_over(held.withColumn("name", F.lit(None).cast("string"))).collect()
+
+
+def test_grid_of_rows(spark):
+    models = {"big": (2, 9.2), "small": (2, 1.2), "same": (2, 1.2), "first": (None, 7.0), "free": (1, None), "other": (3, 1.0)}
+    kept = spark.createDataFrame([(n, t, p, 0) for n, (t, p) in models.items()], "name string, tier int, params_b double, place int")
+    want = specs.load_models({"models": {n: {k: v for k, v in (("tier", t), ("params_b", p)) if v is not None} for n, (t, p) in sorted(models.items())}})
+    assert [(r.name, r.tier, r.params_b) for r in specs.grid_over(kept).orderBy("place").collect()] == [(m.name, m.tier, m.params_b) for m in want]
+    assert [r.place for r in specs.grid_over(kept, (3,)).collect()] == [0] and specs.grid_over(kept.limit(0)).count() == 0
+
+
 def rows(spark, bad=()):
     data = [(lang, f"i{n}", f"q{n} ", "x", "y", None if n % 2 else "z", str(n % 2 + 1) if (lang, n) not in bad else "9", None) for lang in ("en", "fr") for n in range(100)]
     return spark.createDataFrame(data, "lang string, sample_id string, q string, a string, b string, c string, ans string, s string")
