@@ -578,6 +578,29 @@ def test_sketch_query_against_brute_force(spark, sf):
     assert np.mean([r.near_edited for r in got.values()]) > 0.6
 
 
+def test_sketch_hashes_recomputed(spark, sf):
+    """Every fingerprint from its text alone: chained xxHash64 of the words of each shingle, those in the lower half kept, else the least apart."""
+    import xxhash
+
+    def digits(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.translate(UPPER)) if x]
+        found = set()
+        for i in range(max(1, len(w) - 2) if w else 0):
+            h = 42
+            for x in w[i : i + 3]:
+                h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+            found.add(h)
+        signed = lambda h: h - (h >> 63 << 64)
+        kept = sorted((h for h in found if h >> 1 < 1 << 62), key=signed)
+        return "".join(f"{h:016X}" for h in kept) or ("~%016X" % min(found, key=signed) if found else "")
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in Q.op10_sketch(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
+        assert got[i].fingerprint == digits(t) and got[i].edited_fingerprint == digits(t[: len(t) - len(t) // 4] + u[: len(t) // 4])
+
+
 def test_sketch_query_is_near_exact_likeness(spark):
     sf = "/root/testdata/sf0.01"
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
