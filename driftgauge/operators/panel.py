@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, few
 
 #: Shares beyond which a benchmark is refused.
 MAX_UNSHARED, MAX_MALFORMED = 0.01, 0.02
@@ -135,7 +135,7 @@ def duplicates(cells: DataFrame, *key: str) -> DataFrame:
 def common_panel(a: DataFrame, b: DataFrame, *axes: str, least: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Both panels on the axis values that they share; raises if an axis shares fewer than ``least`` of it."""
     for axis in axes:
-        both = a.select(axis).intersect(b.select(axis))
+        both = few(cut(a.select(axis).distinct().intersect(b.select(axis).distinct())))  # distinct first: else the cells themselves are matched
         if least and both.limit(least.get(axis, 0)).count() < least.get(axis, 0):
             raise ValueError(f"the panels share too few values of {axis}")
         a, b = a.join(both, axis, "left_semi"), b.join(both, axis, "left_semi")

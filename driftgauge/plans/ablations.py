@@ -83,7 +83,7 @@ def breakeven_of_modes(modes: dict[str, DataFrame], source, n_boot: int = 20, ta
 
     (mode, n_models, n_languages, median_ratio over finite ratios, n_below_1sd, drift_sd, mean_gap, median_delta_se, tau_effective).
     """
-    from .fit import bootstrap_errors, fit, point
+    from .fit import drift_with_errors, fit, point
 
     (name_a, a), (name_b, b) = modes.items()
     a, b = common_panel(a, b, "model", "language", least={"model": 1, "language": 1})
@@ -91,8 +91,7 @@ def breakeven_of_modes(modes: dict[str, DataFrame], source, n_boot: int = 20, ta
     for name, cells in ((name_a, a), (name_b, b)):
         boot = fit(cells, source, n_boot, seed)
         rest = lambda d: d.where(F.col("language") != F.lit(source))
-        one, se = point(boot), bootstrap_errors(boot)[0].withColumn("se", F.greatest("se", F.lit(1e-6)))
-        d, g = rest(one.drift.join(se, ["item", "language"])), rest(one.gaps)
+        d, g = cut(rest(drift_with_errors(boot)).withColumn("se", F.greatest("se", F.lit(1e-6)))), rest(point(boot).gaps)
         ratio = F.when(F.col("ratio") < float("inf"), F.col("ratio"))
         per = breakeven(g, d).agg(F.count(F.lit(1)).alias("n_languages"), F.median(ratio).alias("median_ratio"), F.count(F.when(F.col("ratio") < 1, 1)).alias("n_below_1sd"), F.avg("drift_sd").alias("drift_sd"))
         row = g.agg(F.count_distinct("model").alias("n_models"), F.avg("gap").alias("mean_gap")).crossJoin(per).crossJoin(medians(d, [], "se", "median_delta_se"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "driftgauge", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -37,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all cores by ``by``, before each of its rows becomes many: a small file is one task, whatever is made of it.
+
+    The number of parts is given, as adaptive execution would merge small ones: four a core, and no fewer than a shuffle has.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def few(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table that is cheap to count, broadcast if it is small."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder."""
     return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SOURCE = 0
 
 
@@ -16,12 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crossed(spark: SparkSession, sf_dir: str, salt: str = "") -> DataFrame:
-    """responses (model, item, language, correct): every nation on every part in every region. The dimensions broadcast: 25 and 5 rows."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("model"))
-    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("language"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), F.col("p_size").cast("int").alias("size"))
+    """responses (model, item, language, correct): every nation on every part in every region, dealt by item. The dimensions broadcast: 25 and 5 rows."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("model"), F.col("n_nationkey").cast("string").alias("m"))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("language"), F.col("r_regionkey").cast("string").alias("l"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), F.col("p_size").cast("int").alias("size"), F.col("p_partkey").cast("string").alias("i")), "item")  # as text before the cells are made
     cells = p.crossJoin(F.broadcast(n.crossJoin(F.broadcast(r))))
-    h = F.conv(F.substring(F.sha2(F.concat_ws(":", "model", "item", "language", *([F.lit(salt)] if salt else [])), 256), 1, 8), 16, 10).cast("long") % 100
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", "m", "i", "l", *([F.lit(salt)] if salt else [])), 256), 1, 8), 16, 10).cast("long") % 100
     return cells.select("model", "item", "language", (h < 40 + 2 * F.col("model") - 4 * F.col("language") - F.col("size") % 20).cast("int").alias("correct"))
 
 
