@@ -142,13 +142,13 @@ def predictor(cells: DataFrame, ability: DataFrame, difficulty: DataFrame, drift
     return out.withColumn("eta", F.col("a") * eta if "a" in drift.columns else eta)
 
 
-def drift_se(predicted: DataFrame) -> DataFrame:
-    """(item, language, se): from the Fisher information of each cell's models."""
+def drift_se(predicted: DataFrame, *kept: str) -> DataFrame:
+    """(item, language, se, kept): from the Fisher information of each cell's models; ``kept`` are columns that don't differ between models."""
     p = logistic(F.col("eta"))
     info = F.sum(p * (1 - p))
     if "a" in predicted.columns:
         info = info * F.first("a") * F.first("a")
-    return predicted.groupBy("item", "language").agg((1 / F.sqrt(F.greatest(info, F.lit(1e-12)))).alias("se"))
+    return predicted.groupBy("item", "language").agg((1 / F.sqrt(F.greatest(info, F.lit(1e-12)))).alias("se"), *[F.first(c).alias(c) for c in kept])
 
 
 def centred(values: DataFrame, value: str, *by: str) -> DataFrame:

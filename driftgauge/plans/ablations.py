@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.drift import breakeven, drift_se, predictor
+from ..operators.drift import breakeven, drift_se
 from ..operators.ordered import medians, running
 from ..operators.panel import common_panel
 from ..operators.scores import degenerate
-from ..session import cut
+from ..session import cut, few
 
 
 def agreement(drift_a: DataFrame, drift_b: DataFrame, gaps_a: DataFrame, gaps_b: DataFrame) -> DataFrame:
@@ -109,10 +109,10 @@ def translation_arms(arms: dict[str, DataFrame], source) -> DataFrame:
     drifts = gaps = None
     for name, cells in ((name_a, a), (name_b, b)):
         one = point(fit(cells, source))
-        seen = one.drift.select("item", "language").join(one.ability.select("model", "language"), "language")
-        se = drift_se(predictor(seen, one.ability, one.difficulty, one.drift))
+        # an item's models are added by a broadcast, so its cells are summed where they are made
+        cells = one.both.join(few(one.ability), "language").withColumn("eta", F.col("theta") - F.col("b") - F.col("delta"))
         rest = lambda d: d.where(F.col("language") != F.lit(source)).withColumn("arm", F.lit(name))  # noqa: B023, E731
-        d, g = rest(one.drift.join(se, ["item", "language"])), rest(one.gaps)
+        d, g = rest(drift_se(cells, "delta")), rest(one.gaps)
         drifts, gaps = (d, g) if drifts is None else (drifts.union(d), gaps.union(g))
     return dispersion(drifts, gaps)
 

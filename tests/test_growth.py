@@ -50,3 +50,12 @@ def test_more_models_than_bits(spark):
     twice = y.where("model <> 69 OR item <> 1 OR language <> 1").union(y.where("model = 68 AND item = 1 AND language = 1"))  # a model twice, another not at all
     with pytest.raises(ValueError, match="isn't crossed"):
         fit.fit(twice, 0)
+
+
+def test_arms_shuffle_no_cells(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ablations, "dispersion", lambda d, g: kept.append(d) or d)
+    y = V.crossed(spark, sf)
+    with no_own_broadcast(spark):
+        ablations.translation_arms({"machine": y.where("item % 2 = 0"), "human": y.where("item % 2 = 1")}, 0)
+        assert "SortMergeJoin" not in plan(kept[0])
