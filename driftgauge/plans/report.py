@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dif, drift, panel, scores
-from ..session import cut
+from ..session import cut, few
 from ..sources import shards as S
 from ..sources.specs import BenchmarkSpec
-from .fit import bootstrap_errors, fit, point
+from .fit import drift_with_errors, fit, gap_errors, point
 
 
 @dataclass(frozen=True)
@@ -28,19 +28,18 @@ def analyse(responses: DataFrame, source, shares: DataFrame | None = None, pi: f
     """
     boot = fit(responses, source, n_boot, seed)
     one = point(boot)
-    item_se, gap_se = bootstrap_errors(boot)
-    gap_se = cut(gap_se)
+    gap_se = cut(gap_errors(boot))
     rest = F.col("language") != F.lit(source)
-    d = cut(one.drift.join(item_se, ["item", "language"]).withColumn("se", F.greatest("se", F.lit(1e-6))))
+    d = cut(drift_with_errors(boot).withColumn("se", F.greatest("se", F.lit(1e-6))))
     half, wide = (t.first()[0] for t in (panel_median(d.where(rest), "se"), panel_median(gap_se, "gap_se")))
     tau_used, inflate = tau + 2 * half, 2 * wide
     tests = dif.wald_tests(d, source, alpha)
     counts = tests.where(rest).groupBy("language").agg(F.sum(F.col("rejected").cast("long")).alias("dif_rejected"), F.avg(F.col("rejected").cast("double")).alias("dif_frac"), F.count(F.lit(1)).alias("dif_tested"))
-    sets = drift.identified_sets(d, pi, tau_used, source=source)
-    gaps = one.gaps
+    sets = few(cut(drift.identified_sets(d, pi, tau_used, source=source)))
+    gaps = cut(one.gaps)
     bounds = drift.bound_summary(drift.gap_bounds(gaps, sets.where(~F.col("refuted")), inflate))
     anchored = drift.anchored_gaps(gaps, drift.median_anchor(d, source=source)).groupBy("language").agg(F.avg("gap_anchored").alias("gap_median_anchored"))
-    acc = scores.source_gap(scores.accuracy(responses, "model", "language"), "accuracy", source)
+    acc = scores.source_gap(boot.margins.select("model", "language", (F.col("score") / F.col("n")).alias("accuracy")), "accuracy", source)
     accuracy = acc.groupBy("language").agg(F.avg(F.col("accuracy") + F.col("gap")).alias("acc_source"), F.avg("accuracy").alias("acc_target"), F.avg("gap").alias("raw_acc_gap"))
     if shares is None:
         shares = gaps.select("model", "language", F.lit(None).cast("double").alias("mode_share"))
@@ -50,9 +49,10 @@ def analyse(responses: DataFrame, source, shares: DataFrame | None = None, pi: f
     )
     be = drift.breakeven(gaps, d).select("language", F.col("breakeven").alias("breakeven_drift"), F.col("drift_sd").alias("observed_drift_sd"), F.col("ratio").alias("breakeven_in_sd"))
     rows = be.where(rest)
+    # a row per language each: worked out by itself and broadcast, so that no task sorts for all the joins at once
     for other in (accuracy, anchored, counts, robust, gap_se, sets.select("language", F.col("lo").alias("c_set_lo"), F.col("hi").alias("c_set_hi"), "refuted")):
-        rows = rows.join(other, "language")
-    rows = rows.join(bounds, "language", "left").withColumn("irt_gap_naive", F.col("breakeven_drift"))
+        rows = rows.join(few(cut(other)), "language")
+    rows = rows.join(few(cut(bounds)), "language", "left").withColumn("irt_gap_naive", F.col("breakeven_drift"))
     rows = cut(rows.withColumn("breakeven_robust_in_sd", F.when(F.col("observed_drift_sd") > 0, F.abs("breakeven_robust") / F.col("observed_drift_sd")).otherwise(F.lit(float("inf")))))
     below = lambda c: F.sum((F.col(c) < 1).cast("long"))
     zero = F.sum(F.coalesce(F.col("contains_zero"), F.lit(False)).cast("long"))
