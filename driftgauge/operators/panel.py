@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, few
 
 #: Shares beyond which a benchmark is refused.
 MAX_UNSHARED, MAX_MALFORMED = 0.01, 0.02
+_WORD = 62
 
 
 def shared_ids(ids: DataFrame, item: str = "item_id", lang: str = "lang") -> DataFrame:
@@ -128,6 +131,23 @@ def set_differences(shards: DataFrame, reference: DataFrame, item: str = "item_i
     return sums.crossJoin(F.broadcast(ref.agg(F.count(F.lit(1)).alias("__n")))).select(*by, "extra", (F.col("__n") - F.col("__hit")).alias("missing"))
 
 
+def same_sets(cells: DataFrame, shards: DataFrame, item: str = "item_id", by: tuple[str, ...] = ("model", "language")) -> bool:
+    """Whether every one of ``shards`` (by, each once; a small dimension) has all items that occur in ``cells``.
+
+    An item's shards are bits of a few numbers, set where its cells are: neither are cells made distinct nor are items met with a reference.
+    """
+    n = shards.count()
+    words = range(n // _WORD + 1)
+    at = shards.select(*[F.col(c).alias(f"__{c}") for c in by], (F.row_number().over(Window.orderBy(*by)) - 1).alias("__at"))
+    bits = [F.expr(f"CASE WHEN __at DIV {_WORD} = {j} THEN shiftleft(1L, __at % {_WORD}) ELSE 0L END").alias(f"__bit{j}") for j in words]
+    numbered = few(cut(at.select(*[f"__{c}" for c in by], *bits)))
+    here = F.lit(True)
+    for c in by:
+        here &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    held = cells.select(*by, item).join(numbered, here).groupBy(item).agg(*[F.bit_or(f"__bit{j}").alias(f"__seen{j}") for j in words])
+    return held.where(reduce(Column.__add__, [F.bit_count(f"__seen{j}") for j in words]) < n).isEmpty()
+
+
 def duplicates(cells: DataFrame, *key: str) -> DataFrame:
     return cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

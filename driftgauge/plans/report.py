@@ -98,14 +98,14 @@ def assemble(rows: DataFrame, meta: DataFrame | None = None) -> Assembled:
     All shards must hold the item set of the first one by model, then language: else a ``ValueError`` names the first that doesn't. Shares come
     from ``meta`` (model, language, mode_share) where it has them (NaN: options mean nothing), else from the predictions.
     """
-    rows = cut(rows.select("model", "language", "item_id", "correct", "predicted"))
-    done = rows.select("model", "language").distinct()
+    rows = rows.select("model", "language", "item_id", "correct", "predicted")
+    done = cut(rows.select("model", "language").distinct())
     first = done.orderBy("model", "language").first()
     reference = rows.where((F.col("model") == first.model) & (F.col("language") == first.language)) if first else rows
-    differing = panel.set_differences(rows, reference, "item_id").where("extra > 0 OR missing > 0").orderBy("model", "language").first()
-    if differing:
+    if not panel.same_sets(rows, done, "item_id"):
+        differing = panel.set_differences(rows, reference, "item_id").where("extra > 0 OR missing > 0").orderBy("model", "language").first()
         raise ValueError(f"shard {differing.model}/{differing.language} has other items than {first.model}/{first.language}: {differing.extra} extra, {differing.missing} missing")
-    missing = panel.missing_cells(rows, "model", "language")
+    missing = panel.missing_cells(done, "model", "language")
     shares = scores.mode_share(rows, "model", "language").select("model", "language", "mode_share")
     if meta is not None:
         known = meta.where("mode_share IS NOT NULL").select("model", "language", F.col("mode_share").alias("known")).distinct()
@@ -154,7 +154,7 @@ def analyse_all(spark: SparkSession, path: str, specs: dict[str, BenchmarkSpec],
         if known is not None and spec.name not in known:
             states.append((spec.name, "skipped", "no shards"))
             continue
-        rows = S.with_meta(S.read_archives(spark, path, spec.name, how)) if archives else S.read(spark, path, spec.name, how)
+        rows = S.with_meta(cut(S.read_archives(spark, path, spec.name, how))) if archives else S.read(spark, path, spec.name, how)
         if rows.isEmpty():
             states.append((spec.name, "skipped", "no shards"))
             continue

@@ -59,3 +59,22 @@ def test_arms_shuffle_no_cells(spark, sf, monkeypatch):
     with no_own_broadcast(spark):
         ablations.translation_arms({"machine": y.where("item % 2 = 0"), "human": y.where("item % 2 = 1")}, 0)
         assert "SortMergeJoin" not in plan(kept[0])
+
+
+def test_same_sets(spark):
+    cells = spark.range(130).crossJoin(spark.range(4).toDF("item_id")).select(F.col("id").alias("model"), (F.col("id") % 3).alias("language"), "item_id")
+    shards = cells.select("model", "language").distinct()
+    assert panel.same_sets(cells, shards) and panel.same_sets(cells.union(cells), shards)
+    assert not panel.same_sets(cells.where("model <> 127 OR item_id <> 2"), shards)
+    more = cells.union(spark.createDataFrame([(5, 2, 9)], cells.schema))
+    assert not panel.same_sets(more, shards)
+
+
+def test_shards_are_compared_without_their_rows(spark, sf, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("rows of shards that agree were compared one by one")
+
+    monkeypatch.setattr(panel, "set_differences", refuse)
+    rows = V.crossed(spark, sf).select("model", "language", F.col("item").cast("string").alias("item_id"), "correct", (F.col("item") % 4).cast("smallint").alias("predicted"))
+    found = report.assemble(rows)
+    assert found.status.first().n_shards == 125 and found.missing.isEmpty()
