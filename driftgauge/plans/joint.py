@@ -41,27 +41,33 @@ def solve_items(y: np.ndarray, w: np.ndarray, theta: np.ndarray, push: np.ndarra
     Each item minimises its log loss + ridge |drift|^2 + push . drift, with a difficulty within ``FAR``.
     """
     n, _, k = y.shape
-    u, free = np.zeros((n, k)), np.arange(k) != source
-    diagonal = np.arange(k)
-    for _ in range(rounds):
+    found, free = (np.zeros((n, k)), np.zeros_like(y, float), np.zeros((n, k, k))), np.arange(k) != source
+    diagonal, left, u, held = np.arange(k), np.arange(n), np.zeros((n, k)), (w * y).sum(1)
+    for turn in range(rounds + 1):
         beta = u + u[:, [source]] * free
         p = w * _sigmoid(theta[None] - beta[:, None, :])
         v = (p - p * p).sum(1)  # w is 0 or 1
-        miss = (w * y - p).sum(1)
+        miss = held - p.sum(1)
         g = miss + free * (2 * ridge * u + push)
         g[:, source] = miss.sum(1)
-        h = np.zeros((n, k, k))
+        h = np.zeros((len(u), k, k))
         h[:, diagonal, diagonal] = v + free * 2 * ridge
         h[:, source, :] = h[:, :, source] = v
         h[:, source, source] = v.sum(1) + 1e-9
         stuck = np.flatnonzero((np.abs(u[:, source]) >= FAR) & (g[:, source] * u[:, source] < 0))  # would go on beyond the bound
         g[stuck, source] = h[stuck, :, source] = h[stuck, source, :] = 0
         h[stuck, source, source] = 1e12
-        if np.abs(g).max(initial=0) <= tol:
+        # items that are done leave the block: most take few rounds, some many
+        done = (np.abs(g).max(1, initial=0) <= tol) | (turn == rounds)
+        for whole, part in zip(found, (u, p, h), strict=True):
+            whole[left[done]] = part[done]
+        if done.all():
             break
+        on = ~done
+        left, u, w, held, g, h = left[on], u[on], w[on], held[on], g[on], h[on]
         u = u - np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -1, 1)
         u[:, source] = np.clip(u[:, source], -FAR, FAR)
-    return u, p, h
+    return found
 
 
 def contributions(y: np.ndarray, w: np.ndarray, theta: np.ndarray, push: np.ndarray, ridge: float, source: int) -> np.ndarray:

@@ -78,3 +78,14 @@ def test_shards_are_compared_without_their_rows(spark, sf, monkeypatch):
     rows = V.crossed(spark, sf).select("model", "language", F.col("item").cast("string").alias("item_id"), "correct", (F.col("item") % 4).cast("smallint").alias("predicted"))
     found = report.assemble(rows)
     assert found.status.first().n_shards == 125 and found.missing.isEmpty()
+
+
+def test_items_stop_when_they_are_done():
+    rng = np.random.default_rng(1)
+    y = (rng.random((6, 8, 3)) < 0.5).astype(float)
+    y[5] = 1.0  # goes on to the bound
+    w, theta, push = np.ones_like(y), rng.normal(size=(8, 3)), np.array([0.0, 0.1, -0.1])
+    whole = joint.solve_items(y, w, theta, push, 1e-3, 0)
+    for i in range(6):
+        for a, b in zip(whole, joint.solve_items(y[i : i + 1], w[i : i + 1], theta, push, 1e-3, 0), strict=True):
+            assert (a[i] == b[0]).all()
