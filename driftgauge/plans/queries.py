@@ -11,6 +11,7 @@ from ..functions import items as I
 from ..functions import numerals
 from ..functions.stats import erfc_sql, log_loss, logistic
 from ..operators import dif, drift, panel, scores
+from ..session import cut, few, spread
 from ..sources import views as V
 from . import oracles as O
 from .claims import CLAIMS
@@ -46,14 +47,14 @@ def long(c) -> F.Column:
 @query(f"""WITH a AS (SELECT model, language, avg(correct) AS acc FROM {V.crossed_sql()} GROUP BY 1, 2), g AS (SELECT *, max(CASE WHEN language = 0 THEN acc END) OVER (PARTITION BY model) - acc AS gap FROM a)
   SELECT language, round(avg(acc), 6) AS accuracy, round(avg(gap), 6) AS raw_gap, count(*) AS n_models FROM g GROUP BY 1""")
 def acc_by_language(spark, sf):
-    acc = scores.accuracy(V.crossed(spark, sf), "model", "language")
+    acc = cut(scores.accuracy(V.crossed(spark, sf), "model", "language"))
     return scores.source_gap(acc, "accuracy", V.SOURCE).groupBy("language").agg(r6(F.avg("accuracy")).alias("accuracy"), r6(F.avg("gap")).alias("raw_gap"), F.count(F.lit(1)).alias("n_models"))
 
 
 @query(f"""WITH a AS (SELECT model, language, avg(correct) AS acc, count(*) AS n_items FROM {V.crossed_sql()} GROUP BY 1, 2)
   SELECT model, language, round(acc, 6) AS accuracy, n_items, round(acc - avg(acc) OVER (PARTITION BY language), 6) + 0.0 AS centred FROM a""")
 def acc_by_model_language(spark, sf):
-    acc = scores.accuracy(V.crossed(spark, sf), "model", "language").withColumn("centred", F.col("accuracy"))
+    acc = cut(scores.accuracy(V.crossed(spark, sf), "model", "language")).withColumn("centred", F.col("accuracy"))
     return drift.centred(acc, "centred", "language").select("model", "language", r6("accuracy").alias("accuracy"), "n_items", (r6("centred") + F.lit(0.0)).alias("centred"))
 
 
@@ -756,7 +757,7 @@ def shard_round_trip(spark, sf):
 @query(f"SELECT 'exam' AS benchmark, count(*) AS n_rows, count(DISTINCT (model, language)) AS n_shards FROM {V.crossed_sql()} WHERE item % 2 = 0")
 def whole_benchmarks(spark, sf):
     """Benchmarks told as whole by a stream of the markers of shards: two runs of it, of which the first finds one benchmark short and the second completes it; the other stays short."""
-    from ..session import cut, scratch
+    from ..session import scratch
     from ..sources import shards as S
     from ..streaming.shards import follow_complete
 

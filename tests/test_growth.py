@@ -89,3 +89,9 @@ def test_items_stop_when_they_are_done():
     for i in range(6):
         for a, b in zip(whole, joint.solve_items(y[i : i + 1], w[i : i + 1], theta, push, 1e-3, 0), strict=True):
             assert (a[i] == b[0]).all()
+
+
+def test_cells_are_made_in_many_tasks_by_item(spark, sf):
+    y = V.crossed(spark, sf)
+    assert y.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert y.select("item", F.spark_partition_id().alias("p")).distinct().groupBy("item").count().where("count > 1").isEmpty()
