@@ -438,7 +438,7 @@ def rasch_drift(spark, sf):
     from .fit import fit, point
 
     one = point(fit(V.crossed(spark, sf), V.SOURCE))
-    return rounded(one.drift.join(one.difficulty, "item").select("item", "language", "delta", "b"), "delta", "b")
+    return rounded(one.both.select("item", "language", "delta", "b"), "delta", "b")
 
 
 @query(f"SELECT model, language, sum(correct)::BIGINT AS score, 0.0::DOUBLE AS residual FROM {V.crossed_sql()} GROUP BY 1, 2")

@@ -95,3 +95,8 @@ def test_cells_are_made_in_many_tasks_by_item(spark, sf):
     y = V.crossed(spark, sf)
     assert y.select(F.spark_partition_id().alias("p")).distinct().count() > 4
     assert y.select("item", F.spark_partition_id().alias("p")).distinct().groupBy("item").count().where("count > 1").isEmpty()
+
+
+def test_drift_comes_with_difficulty(spark, sf):
+    with no_own_broadcast(spark):
+        assert "SortMergeJoin" not in plan(Q.QUERIES["rasch_drift"](spark, sf))
