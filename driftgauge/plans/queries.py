@@ -446,10 +446,10 @@ def score_equations(spark, sf):
     """What is left of each model's penalised score equation at the fit, to five digits: 0."""
     from .fit import fit, point
 
-    y = V.crossed(spark, sf)
-    one = point(fit(y, V.SOURCE))
-    cells = y.join(one.ability, ["model", "language"]).join(one.difficulty, "item").join(one.drift, ["item", "language"])
-    left = cells.groupBy("model", "language").agg(F.sum("correct").alias("score"), F.sum(F.col("correct") - logistic(F.col("theta") - F.col("b") - F.col("delta"))).alias("left"), F.count(F.lit(1)).alias("n"), F.first("theta").alias("theta"))
+    one = point(fit(V.crossed(spark, sf), V.SOURCE))
+    cells = one.both.join(few(one.ability), "language")  # all models, as the panel is crossed
+    found = cells.groupBy("model", "language").agg(F.sum(logistic(F.col("theta") - F.col("b") - F.col("delta"))).alias("expected"), F.first("theta").alias("theta"))
+    left = one.margins.join(found, ["model", "language"]).withColumn("left", F.col("score") - F.col("expected"))
     left = drift.centred(left.withColumn("off", F.col("theta")), "off", "language")
     return left.select("model", "language", "score", (F.round(F.col("left") - 2e-4 * F.col("n") * F.col("off"), 5) + F.lit(0.0)).alias("residual"))
 

@@ -100,3 +100,9 @@ def test_cells_are_made_in_many_tasks_by_item(spark, sf):
 def test_drift_comes_with_difficulty(spark, sf):
     with no_own_broadcast(spark):
         assert "SortMergeJoin" not in plan(Q.QUERIES["rasch_drift"](spark, sf))
+
+
+def test_score_equations_join_no_cells(spark, sf):
+    with no_own_broadcast(spark):
+        text = plan(Q.QUERIES["score_equations"](spark, sf))
+    assert "SortMergeJoin [item" not in text and "sha2" not in text
