@@ -214,7 +214,7 @@ _ETA = f"(SELECT a.model, d.item, a.language, a.theta - b.b - d.delta AS eta FRO
 @query(f"SELECT item, language, round(1 / sqrt(greatest(sum(p * (1 - p)), 1e-12)), 6) AS se FROM (SELECT item, language, 1 / (1 + exp(-eta)) AS p FROM {_ETA}) GROUP BY 1, 2")
 def fisher_se(spark, sf):
     ability, b = V.parameters(spark, sf)
-    cells = V.drift(spark, sf).join(ability, "language").join(b, "item").withColumn("eta", F.col("theta") - F.col("b") - F.col("delta"))
+    cells = V.drift(spark, sf).join(b, "item").join(F.broadcast(ability), "language").withColumn("eta", F.col("theta") - F.col("b") - F.col("delta"))
     return drift.drift_se(cells).select("item", "language", r6("se").alias("se"))
 
 

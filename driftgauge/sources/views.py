@@ -64,11 +64,11 @@ IDS = "(SELECT l_returnflag AS lang, l_partkey::VARCHAR AS item_id FROM lineitem
 
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given drift (item, language, delta, se): whole thousandths, most small, some large; 0 at the source."""
-    p, r = table(spark, sf_dir, "part"), table(spark, sf_dir, "region")
+    p, r = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_partkey").cast("long").alias("item")), "item"), table(spark, sf_dir, "region")
     h = (F.col("p_partkey") * 7919 + F.col("r_regionkey") * 104729 + F.col("p_size") * 31) % 2001 - 1000
     small = F.when(F.col("p_partkey") % 4 == 3, h * 2).otherwise(F.floor(h / 8) + 40 * F.col("r_regionkey"))
     d = F.when(F.col("r_regionkey") == SOURCE, 0).otherwise(small)
-    return p.crossJoin(F.broadcast(r)).select(F.col("p_partkey").cast("long").alias("item"), F.col("r_regionkey").cast("int").alias("language"), (d / 1000.0).cast("double").alias("delta"), (0.1 + F.col("p_size") % 10 / 50.0).cast("double").alias("se"))
+    return p.crossJoin(F.broadcast(r)).select("item", F.col("r_regionkey").cast("int").alias("language"), (d / 1000.0).cast("double").alias("delta"), (0.1 + F.col("p_size") % 10 / 50.0).cast("double").alias("se"))
 
 
 DRIFT = f"""(SELECT p_partkey AS item, r_regionkey AS language, (CASE WHEN r_regionkey = {SOURCE} THEN 0 WHEN p_partkey % 4 = 3 THEN h * 2 ELSE floor(h / 8.0) + 40 * r_regionkey END / 1000.0::DOUBLE)::DOUBLE AS delta, 0.1::DOUBLE + (p_size % 10) / 50.0::DOUBLE AS se

@@ -106,3 +106,11 @@ def test_score_equations_join_no_cells(spark, sf):
     with no_own_broadcast(spark):
         text = plan(Q.QUERIES["score_equations"](spark, sf))
     assert "SortMergeJoin [item" not in text and "sha2" not in text
+
+
+def test_drift_is_made_in_many_tasks_and_meets_models_last(spark, sf):
+    assert V.drift(spark, sf).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    with no_own_broadcast(spark):
+        text = plan(Q.QUERIES["fisher_se"](spark, sf))
+    # items meet their difficulty before the models make cells of them: no sort holds cells
+    assert text.index("BroadcastNestedLoopJoin") >= 0 and text.index("BroadcastHashJoin [language") < text.index("SortMergeJoin [item")
