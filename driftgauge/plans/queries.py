@@ -400,7 +400,7 @@ def accuracy_grouping_sets(spark, sf):
 def accuracy_decomposition(spark, sf):
     ability, b = V.parameters(spark, sf)
     d = V.drift(spark, sf)
-    cells = d.join(ability, "language").join(b, "item").withColumn("p", logistic(F.col("theta") - F.col("b") - F.col("delta")))
+    cells = d.join(b, "item").join(F.broadcast(ability), "language").withColumn("p", logistic(F.col("theta") - F.col("b") - F.col("delta")))
     p = cells.groupBy("item", "language").agg(F.avg("p").alias("p"), F.first("delta").alias("d"))
     g = V.gaps(spark, sf).groupBy("language").agg(F.avg("gap").alias("gap"))
     w = F.col("p") * (1 - F.col("p"))

@@ -114,3 +114,9 @@ def test_drift_is_made_in_many_tasks_and_meets_models_last(spark, sf):
         text = plan(Q.QUERIES["fisher_se"](spark, sf))
     # items meet their difficulty before the models make cells of them: no sort holds cells
     assert text.index("BroadcastNestedLoopJoin") >= 0 and text.index("BroadcastHashJoin [language") < text.index("SortMergeJoin [item")
+
+
+def test_decomposition_sorts_no_cells(spark, sf):
+    with no_own_broadcast(spark):
+        text = plan(Q.QUERIES["accuracy_decomposition"](spark, sf))
+    assert text.index("BroadcastHashJoin [language") < text.index("SortMergeJoin [item")
