@@ -828,8 +828,8 @@ def manifest(spark, sf):
     from ..sources.benchmarks import record_of
     from ..sources.specs import BenchmarkSpec
 
-    p, r = V.table(spark, sf, "part"), V.table(spark, sf, "region")
-    items = p.crossJoin(F.broadcast(r)).where((F.col("p_partkey") * 7 + F.col("r_regionkey") * 13) % 211 != 0).select(F.col("p_partkey").cast("string").alias("item_id"), F.col("r_name").alias("language"))
+    p, r = V.table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("item_id")), V.table(spark, sf, "region")
+    items = spread(p, "item_id").crossJoin(F.broadcast(r)).where((F.col("p_partkey") * 7 + F.col("r_regionkey") * 13) % 211 != 0).select("item_id", F.col("r_name").alias("language"))
     selected, covered = panel.select_items(items, 40, 11, lang="language")
     m = record_of(BenchmarkSpec("parts", max_items=40, seed=11, source_language="ASIA"), selected, covered)
     flat = F.transform(F.array_sort(F.map_entries("coverage")), lambda e: F.concat_ws(":", e["key"], e["value"]["n_total"], e["value"]["n_unshared"]))

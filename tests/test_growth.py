@@ -120,3 +120,11 @@ def test_decomposition_sorts_no_cells(spark, sf):
     with no_own_broadcast(spark):
         text = plan(Q.QUERIES["accuracy_decomposition"](spark, sf))
     assert text.index("BroadcastHashJoin [language") < text.index("SortMergeJoin [item")
+
+
+def test_manifest_groups_items_in_many_tasks(spark, sf, monkeypatch):
+    seen = []
+    real = panel.select_items
+    monkeypatch.setattr(panel, "select_items", lambda items, *a, **k: seen.append(items) or real(items, *a, **k))
+    assert Q.QUERIES["manifest"](spark, sf).first().n_items == 40
+    assert seen[0].select(F.spark_partition_id().alias("p")).distinct().count() > 4
