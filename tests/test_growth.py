@@ -128,3 +128,10 @@ def test_manifest_groups_items_in_many_tasks(spark, sf, monkeypatch):
     monkeypatch.setattr(panel, "select_items", lambda items, *a, **k: seen.append(items) or real(items, *a, **k))
     assert Q.QUERIES["manifest"](spark, sf).first().n_items == 40
     assert seen[0].select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_whole_benchmarks_keeps_no_rows_besides_the_sinks(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Q, "cut", lambda d, real=Q.cut: kept.append(d.columns) or real(d))
+    assert Q.QUERIES["whole_benchmarks"](spark, sf).first().benchmark == "exam"
+    assert kept == [["benchmark", "mode", "model", "language"]]
