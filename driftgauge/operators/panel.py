@@ -153,12 +153,16 @@ def duplicates(cells: DataFrame, *key: str) -> DataFrame:
 
 
 def common_panel(a: DataFrame, b: DataFrame, *axes: str, least: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both panels on the axis values that they share; raises if an axis shares fewer than ``least`` of it."""
+    """Both panels on the axis values that they share; raises if an axis shares fewer than ``least`` of it.
+
+    Each panel is passed over once for its combinations of axis values, among which the shared ones are found.
+    """
+    held_a, held_b = (cut(d.select(*axes).distinct()) for d in (a, b))
     for axis in axes:
-        both = few(cut(a.select(axis).distinct().intersect(b.select(axis).distinct())))  # distinct first: else the cells themselves are matched
+        both = few(cut(held_a.select(axis).distinct().intersect(held_b.select(axis).distinct())))
         if least and both.limit(least.get(axis, 0)).count() < least.get(axis, 0):
             raise ValueError(f"the panels share too few values of {axis}")
-        a, b = a.join(both, axis, "left_semi"), b.join(both, axis, "left_semi")
+        a, b, held_a, held_b = (d.join(both, axis, "left_semi") for d in (a, b, held_a, held_b))
     return a, b
 
 

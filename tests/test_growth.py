@@ -135,3 +135,39 @@ def test_whole_benchmarks_keeps_no_rows_besides_the_sinks(spark, sf, monkeypatch
     monkeypatch.setattr(Q, "cut", lambda d, real=Q.cut: kept.append(d.columns) or real(d))
     assert Q.QUERIES["whole_benchmarks"](spark, sf).first().benchmark == "exam"
     assert kept == [["benchmark", "mode", "model", "language"]]
+
+
+def counted(spark, cells, column):
+    """``cells`` whose ``column`` goes through a function that counts in the accumulator how often it is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def once(x):
+        made.add(1)
+        return x
+
+    return cells.withColumn(column, once(column)), made
+
+
+def grid(spark, models=6, items=8, languages=3):
+    y = spark.range(models).crossJoin(spark.range(items).toDF("item")).crossJoin(spark.range(languages).toDF("language"))
+    return y.select(F.col("id").cast("int").alias("model"), "item", F.col("language").cast("int").alias("language"), ((F.col("id") * 7 + F.col("item") * 5 + F.col("language") * 3) % 4 < 2).cast("int").alias("correct"))
+
+
+def test_common_panel_passes_over_each_panel_once(spark):
+    a, made_a = counted(spark, grid(spark), "model")
+    b, made_b = counted(spark, grid(spark).where("model < 5"), "model")
+    panel.common_panel(a, b, "model", "language", least={"model": 4, "language": 3})
+    assert (made_a.value, made_b.value) == (144, 120)
+
+
+def test_fit_makes_cells_once(spark):
+    y, made = counted(spark, grid(spark), "correct")
+    f = fit.fit(y, 0, n_boot=3)
+    f.drift.collect(), f.gaps.collect(), f.margins.collect(), fit.drift_with_errors(f).collect()
+    assert made.value == 144
+
+
+def test_fit_refuses_what_is_neither_right_nor_wrong(spark):
+    with pytest.raises(ValueError, match="neither 0 nor 1"):
+        fit.fit(grid(spark).withColumn("correct", F.col("correct") * 2), 0)
