@@ -171,3 +171,11 @@ def test_fit_makes_cells_once(spark):
 def test_fit_refuses_what_is_neither_right_nor_wrong(spark):
     with pytest.raises(ValueError, match="neither 0 nor 1"):
         fit.fit(grid(spark).withColumn("correct", F.col("correct") * 2), 0)
+
+
+def test_replicates_are_kept_as_bits(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(fit, "cut", lambda d, real=fit.cut: kept.append(d) or real(d))
+    f = fit.fit(grid(spark), 0, n_boot=5)
+    assert all(t.dataType.typeName() != "array" for d in kept if "item" in d.columns for t in d.schema)
+    assert "Generate" not in plan(f.drift)  # no item's scores are unrolled from an array
