@@ -179,3 +179,11 @@ def test_replicates_are_kept_as_bits(spark, monkeypatch):
     f = fit.fit(grid(spark), 0, n_boot=5)
     assert all(t.dataType.typeName() != "array" for d in kept if "item" in d.columns for t in d.schema)
     assert "Generate" not in plan(f.drift)  # no item's scores are unrolled from an array
+
+
+def test_mask_makes_no_numbers_of_digests(spark):
+    cells = grid(spark, items=60).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("seed")))
+    assert "conv(" not in plan(cells.select(fit.kept(0.1)))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "seed", "model", "item", "language")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    for holdout in (0.0, 0.1, 0.25, 1 / 3, 0.999999):
+        assert cells.where(fit.kept(holdout) != (u >= holdout)).isEmpty()
