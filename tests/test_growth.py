@@ -187,3 +187,19 @@ def test_mask_makes_no_numbers_of_digests(spark):
     u = F.conv(F.substring(F.md5(F.concat_ws(":", "seed", "model", "item", "language")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     for holdout in (0.0, 0.1, 0.25, 1 / 3, 0.999999):
         assert cells.where(fit.kept(holdout) != (u >= holdout)).isEmpty()
+
+
+def test_weights_of_replicates_count_bits(spark):
+    y = grid(spark, models=70, items=5).withColumn("correct", ((F.col("model") * 31 + F.col("item") * 17 + F.col("language") * 5) % 7 < 3).cast("int"))
+    f = fit.fit(y, 0, n_boot=1, seed=3)
+    cells = y.toPandas().merge(fit.resamples(list(range(70)), 1, 3), on="model")
+    score = (cells.correct * cells.weight).groupby([cells.rep, cells.item, cells.language]).sum()
+    for rep in range(2):
+        for language in range(3):
+            weight = cells[(cells.rep == rep) & (cells.language == language)].drop_duplicates("model").sort_values("model")
+            people = y.where(F.col("language") == language).groupBy("model").agg(F.sum("correct").alias("s")).orderBy("model").toPandas()
+            _, beta = fit.solve_margins(people.s.to_numpy(float), weight.weight.to_numpy(float), score[rep].unstack()[language].to_numpy(float))
+            if language == 0:
+                base = beta
+            got = f.drift.where((F.col("rep") == rep) & (F.col("language") == language)).orderBy("item").toPandas().delta
+            assert np.allclose(got, beta - base, atol=1e-8)
