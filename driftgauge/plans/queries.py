@@ -447,8 +447,9 @@ def score_equations(spark, sf):
     from .fit import fit, point
 
     one = point(fit(V.crossed(spark, sf), V.SOURCE))
-    cells = one.both.join(few(one.ability), "language")  # all models, as the panel is crossed
-    found = cells.groupBy("model", "language").agg(F.sum(logistic(F.col("theta") - F.col("b") - F.col("delta"))).alias("expected"), F.first("theta").alias("theta"))
+    alike = one.both.groupBy("language", "b", "delta").agg(F.count(F.lit(1)).alias("times"))  # no more rows than pairs of scores, whatever the items
+    cells = alike.join(few(one.ability), "language")  # all models, as the panel is crossed
+    found = cells.groupBy("model", "language").agg(F.sum(F.col("times") * logistic(F.col("theta") - F.col("b") - F.col("delta"))).alias("expected"), F.first("theta").alias("theta"))
     left = one.margins.join(found, ["model", "language"]).withColumn("left", F.col("score") - F.col("expected"))
     left = drift.centred(left.withColumn("off", F.col("theta")), "off", "language")
     return left.select("model", "language", "score", (F.round(F.col("left") - 2e-4 * F.col("n") * F.col("off"), 5) + F.lit(0.0)).alias("residual"))

@@ -203,3 +203,8 @@ def test_weights_of_replicates_count_bits(spark):
                 base = beta
             got = f.drift.where((F.col("rep") == rep) & (F.col("language") == language)).orderBy("item").toPandas().delta
             assert np.allclose(got, beta - base, atol=1e-8)
+
+
+def test_alike_items_are_counted_before_models(spark, sf):
+    text = plan(Q.QUERIES["score_equations"](spark, sf))
+    assert any("keys=[language" in x and ", b" in x and ", delta" in x for x in text.splitlines())
