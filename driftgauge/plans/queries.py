@@ -393,7 +393,8 @@ def accuracy_grouping_sets(spark, sf):
     """Per language, per benchmark and over all in one pass."""
     y = V.crossed(spark, sf).withColumn("benchmark", F.lit("crossed"))
     b, lang = F.col("benchmark"), F.col("language")
-    return y.groupingSets([[b, lang], [b], []], b, lang).agg(r6(F.avg("correct")).alias("accuracy"), F.count(F.lit(1)).alias("n")).select("benchmark", "language", "accuracy", "n")
+    sums = y.groupBy(b, lang).agg(F.sum("correct").alias("right"), F.count("correct").alias("marked"), F.count(F.lit(1)).alias("n"))  # else each cell is made and grouped once per set
+    return sums.groupingSets([[b, lang], [b], []], b, lang).agg(r6(F.try_divide(F.sum("right"), F.sum("marked"))).alias("accuracy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select("benchmark", "language", "accuracy", "n")
 
 
 @query(f"""SELECT language, round(avg(w) * avg(gap) + avg(w * d), 6) AS total FROM (SELECT a.language, p * (1 - p) AS w, d, gap FROM (SELECT item, e.language, avg(1 / (1 + exp(-eta))) AS p FROM {_ETA} e GROUP BY 1, 2) a JOIN (SELECT item, language, delta AS d FROM {V.DRIFT}) USING (item, language) JOIN (SELECT language, avg(gap) AS gap FROM {V.GAPS} GROUP BY 1) USING (language)) GROUP BY 1""")

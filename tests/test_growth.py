@@ -208,3 +208,9 @@ def test_weights_of_replicates_count_bits(spark):
 def test_alike_items_are_counted_before_models(spark, sf):
     text = plan(Q.QUERIES["score_equations"](spark, sf))
     assert any("keys=[language" in x and ", b" in x and ", delta" in x for x in text.splitlines())
+
+
+def test_grouping_sets_expand_sums_and_not_cells(spark, sf):
+    text = plan(Q.QUERIES["accuracy_grouping_sets"](spark, sf))
+    assert text.index("Expand") < text.index("sha2")
+    assert "HashAggregate" in text[text.index("Expand") : text.index("sha2")]
