@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgauge.operators import panel
-from driftgauge.plans import ablations, fit, joint, report
+from driftgauge.plans import ablations, fit, joint, report, steps
 from driftgauge.plans import queries as Q
 from driftgauge.sources import views as V
 
@@ -214,3 +214,33 @@ def test_grouping_sets_expand_sums_and_not_cells(spark, sf):
     text = plan(Q.QUERIES["accuracy_grouping_sets"](spark, sf))
     assert text.index("Expand") < text.index("sha2")
     assert "HashAggregate" in text[text.index("Expand") : text.index("sha2")]
+
+
+def test_two_parameter_steps_over_blocks_are_the_dense_fits(spark, monkeypatch):
+    y = grid(spark, models=7, items=40).where("(model + 2 * item + 3 * language) % 5 > 0").withColumn("correct", ((F.col("model") * 31 + F.col("item") * 17 + F.col("language") * 5) % 7 < 3).cast("int"))
+    cells = y.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("seed"))).withColumn("keep", fit.kept(0.2))
+    monkeypatch.setattr(steps, "_ITEMS", 8)
+    one = {r.seed: r for r in steps.held_out(cells, 1, 60).collect()}  # blocks in one worker
+    monkeypatch.setattr(steps, "_FEW", 0)
+    monkeypatch.setattr(steps, "_KEEP", 25)
+    assert {r.seed: r for r in steps.held_out(cells, 1, 60).collect()} == one  # blocks dealt over workers: the same sums in the same order
+    for seed, f in cells.toPandas().groupby("seed"):
+        at = tuple(f[c].to_numpy() for c in ("model", "item", "language"))
+        right, keep, held = np.zeros((7, 40, 3)), np.zeros((7, 40, 3), bool), np.zeros((7, 40, 3), bool)
+        right[at], keep[at], held[at] = f.correct, f.keep, ~f.keep
+        d = fit.adam(right, keep, model="2pl", source=1, steps=60)
+        e = d.eta()[held]
+        assert one[seed].steps == d.steps == 60 and one[seed].loss == pytest.approx(np.mean(np.logaddexp(0, e) - right[held] * e), abs=1e-9)
+
+
+def test_two_parameter_fits_stop_by_themselves(spark, monkeypatch):
+    cells = grid(spark).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("seed"))).withColumn("keep", fit.kept(0.2))
+    monkeypatch.setattr(steps, "descend", lambda *a, real=steps.descend: real(*a, tol=6e-3))
+    monkeypatch.setattr(steps, "_ITEMS", 2)
+    monkeypatch.setattr(steps, "_FEW", 0)
+    taken = {r.seed: r.steps for r in steps.held_out(cells, 0, 60).collect()}
+    for seed, f in cells.toPandas().groupby("seed"):
+        at = tuple(f[c].to_numpy() for c in ("model", "item", "language"))
+        right, keep = np.zeros((6, 8, 3)), np.zeros((6, 8, 3), bool)
+        right[at], keep[at] = f.correct, f.keep
+        assert taken[seed] == fit.adam(right, keep, model="2pl", steps=60, tol=6e-3).steps < 60
