@@ -29,16 +29,22 @@ def checked(drift: DataFrame, delta: str = "delta") -> DataFrame:
     return drift.withColumn(delta, F.when(fine, F.col(delta)).otherwise(F.raise_error(F.lit("drift must be finite"))))
 
 
-def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language", delta: str = "delta") -> DataFrame:
+def alike(drift: DataFrame, by: str = "language", delta: str = "delta") -> DataFrame:
+    """(by, delta, times): how many items have each drift, from one pass. Drift of a margins fit has no more values than pairs of scores, whatever the items."""
+    return cut(drift.groupBy(by, delta).agg(F.count(F.lit(1)).alias("times")))
+
+
+def stabbed_parts(drift: DataFrame, pi: float, tau: float, by: str = "language", delta: str = "delta", times: str | None = None) -> DataFrame:
     """(by, lo, hi): the maximal stretches of u where at least ceil(pi n) of the intervals delta -+ tau overlap, by an event sweep.
 
-    Opening ends sort before closing ones at the same place, so closed intervals that touch overlap. Equal ends are counted first;
+    Opening ends sort before closing ones at the same place, so closed intervals that touch overlap. Equal ends are counted first (``times``: how often a row counts);
     how many intervals are open is a running sum over ranges of places, so a language isn't ordered in one task. The ends of stretches are few.
     """
     _check(pi, tau)
-    k = drift.groupBy(by).agg(needed(pi, F.count(F.lit(1))).alias("k"))
-    events = checked(drift, delta).select(by, F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "e.*")
-    events = cut(events.groupBy(by, "pos", "kind").agg(F.sum("kind").alias("c")).withColumn("turn", -F.col("kind")))
+    each = F.lit(1) if times is None else F.col(times)
+    k = drift.groupBy(by).agg(needed(pi, F.sum(each)).alias("k"))
+    events = checked(drift, delta).select(by, each.alias("each"), F.explode(F.array(F.struct((F.col(delta) - tau).alias("pos"), F.lit(1).alias("kind")), F.struct((F.col(delta) + tau).alias("pos"), F.lit(-1).alias("kind")))).alias("e")).select(by, "each", "e.*")
+    events = cut(events.groupBy(by, "pos", "kind").agg(F.sum(F.col("kind") * F.col("each")).alias("c")).withColumn("turn", -F.col("kind")))
     run = running(events, [by], "pos", {"open": "c"}, ["turn"]).join(k, by)
     before = F.col("open") - F.col("c")
     ends = run.where(((before < F.col("k")) & (F.col("open") >= F.col("k"))) | ((before >= F.col("k")) & (F.col("open") < F.col("k"))))
@@ -55,13 +61,13 @@ def merged_parts(parts: DataFrame, by: str = "language", slack: float = MERGE) -
     return parts.withColumn("new", new).withColumn("island", F.sum("new").over(upto)).groupBy(by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
-def identified_sets(drift: DataFrame, pi: float, tau: float, by: str = "language", source: str | None = None, delta: str = "delta") -> DataFrame:
+def identified_sets(drift: DataFrame, pi: float, tau: float, by: str = "language", source: str | None = None, delta: str = "delta", times: str | None = None) -> DataFrame:
     """(by, parts, n_parts, lo, hi, width, measure, refuted): the sharp set of each language's shift; the source's is {0}.
 
-    A language whose assumption no shift meets is ``refuted`` and has no parts.
+    A language whose assumption no shift meets is ``refuted`` and has no parts. ``times``: how often a row counts.
     """
     rest = drift if source is None else drift.where(F.col(by) != F.lit(source))
-    found = merged_parts(stabbed_parts(rest, pi, tau, by, delta), by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("hi")).alias("lo"), (-F.col("lo")).alias("hi")))).alias("parts"))
+    found = merged_parts(stabbed_parts(rest, pi, tau, by, delta, times), by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("hi")).alias("lo"), (-F.col("lo")).alias("hi")))).alias("parts"))
     langs = rest.groupBy(by).agg(F.max(F.abs(F.col(delta))).alias("most"))
     flat = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")))
     sets = langs.join(found, by, "left").select(by, F.when(F.col("most") <= 1e-8, flat).otherwise(F.coalesce("parts", F.array().cast(intervals.TYPE))).alias("parts"))
@@ -97,10 +103,10 @@ def bound_summary(bounds: DataFrame, by: str = "language") -> DataFrame:
     return bounds.groupBy(by).agg(F.avg("bound_lo").alias("bound_lo"), F.avg("bound_hi").alias("bound_hi"), F.avg(F.col("bound_hi") - F.col("bound_lo")).alias("interval_width"), ((F.min("bound_lo") <= 0) & (F.max("bound_hi") >= 0)).alias("contains_zero"))
 
 
-def median_anchor(drift: DataFrame, by: str = "language", source: str | None = None, delta: str = "delta") -> DataFrame:
-    """(by, c): the shift that gives each language's drift a median of 0; exact, 0 for the source."""
+def median_anchor(drift: DataFrame, by: str = "language", source: str | None = None, delta: str = "delta", times: str | None = None) -> DataFrame:
+    """(by, c): the shift that gives each language's drift a median of 0; exact, 0 for the source. ``times``: how often a row counts."""
     c = -F.col("__m")
-    return medians(checked(drift, delta), [by], delta, "__m").select(by, (c if source is None else F.when(F.col(by) == F.lit(source), 0.0).otherwise(c)).alias("c"))
+    return medians(checked(drift, delta), [by], delta, "__m", times).select(by, (c if source is None else F.when(F.col(by) == F.lit(source), 0.0).otherwise(c)).alias("c"))
 
 
 def certified_anchor(drift: DataFrame, certified: DataFrame, by: str = "language", delta: str = "delta") -> DataFrame:

@@ -33,12 +33,13 @@ def analyse(responses: DataFrame, source, shares: DataFrame | None = None, pi: f
     d = cut(drift_with_errors(boot).withColumn("se", F.greatest("se", F.lit(1e-6))))
     half, wide = (t.first()[0] for t in (panel_median(d.where(rest), "se"), panel_median(gap_se, "gap_se")))
     tau_used, inflate = tau + 2 * half, 2 * wide
-    tests = dif.wald_tests(d, source, alpha)
+    tests = dif.wald_tests(d.select("language", "delta", "se"), source, alpha)
     counts = tests.where(rest).groupBy("language").agg(F.sum(F.col("rejected").cast("long")).alias("dif_rejected"), F.avg(F.col("rejected").cast("double")).alias("dif_frac"), F.count(F.lit(1)).alias("dif_tested"))
-    sets = few(cut(drift.identified_sets(d, pi, tau_used, source=source)))
+    values = drift.alike(d)
+    sets = few(cut(drift.identified_sets(values, pi, tau_used, source=source, times="times")))
     gaps = cut(one.gaps)
     bounds = drift.bound_summary(drift.gap_bounds(gaps, sets.where(~F.col("refuted")), inflate))
-    anchored = drift.anchored_gaps(gaps, drift.median_anchor(d, source=source)).groupBy("language").agg(F.avg("gap_anchored").alias("gap_median_anchored"))
+    anchored = drift.anchored_gaps(gaps, drift.median_anchor(values, source=source, times="times")).groupBy("language").agg(F.avg("gap_anchored").alias("gap_median_anchored"))
     acc = scores.source_gap(boot.margins.select("model", "language", (F.col("score") / F.col("n")).alias("accuracy")), "accuracy", source)
     accuracy = acc.groupBy("language").agg(F.avg(F.col("accuracy") + F.col("gap")).alias("acc_source"), F.avg("accuracy").alias("acc_target"), F.avg("gap").alias("raw_acc_gap"))
     if shares is None:

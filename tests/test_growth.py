@@ -1,12 +1,14 @@
 """Work that must grow no faster than the tables: spread over tasks, and not shuffled by cell."""
 
 import contextlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.operators import panel
+from driftgauge.functions import stats
+from driftgauge.operators import dif, drift, ordered, panel
 from driftgauge.plans import ablations, fit, joint, report, steps
 from driftgauge.plans import queries as Q
 from driftgauge.sources import views as V
@@ -244,3 +246,64 @@ def test_two_parameter_fits_stop_by_themselves(spark, monkeypatch):
         right, keep = np.zeros((6, 8, 3)), np.zeros((6, 8, 3), bool)
         right[at], keep[at] = f.correct, f.keep
         assert taken[seed] == fit.adam(right, keep, model="2pl", steps=60, tol=6e-3).steps < 60
+
+
+@pytest.mark.parametrize("models", [6, 70])
+def test_errors_are_looked_up_without_a_row_per_replicate(spark, monkeypatch, models):
+    y = grid(spark, models=models, items=40).withColumn("correct", ((F.col("model") * 31 + F.col("item") * 17 + F.col("language") * 5) % 7 < 3).cast("int")).withColumn("language", F.concat(F.lit("l"), F.col("language").cast("string")))
+    f = fit.fit(y, "l0", n_boot=5)
+    d = fit.drift_with_errors(f)
+    assert "rep#" not in plan(d) and "Aggregate" not in plan(d) and "Exchange" not in plan(d)
+    got = {(r.item, r.language): r for r in d.collect()}
+    rows = f.drift.toPandas().set_index(["item", "language"])
+    assert len(got) == 120
+    for k, r in rows.groupby(level=[0, 1]):
+        assert got[k].delta == pytest.approx(r.delta[r.rep == 0].item(), abs=1e-12) and got[k].se == pytest.approx(r.delta[r.rep > 0].std(ddof=1), abs=1e-12)
+    monkeypatch.setattr(fit, "_LOOKED_UP", 0)  # very many solutions
+    for r in fit.drift_with_errors(fit.fit(y, "l0", n_boot=5)).collect():
+        assert (r.delta, r.se) == (pytest.approx(got[r.item, r.language].delta, abs=1e-12), pytest.approx(got[r.item, r.language].se, abs=1e-12))
+    assert all(r.se is None for n in (0, 1) for r in fit.drift_with_errors(fit.fit(y, "l0", n_boot=n)).collect())
+
+
+def test_only_what_can_be_rejected_is_ranked(spark, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(dif, "running", lambda rows, *a, real=dif.running: ranked.append(rows) or real(rows, *a))
+    p = [0.001, 0.002, 0.002, 0.03, 0.04, 0.06, 0.5, 0.9, 1.0, None]
+    rows = spark.createDataFrame([(g, x) for g in "ab" for x in (p if g == "a" else [0.3, 0.7])], "g string, p double")
+    got = dif.benjamini_hochberg(rows, 0.05, by=["g"]).collect()
+    assert ranked[0].where("p > 0.05").isEmpty() and ranked[0].count() == 5
+    assert len(got) == 12 and sorted(r.p for r in got if r.rejected) == [0.001, 0.002, 0.002]  # a group without any keeps its rows
+
+
+def test_medians_order_only_the_middle(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 4001).cast("double").alias("x"), (F.col("id") % 4).alias("times"))
+    held = []
+    monkeypatch.setattr(ordered, "few", lambda d, real=ordered.few: held.append(d) or real(d))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r["median"] for r in ordered.medians(rows, ["g"], "x").collect()}
+        often = {r.g: r["median"] for r in ordered.medians(rows, ["g"], "x", times="times").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(h.count() <= 6 for h in held) and len(held) == 2
+    for g, f in rows.toPandas().groupby("g"):
+        assert got[g] == np.median(f.x) and often[g] == np.median(np.repeat(f.x, f.times))
+
+
+def test_equal_drift_is_counted_once(spark):
+    d = spark.range(900).select((F.col("id") % 3).cast("int").alias("language"), (((F.col("id") * 7) % 20) / 10.0 - 1).cast("double").alias("delta"))
+    one = drift.alike(d)
+    assert one.count() == 60 and one.agg(F.sum("times")).first()[0] == 900
+    assert sorted(map(repr, drift.identified_sets(one, 0.5, 0.3, source=0, times="times").collect())) == sorted(map(repr, drift.identified_sets(d, 0.5, 0.3, source=0).collect()))
+    assert sorted(drift.median_anchor(one, source=0, times="times").collect()) == sorted(drift.median_anchor(d, source=0).collect())
+
+
+def test_p_values_are_made_in_generated_code(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(dif, "cut", lambda d, real=dif.cut: kept.append(plan(d)) or real(d))
+    z = [0.0, 1e-9, 0.4, 0.66, 0.67, 1.0, 3.0, 5.6, 5.7, 9.0, 20.0, 37.0]
+    rows = dif.wald_tests(spark.createDataFrame([(1, s * x, 1.0) for x in z for s in (1.0, -1.0)] + [(0, 0.0, 1.0)], "language int, delta double, se double"), 0).where("language = 1").collect()
+    assert "transform(" not in kept[0] and len(rows) == 24
+    assert all(r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-12) for r in rows)
+    odd = spark.createDataFrame([(x,) for x in (float("inf"), float("nan"), None)], "x double").select(stats.tail_p(F.col("x"))).collect()
+    assert [r[0] for r in odd] == [0.0, 1.0, 1.0]
