@@ -555,9 +555,9 @@ def crossval_losses(spark, sf):
     """Held-out log loss of both model classes on the incomplete panel of events; fits run until they converge, up to ``crossval``'s 4,000 steps."""
     from .fit import crossval
 
-    cells = V.observed(spark, sf).groupBy("model", "item", "language").agg(F.max("correct").alias("correct"))
-    first = cells.agg(F.min("language")).first()[0]
-    return crossval(cells, first)
+    seen = V.observed(spark, sf)
+    first = seen.agg(F.min("language")).first()[0]
+    return crossval(seen.groupBy("model", "item", "language").agg(F.max("correct").alias("correct")), first)
 
 
 _LOSSES = f"(SELECT 'b' || model AS benchmark, language AS seed, 'rasch' AS irt_model, abs(gap) AS loss FROM {V.GAPS} UNION ALL SELECT 'b' || model, language, '2pl', abs(gap - 0.1) FROM {V.GAPS})"

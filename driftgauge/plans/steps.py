@@ -2,13 +2,15 @@
 
 Items meet only in the abilities and in two means of drift by language, so a step is two passes over the blocks. One moves the items and adds up
 their drift, the other, which knows that mean, adds up what their cells say of the abilities and of drift's gradient. Between passes only these sums, as many a block as
-models times languages, go through the driver, which adds them in the order of blocks: results don't depend on how blocks are dealt to tasks. The steps are ``fit.adam``'s.
+models times languages, come together, added in the order of blocks: results don't depend on how blocks are dealt to threads or tasks. The steps are ``fit.adam``'s.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +22,16 @@ from ..session import _folder, cut
 from .joint import MOST, _numbered
 
 #: Items to a block; a panel of up to ``_FEW`` blocks takes its steps in one worker (some 130,000 items), as a pass of Spark costs more than such a step; a larger one takes passes of Spark.
-_ITEMS, _FEW = 256, 512
+_ITEMS, _FEW = 16384, 8
+#: Cells that are computed at once: few enough for a core's cache, and so many that threads seldom wait for one another.
+_TILE = 65536
 #: Steps between checkpoints: a lost block is worked out again from the last.
 _KEEP = 100
 
 
 @dataclass
 class Block:
-    """Some items of one panel. Fitted cells are ordered by item, language and model: ``at`` is a cell's place among models by languages, ``slot`` are places among items by languages with ``times`` cells each; ``held`` are (at, slot, y) of the cells held out.
+    """Some items of one panel. ``slot`` are places among items by languages with ``times`` fitted cells each, the fewest first; ``at`` is a cell's place among models by languages, ``y`` its mark, both in the order of ``_tiles``; ``held`` are (at, slot, y) of the cells held out.
 
     ``p`` is difficulty, drift and discrimination before they are normalised, ``one`` and ``two`` their moments, ``grads`` the gradients of a step that isn't taken yet.
     """
@@ -44,10 +48,13 @@ class Block:
     two: list[np.ndarray]
     grads: list[np.ndarray] | None = None
 
-    def wide(self) -> tuple[np.ndarray, np.ndarray]:
-        """``at`` and ``y`` as numpy computes with them; kept while the block stays in its worker."""
+    def wide(self) -> list[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(places in ``slot``, ``at``, ``y`` less a half, room for four results) by tile, one column a slot, as numpy computes with them; kept while the block stays in its worker."""
         if not hasattr(self, "_wide"):
-            self._wide = (self.at.astype(np.intp), self.y.astype(float))
+            self._wide, done, room = [], 0, np.empty((4, max([c * (of.stop - of.start) for of, c in _tiles(self.times)], default=0)))
+            for of, c in _tiles(self.times):
+                cells, shape = slice(done, done := done + c * (of.stop - of.start)), (c, of.stop - of.start)
+                self._wide.append((of, self.at[cells].astype(np.intp).reshape(shape), self.y[cells].reshape(shape) - 0.5, [x[: shape[0] * shape[1]].reshape(shape) for x in room]))
         return self._wide
 
     def __getstate__(self) -> dict:
@@ -69,6 +76,14 @@ class Told:
     rate: float
 
 
+def _tiles(times: np.ndarray) -> Iterator[tuple[slice, int]]:
+    """(places, cells each) of slots with equally many cells, ``_TILE`` cells at once."""
+    for c, lo, n in zip(*(x.tolist() for x in np.unique(times, return_index=True, return_counts=True)), strict=True):
+        wide = max(1, _TILE // c)
+        for i in range(lo, lo + n, wide):
+            yield slice(i, min(i + wide, lo + n)), c
+
+
 def block(panel: int, number: int, items: pd.Series, at: np.ndarray, y: np.ndarray, keep: np.ndarray, k: int) -> Block:
     if items.isna().any():
         raise ValueError("an item is null")
@@ -78,9 +93,12 @@ def block(panel: int, number: int, items: pd.Series, at: np.ndarray, y: np.ndarr
     at, slot, y, keep = at[order].astype(np.int16), slot[order].astype(np.int32), y[order].astype(bool), keep[order].astype(bool)
     if ((np.diff(slot) == 0) & (np.diff(at) == 0)).any():
         raise ValueError("a cell comes twice")
-    own, times = np.unique(slot[keep], return_counts=True)
+    own, first, times = np.unique(slot[keep], return_index=True, return_counts=True)
+    few = np.argsort(times, kind="stable")
+    own, first, times = own[few], first[few], times[few].astype(np.int16)
+    cells = np.concatenate([np.zeros(0, np.intp), *[(first[of] + np.arange(c)[:, None]).ravel() for of, c in _tiles(times)]])
     p = [np.zeros(len(values)), np.zeros((len(values), k)), np.full((len(values), k), 0.5413)]
-    return Block(panel, number, at[keep], own, times.astype(np.int16), y[keep], (at[~keep], slot[~keep], y[~keep]), p, [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p])
+    return Block(panel, number, at[keep][cells], own, times, y[keep][cells], (at[~keep], slot[~keep], y[~keep]), p, [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p])
 
 
 def moved(p: list[np.ndarray], one: list[np.ndarray], two: list[np.ndarray], grads: list[np.ndarray], t: int, rate: float) -> None:
@@ -89,8 +107,15 @@ def moved(p: list[np.ndarray], one: list[np.ndarray], two: list[np.ndarray], gra
         u *= 0.9
         u += 0.1 * v
         q *= 0.999
-        q += 0.001 * v * v
-        x -= rate * (u / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+        w = v * v
+        w *= 0.001
+        q += w
+        np.multiply(q, 1 / (1 - 0.999**t), out=w)
+        np.sqrt(w, out=w)
+        w += 1e-8
+        np.divide(u, w, out=w)
+        w *= rate / (1 - 0.9**t)
+        x -= w
 
 
 def settled(b: Block, told: Told) -> np.ndarray:
@@ -102,45 +127,59 @@ def settled(b: Block, told: Told) -> np.ndarray:
     return b.p[1].sum(0)
 
 
-def _normal(b: Block, told: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(difficulty and drift, discrimination, drift) by item and language."""
+def _normal(b: Block, told: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(difficulty and drift, discrimination, its slope, drift) by item and language."""
     d = (b.p[1] - told.mean) * told.free
-    return (b.p[0][:, None] + d).ravel(), np.logaddexp(0, b.p[2]).ravel(), d
+    e = np.exp(-np.abs(b.p[2]))
+    return (b.p[0][:, None] + d).ravel(), (np.maximum(b.p[2], 0) + np.log1p(e)).ravel(), np.where(b.p[2] < 0, e, 1) / (1 + e), d
+
+
+def _logs(x: np.ndarray) -> float:
+    """The sum of the logarithms of numbers from 1 to 2: of products, each of 64 numbers."""
+    x = x.ravel()
+    n = x.size // 64
+    return float(np.log(np.multiply.reduce(x[: n * 64].reshape(64, n), 0)).sum() + np.log(np.multiply.reduce(x[n * 64 :])))
 
 
 def begun(b: Block, told: Told) -> np.ndarray:
     """Settles ``b`` and begins a step: its log loss, squares of drift, drift's gradient by language and the abilities' gradient."""
     settled(b, told)
-    k = len(told.free)
-    beta, a, d = _normal(b, told)
-    at, y = b.wide()
-    a_of = np.repeat(a[b.slot], b.times)
-    core = told.th.ravel()[at]
-    core -= np.repeat(beta[b.slot], b.times)
-    eta = a_of * core
-    e = np.exp(-np.abs(eta))
-    below = 1 + e
-    loss = float(np.maximum(eta, 0).sum() + np.log(below).sum() - eta @ y)
-    e /= below
-    g = np.copysign(0.5 - e, eta)  # the chance of a right answer, less a half
-    g += 0.5
-    g -= y
-    gc = g * a_of
+    k, th, loss = len(told.free), told.th.ravel(), 0.0
+    beta, a, slope, d = _normal(b, told)
+    beta_of, a_of, people = beta[b.slot], a[b.slot], np.zeros(told.th.size)
+    sums, sums_a = np.zeros(len(b.slot)), np.zeros(len(b.slot))
+    for of, at, half, (core, eta, e, x) in b.wide():
+        np.take(th, at, out=core, mode="clip")
+        core -= beta_of[of]
+        np.multiply(core, a_of[of], out=eta)
+        np.abs(eta, out=e)
+        np.multiply(eta, half, out=x)
+        loss += 0.5 * float(e.sum()) - float(x.sum())
+        np.negative(e, out=e)
+        np.exp(e, out=e)
+        np.add(1, e, out=x)
+        loss += _logs(x)
+        e /= x
+        np.subtract(0.5, e, out=e)
+        np.copysign(e, eta, out=e)  # the chance of a right answer, less a half
+        e -= half
+        core *= e
+        sums_a[of] = core.sum(0)
+        e *= a_of[of]
+        sums[of] = e.sum(0)
+        people += np.bincount(at.ravel(), e.ravel(), th.size)
     by_slot, by_a = np.zeros(b.p[1].size), np.zeros(b.p[1].size)
-    if len(b.slot):
-        first = np.cumsum(b.times, dtype=np.int64) - b.times
-        g *= core
-        by_slot[b.slot], by_a[b.slot] = np.add.reduceat(gc, first) / told.total, np.add.reduceat(g, first) / told.total
+    by_slot[b.slot], by_a[b.slot] = sums / told.total, sums_a / told.total
     by_slot = by_slot.reshape(-1, k)
     gd = (2 * told.ridge * d / told.size - by_slot) * told.free
-    b.grads = [-by_slot.sum(1), gd, by_a.reshape(-1, k) * (0.5 * (1 + np.tanh(0.5 * b.p[2])))]
-    return np.concatenate([[loss, (d**2).sum()], gd.sum(0), np.bincount(at, gc, told.th.size) / told.total])
+    b.grads = [-by_slot.sum(1), gd, by_a.reshape(-1, k) * slope]
+    return np.concatenate([[loss, (d**2).sum()], gd.sum(0), people / told.total])
 
 
 def judged(b: Block, told: Told) -> np.ndarray:
     """Log loss of the cells held out and their number, after the last step."""
     settled(b, told)
-    beta, a, _ = _normal(b, told)
+    beta, a, _, _ = _normal(b, told)
     at, slot, y = b.held
     eta = a[slot] * (told.th.ravel()[at] - beta[slot])
     if not np.isfinite(eta).all():
@@ -213,13 +252,24 @@ def held_out(cells: DataFrame, source, steps: int = 4000) -> DataFrame:
     items, totals = {r.seed: r["items"] for r in sizes}, {r.seed: r.fitted for r in sizes}
     if blocks <= _FEW:
 
-        def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-            held, r = [pickle.loads(x) for x in f["packed"]], int(key[0])
-            each = lambda f, told: [((b.panel, b.number), f(b, told[b.panel])) for b in held]
-            loss, taken = descend(each, each, {r: totals[r]}, {r: items[r]}, m, k, of, steps)[r]
-            return pd.DataFrame({"seed": [key[0]], "loss": [loss], "steps": [taken]})
-
-        return packed.groupBy("seed").applyInPandas(run, f"seed {kind['seed']}, loss double, steps int")
+        seeds = sorted(totals)
+        sc = spark.sparkContext
+        threads = max(1, sc.defaultParallelism // len(seeds))  # the stage has a task a seed: its threads take the cores that would be idle
+        threads = min(threads, int(sc.getConf().get("spark.executor.cores", str(threads))))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [pickle.loads(x) for f in frames for x in f["packed"]]
+            if not held:
+                return
+            r = held[0].panel
+            with ThreadPoolExecutor(min(threads, len(held), len(os.sched_getaffinity(0)))) as pool:
+                each = lambda f, told: list(pool.map(lambda b: ((b.panel, b.number), f(b, told[b.panel])), held))
+                loss, taken = descend(each, each, {r: totals[r]}, {r: items[r]}, m, k, of, steps)[r]
+            yield pd.DataFrame({"seed": [r], "loss": [loss], "steps": [taken]})
+
+        # a task a seed, by its place and not by its hash, so that no task takes the steps of two
+        task = (F.array_position(F.array(*[F.lit(r).cast("long") for r in seeds]), F.col("seed").cast("long")) - 1).cast("int")
+        return packed.repartitionById(len(seeds), task).mapInPandas(run, f"seed {kind['seed']}, loss double, steps int")
     found = _spread(packed, blocks, lambda look, change: descend(look, change, totals, items, m, k, of, steps))
     return spark.createDataFrame([(r, *x) for r, x in found.items()], f"seed {kind['seed']}, loss double, steps int")
 

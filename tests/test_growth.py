@@ -2,8 +2,10 @@
 
 import contextlib
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,52 @@ def test_two_parameter_fits_stop_by_themselves(spark, monkeypatch):
         assert taken[seed] == fit.adam(right, keep, model="2pl", steps=60, tol=6e-3).steps < 60
 
 
+def test_each_seed_takes_its_steps_in_a_task_of_its_own(spark):
+    seeds = spark.range(4).select(F.col("id").cast("int").alias("seed"))
+    cells = grid(spark).crossJoin(seeds).withColumn("keep", fit.kept(0.2))
+    tasks = [r.task for r in steps.held_out(cells, 0, 2).withColumn("task", F.spark_partition_id()).collect()]
+    assert len(tasks) == len(set(tasks)) == 4
+
+
+def test_cells_of_equally_many_are_computed_together():
+    r = np.random.default_rng(0)
+    item, at = np.nonzero(r.random((300, 21)) < 0.5)
+    keep, y = r.random(len(at)) < 0.9, r.random(len(at)) < 0.5
+    b = steps.block(0, 0, pd.Series(item), at, y, keep, 3)
+    assert len(b.wide()) <= 7 and sum(x[1].size for x in b.wide()) == keep.sum()  # as many as there are numbers of cells, not of slots
+    got = {(b.slot[of][j], x) for of, x_at, _, _ in b.wide() for x_of in x_at for j, x in enumerate(x_of)}
+    assert got == set(zip((item * 3 + at % 3)[keep], at[keep], strict=True))
+    right = {(b.slot[of][j], x_of[j]) for of, x_at, half, _ in b.wide() for x_of, h in zip(x_at, half, strict=True) for j in np.flatnonzero(h > 0)}
+    assert right == set(zip((item * 3 + at % 3)[keep & y], at[keep & y], strict=True))
+
+
+def test_threads_and_blocks_do_not_change_the_steps():
+    r = np.random.default_rng(1)
+    item, at = np.nonzero(r.random((200, 21)) < 0.5)
+    y, keep = r.random(len(at)) < 0.5, r.random(len(at)) < 0.9
+
+    def taken(order: list[int], threads: int):
+        blocks = [steps.block(0, i, pd.Series(item[item % 4 == i]), at[item % 4 == i], y[item % 4 == i], keep[item % 4 == i], 3) for i in order]
+        with ThreadPoolExecutor(threads) as pool:
+            each = lambda f, told: list(pool.map(lambda b: ((b.panel, b.number), f(b, told[b.panel])), blocks))
+            return steps.descend(each, each, {0: int(keep.sum())}, {0: 200}, 7, 3, 1, 300)[0]
+
+    assert taken([0, 1, 2, 3], 1) == taken([2, 0, 3, 1], 3)
+
+
+def test_crossval_works_its_responses_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(c):
+        made.add(1)
+        return c
+
+    y = grid(spark).withColumn("correct", F.udf(counted, "int")("correct"))
+    rows = y.count()
+    made.value = 0
+    assert len(fit.crossval(y, 0, seeds=(0, 1), steps=2).collect()) == 4 and made.value == rows
+
+
 @pytest.mark.parametrize("models", [6, 70])
 def test_errors_are_looked_up_without_a_row_per_replicate(spark, monkeypatch, models):
     y = grid(spark, models=models, items=40).withColumn("correct", ((F.col("model") * 31 + F.col("item") * 17 + F.col("language") * 5) % 7 < 3).cast("int")).withColumn("language", F.concat(F.lit("l"), F.col("language").cast("string")))
