@@ -23,6 +23,8 @@ from .joint import MOST, _numbered
 
 #: Items to a block; a panel of up to ``_FEW`` blocks takes its steps in one worker (some 130,000 items), as a pass of Spark costs more than such a step; a larger one takes passes of Spark.
 _ITEMS, _FEW = 16384, 8
+#: Threads of a worker at most: with a fourth, threads wait for one another as much as it computes.
+_THREADS = 3
 #: Cells that are computed at once: few enough for a core's cache, and so many that threads seldom wait for one another.
 _TILE = 65536
 #: Steps between checkpoints: a lost block is worked out again from the last.
@@ -254,8 +256,8 @@ def held_out(cells: DataFrame, source, steps: int = 4000) -> DataFrame:
 
         seeds = sorted(totals)
         sc = spark.sparkContext
-        threads = max(1, sc.defaultParallelism // len(seeds))  # the stage has a task a seed: its threads take the cores that would be idle
-        threads = min(threads, int(sc.getConf().get("spark.executor.cores", str(threads))))
+        # the stage has a task a seed: its threads take cores that would be idle
+        threads = max(1, min(_THREADS, sc.defaultParallelism // len(seeds), int(sc.getConf().get("spark.executor.cores", str(_THREADS)))))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = [pickle.loads(x) for f in frames for x in f["packed"]]
